@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("runs",)
+GROUPS = ("runs", "contacts", "cycles")
 
 
 def load():

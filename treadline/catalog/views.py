@@ -108,5 +108,5 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_tax") * 100).cast("int").alias("dy"), (F.col("l_partkey") % 10).alias("trial_id"))
     li = ordered.number_rows(li, ["track_id"],
                              ["l_orderkey", "l_linenumber", "l_suppkey", "area_px", "mean_intensity", "dx", "dy"],
-                             F.floor(F.col("l_orderkey") / 1024), start=1)
+                             F.floor(F.col("l_orderkey") / 65536), start=1)
     return li.withColumn("frame", F.col("frame") * 2)

@@ -76,10 +76,10 @@ def correct_runs(runs: DataFrame, keys: Sequence[str], value: str = "in_stance",
     """
     length = F.col("end") - F.col("start")
     d = runs.withColumn("_len", length)
-    d = ordered.with_totals(d, keys, {"_n": ("sum", F.col("_len")), "_k": ("sum", F.lit(1))}, "start", size)
     d = ordered.neighbours(d, keys, "start", {
         "_l2": ("_len", -2), "_v2": (value, -2), "_l1": ("_len", -1), "_v1": (value, -1),
-        "_r1": ("_len", 1), "_w1": (value, 1)}, size)
+        "_r1": ("_len", 1), "_w1": (value, 1)}, size,
+        totals={"_n": ("sum", F.col("_len")), "_k": ("sum", F.lit(1))})
     thr = F.ceil(F.col("_n") / F.col("_k") / 4.0)
 
     def flips(left, mid, right, lv, rv):

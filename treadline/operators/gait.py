@@ -77,11 +77,10 @@ def stride_lengths(df: DataFrame, keys: Sequence[str], fps: float, x: str = "x",
     """
     pos = F.struct(F.col(frame).alias("f"), F.col(x).alias("x"), F.col(y).alias("y"))
     runs = contact.contact_runs(df, keys, value, frame, {"_pos": ("min", pos)}, size)
-    d = ordered.neighbours(runs, keys, "start", {
-        "_p0": ("_pos", -1), "_p1": ("_pos", 1), "_p2": ("_pos", 2)}, size)
     st = F.col(value) == 1
-    d = ordered.with_totals(d, keys, {
-        "_k": ("sum", st.cast("int")), "_first": ("min", F.when(st, F.col("start")))}, "start", size)
+    d = ordered.neighbours(runs, keys, "start", {
+        "_p0": ("_pos", -1), "_p1": ("_pos", 1), "_p2": ("_pos", 2)}, size,
+        totals={"_k": ("sum", st.cast("int")), "_first": ("min", F.when(st, F.col("start")))})
     from_stance = F.col("_first") == 0
     # The swing run before a stance run starts at the previous lift-off; before the first stance run there is none.
     begin = F.when(from_stance | (F.col("start") == F.col("_first")), F.col("_pos")).otherwise(F.col("_p0"))

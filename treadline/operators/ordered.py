@@ -136,11 +136,11 @@ def with_filled_neighbours(df: DataFrame, keys: Sequence[str], value: str, frame
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, shifts: Mapping[str, tuple[Column | str, int]],
-               size: int = CHUNK) -> DataFrame:
+               size: int = CHUNK, totals: Mapping[str, tuple[str, Column]] | None = None) -> DataFrame:
     """``lag`` (negative offset) and ``lead`` (positive offset) on a *sparse* ordered table, e.g. a table of runs.
 
     The neighbour of a row may sit many chunks away, so each chunk's first and last few rows are carried over the
-    (non-empty) chunks of the key.
+    (non-empty) chunks of the key. ``totals`` are per-key totals (see :func:`with_totals`) taken along in the same pass.
     """
     back = max((-o for _, o in shifts.values() if o < 0), default=0)
     ahead = max((o for _, o in shifts.values() if o > 0), default=0)
@@ -150,7 +150,9 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, shifts: Mapping[s
     w = chunk_window(keys, order)
     d = d.withColumns({"_rn": F.row_number().over(w),
                        "_cnt": F.count(F.lit(1)).over(Window.partitionBy(*keys, "_chunk"))})
-    summaries, carried = {}, {}
+    summaries = {f"_t_{n}": _MERGE[k](c) for n, (k, c) in (totals or {}).items()}
+    carried = {n: (lambda up, _, n=n, k=k: _MERGE[k](f"_t_{n}").over(up.rowsBetween(_UNB, _END)))
+               for n, (k, _) in (totals or {}).items()}
     if ahead:
         summaries["_heads"] = F.array_sort(F.collect_list(F.when(F.col("_rn") <= ahead, F.col("_row"))))
         carried["_after"] = lambda w, _: F.flatten(F.collect_list("_heads").over(w.rowsBetween(1, ahead)))
