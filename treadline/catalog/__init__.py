@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("runs", "contacts", "cycles")
+GROUPS = ("scalar", "runs", "contacts", "cycles", "series")
 
 
 def load():

@@ -225,6 +225,29 @@ def islands(df: DataFrame, keys: Sequence[str], frame: str = "frame", last: str
             .select(*keys, "start", "end", "n_rows", *([value] if value else []), *aggs))
 
 
+def stretch_starts(df: DataFrame, keys: Sequence[str], gap: int, frame: str = "frame", name: str = "_stretch",
+                   size: int = CHUNK) -> DataFrame:
+    """Tag every row with the first frame of its stretch (steps of at most ``gap`` frames); frames may repeat.
+
+    A chunk knows its own stretches; only its first one can have begun earlier, which one summary row per chunk resolves.
+    """
+    d = with_chunk(df, frame, size)
+    w = chunk_window(keys, frame)
+    prev = F.lag(frame).over(w)
+    d = d.withColumn("_open", F.when(prev.isNull() | (F.col(frame) - prev > gap), F.col(frame)))
+    d = d.withColumn("_own", F.last("_open", ignorenulls=True).over(w.rowsBetween(_UNB, 0)))
+    side = d.groupBy(*keys, "_chunk").agg(F.min(frame).alias("_f0"), F.max(frame).alias("_l0"), F.max("_own").alias("_o"))
+    up = Window.partitionBy(*keys).orderBy("_chunk")
+    side = side.withColumn("_joined", F.coalesce(F.col("_f0") - F.lag("_l0").over(up) <= gap, F.lit(False)))
+    side = side.withColumn("_tail", F.when(~F.col("_joined") | (F.col("_o") != F.col("_f0")), F.col("_o")))
+    side = side.select(*keys, "_chunk", "_f0", F.when(F.col("_joined"), F.last("_tail", ignorenulls=True).over(
+        up.rowsBetween(_UNB, -1))).alias("_from"))
+    d = d.join(side, [*keys, "_chunk"])
+    first = (F.col("_own") == F.col("_f0")) & F.col("_from").isNotNull()
+    return (d.withColumn(name, F.when(first, F.col("_from")).otherwise(F.col("_own")))
+            .drop("_chunk", "_open", "_own", "_f0", "_from"))
+
+
 def expand(df: DataFrame, start: str = "start", end: str = "end", name: str = "frame", size: int = CHUNK) -> DataFrame:
     """One row per frame of every interval ``[start, end)``; long intervals are first split by chunk, so that no single
     row holds a long sequence and the pieces can be spread."""

@@ -21,12 +21,7 @@ from treadline.session import cut_lineage
 def bursts(det: DataFrame, trial: Sequence[str], max_gap: int, size: int = CHUNK) -> DataFrame:
     """Add ``_burst``: the first frame of the stretch of activity. More than ``max_gap`` frames without any detection
     close every track, so bursts are independent."""
-    f = det.select(*trial, "frame").distinct()
-    f = ordered.neighbours(f, trial, "frame", {"_prev_f": ("frame", -1)}, size)
-    opens = F.col("_prev_f").isNull() | (F.col("frame") - F.col("_prev_f") > max_gap)
-    f = f.withColumn("_open", F.when(opens, F.col("frame")))
-    f = ordered.with_filled_neighbours(f, trial, "_open", "frame", size)
-    return det.join(f.select(*trial, "frame", F.col("_prev.v").alias("_burst")), [*trial, "frame"])
+    return ordered.stretch_starts(det, trial, max_gap, name="_burst", size=size)
 
 
 def in_frame_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str],
