@@ -76,7 +76,7 @@ SELECT n.trial_id, n.frame, CASE WHEN n.x IS NOT NULL THEN n.x
 FROM n LEFT JOIN g p ON p.trial_id = n.trial_id AND p.frame = pf LEFT JOIN g q ON q.trial_id = n.trial_id AND q.frame = nf""")
 def _(spark, sf_dir):
     d = v.samples(spark, sf_dir).select("trial_id", "frame", F.expr("CASE WHEN k >= 30 THEN x END").alias("x"))
-    return contact.fill_gaps(d, v.TRIAL, "x", size=v.SIZE).select("trial_id", "frame", "x")
+    return contact.fill_gaps(d, v.TRIAL, ["x"], size=v.SIZE).select("trial_id", "frame", "x")
 
 
 CORRECTED = SIGNAL + """,

@@ -262,21 +262,21 @@ def _(spark, sf_dir):
 
 @query("contact_suite")
 def _(spark, sf_dir):
-    return analyze.contact_suite(v.contact_long(spark, sf_dir), 128.0, size=v.SIZE)
+    return analyze.contact_suite(v.contact_long(spark, sf_dir), 128.0, size=v.SIZE, reuse=True)
 
 
 @query("gait_suite")
 def _(spark, sf_dir):
     d = v.contact_long(spark, sf_dir).select("trial_id", "limb", "frame", "in_stance", C("cx").alias("x"), C("cy").alias("y"), "intensity", "area_px")
     body = v.contact_wide(spark, sf_dir).select("trial_id", "frame", C("cx").alias("com_x"))
-    return analyze.metric_suite(d, 128.0, body=body, size=v.SIZE)
+    return analyze.metric_suite(d, 128.0, body=body, size=v.SIZE, reuse=True)
 
 
 @query("gait_suite_averages", f"""WITH {BASICS4}, r AS (SELECT *, stance_ms + swing_ms AS c FROM b4)
 SELECT trial_id, round(avg(stance_ms), 6) AS avg_stance_ms, round(avg(swing_ms), 6) AS avg_swing_ms, round(avg(c), 6) AS avg_cycle_ms,
  round(coalesce(avg(CASE WHEN stride_hz > 0 THEN stride_hz END), 0), 6) AS avg_stride_frequency_hz, round(2 * 60 * coalesce(avg(CASE WHEN stride_hz > 0 THEN stride_hz END), 0), 6) AS cadence_steps_per_min FROM r GROUP BY trial_id""")
 def _(spark, sf_dir):
-    m = analyze.metric_suite(v.contact_long(spark, sf_dir).select("trial_id", "limb", "frame", "in_stance"), 128.0, size=v.SIZE)
+    m = analyze.metric_suite(v.contact_long(spark, sf_dir).select("trial_id", "limb", "frame", "in_stance"), 128.0, size=v.SIZE, reuse=True)
     names = ["avg_stance_ms", "avg_swing_ms", "avg_cycle_ms", "avg_stride_frequency_hz", "cadence_steps_per_min"]
     d = m.where(C("metric").isin(names)).groupBy("trial_id").pivot("metric", names).agg(F.first("value"))
     return d.select("trial_id", *[F.round(n, 6).alias(n) for n in names])

@@ -14,15 +14,17 @@ from treadline.operators import ordered
 from treadline.operators.ordered import CHUNK
 
 
-def fill_gaps(df: DataFrame, keys: Sequence[str], value: str, frame: str = "frame", size: int = CHUNK) -> DataFrame:
+def fill_gaps(df: DataFrame, keys: Sequence[str], values: Sequence[str], frame: str = "frame",
+              size: int = CHUNK) -> DataFrame:
     """Linear interpolation of missing values; ends hold the nearest value; a channel without any value becomes 0."""
-    d = ordered.with_filled_neighbours(df, keys, value, frame, size)
-    p, n = F.col("_prev"), F.col("_next")
-    line = p["v"] + (n["v"] - p["v"]) * (F.col(frame) - p["f"]) / (n["f"] - p["f"])
-    filled = (F.when(F.col(value).isNotNull(), F.col(value))
-              .when(p.isNotNull() & n.isNotNull(), line)
-              .otherwise(F.coalesce(p["v"], n["v"], F.lit(0.0))))
-    return d.withColumn(value, filled).drop("_prev", "_next")
+    d = ordered.with_filled_neighbours(df, keys, values, frame, size)
+    cols = {}
+    for v in values:
+        p, n = F.col(f"_prev_{v}"), F.col(f"_next_{v}")
+        line = p["v"] + (n["v"] - p["v"]) * (F.col(frame) - p["f"]) / (n["f"] - p["f"])
+        cols[v] = (F.when(F.col(v).isNotNull(), F.col(v)).when(p.isNotNull() & n.isNotNull(), line)
+                   .otherwise(F.coalesce(p["v"], n["v"], F.lit(0.0))))
+    return d.withColumns(cols).drop(*[f"{p}_{v}" for v in values for p in ("_prev", "_next")])
 
 
 def trend_contact(df: DataFrame, keys: Sequence[str], x: str = "x", frame: str = "frame",

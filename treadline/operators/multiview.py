@@ -26,6 +26,15 @@ def rig_from_pose(cameras: DataFrame) -> DataFrame:
         [F.col("k")[i] for i in range(9)], r, [F.col("tvec")[i] for i in range(3)]))
 
 
+def camera_columns(rig: DataFrame, limit: int = 256) -> Column:
+    """The rig as a literal map from camera to its 12 numbers. A rig is a handful of rows; more than ``limit`` is an
+    error, so what is put into the plan has a proven bound."""
+    rows = rig.select("camera", "p").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a rig of more than {limit} cameras")
+    return F.create_map(*[c for r in rows for c in (F.lit(r["camera"]), F.array(*[F.lit(float(x)) for x in r["p"]]))])
+
+
 def gather_views(obs: DataFrame, rig: DataFrame, keys: Sequence[str], complete: bool = True) -> DataFrame:
     """One row per point with its views in camera order; unknown cameras drop out.
 
@@ -33,7 +42,7 @@ def gather_views(obs: DataFrame, rig: DataFrame, keys: Sequence[str], complete:
     point); points with fewer than two views are dropped.
     """
     bad = F.col("u").isNull() | F.col("v").isNull() | F.isnan("u") | F.isnan("v") | (F.abs("u") == float("inf")) | (F.abs("v") == float("inf"))
-    d = obs.join(rig.select("camera", "p"), "camera")
+    d = obs.withColumn("p", F.try_element_at(camera_columns(rig), F.col("camera"))).where("p is not null")
     view = F.struct("camera", "p", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
     g = d.groupBy(*keys).agg(F.count_if(bad).alias("_bad"), F.array_sort(F.collect_list(F.when(~bad, view))).alias("views"))
     g = g.where(F.size("views") >= 2)
@@ -109,15 +118,16 @@ def triangulate(views: DataFrame, keys: Sequence[str], robust: bool = True, thre
 
 
 def project_points(points: DataFrame, rig: DataFrame) -> DataFrame:
-    """Image position of every point in every camera (the rig is a handful of rows)."""
-    d = points.crossJoin(rig.select("camera", "p"))
+    """Image position of every point in every camera."""
+    d = points.select("*", F.explode(camera_columns(rig)).alias("camera", "p"))
     uv = geo.project([F.col("p")[i] for i in range(12)], F.col("x"), F.col("y"), F.col("z"))
     return d.withColumn("_uv", uv).select(*points.columns, "camera", F.col("_uv.u").alias("u"), F.col("_uv.v").alias("v"))
 
 
 def view_errors(points: DataFrame, obs: DataFrame, rig: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Reprojection error per point and camera."""
-    d = obs.join(points.select(*keys, "x", "y", "z"), list(keys)).join(rig.select("camera", "p"), "camera")
+    d = obs.join(points.select(*keys, "x", "y", "z"), list(keys))
+    d = d.withColumn("p", F.try_element_at(camera_columns(rig), F.col("camera"))).where("p is not null")
     e = geo.reprojection_error([F.col("p")[i] for i in range(12)], *[F.col(c) for c in ("x", "y", "z", "u", "v")])
     return d.select(*keys, "camera", e.alias("error_px"))
 

@@ -118,21 +118,24 @@ def running_sum(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column],
     return d.drop("_chunk", *[f"_v_{n}" for n in sums], *[f"_b_{n}" for n in sums])
 
 
-def with_filled_neighbours(df: DataFrame, keys: Sequence[str], value: str, frame: str = "frame",
+def with_filled_neighbours(df: DataFrame, keys: Sequence[str], values: Sequence[str], frame: str = "frame",
                            size: int = CHUNK) -> DataFrame:
-    """Add ``_prev`` and ``_next``: the nearest earlier / later ``struct(frame, value)`` with a value (self included)."""
-    d = with_chunk(df, frame, size).withColumn(
-        "_known", F.when(F.col(value).isNotNull(), F.struct(F.col(frame).alias("f"), F.col(value).alias("v"))))
-    d = carry(d, keys, {"_first": F.min("_known"), "_last": F.max("_known")},
-              {"_cp": lambda up, _: F.last("_last", ignorenulls=True).over(up.rowsBetween(_UNB, -1)),
-               "_cn": lambda _, down: F.last("_first", ignorenulls=True).over(down.rowsBetween(_UNB, -1))})
-    w = chunk_window(keys, frame)
-    back = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(frame))
-    d = d.withColumns({
-        "_prev": F.coalesce(F.last("_known", ignorenulls=True).over(w.rowsBetween(_UNB, 0)), F.col("_cp")),
-        "_next": F.coalesce(F.last("_known", ignorenulls=True).over(back.rowsBetween(_UNB, 0)), F.col("_cn")),
-    })
-    return d.drop("_chunk", "_known", "_cp", "_cn")
+    """Add ``_prev_<value>`` and ``_next_<value>``: the nearest earlier / later ``struct(f, v)`` with a value (self
+    included). All values share one pass."""
+    d = with_chunk(df, frame, size).withColumns({f"_k_{v}": F.when(
+        F.col(v).isNotNull(), F.struct(F.col(frame).alias("f"), F.col(v).alias("v"))) for v in values})
+    fill = lambda c: F.last(c, ignorenulls=True)
+    summaries, carried = {}, {}
+    for v in values:
+        summaries |= {f"_a_{v}": F.min(f"_k_{v}"), f"_z_{v}": F.max(f"_k_{v}")}
+        carried |= {f"_cp_{v}": (lambda up, _, v=v: fill(f"_z_{v}").over(up.rowsBetween(_UNB, -1))),
+                    f"_cn_{v}": (lambda _, down, v=v: fill(f"_a_{v}").over(down.rowsBetween(_UNB, -1)))}
+    d = carry(d, keys, summaries, carried)
+    w = chunk_window(keys, frame).rowsBetween(_UNB, 0)
+    back = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(frame)).rowsBetween(_UNB, 0)
+    d = d.withColumns({f"_prev_{v}": F.coalesce(fill(f"_k_{v}").over(w), F.col(f"_cp_{v}")) for v in values})
+    d = d.withColumns({f"_next_{v}": F.coalesce(fill(f"_k_{v}").over(back), F.col(f"_cn_{v}")) for v in values})
+    return d.drop("_chunk", *[f"{p}_{v}" for v in values for p in ("_k", "_cp", "_cn")])
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, shifts: Mapping[str, tuple[Column | str, int]],

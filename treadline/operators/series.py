@@ -33,8 +33,7 @@ def reject_jumps(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max
     d = ordered.with_totals(d, keys, {"_any": ("sum", (F.col(columns[0]).isNotNull() & ~F.col("_jump")).cast("int"))},
                             frame, size)
     d = d.withColumns({c: F.when(~F.col("_jump"), F.col(c)) for c in columns}).drop("_jump")
-    for c in columns:
-        d = contact.fill_gaps(d, keys, c, frame, size)
+    d = contact.fill_gaps(d, keys, columns, frame, size)
     return d.withColumns({c: F.when(F.col("_any") > 0, F.col(c)) for c in columns}).drop("_any")
 
 

@@ -15,6 +15,7 @@ from treadline.functions import metrics as fm
 from treadline.operators import contact, gait, ordered, steps, support
 from treadline.operators.ordered import CHUNK
 from treadline.schemas import LIMB_ROWS
+from treadline.session import materialise
 
 TRIAL = ["trial_id"]
 LIMB = ["trial_id", "limb"]
@@ -47,18 +48,18 @@ def analyze(keypoints: DataFrame, fps: float, mode: str = "catwalk", belt_speed:
     limb's midpoint and corrected, then timing, stride lengths, stance angles and stance widths follow. Returns
     ``contact`` (per frame), ``strides``, ``limbs`` (one row per trial and limb) and ``trials`` (symmetry).
     """
-    long = keypoints.select("trial_id", "bodypart", "frame", "x", "y")
-    for c in "xy":
-        long = contact.fill_gaps(long, ["trial_id", "bodypart"], c, size=size)
-    d = limb_frames(frame_table(long))
+    frames = frame_table(keypoints)
+    frames = contact.fill_gaps(frames, TRIAL, [c for c in frames.columns if c not in ("trial_id", "frame")], size=size)
+    d = limb_frames(frames)
     d = d.withColumns({"x": geo.midpoint(F.col("toe_x"), F.col("heel_x")), "y": geo.midpoint(F.col("toe_y"), F.col("heel_y"))})
     if mode == "treadmill":
         d = contact.trend_contact(d, LIMB, size=size)
     else:
         d = contact.displacement_contact(d, LIMB, size=size)
+    d = materialise(d)
     if autocorrect:
         fixed = contact.auto_correct(d.select(*LIMB, "frame", "in_stance"), LIMB, size=size)
-        d = d.drop("in_stance").join(fixed, [*LIMB, "frame"])
+        d = materialise(d.drop("in_stance").join(fixed, [*LIMB, "frame"]))
     basics = gait.gait_basics(d, LIMB, fps, size=size)
     strides = gait.stride_lengths(d, LIMB, fps, belt_speed=belt_speed, mm_per_px=mm_per_px, size=size)
     c = F.col
@@ -72,11 +73,14 @@ def analyze(keypoints: DataFrame, fps: float, mode: str = "catwalk", belt_speed:
             "trials": gait.trial_symmetry(basics, TRIAL)}
 
 
-def contact_suite(df: DataFrame, fps: float, px_per_mm: float = 1.0, size: int = CHUNK) -> DataFrame:
+def contact_suite(df: DataFrame, fps: float, px_per_mm: float = 1.0, size: int = CHUNK, reuse: bool = False) -> DataFrame:
     """Run-level metrics of a dense contact table (``trial_id, limb, frame, in_stance, intensity, cx, area_px``) as rows
-    ``trial_id, limb, metric, value``; trial-level metrics have no limb."""
+    ``trial_id, limb, metric, value``; trial-level metrics have no limb. Set ``reuse`` when ``df`` is itself the result
+    of heavy work, so that it is written once and not worked out again for every group of metrics."""
+    df = materialise(df) if reuse else df
     per = steps.limb_aggregates(steps.bouts(df, LIMB, fps, px_per_mm, size=size), LIMB, fps, px_per_mm)
     wide = support.to_wide(df, TRIAL)
+    wide = materialise(wide) if reuse else wide
     length = wide.groupBy(*TRIAL).agg(((F.max("frame") + 1) / max(float(fps), 1.0)).alias("run_duration_s"))
     total = per.groupBy(*TRIAL).agg(F.sum("n_steps").cast("double").alias("n_steps_total"))
     parts = [long_metrics(per, LIMB)] + [long_metrics(t, TRIAL) for t in (
@@ -100,15 +104,19 @@ def flat_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def metric_suite(df: DataFrame, fps: float, mm_per_px: float = 1.0, belt_speed: float | None = None,
-                 body: DataFrame | None = None, size: int = CHUNK) -> DataFrame:
+                 body: DataFrame | None = None, size: int = CHUNK, reuse: bool = False) -> DataFrame:
     """The full gait suite of a dense contact table, as rows ``trial_id, limb, metric, value``.
 
     ``df`` has ``trial_id, limb, frame, in_stance`` and, optionally, ``x, y`` (limb midpoints) and ``intensity`` (plus
     ``area_px``). ``body`` has per-frame ``trial_id, frame, com_x`` and, optionally, ``front_x, front_y, rear_x,
-    rear_y`` and ``fore_x, fore_y, hind_x, hind_y, com_y, ref_x, ref_y``. Metrics without input are left out.
+    rear_y`` and ``fore_x, fore_y, hind_x, hind_y, com_y, ref_x, ref_y``. Metrics without input are left out. ``reuse``
+    is as in :func:`contact_suite`.
     """
+    if reuse:
+        df, body = materialise(df), None if body is None else materialise(body)
     c = F.col
     basics = gait.gait_basics(df, LIMB, fps, size=size)
+    basics = materialise(basics) if reuse else basics
     per = basics.select(
         *LIMB, "stance_ms", "swing_ms", fm.cycle_ms(c("stance_ms"), c("swing_ms")).alias("cycle_ms"),
         fm.stance_pct(c("stance_ms"), c("swing_ms")).alias("pct_stance"), fm.swing_pct(c("stance_ms"), c("swing_ms")).alias("pct_swing"),
@@ -124,6 +132,7 @@ def metric_suite(df: DataFrame, fps: float, mm_per_px: float = 1.0, belt_speed:
             ("symmetry_index_hind_stance", "LH", "RH", "stance_ms"), ("symmetry_index_hind_swing", "LH", "RH", "swing_ms"))])
     measures = {"x": "x", "y": "y"} if "x" in df.columns else {}
     wide = support.to_wide(df, TRIAL, measures)
+    wide = materialise(wide) if reuse else wide
     parts = [per, trial, support.onset_regularity(wide, TRIAL, size=size), support.phase_dispersion(wide, TRIAL, fps, size=size)]
     if measures:
         strides = gait.stride_lengths(df, LIMB, fps, belt_speed=belt_speed, mm_per_px=mm_per_px, size=size)
@@ -160,7 +169,7 @@ def cycles_from_detections(det: DataFrame, roi: DataFrame | None, fps: float, px
     if roi is not None:
         d = pixels.gate_by_body(d, roi)
     linked = tracking.link_by_iou(d, TRIAL, iou_min, max_gap, size=size)
-    tracked = d.drop("mask").join(linked, [*TRIAL, "frame", "det_id"])
+    tracked = materialise(d.drop("mask").join(linked, [*TRIAL, "frame", "det_id"]))
     cyc = cycles.build_cycles(tracked, TRIAL, fps=fps, px_per_mm=px_per_mm, size=size)
     cop = cycles.pressure_centre_path(tracked, TRIAL, px_per_mm=px_per_mm, size=size)
     cyc = cycles.number_cycles(cyc.join(cop, [*TRIAL, "track_id"]), TRIAL, size=size)

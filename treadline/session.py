@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,12 @@ def local_session(cores: str = "8", app: str = "treadline") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which every executor can reach.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session that names none gets a
-    folder of its own; a cluster without one is an error, because a machine-local folder would not survive an executor.
+    Only a local session that names none gets a folder of its own; a cluster without one is an error, because a
+    machine-local folder would not survive an executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -40,4 +40,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table that several later steps read to the shared folder, and read it back column by column."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder; for iterations, whose plans would grow without bound."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
