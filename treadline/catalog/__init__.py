@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("scalar", "runs", "contacts", "cycles", "series")
+GROUPS = ("scalar", "runs", "contacts", "cycles", "series", "tables")
 
 
 def load():

@@ -146,3 +146,16 @@ def traversals(df: DataFrame, keys: Sequence[str], active: Column, frame: str =
     return (isl.select(*keys, (F.col("start") + 1).alias("start"), end.cast("int").alias("end"),
                        open_end.alias("flushed"))
             .where(F.col("end") - F.col("start") >= min_frames))
+
+
+def frames_of_traversals(df: DataFrame, runs: DataFrame, trial: str = "trial_id", frame: str = "frame",
+                         size: int = CHUNK) -> DataFrame:
+    """Contact rows of each traversal, as a trial of its own (``<trial>#<start>``) with frames counted from its start.
+
+    Traversals do not overlap, so every frame belongs to at most one: an equi-join on (trial, frame).
+    """
+    covered = ordered.expand(runs.select(trial, F.col("start").alias("_s"), (F.col("start") - 1).alias("_a"), F.col("end").alias("_b")),
+                             "_a", "_b", frame, size).select(trial, "_s", frame)
+    d = df.join(covered, [trial, frame])
+    return (d.withColumn(frame, (F.col(frame) + 1 - F.col("_s")).cast("int"))
+            .withColumn(trial, F.concat_ws("#", F.col(trial).cast("string"), F.col("_s").cast("string"))).drop("_s"))
