@@ -25,7 +25,10 @@ def pose(spark, sf_dir):
 
 
 C = F.col
-PTS = [C(n) for n in ("x", "y", "x2", "y2", "x3", "y3", "x4", "y4")]
+
+
+def pts():
+    return [C(n) for n in ("x", "y", "x2", "y2", "x3", "y3", "x4", "y4")]
 
 
 @query("point_geometry", f"""WITH {POSE}
@@ -33,7 +36,7 @@ SELECT vec_id, i, (x + x2) / 2 AS mid_x, (y + y2) / 2 AS mid_y, round(sqrt((x -
  round(CASE WHEN x2 = x THEN 'inf'::DOUBLE ELSE (y2 - y) / (x2 - x) END, 6) AS slope,
  round(CASE WHEN (y2 - y) / (x2 - x) >= 0 THEN degrees(atan((y2 - y) / (x2 - x))) ELSE 180 + degrees(atan((y2 - y) / (x2 - x))) END, 6) AS angle, 384.0::DOUBLE - y AS flipped FROM pt""")
 def _(spark, sf_dir):
-    x, y, x2, y2 = PTS[:4]
+    x, y, x2, y2 = pts()[:4]
     m = geo.slope(x, y, x2, y2)
     return pose(spark, sf_dir).select("vec_id", "i", geo.midpoint(x, x2).alias("mid_x"), geo.midpoint(y, y2).alias("mid_y"),
                                       F.round(geo.distance(x, y, x2, y2), 9).alias("dist"), F.round(m, 6).alias("slope"),
@@ -45,9 +48,9 @@ SELECT vec_id, i, round(degrees(CASE WHEN d > pi() THEN 2 * pi() - d ELSE d END)
  round(abs((x3 - x2) * (y - y2) - (y3 - y2) * (x - x2)) / (CASE WHEN sqrt((x3 - x2) * (x3 - x2) + (y3 - y2) * (y3 - y2)) = 0 THEN 1 ELSE sqrt((x3 - x2) * (x3 - x2) + (y3 - y2) * (y3 - y2)) END), 6) AS dist,
  round(degrees(atan2((x - x2) * (y4 - y3) - (y - y2) * (x4 - x3), (x - x2) * (x4 - x3) + (y - y2) * (y4 - y3))), 6) AS step_angle FROM a""")
 def _(spark, sf_dir):
-    x, y, x2, y2, x3, y3, x4, y4 = PTS
+    x, y, x2, y2, x3, y3, x4, y4 = pts()
     return pose(spark, sf_dir).select(
-        "vec_id", "i", F.round(geo.axis_angle(*PTS), 6).alias("angle"), F.round(geo.point_line_distance(x, y, x2, y2, x3, y3), 6).alias("dist"),
+        "vec_id", "i", F.round(geo.axis_angle(*pts()), 6).alias("angle"), F.round(geo.point_line_distance(x, y, x2, y2, x3, y3), 6).alias("dist"),
         F.round(geo.signed_angle(x - x2, y - y2, x4 - x3, y4 - y3), 6).alias("step_angle"))
 
 

@@ -22,15 +22,18 @@ DEFAULT_FPS = 60.0
 DEFAULT_PX_PER_MM = 1.92
 
 LIMB_SCHEMA = "limb string, limb_name string, side string, girdle string, toe string, heel string"
-KEYPOINTS = T.StructType.fromDDL(
-    "trial_id string, frame int, bodypart string, x double, y double, likelihood double")
-GROUND_TRUTH = T.StructType.fromDDL(
-    "print_id int, frame_idx int, cx_px double, cy_px double, paw_id string")
-DETECTION = T.StructType.fromDDL(
-    "trial_id string, frame int, det_id int, cx double, cy double, x1 int, y1 int, x2 int, y2 int, area_px int, "
-    "mean_intensity double, peak_intensity double, touches_edge boolean")
-BODY_ROI = T.StructType.fromDDL(
-    "trial_id string, frame int, tx1 int, ty1 int, tx2 int, ty2 int, ex1 int, ey1 int, ex2 int, ey2 int, area_px int")
+
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+_S, _I, _D, _B = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+KEYPOINTS = _schema(trial_id=_S, frame=_I, bodypart=_S, x=_D, y=_D, likelihood=_D)
+GROUND_TRUTH = _schema(print_id=_I, frame_idx=_I, cx_px=_D, cy_px=_D, paw_id=_S)
+DETECTION = _schema(trial_id=_S, frame=_I, det_id=_I, cx=_D, cy=_D, x1=_I, y1=_I, x2=_I, y2=_I, area_px=_I,
+                    mean_intensity=_D, peak_intensity=_D, touches_edge=_B)
+BODY_ROI = _schema(trial_id=_S, frame=_I, tx1=_I, ty1=_I, tx2=_I, ty2=_I, ex1=_I, ey1=_I, ex2=_I, ey2=_I, area_px=_I)
 
 
 def limb_dimension(spark: SparkSession) -> DataFrame:
