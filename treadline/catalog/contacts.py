@@ -44,8 +44,8 @@ def small(df, big=6):
                        for c, t in df.dtypes])
 
 
-def bouts(spark, sf_dir):
-    return steps.bouts(v.contact_long(spark, sf_dir), v.LIMB, FPS, size=v.SIZE)
+def bouts(spark, sf_dir, area=None):
+    return steps.bouts(v.contact_long(spark, sf_dir), v.LIMB, FPS, area=area, size=v.SIZE)
 
 
 @query("step_metrics", f"""WITH {STEPS}
@@ -80,7 +80,7 @@ ag AS (SELECT t.trial_id, t.limb, coalesce(n_steps, 0) AS n_steps,
 @query("limb_contact_metrics", f"""WITH {STEPS}, {AGG_SQL}
 SELECT trial_id, limb, CAST(n_steps AS INTEGER) AS n_steps, {', '.join(f"round({c}, {9 if c.endswith('cm2') else 6}) AS {c}" for c in steps.LIMB_METRICS if c != 'n_steps')} FROM ag""")
 def _(spark, sf_dir):
-    return small(steps.limb_aggregates(bouts(spark, sf_dir), v.LIMB, FPS))
+    return small(steps.limb_aggregates(bouts(spark, sf_dir, "area_px"), v.LIMB, FPS))
 
 
 PRESSURE = STEPS + """,

@@ -114,7 +114,7 @@ def _(spark, sf_dir):
 
 @query("gait_basics_corrected", f"WITH {CORRECTED}, {BASICS_SQL}")
 def _(spark, sf_dir):
-    runs = contact.contact_runs(signal(spark, sf_dir), v.TRIAL, size=v.SIZE)
+    runs = contact.stored_runs(signal(spark, sf_dir), v.TRIAL, size=v.SIZE)
     return gait.gait_basics_of_runs(contact.correct_runs(runs, v.TRIAL, size=v.SIZE), v.TRIAL, FPS)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from treadline.functions.geometry import distance
 from treadline.operators import ordered
 from treadline.operators.ordered import CHUNK
+from treadline.session import materialise
 
 
 def fill_gaps(df: DataFrame, keys: Sequence[str], values: Sequence[str], frame: str = "frame",
@@ -53,6 +54,16 @@ def contact_runs(df: DataFrame, keys: Sequence[str], value: str = "in_stance", f
     return ordered.islands(df, keys, frame, value=value, aggs=aggs, size=size)
 
 
+def stored_runs(df: DataFrame, keys: Sequence[str], value: str = "in_stance", frame: str = "frame",
+                aggs: Mapping[str, tuple[str, Column]] | None = None, size: int = CHUNK) -> DataFrame:
+    """:func:`contact_runs`, written to the shared folder.
+
+    For operators that compare runs with their neighbours, which read the runs twice. A runs table is a small fraction of
+    the frames it stands for, so writing it costs far less than shuffling and scanning the frames again.
+    """
+    return materialise(contact_runs(df, keys, value, frame, aggs, size).drop("n_rows"))
+
+
 def stance_segments(df: DataFrame, keys: Sequence[str], value: str = "in_stance", frame: str = "frame",
                     size: int = CHUNK) -> DataFrame:
     """Stance bouts as ``[start, end)``; only the frames in stance are shuffled. Channels of one frame give none."""
@@ -97,7 +108,7 @@ def correct_runs(runs: DataFrame, keys: Sequence[str], value: str = "in_stance",
 def auto_correct(df: DataFrame, keys: Sequence[str], value: str = "in_stance", frame: str = "frame",
                  size: int = CHUNK) -> DataFrame:
     """Frame-level :func:`correct_runs`: ``keys, frame`` and the corrected value."""
-    runs = correct_runs(contact_runs(df, keys, value, frame, size=size), keys, value, size)
+    runs = correct_runs(stored_runs(df, keys, value, frame, size=size), keys, value, size)
     frames = ordered.expand(runs.select(*keys, "start", "end", F.col("corrected").alias(value)), name=frame, size=size)
     return frames.select(*keys, frame, value)
 

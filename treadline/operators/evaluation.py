@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treadline.functions import metrics as fm
+from treadline.operators import ordered
 
 
 def detector_summary(blobs: DataFrame, frames: DataFrame, trial: Sequence[str], crowded: int = 6, frame: str = "frame") -> DataFrame:
@@ -34,9 +35,12 @@ def score_grid(scores: DataFrame, row: str, column: str, values: Sequence, score
 
 def mask_scores(prints: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Medians of IoU and absolute error per configuration; a print without a blob counts as IoU 0, error 0.5."""
-    iou, mae = F.median(F.coalesce("iou", F.lit(0.0))), F.median(F.coalesce("mae", F.lit(0.5)))
-    return prints.groupBy(*keys).agg(iou.alias("median_iou"), mae.alias("median_mae"), (iou - 0.5 * mae).alias("score"),
-                                     F.count(F.lit(1)).alias("n_prints"))
+    d = prints.select(*keys, F.coalesce("iou", F.lit(0.0)).alias("iou"), F.coalesce("mae", F.lit(0.5)).alias("mae"))
+    slots = {c: F.floor(F.col(c) * 1024) for c in ("iou", "mae")}
+    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_prints"))
+    for c, slot in slots.items():
+        g = g.join(ordered.median(d, keys, c, slot, f"median_{c}"), list(keys))
+    return g.withColumn("score", F.col("median_iou") - 0.5 * F.col("median_mae"))
 
 
 def heuristic_score(counts: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def gait_basics_of_runs(runs: DataFrame, keys: Sequence[str], fps: float) -> Dat
 def stride_table(df: DataFrame, keys: Sequence[str], fps: float, value: str = "in_stance", frame: str = "frame",
                  size: int = CHUNK) -> DataFrame:
     """Complete strides: each stance run with the swing run after it, if another stance follows."""
-    runs = contact.contact_runs(df, keys, value, frame, size=size)
+    runs = contact.stored_runs(df, keys, value, frame, size=size)
     d = ordered.neighbours(runs, keys, "start", {"_e1": ("end", 1), "_s2": ("start", 2)}, size)
     d = d.where((F.col(value) == 1) & F.col("_s2").isNotNull())
     return d.select(*keys, "start", (F.col("end") - F.col("start")).alias("stance_frames"),
@@ -76,7 +76,7 @@ def stride_lengths(df: DataFrame, keys: Sequence[str], fps: float, x: str = "x",
     lift-off to lift-off. A stride that ends past the recording is skipped, and so is a channel with one stance run.
     """
     pos = F.struct(F.col(frame).alias("f"), F.col(x).alias("x"), F.col(y).alias("y"))
-    runs = contact.contact_runs(df, keys, value, frame, {"_pos": ("min", pos)}, size)
+    runs = contact.stored_runs(df, keys, value, frame, {"_pos": ("min", pos)}, size)
     st = F.col(value) == 1
     d = ordered.neighbours(runs, keys, "start", {
         "_p0": ("_pos", -1), "_p1": ("_pos", 1), "_p2": ("_pos", 2)}, size,

@@ -49,20 +49,19 @@ def recalled(truth: DataFrame, det: DataFrame, radius: float, keys: Sequence[str
     no pairs are kept.
     """
     r = float(radius)
-    t = truth.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in truth.columns else truth
     ux, uy = _cells(F.col("cx"), F.col("cy"), r)
     near = F.explode(F.array(*[F.struct((ux + i).alias("a"), (uy + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     d = det.select(*keys, "cx", "cy").distinct().withColumn("_n", near)
     d = d.select(*[F.col(k).alias(f"_{k}") for k in keys], "cx", "cy", F.col("_n.a").alias("_a"), F.col("_n.b").alias("_b"))
     tx, ty = _cells(F.col("x"), F.col("y"), r)
-    t = t.withColumns({"_tx": tx, "_ty": ty})
+    t = truth.withColumns({"_tx": tx, "_ty": ty})
     cond = (F.col("_tx") == F.col("_a")) & (F.col("_ty") == F.col("_b"))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_{k}"))
     cond = cond & (distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")) <= r)
     hit = t.join(d, cond, "left_semi").withColumn("hit", F.lit(True))
     miss = t.join(d, cond, "left_anti").withColumn("hit", F.lit(False))
-    return hit.unionByName(miss).drop("_row", "_tx", "_ty")
+    return hit.unionByName(miss).drop("_tx", "_ty")
 
 
 def recall(flags: DataFrame, trials: DataFrame, trial: Sequence[str]) -> DataFrame:

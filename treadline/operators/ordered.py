@@ -51,6 +51,25 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot:
             .drop("_slot", "_before"))
 
 
+def median(df: DataFrame, keys: Sequence[str], value: str, slot: Column, name: str) -> DataFrame:
+    """Exact median per key by rank: one row per key with at least one value.
+
+    The built-in aggregate holds all distinct values of a key in one buffer; here a key is ranked in slots of its values
+    (``slot`` must not decrease with the value), and only the one or two middle rows go on.
+    """
+    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), slot.alias("_slot"))
+    counts = d.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys)
+    seen = F.sum("_n").over(w.orderBy("_slot").rowsBetween(_UNB, 0))
+    counts = counts.select(*keys, "_slot", (seen - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_total"), "_n")
+    lo, hi = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    # Only the slots that hold a middle row are ranked.
+    counts = counts.where((F.col("_before") <= hi) & (F.col("_before") + F.col("_n") > lo)).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("_v")) - 1 + F.col("_before")
+    d = d.join(counts, [*keys, "_slot"]).withColumn("_r", rank)
+    return d.where((F.col("_r") == lo) | (F.col("_r") == hi)).groupBy(*keys).agg(F.avg("_v").alias(name))
+
+
 def halo(df: DataFrame, frame: str = "frame", before: int = 0, after: int = 0, size: int = CHUNK) -> DataFrame:
     """Tag rows with ``_chunk`` and copy the ``before`` / ``after`` rows at chunk edges into the next / previous chunk.
 
@@ -88,8 +107,13 @@ def carry(df: DataFrame, keys: Sequence[str], summaries: Mapping[str, Column], c
     ``summaries`` aggregates each ``(keys, _chunk)``; ``carried`` maps a name to a function from the two windows over
     chunks (ascending, descending) to a Column on those summaries. "All later chunks" is read with the descending
     window, because a frame that starts at the current row and is open at the end costs quadratic time.
+
+    The summary reads every column of ``df`` (a hash that is never null). Column pruning would otherwise give it a
+    narrower shuffle of its own, and everything upstream would run twice; this way Spark reuses the one shuffle.
     """
-    per_chunk = df.groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in summaries.items()])
+    per_chunk = (df.groupBy(*keys, "_chunk")
+                 .agg(*[c.alias(n) for n, c in summaries.items()], F.max(F.xxhash64(*df.columns)).alias("_all"))
+                 .where("_all is not null"))
     up = Window.partitionBy(*keys).orderBy("_chunk")
     down = Window.partitionBy(*keys).orderBy(F.desc("_chunk"))
     side = per_chunk.select(*keys, "_chunk", *[make(up, down).alias(n) for n, make in carried.items()])

@@ -19,19 +19,20 @@ def _stance_mean(c: str) -> Column:
 
 
 def bouts(df: DataFrame, keys: Sequence[str], fps: float, px_per_mm: float = 1.0, value: str = "in_stance",
-          x: str = "cx", intensity: str = "intensity", area: str = "area_px", frame: str = "frame",
+          x: str = "cx", intensity: str = "intensity", area: str | None = "area_px", frame: str = "frame",
           size: int = CHUNK) -> DataFrame:
     """All runs of a contact signal with the step measures; ``_stance`` marks the stance bouts.
 
     Stride length runs to the next touchdown, swing to it from lift-off; the last bout has neither. A bout that touches
     the last frame of the recording has no pressure measures. Braking is the part before the first pressure peak.
+    ``area=None`` leaves the contact area out, which only :func:`limb_aggregates` needs.
     """
     fps, rate = float(fps), max(float(fps), 1.0)
     i, f = F.col(intensity), F.col(frame)
-    runs = contact.contact_runs(df, keys, value, frame, {
+    areas = {"_amax": ("max", F.col(area)), "_asum": ("sum", F.col(area))} if area else {}
+    runs = contact.stored_runs(df, keys, value, frame, {
         "_x": ("min", F.struct(f.alias("f"), F.col(x).alias("x"))), "_imax": ("max", i), "_isum": ("sum", i),
-        "_peak": ("max", F.struct(i.alias("v"), (-f).alias("f"))), "_amax": ("max", F.col(area)),
-        "_asum": ("sum", F.col(area))}, size)
+        "_peak": ("max", F.struct(i.alias("v"), (-f).alias("f"))), **areas}, size)
     d = ordered.neighbours(runs, keys, "start", {
         "_next": ("start", 1), "_td": ("start", 2), "_tx": ("_x", 2)}, size)
     n = F.col("end") - F.col("start")

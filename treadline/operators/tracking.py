@@ -89,30 +89,45 @@ def _greedy(pairs, live: list[dict], n: int) -> list[dict | None]:
 TRACK_KEY = (("_tf", "int"), ("_td", "int"))
 
 
+def _overlaps(refs: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shared pixels of every overlapping (reference, mask) pair, by a sort-merge on pixel numbers."""
+    rp, mp = np.concatenate(refs), np.concatenate(masks)
+    ro, mo = (np.repeat(np.arange(len(x)), [len(a) for a in x]) for x in (refs, masks))
+    o = np.argsort(mp, kind="stable")
+    mp, mo = mp[o], mo[o]
+    lo = np.searchsorted(mp, rp, side="left")
+    n = np.searchsorted(mp, rp, side="right") - lo
+    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    both = np.bincount(np.repeat(ro, n) * len(masks) + mo[at], minlength=len(refs) * len(masks))
+    hit = np.flatnonzero(both)
+    return hit // len(masks), hit % len(masks), both[hit]
+
+
 def _iou_stepper(iou_min: float, max_gap: int, memory: int):
     def start():
         live: list[dict] = []  # in order of creation
 
-        def step(frame: int, ids: np.ndarray, masks: np.ndarray):
+        def step(frame: int, ids: np.ndarray, raw: np.ndarray):
             live[:] = [t for t in live if frame - t["last"] <= max_gap]
-            sets = [frozenset(m.tolist()) for m in masks]
+            masks = [np.unique(m) for m in raw]
             pairs = []
-            for ti, t in enumerate(live):
-                ref = t["ref"]
-                for di, m in enumerate(sets):
-                    both = len(ref & m)
-                    if both:
-                        iou = float(np.float32(both / (len(ref) + len(m) - both)))
-                        if iou >= iou_min:
-                            pairs.append((iou, ti, di))
-            owner = _greedy(sorted(pairs, reverse=True), live, len(sets))
-            for di, m in enumerate(sets):
+            if live:
+                refs = [t["ref"] for t in live]
+                ti, di, both = _overlaps(refs, masks)
+                total = np.array([len(r) for r in refs])[ti] + np.array([len(m) for m in masks])[di] - both
+                iou = (both / total).astype(np.float32).astype(float)
+                keep = iou >= iou_min
+                ti, di, iou = ti[keep], di[keep], iou[keep]
+                o = np.lexsort((di, ti, iou))[::-1]
+                pairs = zip(iou[o].tolist(), ti[o].tolist(), di[o].tolist())
+            owner = _greedy(pairs, live, len(masks))
+            for di, m in enumerate(masks):
                 t = owner[di]
                 if t is None:
                     t = owner[di] = {"key": (frame, int(ids[di])), "recent": []}
                     live.append(t)
                 t["recent"] = [*t["recent"], m][-memory:]
-                t["ref"] = frozenset().union(*t["recent"])
+                t["ref"] = np.unique(np.concatenate(t["recent"])) if len(t["recent"]) > 1 else m
                 t["last"] = frame
             return [t["key"][0] for t in owner], [t["key"][1] for t in owner]
         return step
@@ -200,9 +215,12 @@ def two_level_summary(tracked: DataFrame, attached: DataFrame, trial: Sequence[s
 
 def track_predictions(strong: DataFrame, trial: Sequence[str]) -> DataFrame:
     """One prediction per track: median centroid of its strong blobs, at the frame of the largest."""
-    return strong.groupBy(*trial, "track_id").agg(
-        F.max_by("frame", F.struct("area_px", -F.col("frame"))).alias("frame_idx"),
-        F.median("cx").alias("cx"), F.median("cy").alias("cy"), F.count(F.lit(1)).alias("n_strong"))
+    keys = [*trial, "track_id"]
+    g = strong.groupBy(*keys).agg(F.max_by("frame", F.struct("area_px", -F.col("frame"))).alias("frame_idx"),
+                                  F.count(F.lit(1)).alias("n_strong"))
+    for c in ("cx", "cy"):
+        g = g.join(ordered.median(strong, keys, c, F.floor(c), c), keys)
+    return g
 
 
 def merge_tracks(blobs: DataFrame, trial: Sequence[str], max_gap: int = 5, max_distance: float = 60.0,
