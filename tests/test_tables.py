@@ -43,8 +43,8 @@ def test_pose_and_analysis(spark, tmp_path):
     assert r.x == 0.5 * 2 + 10 * 8 and r.y == 400 - 108
     assert [x.value for x in readers.pose_errors(spark, str(tmp_path / "*.csv")).collect()] == ["broken,1,2"]
     assert readers.limb_keypoints(k).where("trial_id = 'm2'").count() == 240
-    for mode in ("catwalk", "treadmill"):
-        res = analyze.analyze(k, 100.0, mode=mode, belt_speed=None if mode == "catwalk" else 100.0, size=16)
+    for mode in ("free", "treadmill"):
+        res = analyze.analyze(k, 100.0, mode=mode, belt_speed=None if mode == "free" else 100.0, size=16)
         limbs = res["limbs"].collect()
         assert len(limbs) == 8 and all(x.n_strides >= 0 for x in limbs)
         assert res["contact"].count() == 2 * 4 * 60

@@ -40,7 +40,7 @@ def limb_frames(frames: DataFrame) -> DataFrame:
         "trial_id", "l.limb", "frame", "l.toe_x", "l.toe_y", "l.heel_x", "l.heel_y", *axis)
 
 
-def analyze(keypoints: DataFrame, fps: float, mode: str = "catwalk", belt_speed: float | None = None,
+def analyze(keypoints: DataFrame, fps: float, mode: str = "free", belt_speed: float | None = None,
             mm_per_px: float = 1.0, autocorrect: bool = True, size: int = CHUNK) -> dict[str, DataFrame]:
     """Keypoints (missing where unlikely) to per-limb results.
 
