@@ -1,16 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated bigram models, one of toxic and one of ordinary texts. Each level discounts its counts and gives the mass so freed to the level below::
+Two interpolated bigram models, one of toxic and one of ordinary texts. Each level discounts its counts and adds those of the level below, c being the class::
 
-    p_c(w | v) = discounted share of (v, w) after v in class c    + r(v) p_c(w)
-    p_c(w)     = discounted share of w in class c                 + r    p(w)
-    p(w)       = the share of w among all distinct word pairs, both classes together (Kneser-Ney's continuation count)
+    p_c(w | v)  ~  n_c(v, w) - discount + KAPPA * (share of c in w)          after v
+    p_c(w)      ~  n_c(w)    - discount + (KAPPA + discount) * (share of c)
 
-The lowest level, the weights ``r`` and the rule what is rare are shared by the classes: an expression with fewer than :data:`RARE` occurrences in both
-classes together is left to the shared level, and so is evidence for neither class.
+``n_c(w)`` is Kneser-Ney's continuation count, the number of different words before ``w`` in class c, but at most the number of texts that have ``w``; pairs count the
+texts that have them, but at most ``n_c(w)``. So an expression is new evidence only in a new text and after a new word, and a toxic text of which there are
+many copies is one witness. The backoff counts, :data:`KAPPA` for each expression, are shared: a rare expression gets them in the proportion of the level
+below, so it is hardly evidence for either class. Expressions that fewer than :data:`RARE` texts have are left to the level below altogether.
 
-The log-likelihoods are normalised by length: their difference is the mean over a passage of :data:`PASSAGE` words, and a text is as
-toxic as its most toxic passage, so that a long text doesn't hide one. A logistic curve fitted to the training rows turns it into a score.
+The log-likelihoods are normalised by length: their difference is the mean over a passage of :data:`PASSAGE` words (shorter texts: their own words,
+:data:`LEAST` at least), where a word that is repeated within a passage counts once, and a text is as toxic as its most toxic passage, so that a
+long text doesn't hide one. A logistic curve
+fitted to the training rows turns it into a score.
 
 Counts cover all words of all training rows. Word statistics live in tables of 2^:data:`WORD_BITS` hashed cells and the most frequent pairs, each
 with a 32-bit check, in :data:`PAIR_CELLS` cells; this bounds what each executor holds. A pair that found its cell taken backs off to its words.
@@ -30,9 +33,10 @@ from treadline.llm.common import worker_cache
 from treadline.session import materialise
 
 WORD_BITS, PAIR_CELLS = 19, (1 << 19) - 1
-RARE = 5
-DISCOUNT = 0.75
-PASSAGE = 32
+RARE, KAPPA, DISCOUNT = 5, 30.0, 0.75
+PASSAGE, LEAST = 32, 24
+#: In place of a pair's first word: the count is the word's own.
+ALONE = 1
 _WORD = re.compile(r"\w+")
 _KEPT = 1 << 18
 
@@ -60,7 +64,8 @@ def held_out(id_col: str) -> Column:
 
 
 def count_pairs(labelled: DataFrame) -> DataFrame:
-    """Occurrences of each word pair in ordinary (``n0``) and toxic (``n1``) texts; a text's first word follows the empty word 0.
+    """In how many ordinary (``n0``) and toxic (``n1``) texts each word pair occurs; a text's first word follows the empty word 0, and
+    pairs with :data:`ALONE` count the word itself.
 
     ``labelled`` has ``content`` and ``toxic``. Pairs are summed up per batch before they are shuffled.
     """
@@ -68,10 +73,10 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
         kept = worker_cache("toxicity words", _Hashes)
         for batch in batches:
             found: list[list[np.ndarray]] = [[], []]
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = word_hashes(text, kept)
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                h = word_hashes(text.as_py(), kept)
                 if len(h):
-                    found[toxic].append(_pairs(np.concatenate([[np.uint32(0)], h])))
+                    found[toxic] += [np.unique(_pairs(np.concatenate([[np.uint32(0)], h]))), np.unique(h).astype(np.int64) | ALONE << 32]
             for toxic in (0, 1):
                 if found[toxic]:
                     pair, n = np.unique(np.concatenate(found[toxic]), return_counts=True)
@@ -83,67 +88,70 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
             .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
+def _said_before(h: np.ndarray) -> np.ndarray:
+    """Which words stand at most a passage behind the same word."""
+    order = np.argsort(h, kind="stable")
+    again = (h[order[1:]] == h[order[:-1]]) & (order[1:] - order[:-1] <= PASSAGE)
+    out = np.zeros(len(h), bool)
+    out[order[1:]] = again
+    return out
+
+
 class Model:
-    """The tables, as arrays of fixed length."""
+    """The tables, as arrays of fixed length: counts of words, and of frequent pairs, in both classes."""
 
     def __init__(self, words, contexts, pairs) -> None:
         cells = 1 << WORD_BITS
-        n, followers = np.zeros((2, cells)), np.zeros(cells)
-        for k in (0, 1):
-            n[k, words["cell"]] = words[f"n{k}"]
-        followers[words["cell"]] = words["distinct"]
-        shared = (followers + 0.5) / (followers.sum() + 0.5 * cells)
-        left = self._discounted(n)
-        rest = 1 - left.sum() / max(n.sum(), 1)
-        self.rest = min(max(rest, 1e-3), 1.0)
-        self.unigram = np.empty((2, cells), np.float32)
-        for k in (0, 1):
-            self.unigram[k] = (1 - self.rest) * left[k] / max(left[k].sum(), 1) + self.rest * shared
-        after, kept = np.zeros((2, cells)), np.zeros((2, cells))
+        n = np.zeros((2, cells))
         for k in (0, 1):
-            after[k, contexts["cell"]] = contexts[f"n{k}"]
+            n[k, words["cell"]] = np.minimum(words[f"n{k}"], words[f"before{k}"])
+        total = np.maximum(n.sum(1), 1)[:, None]
+        share = total / total.sum()
+        own, freed = self._discounted(n)
+        counts = own + share * (KAPPA + freed)
+        self.total, self.counts = total, counts.astype(np.float32)
         self.check = np.zeros(PAIR_CELLS, np.int64)
-        share = np.zeros((2, PAIR_CELLS), np.float32)
-        if len(pairs["slot"]):
-            self.check[pairs["slot"]] = pairs["pair"]
-            context = (pairs["pair"] >> 32) & (cells - 1)
-            own = self._discounted(np.stack([pairs["n0"], pairs["n1"]]).astype(float))
+        self.pair_counts, self.after = np.ones((2, PAIR_CELLS), np.float32), np.ones((2, PAIR_CELLS), np.float32)
+        slot, pair = pairs["slot"], pairs["pair"]
+        if len(slot):
+            after = np.zeros((2, cells))
             for k in (0, 1):
-                kept[k] = np.bincount(context, own[k], cells)
-        # What a context has left for the level below, the same in both classes.
-        self.back = np.clip(1 - kept.sum(0) / np.maximum(after.sum(0), 1), 0.05, 1).astype(np.float32)
-        if len(pairs["slot"]):
-            for k in (0, 1):
-                total = np.maximum(kept[k][context], 1e-9)
-                # A class that never saw the context goes to the level below altogether.
-                share[k, pairs["slot"]] = np.where(kept[k][context] > 0, (1 - self.back[context]) * own[k] / total, 0)
-            self.seen = kept > 0
-        else:
-            self.seen = np.zeros((2, cells), bool)
-        self.share = share
+                after[k, contexts["cell"]] = contexts[f"n{k}"]
+            before, word = (pair >> 32) & (cells - 1), pair & (cells - 1)
+            own, freed = self._discounted(np.minimum(np.stack([pairs["n0"], pairs["n1"]]), n[:, word]))
+            lower = counts[:, word] / counts[:, word].sum(0)
+            self.check[slot] = pair
+            self.pair_counts[:, slot] = own + lower * (KAPPA + freed)
+            self.after[:, slot] = after[:, before] + share * KAPPA
         self.slope, self.middle = 1.0, 0.0
 
     @staticmethod
-    def _discounted(n: np.ndarray) -> np.ndarray:
-        """Counts less the discount, in proportion to the classes; nothing is left of rare expressions."""
+    def _discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts less the discount, in proportion to the classes, and what was freed; nothing is left of rare expressions."""
         total = n.sum(0)
-        return np.where(total >= RARE, n * (1 - DISCOUNT / np.maximum(total, 1)), 0)
+        freed = np.where(total >= RARE, np.minimum(DISCOUNT, total), 0)
+        return np.where(total >= RARE, n * (1 - freed / np.maximum(total, 1)), 0), freed
+
+    def evidence(self, h: np.ndarray, label: int | None = None) -> float:
+        """The largest difference of the mean log-likelihoods over a passage; 0 for a text without words.
 
-    def evidence(self, h: np.ndarray) -> float:
-        """The largest difference of the mean log-likelihoods over a passage; 0 for a text without words."""
+        With a ``label``, the text is one of the training texts of that class, and is itself left out of the counts.
+        """
         if not len(h):
             return 0.0
-        cells = np.uint32((1 << WORD_BITS) - 1)
         pair = _pairs(np.concatenate([[np.uint32(0)], h]))
-        before, word, slot = ((pair >> 32) & int(cells)), h & cells, pair_slots(pair)
+        word, slot = h & np.uint32((1 << WORD_BITS) - 1), pair_slots(pair)
         hit = self.check[slot] == pair
         ll = []
         for k in (0, 1):
-            back = np.where(self.seen[k][before], self.back[before], 1)
-            ll.append(np.log(np.where(hit, self.share[k][slot], 0) + back * self.unigram[k][word]))
-        sums = np.concatenate([[0.0], np.cumsum(ll[1] - ll[0])])
+            n, m = self.counts[k][word], self.pair_counts[k][slot]
+            if k == label:
+                # At least the backoff counts stay; a text alone with its words has no more than those.
+                n, m = np.maximum(n - 1, self.counts[k].min()), np.maximum(m - 1, 0.1 * m)
+            ll.append(np.log(np.where(hit, m / self.after[k][slot], n / self.total[k])))
+        sums = np.concatenate([[0.0], np.cumsum(np.where(_said_before(h), 0, ll[1] - ll[0]), dtype=float)])
         if len(h) <= PASSAGE:
-            return float(sums[-1] / PASSAGE)
+            return float(sums[-1] / max(len(h), LEAST))
         return float((sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -161,7 +169,11 @@ def train(labelled: DataFrame) -> Model:
     cell = lambda h: h.bitwiseAND(F.lit((1 << WORD_BITS) - 1))
     sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
     # Bounded by the number of cells.
-    words = counts.groupBy(cell(F.col("pair")).alias("cell")).agg(*sums, F.count(F.lit(1)).alias("distinct")).toPandas()
+    alone = F.shiftright("pair", 32) == ALONE
+    own = [F.sum(F.when(alone, F.col(n)).otherwise(0)).alias(n) for n in ("n0", "n1")]
+    before = [F.count(F.when(~alone & (F.col(f"n{k}") > 0), 1)).alias(f"before{k}") for k in (0, 1)]
+    words = counts.groupBy(cell(F.col("pair")).alias("cell")).agg(*own, *before).toPandas()
+    counts = counts.where(~alone)
     contexts = counts.groupBy(cell(F.shiftright("pair", 32)).alias("cell")).agg(*sums).toPandas()
     # Of two pairs in a cell the more frequent one stays.
     best = (counts.where(F.col("n0") + F.col("n1") >= RARE).groupBy(F.pmod("pair", F.lit(PAIR_CELLS)).alias("slot"))
@@ -172,34 +184,37 @@ def train(labelled: DataFrame) -> Model:
 
 
 def _fit_curve(spark, model: Model, labelled: DataFrame) -> Model:
-    """Logistic regression of the label on the evidence, over a histogram of all training rows with cells of 1/1024."""
+    """A logistic curve of the label over the evidence, from a histogram of all training rows in cells of 1/1024, each text left out of its own counts.
+
+    Its middle is where the fewest training rows lie on the wrong side, which wrong labels don't move; its slope is the most likely one.
+    """
     seen = spark.sparkContext.broadcast(model)
-    cells = (_evidence(labelled, seen, "toxic").withColumn("cell", F.floor(F.least(F.greatest(F.col("evidence"), F.lit(-16.0)), F.lit(16.0)) * 1024))
-             .groupBy("cell").agg(F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("n1"))).toPandas()
+    cell = F.floor(F.least(F.greatest(F.col("evidence"), F.lit(-16.0)), F.lit(16.0)) * 1024)
+    n = [F.sum((F.col("toxic") == k).cast("long")).alias(f"n{k}") for k in (0, 1)]
+    cells = _evidence(labelled, seen, "toxic", leave_out=True).groupBy(cell.alias("cell")).agg(*n).orderBy("cell").toPandas()
     x, n0, n1 = ((cells["cell"].to_numpy(float) + 0.5) / 1024, cells["n0"].to_numpy(float), cells["n1"].to_numpy(float))
+    model.slope = 0.0
     if not n1.sum() or not n0.sum():
-        model.slope, model.middle = 0.0, 0.0
         return model
-    # Classes weigh the same half-way in, so that the curve's middle lies between them rather than at the larger one's edge.
-    a, b, spread = 0.0, np.log(n1.sum() / n0.sum()), max(x.std(), 1e-6)
-    z = (x - x.mean()) / spread
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = (n0 + n1) * p * (1 - p) + 1e-9
-        g = n1 - (n0 + n1) * p
-        hess = np.array([[(w * z * z).sum() + 1e-2, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-2]])
-        da, db = np.linalg.solve(hess, [(g * z).sum() - 1e-2 * a, g.sum()])
-        a, b = a + np.clip(da, -5, 5), b + np.clip(db, -5, 5)
-    slope = a / spread
-    model.slope, model.middle = (slope, x.mean() - b / slope) if slope > 1e-9 else (0.0, 0.0)
+    # Errors with the threshold before cell i: ordinary rows from i on, toxic rows before it.
+    wrong = np.concatenate([[n0.sum()], n0.sum() - np.cumsum(n0) + np.cumsum(n1)])
+    best = np.flatnonzero(wrong == wrong[1:].min())
+    edges = np.concatenate([[x[0] - 1 / 1024], (x[1:] + x[:-1]) / 2, [x[-1] + 1 / 1024]])
+    model.middle = float(edges[best[len(best) // 2]])
+    z = x - model.middle
+    slopes = np.geomspace(0.1, 1000, 200)
+    loss = [(n1 * np.logaddexp(0, -a * z) + n0 * np.logaddexp(0, a * z)).sum() for a in slopes]
+    model.slope = float(slopes[int(np.argmin(loss))])
     return model
 
 
-def _evidence(df: DataFrame, model, *carried: str) -> DataFrame:
+def _evidence(df: DataFrame, model, *carried: str, leave_out: bool = False) -> DataFrame:
+    """Add ``evidence`` to the ``carried`` columns; with ``leave_out``, the first of these is the label of a training text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, tables = worker_cache("toxicity words", _Hashes), model.value
         for batch in batches:
-            e = [tables.evidence(word_hashes(t.as_py(), kept)) for t in batch.column("content")]
+            own = batch.column(carried[0]).to_pylist() if leave_out else [None] * batch.num_rows
+            e = [tables.evidence(word_hashes(t.as_py(), kept), k) for t, k in zip(batch.column("content"), own)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(e, pa.float64())], [*carried, "evidence"])
     kinds = dict(df.dtypes)
     return df.select("content", *carried).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", evidence double")
