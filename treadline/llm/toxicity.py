@@ -7,8 +7,10 @@ Two interpolated bigram models, one of toxic and one of ordinary texts. Each lev
 
 ``n_c(w)`` is Kneser-Ney's continuation count, the number of different words before ``w`` in class c, but at most the number of texts that have ``w``; pairs count the
 texts that have them, but at most ``n_c(w)``. So an expression is new evidence only in a new text and after a new word, and a toxic text of which there are
-many copies is one witness. The backoff counts, :data:`KAPPA` for each expression, are shared: a rare expression gets them in the proportion of the level
-below, so it is hardly evidence for either class. Expressions that fewer than :data:`RARE` texts have are left to the level below altogether.
+many copies is one witness. Different words before are counted by a linear counter of 64 bits; when that is full, the number of texts is what counts. The backoff
+counts, :data:`KAPPA` for each expression, are shared: a rare expression gets them in the proportion of the level below, so it is hardly evidence for either
+class. Expressions that fewer than :data:`RARE` texts have are left to the level below altogether, and so are pairs whose word says little about the class
+(a ratio below e): what stands before it would add noise only.
 
 The log-likelihoods are normalised by length: their difference is the mean over a passage of :data:`PASSAGE` words (shorter texts: their own words,
 :data:`LEAST` at least), where a word that is repeated within a passage counts once, and a text is as toxic as its most toxic passage, so that a
@@ -35,10 +37,9 @@ from treadline.session import materialise
 WORD_BITS, PAIR_CELLS = 19, (1 << 19) - 1
 RARE, KAPPA, DISCOUNT = 5, 30.0, 0.75
 PASSAGE, LEAST = 32, 24
-#: In place of a pair's first word: the count is the word's own.
-ALONE = 1
 _WORD = re.compile(r"\w+")
 _KEPT = 1 << 18
+_CELLS = np.uint32((1 << WORD_BITS) - 1)
 
 
 class _Hashes(dict):
@@ -63,29 +64,74 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def count_pairs(labelled: DataFrame) -> DataFrame:
-    """In how many ordinary (``n0``) and toxic (``n1``) texts each word pair occurs; a text's first word follows the empty word 0, and
-    pairs with :data:`ALONE` count the word itself.
+def training_texts(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``packed`` text and ``toxic`` of the rows whose id has a label of 0 or 1 and isn't held out; of several labels of an id the highest.
 
-    ``labelled`` has ``content`` and ``toxic``. Pairs are summed up per batch before they are shuffled.
+    Texts are compressed before they are shuffled to their labels, and stored for the passes over them. The join is the same at all sizes.
     """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([zlib.compress(t.as_py().encode(), 1) for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["id", "packed"])
+
+    texts = df.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+    marks = (labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("id"))
+             .agg(F.max(F.col(label_col).cast("int")).alias("toxic")))
+    packed = texts.mapInArrow(pack, f"id {dict(texts.dtypes)['id']}, packed binary")
+    return materialise(packed.join(marks.hint("merge"), "id").select("packed", "toxic"))
+
+
+def _both(n: np.ndarray, toxic: int) -> list[pa.Array]:
+    """A column of counts and one of zeros, in the order of the classes."""
+    columns = [pa.array(n), pa.array(np.zeros(len(n), n.dtype))]
+    return columns if toxic == 0 else columns[::-1]
+
+
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """Per cell of the word table the texts of each class that have the word (``n0``, ``n1``) and which of 64 groups of words stood before it
+    (``m0``, ``m1``, bits). Cells are summed up per batch before they are shuffled; the result has a row per cell at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = worker_cache("toxicity words", _Hashes)
         for batch in batches:
             found: list[list[np.ndarray]] = [[], []]
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                h = word_hashes(text.as_py(), kept)
+                h = word_hashes(zlib.decompress(text.as_py()).decode(), kept)
+                if len(h):
+                    # Once per text, cell and group of the word before: cell and group in one number, and whether it is the text's first with this cell.
+                    cell, before = h & _CELLS, np.concatenate([[np.uint32(0)], h[:-1]]) % np.uint32(61)
+                    each = np.unique(cell.astype(np.int64) << 6 | before)
+                    first = np.concatenate([[True], each[1:] >> 6 != each[:-1] >> 6])
+                    found[toxic].append(each << 1 | first)
+            for toxic in (0, 1):
+                if found[toxic]:
+                    each = np.sort(np.concatenate(found[toxic]))
+                    cell = each >> 7
+                    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                    n = np.add.reduceat(each & 1, starts)
+                    bits = np.bitwise_or.reduceat(np.int64(1) << (each >> 1 & 63), starts)
+                    n, m = _both(n, toxic), _both(bits, toxic)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[starts]), *n, *m], ["cell", "n0", "n1", "m0", "m1"])
+
+    return (labelled.mapInArrow(run, "cell bigint, n0 bigint, n1 bigint, m0 bigint, m1 bigint").groupBy("cell")
+            .agg(*[F.sum(c).alias(c) for c in ("n0", "n1")], *[F.bit_or(c).alias(c) for c in ("m0", "m1")]))
+
+
+def pair_counts(labelled: DataFrame, telling) -> DataFrame:
+    """In how many texts of each class pairs occur whose second word is ``telling`` (a broadcast mark for each cell)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, marks = worker_cache("toxicity words", _Hashes), telling.value
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[], []]
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                h = word_hashes(zlib.decompress(text.as_py()).decode(), kept)
                 if len(h):
-                    found[toxic] += [np.unique(_pairs(np.concatenate([[np.uint32(0)], h]))), np.unique(h).astype(np.int64) | ALONE << 32]
+                    found[toxic].append(np.unique(_pairs(np.concatenate([[np.uint32(0)], h]))[marks[h & _CELLS]]))
             for toxic in (0, 1):
                 if found[toxic]:
                     pair, n = np.unique(np.concatenate(found[toxic]), return_counts=True)
-                    other = np.zeros(len(pair), np.int64)
-                    counts = [n, other] if toxic == 0 else [other, n]
-                    yield pa.RecordBatch.from_arrays([pa.array(pair), *(pa.array(c.astype(np.int32)) for c in counts)], ["pair", "n0", "n1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pair), *_both(n.astype(np.int64), toxic)], ["pair", "n0", "n1"])
 
-    return (labelled.mapInArrow(run, "pair bigint, n0 int, n1 int").groupBy("pair")
-            .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    return labelled.mapInArrow(run, "pair bigint, n0 bigint, n1 bigint").groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n0", "n1")])
 
 
 def _said_before(h: np.ndarray) -> np.ndarray:
@@ -100,31 +146,37 @@ def _said_before(h: np.ndarray) -> np.ndarray:
 class Model:
     """The tables, as arrays of fixed length: counts of words, and of frequent pairs, in both classes."""
 
-    def __init__(self, words, contexts, pairs) -> None:
+    def __init__(self, words) -> None:
         cells = 1 << WORD_BITS
-        n = np.zeros((2, cells))
+        self.n = np.zeros((2, cells))
         for k in (0, 1):
-            n[k, words["cell"]] = np.minimum(words[f"n{k}"], words[f"before{k}"])
-        total = np.maximum(n.sum(1), 1)[:, None]
-        share = total / total.sum()
-        own, freed = self._discounted(n)
-        counts = own + share * (KAPPA + freed)
-        self.total, self.counts = total, counts.astype(np.float32)
+            bits = np.unpackbits(words[f"m{k}"].view(np.uint8).reshape(-1, 8), axis=1).sum(1)
+            # Linear counting over the 61 groups; a full counter sets no limit.
+            before = np.where(bits < 61, -61 * np.log(np.maximum(61 - bits, 0.5) / 61), np.inf)
+            self.n[k, words["cell"]] = np.minimum(words[f"n{k}"], np.ceil(before))
+        self.total = np.maximum(self.n.sum(1), 1)[:, None]
+        self.share = self.total / self.total.sum()
+        own, freed = self._discounted(self.n)
+        self.counts = (own + self.share * (KAPPA + freed)).astype(np.float32)
         self.check = np.zeros(PAIR_CELLS, np.int64)
         self.pair_counts, self.after = np.ones((2, PAIR_CELLS), np.float32), np.ones((2, PAIR_CELLS), np.float32)
-        slot, pair = pairs["slot"], pairs["pair"]
-        if len(slot):
-            after = np.zeros((2, cells))
-            for k in (0, 1):
-                after[k, contexts["cell"]] = contexts[f"n{k}"]
-            before, word = (pair >> 32) & (cells - 1), pair & (cells - 1)
-            own, freed = self._discounted(np.minimum(np.stack([pairs["n0"], pairs["n1"]]), n[:, word]))
-            lower = counts[:, word] / counts[:, word].sum(0)
-            self.check[slot] = pair
-            self.pair_counts[:, slot] = own + lower * (KAPPA + freed)
-            self.after[:, slot] = after[:, before] + share * KAPPA
         self.slope, self.middle = 1.0, 0.0
 
+    def telling(self) -> np.ndarray:
+        """The cells whose word is e times as likely in one class as in the other, or more."""
+        ll = np.log(self.counts / self.total)
+        return np.abs(ll[1] - ll[0]) >= 1
+
+    def add_pairs(self, pairs) -> None:
+        slot, pair = pairs["slot"], pairs["pair"]
+        before, word = (pair >> 32) & int(_CELLS), pair & int(_CELLS)
+        own, freed = self._discounted(np.minimum(np.stack([pairs["n0"], pairs["n1"]]), self.n[:, word]))
+        lower = self.counts[:, word] / self.counts[:, word].sum(0)
+        self.check[slot] = pair
+        self.pair_counts[:, slot] = own + lower * (KAPPA + freed)
+        # A text's first word follows nothing; as many texts as there are begin.
+        self.after[:, slot] = np.where(pair >> 32 == 0, self.n.max(1)[:, None], self.n[:, before]) + self.share * KAPPA
+
     @staticmethod
     def _discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts less the discount, in proportion to the classes, and what was freed; nothing is left of rare expressions."""
@@ -140,7 +192,7 @@ class Model:
         if not len(h):
             return 0.0
         pair = _pairs(np.concatenate([[np.uint32(0)], h]))
-        word, slot = h & np.uint32((1 << WORD_BITS) - 1), pair_slots(pair)
+        word, slot = h & _CELLS, pair_slots(pair)
         hit = self.check[slot] == pair
         ll = []
         for k in (0, 1):
@@ -163,23 +215,16 @@ def pair_slots(pair: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame) -> Model:
-    """Fit the models on rows of ``content`` and ``toxic`` (0 or 1). Without rows of a class, every text scores alike."""
+    """Fit the models to :func:`training_texts`. Without texts of one of the classes, every text scores alike."""
     spark = labelled.sparkSession
-    counts = materialise(count_pairs(labelled))
-    cell = lambda h: h.bitwiseAND(F.lit((1 << WORD_BITS) - 1))
-    sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
-    # Bounded by the number of cells.
-    alone = F.shiftright("pair", 32) == ALONE
-    own = [F.sum(F.when(alone, F.col(n)).otherwise(0)).alias(n) for n in ("n0", "n1")]
-    before = [F.count(F.when(~alone & (F.col(f"n{k}") > 0), 1)).alias(f"before{k}") for k in (0, 1)]
-    words = counts.groupBy(cell(F.col("pair")).alias("cell")).agg(*own, *before).toPandas()
-    counts = counts.where(~alone)
-    contexts = counts.groupBy(cell(F.shiftright("pair", 32)).alias("cell")).agg(*sums).toPandas()
+    words = word_counts(labelled).toPandas()  # bounded by the number of cells
+    model = Model({c: words[c].to_numpy(np.int64) for c in words})
+    counts = pair_counts(labelled, spark.sparkContext.broadcast(model.telling()))
     # Of two pairs in a cell the more frequent one stays.
     best = (counts.where(F.col("n0") + F.col("n1") >= RARE).groupBy(F.pmod("pair", F.lit(PAIR_CELLS)).alias("slot"))
             .agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "pair", "n0", "n1")).alias("top")).select("slot", "top.*")).toPandas()
-    pairs = {c: best[c].to_numpy(np.int64) for c in ("slot", "pair", "n0", "n1")}
-    model = Model({c: words[c].to_numpy(np.int64) for c in words}, {c: contexts[c].to_numpy(np.int64) for c in contexts}, pairs)
+    if len(best):
+        model.add_pairs({c: best[c].to_numpy(np.int64) for c in ("slot", "pair", "n0", "n1")})
     return _fit_curve(spark, model, labelled)
 
 
@@ -191,7 +236,7 @@ def _fit_curve(spark, model: Model, labelled: DataFrame) -> Model:
     seen = spark.sparkContext.broadcast(model)
     cell = F.floor(F.least(F.greatest(F.col("evidence"), F.lit(-16.0)), F.lit(16.0)) * 1024)
     n = [F.sum((F.col("toxic") == k).cast("long")).alias(f"n{k}") for k in (0, 1)]
-    cells = _evidence(labelled, seen, "toxic", leave_out=True).groupBy(cell.alias("cell")).agg(*n).orderBy("cell").toPandas()
+    cells = _evidence(labelled, seen, "toxic", text="packed", leave_out=True).groupBy(cell.alias("cell")).agg(*n).orderBy("cell").toPandas()
     x, n0, n1 = ((cells["cell"].to_numpy(float) + 0.5) / 1024, cells["n0"].to_numpy(float), cells["n1"].to_numpy(float))
     model.slope = 0.0
     if not n1.sum() or not n0.sum():
@@ -208,16 +253,19 @@ def _fit_curve(spark, model: Model, labelled: DataFrame) -> Model:
     return model
 
 
-def _evidence(df: DataFrame, model, *carried: str, leave_out: bool = False) -> DataFrame:
-    """Add ``evidence`` to the ``carried`` columns; with ``leave_out``, the first of these is the label of a training text."""
+def _evidence(df: DataFrame, model, *carried: str, text: str = "content", leave_out: bool = False) -> DataFrame:
+    """``evidence`` beside the ``carried`` columns; with ``leave_out``, the first of these is the label of a training text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, tables = worker_cache("toxicity words", _Hashes), model.value
         for batch in batches:
             own = batch.column(carried[0]).to_pylist() if leave_out else [None] * batch.num_rows
-            e = [tables.evidence(word_hashes(t.as_py(), kept), k) for t, k in zip(batch.column("content"), own)]
+            e = []
+            for t, k in zip(batch.column(text), own):
+                t = t.as_py()
+                e.append(tables.evidence(word_hashes(zlib.decompress(t).decode() if text == "packed" else t, kept), k))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(e, pa.float64())], [*carried, "evidence"])
     kinds = dict(df.dtypes)
-    return df.select("content", *carried).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", evidence double")
+    return df.select(text, *carried).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", evidence double")
 
 
 def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -229,10 +277,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """
     spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    marks = (labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("id"))
-             .agg(F.max(F.col(label_col).cast("int")).alias("toxic")))
-    labelled = texts.join(marks, "id").select("content", "toxic")
-    model = train(labelled)
+    model = train(training_texts(df, labels, id_col, text_col, label_col))
     seen = spark.sparkContext.broadcast(model)
     out = _evidence(texts, seen, "id")
     slope, middle = float(model.slope), float(model.middle)
@@ -244,14 +289,10 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
 def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are not predicted toxic. Each row is judged by its own text."""
-    spark = df.sparkSession
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    marks = (labels.where(F.col("toxic").isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("id"))
-             .agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    model = train(texts.join(marks, "id").select("content", "toxic"))
+    model = train(training_texts(df, labels, id_col, text_col, "toxic"))
     if model.slope == 0:
         return df
-    seen, limit = spark.sparkContext.broadcast(model), float(model.middle)
+    seen, limit = df.sparkSession.sparkContext.broadcast(model), float(model.middle)
     own = [f"c{i}" for i in range(len(df.columns))]
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("content"), *[F.col(c).alias(o) for c, o in zip(df.columns, own)])
     judged = _evidence(rows, seen, *own).where(F.col("evidence") < limit)
