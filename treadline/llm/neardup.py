@@ -16,8 +16,8 @@ from treadline.session import cut_lineage, materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 21, 6
-#: Buckets up to this size are compared whole; larger ones one leader at a time.
-SMALL_BUCKET = 16
+#: Members of a bucket that are compared with the others of it in one round.
+TURNS = 8
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -33,10 +33,9 @@ class _Hashes(dict):
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
 
 
 def shingles(text: str, kept: dict, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -47,12 +46,11 @@ def shingles(text: str, kept: dict, size: int = SHINGLE) -> tuple[np.ndarray, np
     h = np.array([kept[w] for w in _WORD.findall(text.lower())], np.uint64)
     if not len(h):
         return h, np.zeros(0, np.int64)
-    size = min(size, len(h))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(h) - size + 1, np.uint64)
-        for k in range(size):
-            total = _mix(total * np.uint64(3) + h[k: len(h) - size + 1 + k] + _GOLDEN)
-    return np.unique(total, return_counts=True)
+    size, h = min(size, len(h)), _mix(h)
+    total = np.zeros(len(h) - size + 1, np.uint64)
+    for k in range(size):
+        total = total * _GOLDEN + h[k: len(h) - size + 1 + k]
+    return np.unique(_mix(total), return_counts=True)
 
 
 def signature(element: np.ndarray, weight: np.ndarray, m: int) -> np.ndarray:
@@ -74,29 +72,29 @@ def signature(element: np.ndarray, weight: np.ndarray, m: int) -> np.ndarray:
     which, levels = np.concatenate(which), np.concatenate(levels)
     low = np.where(levels > 0, 1 << np.maximum(levels - 1, 0), 0)
     length = np.where(levels > 0, low, 1).astype(float)
-    with np.errstate(over="ignore"):
-        source = _mix(element[which] + levels.astype(np.uint64) * _M2 + _GOLDEN)
+    source = _mix(element[which] + levels.astype(np.uint64) * _M2 + _GOLDEN)
     top = weight[which]
     # Points come at a rate of the bag's weight; m (ln m + 4) of them meet all places in 98 of 100 cases.
     limit = m * (np.log(m) + 4) / float(weight.sum())
     while True:
-        time, active, count = np.zeros(len(source)), np.arange(len(source)), 0
+        active, begun, count = np.arange(len(source)), np.zeros(len(source)), 0
         times, places, values = [], [], []
         while len(active):
-            count += 1
-            with np.errstate(over="ignore"):
-                r = _mix(source[active] + np.uint64(count) * _GOLDEN)
-                s = _mix(r + _M1)
-            time[active] -= np.log((r >> np.uint64(11)).astype(float) * 2.0 ** -53 + 2.0 ** -54) / length[active]
-            soon = time[active] <= limit
-            active, s = active[soon], s[soon]
-            level = low[active] + (s >> np.uint64(32)).astype(float) * 2.0 ** -32 * length[active]
-            below = level < top[active]
-            times.append(time[active][below])
+            # As many points at once as an active process is likely to have.
+            ahead = int(1.2 * limit * length[active].mean()) + 2
+            r = _mix(source[active, None] + (np.arange(count + 1, count + ahead + 1, dtype=np.uint64) * _GOLDEN)[None, :])
+            t = np.cumsum(-np.log((r >> np.uint64(11)) * 2.0 ** -53 + 2.0 ** -54), axis=1) / length[active, None] + begun[:, None]
+            row, column = np.nonzero(t <= limit)
+            s = _mix(r[row, column] + _M1)
+            own = active[row]
+            below = low[own] + (s >> np.uint64(32)) * 2.0 ** -32 * length[own] < top[own]
+            times.append(t[row, column][below])
             places.append(((s[below] & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64))
             values.append(s[below])
+            on = t[:, -1] <= limit
+            active, begun, count = active[on], t[on, -1], count + ahead
         t, place, value = np.concatenate(times), np.concatenate(places), np.concatenate(values)
-        late_first = np.lexsort((value, t))[::-1]
+        late_first = np.argsort(-t, kind="stable")
         earliest = np.full(m, -1)
         earliest[place[late_first]] = late_first
         if (earliest >= 0).all():
@@ -105,10 +103,9 @@ def signature(element: np.ndarray, weight: np.ndarray, m: int) -> np.ndarray:
 
 
 def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = np.arange(bands, dtype=np.uint64) * _M2
-        for k in range(rows):
-            h = _mix(h * np.uint64(3) + sig[k::rows][:bands] + _GOLDEN)
+    h = np.arange(bands, dtype=np.uint64) * _M2
+    for k in range(rows):
+        h = _mix(h * np.uint64(3) + sig[k::rows][:bands] + _GOLDEN)
     return h.view(np.int64)
 
 
@@ -136,24 +133,23 @@ def _signed(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
             .mapInArrow(run, f"id {kind}, sha binary, bands array<bigint>"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose texts are similar enough, compared in full."""
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` with their ``overlap``, computed from the whole texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, bags = worker_cache("neardup words", _Hashes), {}
         for batch in batches:
-            rows = [batch.column(k) for k in range(4)]
-            near = []
+            rows, found = [batch.column(k) for k in range(4)], []
             for i in range(batch.num_rows):
                 a = rows[0][i].as_py()
                 if a not in bags:
                     bags.clear()
                     bags[a] = shingles(rows[2][i].as_py(), kept)
-                near.append(overlap(bags[a], shingles(rows[3][i].as_py(), kept)) >= similarity)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in rows[:2]], ["a", "b"])
+                found.append(overlap(bags[a], shingles(rows[3][i].as_py(), kept)))
+            yield pa.RecordBatch.from_arrays([*rows[:2], pa.array(found, pa.float64())], ["a", "b", "overlap"])
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("content").alias("ta")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("content").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, overlap double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,6 +171,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _open_pairs(members: DataFrame, labels: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame] | None:
+    """What is left to compare in buckets that aren't one component, and the members of buckets that aren't done after that; None if nothing is.
+
+    ``far`` is a member's distance to its bucket's first leader. One minus the overlap is a metric, so members whose distances to the leader
+    differ by more than a link may be long are no link and aren't compared.
+    """
+    found = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = found.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).where(F.col("most.n") < F.col("all"))
+    opened = materialise(found.join(main.select("bucket", F.col("most.label").alias("main"), F.col("all").alias("size")), "bucket"))
+    others = opened.where("label != main")
+    if others.isEmpty():
+        return None
+    # In a large bucket, a few members outside its main component take their turn at a time.
+    turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+    now = others.withColumn("turn", turn).where((F.col("turn") <= TURNS)).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("far").alias("far_a"))
+    pairs = (opened.join(now, "bucket").where((F.col("label") != F.col("label_a")) & (F.abs(F.col("far") - F.col("far_a")) <= 1 - similarity + 1e-9))
+             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    rest = opened.join(now.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "far")
+    return materialise(pairs), materialise(rest)
+
+
 def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``class_id``, ``class_size``, ``kept``, ``text_sha256``.
@@ -183,9 +201,10 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     identical; a class is a connected component, named by its smallest id. Signatures of ``bands * rows`` places propose the links: a pair at 0.8 is missed by all
     21 bands of 6 with a probability of 0.2 %, one at 0.9 in none of 10 million. Every proposed pair is verified on the whole texts.
 
-    Copies of a text are one node. In a bucket, all nodes are compared with its smallest one; a bucket that then is one component is
-    done. A small bucket that isn't is compared whole, a larger one goes on leader by leader until it is one component or used up.
-    So large groups of near copies cost one comparison a member, no links of a bucket are given up, and no bucket is gathered in a task.
+    Copies of a text are one node. In a bucket, all nodes are compared with its smallest one. Where that doesn't make it one component, the nodes outside
+    the largest component are compared with the rest in turn, but for pairs that the triangle inequality rules out, until it is one component
+    or all have had their turn. So large groups of near copies cost about a comparison a member, no link of a bucket is given up, and no
+    bucket is gathered in a task.
 
     Null and empty texts and texts without words form classes of identical texts only. Texts with fewer than five words have one shingle. Null
     ids sort first and are ids like any other; ``kept`` marks one row of each class, one with the smallest id.
@@ -206,24 +225,21 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     # Copies have ids of their own, so their rows don't meet in one place; repeated rows give a pair twice.
     texts = materialise(texts.withColumn("place", place(F.col("id"), F.col("sha"))).join(wanted, "place").where("sha = node_sha").select("node", "content"))
 
-    edges, labels, again = [], None, False
-    while not members.isEmpty():
-        if labels is None:
-            found = members.withColumn("label", F.col("node"))
-        else:
-            found = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        state = (found.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"),
-                                             F.min(F.struct("node", "label")).alias("leader")).where("lo < hi").drop("lo", "hi"))
-        opened = materialise(found.join(state, "bucket"))
-        small = F.lit(again) & (F.col("n") <= SMALL_BUCKET)
-        led = opened.where(~small & (F.col("label") != F.col("leader.label"))).select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-        few = opened.where(small)
-        other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        whole = few.join(other, "bucket").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("node").alias("a"), "b")
-        edges.append(materialise(_verified(led.union(whole).distinct(), texts, similarity)))
-        labels = components(reduce(DataFrame.union, edges))
-        members = materialise(opened.where(~small & (F.col("node") != F.col("leader.node"))).select("bucket", "node"))
-        again = True
+    labels = None
+    if not members.isEmpty():
+        lead = members.groupBy("bucket").agg(F.min("node").alias("leader"))
+        led = materialise(members.join(lead, "bucket").where("node != leader"))
+        compared = materialise(_compared(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts))
+        edges = compared.where(F.col("overlap") >= similarity).select("a", "b")
+        labels = components(edges)
+        # Members other than the leader, with their distance to it; leaders have been compared with all.
+        known = compared.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("overlap")).alias("far"))
+        members = led.join(known, ["leader", "node"]).select("bucket", "node", "far")
+        while (pairs := _open_pairs(members, labels, similarity)) is not None:
+            pairs, members = pairs
+            new = materialise(_compared(pairs, texts)).where(F.col("overlap") >= similarity).select("a", "b")
+            edges = materialise(edges.union(new))
+            labels = components(edges)
 
     classed = nodes.select("sha", "first", "copies", "node")
     if labels is not None:
