@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from treadline.session import cut_lineage, materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 21, 6
-#: Members of a bucket that are compared with the others of it in one round.
-TURNS = 8
+#: Nodes of a bucket's main component that are probed first; nodes in a block of a bucket that is compared in blocks.
+PROBES, BLOCK = 8, 256
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -171,26 +172,80 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame] | None:
-    """What is left to compare in buckets that aren't one component, and the members of buckets that aren't done after that; None if nothing is.
+def _open_pairs(members: DataFrame, labels: DataFrame, similarity: float, probing: bool) -> tuple[DataFrame, DataFrame] | None:
+    """What to compare in buckets that aren't one component, and the members of those with many nodes outside the main one; None if all are one.
 
     ``far`` is a member's distance to its bucket's first leader. One minus the overlap is a metric, so members whose distances to the leader
-    differ by more than a link may be long are no link and aren't compared.
+    differ by more than a link may be long are no link and aren't compared. With ``probing``, where many nodes are outside the main component of a bucket, they are
+    compared with a few nodes of it, which joins most of them to it.
     """
     found = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = found.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).where(F.col("most.n") < F.col("all"))
-    opened = materialise(found.join(main.select("bucket", F.col("most.label").alias("main"), F.col("all").alias("size")), "bucket"))
+    state = main.select("bucket", F.col("most.label").alias("main"), F.col("all").alias("size"), (F.col("all") - F.col("most.n")).alias("outside"))
+    opened = materialise(found.join(state, "bucket"))
     others = opened.where("label != main")
     if others.isEmpty():
         return None
-    # In a large bucket, a few members outside its main component take their turn at a time.
-    turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-    now = others.withColumn("turn", turn).where((F.col("turn") <= TURNS)).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("far").alias("far_a"))
-    pairs = (opened.join(now, "bucket").where((F.col("label") != F.col("label_a")) & (F.abs(F.col("far") - F.col("far_a")) <= 1 - similarity + 1e-9))
-             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    rest = opened.join(now.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "far")
-    return materialise(pairs), materialise(rest)
+    apart = (F.col("label") != F.col("label_a")) & (F.abs(F.col("far") - F.col("far_a")) <= 1 - similarity + 1e-9)
+    pick = lambda df: df.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("far").alias("far_a"))
+    few = F.col("outside") <= PROBES
+    pairs = opened.where(few).join(pick(others.where(few)), "bucket").where(apart)
+    if probing:
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node")))
+        probes = pick(opened.where(~few & (F.col("label") == F.col("main"))).withColumn("rank", rank).where(F.col("rank") <= PROBES))
+        pairs = pairs.select("a", "node").union(others.where(~few).join(probes, "bucket").where(apart).select("a", "node"))
+    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    return materialise(pairs), opened.where(~few)
+
+
+def _linked_in_blocks(opened: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` between the components of a bucket, over all pairs, block by block.
+
+    Nodes outside the main component and those in it are dealt to blocks by hash; a task compares two blocks of a bucket, at least one of them outside, and the texts
+    of a block are sent once per block it meets rather than once per pair.
+    """
+    side = (F.col("label") != F.col("main")).cast("int")
+    blocks = F.ceil(F.when(side == 1, F.col("outside")).otherwise(F.col("size") - F.col("outside")) / BLOCK)
+    placed = opened.select("bucket", "node", "label", side.alias("side"), F.pmod(F.xxhash64("node"), F.greatest(blocks, F.lit(1))).alias("block"))
+    known = placed.select("bucket", "side", "block").distinct()
+    met = (known.where("side = 1").select("bucket", F.col("block").alias("first"))
+           .join(known.select("bucket", F.col("side").alias("other_side"), F.col("block").alias("second")), "bucket")
+           .where("other_side = 0 or second >= first"))
+    left = met.withColumns({"side": F.lit(1), "block": F.col("first"), "role": F.lit(0)})
+    right = met.withColumns({"side": F.col("other_side"), "block": F.col("second"), "role": F.lit(1)})
+    rows = left.union(right).join(placed, ["bucket", "side", "block"]).join(texts, "node")
+
+    def compare(found: pd.DataFrame) -> pd.DataFrame:
+        kept, sets = worker_cache("neardup words", _Hashes), []
+        for text in found["content"]:
+            e, w = shingles(text, kept)
+            if len(e):
+                # The k-th occurrence of a shingle is an element of its own, so that bags become sets.
+                nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+                e = np.repeat(e, w) + nth.astype(np.uint64) * _GOLDEN
+            sets.append(e)
+        size = np.array([len(x) for x in sets])
+        values, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        a, b = (np.flatnonzero(found["role"].to_numpy() == k) for k in (0, 1))
+        both = np.zeros((len(a), len(b)), np.float32)
+        step = 4096
+        for low in range(0, len(values), step):
+            i, j = np.searchsorted(at, [low, low + step])
+            dense = np.zeros((len(sets), step), np.float32)
+            dense[row[i:j], at[i:j] - low] = 1
+            both += dense[a] @ dense[b].T
+        near = both >= similarity * (size[a][:, None] + size[b][None, :] - both) - 1e-6
+        node, label = found["node"].to_numpy(np.int64), found["label"].to_numpy(np.int64)
+        i, j = np.nonzero(near & (both > 0) & (label[a][:, None] != label[b][None, :]))
+        # One link between two components is enough.
+        _, one = np.unique(np.stack([label[a[i]], label[b[j]]], axis=1), axis=0, return_index=True)
+        return pd.DataFrame({"a": node[a[i[one]]], "b": node[b[j[one]]]})
+
+    return rows.groupBy("bucket", "first", "other_side", "second").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id",
@@ -202,9 +257,9 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     21 bands of 6 with a probability of 0.2 %, one at 0.9 in none of 10 million. Every proposed pair is verified on the whole texts.
 
     Copies of a text are one node. In a bucket, all nodes are compared with its smallest one. Where that doesn't make it one component, the nodes outside
-    the largest component are compared with the rest in turn, but for pairs that the triangle inequality rules out, until it is one component
-    or all have had their turn. So large groups of near copies cost about a comparison a member, no link of a bucket is given up, and no
-    bucket is gathered in a task.
+    the largest component are compared with a few of its nodes, and what that leaves outside with all the rest: pair by pair, but for
+    pairs that the triangle inequality rules out, or block by block where many are left. No link of a bucket is given up, and no bucket is
+    gathered in a task.
 
     Null and empty texts and texts without words form classes of identical texts only. Texts with fewer than five words have one shingle. Null
     ids sort first and are ids like any other; ``kept`` marks one row of each class, one with the smallest id.
@@ -235,9 +290,13 @@ def near_classes(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         # Members other than the leader, with their distance to it; leaders have been compared with all.
         known = compared.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("overlap")).alias("far"))
         members = led.join(known, ["leader", "node"]).select("bucket", "node", "far")
-        while (pairs := _open_pairs(members, labels, similarity)) is not None:
-            pairs, members = pairs
-            new = materialise(_compared(pairs, texts)).where(F.col("overlap") >= similarity).select("a", "b")
+        for probing in (True, False):
+            left = _open_pairs(members, labels, similarity, probing)
+            if left is None:
+                break
+            new = _compared(left[0], texts).where(F.col("overlap") >= similarity).select("a", "b")
+            if not probing:
+                new = new.union(_linked_in_blocks(left[1], texts, similarity))
             edges = materialise(edges.union(new))
             labels = components(edges)
 
