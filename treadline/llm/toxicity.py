@@ -38,7 +38,7 @@ WORD_BITS, PAIR_CELLS = 19, (1 << 19) - 1
 RARE, KAPPA, DISCOUNT = 5, 30.0, 0.75
 PASSAGE, LEAST = 32, 24
 _WORD = re.compile(r"\w+")
-_KEPT = 1 << 18
+_KEPT = 1 << 17
 _CELLS = np.uint32((1 << WORD_BITS) - 1)
 
 
@@ -150,9 +150,9 @@ class Model:
         cells = 1 << WORD_BITS
         self.n = np.zeros((2, cells))
         for k in (0, 1):
-            bits = np.unpackbits(words[f"m{k}"].view(np.uint8).reshape(-1, 8), axis=1).sum(1)
+            bits = np.bitwise_count(words[f"m{k}"])
             # Linear counting over the 61 groups; a full counter sets no limit.
-            before = np.where(bits < 61, -61 * np.log(np.maximum(61 - bits, 0.5) / 61), np.inf)
+            before = np.where(bits < 61, -61 * np.log(np.maximum(61.0 - bits, 0.5) / 61), np.inf)
             self.n[k, words["cell"]] = np.minimum(words[f"n{k}"], np.ceil(before))
         self.total = np.maximum(self.n.sum(1), 1)[:, None]
         self.share = self.total / self.total.sum()
@@ -214,17 +214,21 @@ def pair_slots(pair: np.ndarray) -> np.ndarray:
     return np.mod(pair, PAIR_CELLS)
 
 
+def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of bounded length on the driver, as 64-bit integers."""
+    found = df.toArrow()
+    return {c: found[c].to_numpy().astype(np.int64, copy=False) for c in found.column_names}
+
+
 def train(labelled: DataFrame) -> Model:
     """Fit the models to :func:`training_texts`. Without texts of one of the classes, every text scores alike."""
     spark = labelled.sparkSession
-    words = word_counts(labelled).toPandas()  # bounded by the number of cells
-    model = Model({c: words[c].to_numpy(np.int64) for c in words})
+    model = Model(_arrays(word_counts(labelled)))  # bounded by the number of cells
     counts = pair_counts(labelled, spark.sparkContext.broadcast(model.telling()))
     # Of two pairs in a cell the more frequent one stays.
     best = (counts.where(F.col("n0") + F.col("n1") >= RARE).groupBy(F.pmod("pair", F.lit(PAIR_CELLS)).alias("slot"))
-            .agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "pair", "n0", "n1")).alias("top")).select("slot", "top.*")).toPandas()
-    if len(best):
-        model.add_pairs({c: best[c].to_numpy(np.int64) for c in ("slot", "pair", "n0", "n1")})
+            .agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "pair", "n0", "n1")).alias("top")).select("slot", "top.*"))
+    model.add_pairs(_arrays(best))
     return _fit_curve(spark, model, labelled)
 
 
@@ -236,8 +240,11 @@ def _fit_curve(spark, model: Model, labelled: DataFrame) -> Model:
     seen = spark.sparkContext.broadcast(model)
     cell = F.floor(F.least(F.greatest(F.col("evidence"), F.lit(-16.0)), F.lit(16.0)) * 1024)
     n = [F.sum((F.col("toxic") == k).cast("long")).alias(f"n{k}") for k in (0, 1)]
-    cells = _evidence(labelled, seen, "toxic", text="packed", leave_out=True).groupBy(cell.alias("cell")).agg(*n).orderBy("cell").toPandas()
-    x, n0, n1 = ((cells["cell"].to_numpy(float) + 0.5) / 1024, cells["n0"].to_numpy(float), cells["n1"].to_numpy(float))
+    cells = _evidence(labelled, seen, "toxic", text="packed", leave_out=True).groupBy(cell.alias("cell")).agg(*n)
+    cells = _arrays(cells.where("cell is not null"))
+    seen.unpersist()
+    order = np.argsort(cells["cell"])
+    x, n0, n1 = (cells["cell"][order] + 0.5) / 1024, cells["n0"][order].astype(float), cells["n1"][order].astype(float)
     model.slope = 0.0
     if not n1.sum() or not n0.sum():
         return model
