@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from treadline.llm.common import worker_cache
 
 #: Entries of the tables that spare work; they bound memory and never change a result.
-PAIRS, WORDS, LONGEST_KEPT = 1 << 18, 1 << 18, 48
+PAIRS, WORDS, LONGEST_KEPT = 1 << 17, 1 << 17, 48
 #: The key of a token in the tree of spellings; symbols are 0 to 511.
 TOKEN = -1
 _ODD_SPACE = re.compile("[\x1c-\x1f]")

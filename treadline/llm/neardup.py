@@ -26,7 +26,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         data = word.encode()
         h = self[word] = zlib.crc32(data) << 32 | zlib.adler32(data, 7)

@@ -21,7 +21,7 @@ from treadline.session import materialise
 
 MAGIC = 0x314449544C4D50
 PER_BUCKET = 4
-LONGEST_KEPT, WORDS = 48, 1 << 18
+LONGEST_KEPT, WORDS = 48, 1 << 17
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
