@@ -159,6 +159,13 @@ def test_token_shards(docs, none, library):
     assert tokens.round_trip(none, PATH).count() == 0
 
 
+def test_full_tables_are_turned_over(library, monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 5)
+    encoder = tokens.LibraryEncoder(PATH, 2)
+    for text in ["a b c", "c d e f", "a g h i j k l m", "b c a x", "n o p", "a b " + "z" * 60, "q r s a b c d " + "z" * 60] * 3:
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_index_is_minimal_and_perfect():
     for n in (1, 2, 5, 100, 5000):
         h = tokens.key_hashes(np.arange(n) * 7, np.zeros(n, np.int64), np.zeros(n, bool), 1)

@@ -7,6 +7,7 @@ the 64-bit start in tokens, and the 64-bit length.
 """
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from treadline.session import materialise
 
 MAGIC = 0x314449544C4D50
 PER_BUCKET = 4
-LONGEST_KEPT, WORDS = 48, 1 << 17
+LONGEST_KEPT, WORDS = 48, 1 << 19
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -94,7 +95,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = f"<u{width}"
+        self.kind, self.letter = f"<u{width}", "H" if width == 2 else "I"
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -104,19 +105,17 @@ class LibraryEncoder:
         chunks = text.split()
         kept = self.kept
         missing = [c for c in dict.fromkeys(chunks) if c not in kept]
-        new = [c for c in missing if c not in self.older]
-        made = {c: np.array(e.ids, self.kind).tobytes()
-                for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))} if new else {}
         if missing:
+            made = {c: self.older[c] for c in missing if c in self.older}
+            new = [c for c in missing if c not in made]
+            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
+                ids = e.ids
+                made[c] = struct.pack(f"<{len(ids)}{self.letter}", *ids)
             if len(kept) + len(missing) > WORDS:
-                self.older, self.kept = {c: kept[c] for c in kept if len(c) <= LONGEST_KEPT}, {}
+                # The full table becomes the older one; this text's runs go on in the new one.
+                self.older, self.kept = kept, {c: kept[c] for c in chunks if c in kept}
                 kept = self.kept
-                for c in chunks:
-                    found = self.older.get(c)
-                    if found is not None:
-                        kept[c] = found
-            for c in missing:
-                kept[c] = made[c] if c in made else self.older[c]
+            kept.update(made)
         out = b"".join([kept[c] for c in chunks])
         for c in missing:
             if len(c) > LONGEST_KEPT:
