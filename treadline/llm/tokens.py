@@ -7,6 +7,7 @@ the 64-bit start in tokens, and the 64-bit length.
 """
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from treadline.session import materialise
 
 MAGIC = 0x314449544C4D50
 PER_BUCKET = 4
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
 LONGEST_KEPT, WORDS = 48, 1 << 19
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -100,11 +102,11 @@ class LibraryEncoder:
         self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if any("\x1c" <= c <= "\x1f" for c in set(text)):  # white space to Python, letters to the library
+        if _ODD_SPACE.search(text):  # white space to Python, letters to the library
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         chunks = text.split()
         kept = self.kept
-        missing = [c for c in dict.fromkeys(chunks) if c not in kept]
+        missing = {c for c in chunks if c not in kept}
         if missing:
             made = {c: self.older[c] for c in missing if c in self.older}
             new = [c for c in missing if c not in made]
