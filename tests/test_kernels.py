@@ -240,6 +240,9 @@ def test_triangulation_and_refinement(spark):
     # A camera that did not see the joint drops the point; an unknown camera is ignored.
     gone = obs.withColumn("v", F.when((F.col("frame") == 3) & (F.col("camera") == "cam0"), F.lit(None)).otherwise(F.col("v")))
     assert multiview.gather_views(gone, rig(spark), keys).where("frame = 3").count() == 0
+    absent = obs.where("frame <> 3 OR camera <> 'cam0'")
+    assert multiview.gather_views(absent, rig(spark), keys).where("frame = 3").count() == 0
+    assert multiview.gather_views(absent, rig(spark), keys, complete=False).where("frame = 3").count() > 0
     start = df.withColumns({c: F.col(c) + 0.03 for c in "xyz"})
     clean = multiview.gather_views(obs, rig(spark), keys)
     bones = [("j0", "j1", float(np.linalg.norm(pts[0, 0] - pts[0, 1])))]

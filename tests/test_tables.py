@@ -151,6 +151,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(tuple(r) for r in want.select("trial_id", "start", "end").collect()) and len(got) == 4
 
 
+def test_open_traversal_is_closed_on_stored_frames(spark, tmp_path):
+    sig = "1" * 30 + "0" * 40 + "1" * 25
+    df = spark.createDataFrame([(t, i, int(c)) for t in ("a", "b") for i, c in enumerate(sig)], "trial_id string, frame int, in_stance int")
+    active = F.col("in_stance") == 1
+    s = live.stream_traversals(stream_of(spark, tmp_path, df, "frames"), active, min_frames=10, empty_frames=10)
+    q = drain(s.writeStream.format("memory").queryName("closed").trigger(availableNow=True).start())
+    late = live.LateRows(q)
+    assert late.update() == 0 and late.update() == 0
+    closed = spark.table("closed")
+    rest = live.open_traversals(df, closed, active, min_frames=10, empty_frames=10)
+    assert sorted(tuple(r) for r in closed.collect()) == [("a", 1, 30), ("b", 1, 30)]
+    assert sorted(tuple(r) for r in rest.collect()) == [("a", 71, 95), ("b", 71, 95)]
+
+
+def test_camera_set_across_a_window_edge(spark, tmp_path):
+    # Number 1 straddles an hour and sends cam0 twice; number 2 lacks a role; number 3 is still open at the end.
+    rows = [("cam0", 1, 3598), ("cam0", 1, 3599), ("cam1", 1, 3600), ("cam2", 1, 3603), ("cam0", 2, 4000), ("cam0", 2, 4001), ("cam1", 2, 4000),
+            ("cam0", 3, 9000), ("cam1", 3, 9001), ("cam2", 3, 9001)]
+    df = spark.createDataFrame(rows, "role string, frame_number long, s long").select(
+        "role", "frame_number", F.timestamp_seconds("s").alias("ts"), (F.col("s") * 1000000000).alias("timestamp_ns"))
+    s = live.stream_camera_sets(stream_of(spark, tmp_path, df, "cams"), "1 minute", n_roles=3)
+    drain(s.writeStream.format("memory").queryName("sets").trigger(availableNow=True).start())
+    closed = spark.table("sets")
+    assert [tuple(r) for r in closed.collect()] == [(1, 3, 3000.0)]
+    assert [tuple(r) for r in live.open_camera_sets(df, closed, n_roles=3).collect()] == [(3, 3, 1000.0)]
+
+
 def test_metrics_per_traversal(spark, tmp_path):
     sig = "1" * 30 + "0" * 20 + "1" * 25 + "0" * 40 + "1"
     df = spark.createDataFrame([("a", i, int(c)) for i, c in enumerate(sig)], "trial_id string, frame int, in_stance int")

@@ -11,24 +11,25 @@ from treadline.functions import metrics as fm
 from treadline.operators import evaluation, gait, multiview, steps, support
 from treadline.plans import analyze
 
-# Consecutive points of a vector: even elements are x, odd ones y.
-POSE = """
-pt AS (SELECT vec_id, label, i, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y, embedding[2 * i + 3]::DOUBLE AS x2, embedding[2 * i + 4]::DOUBLE AS y2,
-   embedding[2 * i + 5]::DOUBLE AS x3, embedding[2 * i + 6]::DOUBLE AS y3, embedding[2 * i + 7]::DOUBLE AS x4, embedding[2 * i + 8]::DOUBLE AS y4
-  FROM embeddings, range(28) u(i))"""
+# The points of a vector as a closed outline: even elements are x, odd ones y, and after the last point comes the first.
+ELEMENTS = ("x", "y", "x2", "y2", "x3", "y3", "x4", "y4")
+POSE = f"""
+pt AS (SELECT vec_id, label, i, {', '.join(f'embedding[(2 * i + {o}) % len(embedding) + 1]::DOUBLE AS {n}' for o, n in enumerate(ELEMENTS))}
+  FROM embeddings, unnest(range(len(embedding) // 2)) AS u(i))"""
 
 
 def pose(spark, sf_dir):
-    e = v.table(spark, sf_dir, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(27))))
-    at = lambda o: F.get("embedding", 2 * F.col("i") + o).cast("double")
-    return e.select("vec_id", "label", F.col("i").cast("long").alias("i"), *[at(o).alias(n) for o, n in enumerate(("x", "y", "x2", "y2", "x3", "y3", "x4", "y4"))])
+    n = F.size("embedding")
+    e = v.table(spark, sf_dir, "embeddings").withColumn("i", F.explode(F.when(n >= 2, F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1))))
+    at = lambda o: F.get("embedding", (2 * F.col("i") + o) % n).cast("double")
+    return e.select("vec_id", "label", F.col("i").cast("long").alias("i"), *[at(o).alias(n) for o, n in enumerate(ELEMENTS)])
 
 
 C = F.col
 
 
 def pts():
-    return [C(n) for n in ("x", "y", "x2", "y2", "x3", "y3", "x4", "y4")]
+    return [C(n) for n in ELEMENTS]
 
 
 @query("point_geometry", f"""WITH {POSE}
@@ -151,11 +152,20 @@ def observations(spark, sf_dir):
     return d.select("vec_id", "i", "camera", (C("u") + off).alias("u"), "v")
 
 
-@query("camera_projection", f"""WITH {POSE}, p AS (SELECT vec_id, i, x, y, x2 AS z FROM pt)
-SELECT vec_id, i, round((800 * x + 320 * (z + 5)) / (z + 5), 6) AS u, round((800 * y + 240 * (z + 5)) / (z + 5), 6) AS v FROM p""")
+# Rotation about an axis, written out: v cos t + (k x v) sin t + k (k . v) (1 - cos t).
+CAMERAS = f"""
+rg(camera, rx, ry, rz, tx, ty, tz) AS (VALUES {', '.join(str((n, *r, *t)) for n, r, t in RIG)}),
+rk AS (SELECT camera, th, tx::DOUBLE AS tx, ty::DOUBLE AS ty, tz::DOUBLE AS tz, coalesce(rx / nullif(th, 0), 0) AS kx, coalesce(ry / nullif(th, 0), 0) AS ky, coalesce(rz / nullif(th, 0), 0) AS kz
+  FROM (SELECT *, sqrt(rx * rx + ry * ry + rz * rz)::DOUBLE AS th FROM rg)),
+kd AS (SELECT vec_id, i, x, y, x2 AS z, rk.*, (kx * x + ky * y + kz * x2) * (1 - cos(th)) AS m FROM pt, rk),
+cc AS (SELECT vec_id, i, camera, x * cos(th) + (ky * z - kz * y) * sin(th) + kx * m + tx AS xc, y * cos(th) + (kz * x - kx * z) * sin(th) + ky * m + ty AS yc,
+  z * cos(th) + (kx * y - ky * x) * sin(th) + kz * m + tz AS zc FROM kd)"""
+
+
+@query("camera_projection", f"""WITH {POSE}, {CAMERAS} SELECT vec_id, i, camera, round(800 * xc / zc + 320, 6) AS u, round(800 * yc / zc + 240, 6) AS v FROM cc""")
 def _(spark, sf_dir):
-    d = multiview.project_points(points3d(spark, sf_dir), rig(spark).where("camera = 'cam0'"))
-    return d.select("vec_id", "i", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+    d = multiview.project_points(points3d(spark, sf_dir), rig(spark))
+    return d.select("vec_id", "i", "camera", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
 
 
 @query("triangulation", f"WITH {POSE} SELECT vec_id, i, round(x, 6) AS x, round(y, 6) AS y, round(x2, 6) AS z FROM pt")
@@ -165,12 +175,26 @@ def _(spark, sf_dir):
     return d.select("vec_id", "i", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
+@query("triangulation_missing_view", f"WITH {POSE} SELECT vec_id, i, round(x, 6) AS x, round(y, 6) AS y, round(x2, 6) AS z FROM pt WHERE (vec_id + i) % 10 <> 3")
+def _(spark, sf_dir):
+    seen = observations(spark, sf_dir).where("camera <> 'cam3' OR (vec_id + i) % 10 <> 3")
+    d = multiview.triangulate(multiview.gather_views(seen, rig(spark), ["vec_id", "i"]), ["vec_id", "i"])
+    return d.select("vec_id", "i", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
 @query("linear_triangulation")
 def _(spark, sf_dir):
     views = multiview.gather_views(observations(spark, sf_dir), rig(spark), ["vec_id", "i"])
     return multiview.triangulate(views, ["vec_id", "i"], robust=False)
 
 
+@query("linear_triangulation_exact", f"WITH {POSE} SELECT vec_id, i, round(x, 6) AS x, round(y, 6) AS y, round(x2, 6) AS z FROM pt")
+def _(spark, sf_dir):
+    views = multiview.gather_views(multiview.project_points(points3d(spark, sf_dir), rig(spark)), rig(spark), ["vec_id", "i"])
+    d = multiview.triangulate(views, ["vec_id", "i"], robust=False)
+    return d.select("vec_id", "i", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
 @query("view_error_rms", f"""WITH {POSE} SELECT i, CASE WHEN camera = 'cam2' THEN round(sqrt(sum(CASE WHEN (vec_id + i) % 5 = 0 THEN 1600.0 ELSE 0.0 END) / count(*)), 4) ELSE 0.0 END AS rms_px, camera
 FROM pt, (VALUES ('cam0'), ('cam1'), ('cam2'), ('cam3')) c(camera) GROUP BY i, camera""")
 def _(spark, sf_dir):
@@ -178,16 +202,19 @@ def _(spark, sf_dir):
     return multiview.joint_rms(e, ["i", "camera"]).withColumn("rms_px", F.round("rms_px", 4))
 
 
-SKELETON = (("j0", "j1"), ("j1", "j2"), ("j2", "j3"), ("j1", "j4"))
+SKELETON = (("j0", "j1"), ("j1", "j2"), ("j2", "j3"), ("j1", "j4"), ("j4", "j5"), ("j5", "j6"))
 
 
-@query("joint_angles", f"""WITH {POSE}, p AS (SELECT vec_id, i // 7 AS f, i % 7 AS j, x, y, x2 AS z FROM pt WHERE i % 7 < 5),
-e(par, child, gp) AS (VALUES (0, 1, NULL), (1, 2, 0), (2, 3, 1), (1, 4, 0)),
-w AS (SELECT a.vec_id, a.f, e.child, b.x - a.x AS x1, b.y - a.y AS y1, b.z - a.z AS z1, CASE WHEN e.gp IS NULL THEN b.x - a.x ELSE g.x - b.x END AS x2, CASE WHEN e.gp IS NULL THEN b.y - a.y ELSE g.y - b.y END AS y2,
-  CASE WHEN e.gp IS NULL THEN b.z - a.z ELSE g.z - b.z END AS z2 FROM e JOIN p a ON a.j = e.child JOIN p b ON b.j = e.par AND b.vec_id = a.vec_id AND b.f = a.f LEFT JOIN p g ON g.j = e.gp AND g.vec_id = a.vec_id AND g.f = a.f)
-SELECT vec_id, f AS frame, 'j' || child AS joint, round(degrees(acos(greatest(-1, least(1, (x1 * x2 + y1 * y2 + z1 * z2) / (sqrt(x1 * x1 + y1 * y1 + z1 * z1) * sqrt(x2 * x2 + y2 * y2 + z2 * z2)))))), 4) AS angle_deg FROM w""")
+@query("joint_angles", f"""WITH {POSE}, p AS (SELECT vec_id, i // 7 AS f, i % 7 AS j, x, y, x2 AS z FROM pt),
+e(par, child, gp) AS (VALUES (0, 1, NULL), (1, 2, 0), (2, 3, 1), (1, 4, 0), (4, 5, 1), (5, 6, 4)),
+fr AS (SELECT DISTINCT vec_id, f FROM p),
+w AS (SELECT fr.vec_id, fr.f, e.child, b.x - a.x AS x1, b.y - a.y AS y1, b.z - a.z AS z1, CASE WHEN e.gp IS NULL THEN b.x - a.x ELSE g.x - b.x END AS x2, CASE WHEN e.gp IS NULL THEN b.y - a.y ELSE g.y - b.y END AS y2,
+  CASE WHEN e.gp IS NULL THEN b.z - a.z ELSE g.z - b.z END AS z2 FROM fr, e LEFT JOIN p a ON a.j = e.child AND a.vec_id = fr.vec_id AND a.f = fr.f LEFT JOIN p b ON b.j = e.par AND b.vec_id = fr.vec_id AND b.f = fr.f
+  LEFT JOIN p g ON g.j = e.gp AND g.vec_id = fr.vec_id AND g.f = fr.f),
+c AS (SELECT *, (x1 * x2 + y1 * y2 + z1 * z2) / (sqrt(x1 * x1 + y1 * y1 + z1 * z1) * sqrt(x2 * x2 + y2 * y2 + z2 * z2)) AS cs FROM w)
+SELECT vec_id, f AS frame, 'j' || child AS joint, CASE WHEN cs IS NOT NULL THEN round(degrees(acos(greatest(-1, least(1, cs)))), 4) END AS angle_deg FROM c""")
 def _(spark, sf_dir):
-    p = points3d(spark, sf_dir).where("i % 7 < 5").select("vec_id", F.floor(C("i") / 7).alias("frame"), F.concat(F.lit("j"), (C("i") % 7).cast("string")).alias("joint"), "x", "y", "z")
+    p = points3d(spark, sf_dir).select("vec_id", F.floor(C("i") / 7).alias("frame"), F.concat(F.lit("j"), (C("i") % 7).cast("string")).alias("joint"), "x", "y", "z")
     d = multiview.joint_angles(p, SKELETON, ["vec_id", "frame"])
     return d.withColumn("angle_deg", F.round("angle_deg", 4))
 
@@ -240,12 +267,12 @@ def _(spark, sf_dir):
     return evaluation.mask_scores(p, ["l_suppkey"])
 
 
-@query("pair_asymmetry", """WITH s AS (SELECT l_suppkey, CASE l_linenumber WHEN 1 THEN 'LF' WHEN 2 THEN 'RF' WHEN 3 THEN 'LH' WHEN 4 THEN 'RH' END AS limb, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL),
+@query("pair_asymmetry", """WITH s AS (SELECT l_suppkey, CASE l_linenumber % 4 WHEN 1 THEN 'LF' WHEN 2 THEN 'RF' WHEN 3 THEN 'LH' ELSE 'RH' END AS limb, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
 w AS (SELECT l_suppkey, max(q) FILTER (limb = 'LF') AS a, max(q) FILTER (limb = 'RF') AS b, max(q) FILTER (limb = 'LH') AS c, max(q) FILTER (limb = 'RH') AS d FROM s GROUP BY l_suppkey)
 SELECT l_suppkey, 'fore' AS pair, greatest(a / b, 1 / (a / b)) AS asymmetry FROM w WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT l_suppkey, 'hind', greatest(c / d, 1 / (c / d)) FROM w WHERE c IS NOT NULL AND d IS NOT NULL""")
 def _(spark, sf_dir):
-    limb = F.element_at(F.array(*[F.lit(x) for x in ("LF", "RF", "LH", "RH")]), C("l_linenumber"))
-    s = v.table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").groupBy("l_suppkey", limb.alias("limb")).agg(F.sum("l_quantity").alias("value"))
+    limb = F.element_at(F.array(*[F.lit(x) for x in ("LF", "RF", "LH", "RH")]), (C("l_linenumber") - 1) % 4 + 1)
+    s = v.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", limb.alias("limb")).agg(F.sum("l_quantity").alias("value"))
     return evaluation.pair_asymmetry(s, [("fore", "LF", "RF"), ("hind", "LH", "RH")], ["l_suppkey"])
 
 

@@ -267,7 +267,7 @@ def _(spark, sf_dir):
 
 
 LIMB_SQL = v.SAMPLES + """,
-det AS (SELECT trial_id, frame // 8 AS f8, frame AS det_id, x / 128.0::DOUBLE AS cx, k::DOUBLE AS cy FROM samples WHERE k >= 40),
+det AS (SELECT trial_id, frame // 8 AS f8, frame AS det_id, x / 128.0::DOUBLE AS cx, k::DOUBLE AS cy FROM samples),
 lm AS (SELECT DISTINCT trial_id, frame // 8 AS f8 FROM samples), l4 AS (SELECT trial_id, f8, i AS lo, ['LF', 'RF', 'LH', 'RH'][i + 1] AS limb, 20.0 + 10 * i + f8 AS x, 10.0 + 25 * i AS y FROM lm, range(4) u(i)),
 pr AS (SELECT d.trial_id, d.f8, det_id, lo, limb, CAST(floor(sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y))) AS INTEGER) AS d FROM det d JOIN l4 USING (trial_id, f8)),
 r1 AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY trial_id, f8 ORDER BY d, det_id, lo) = 1),
@@ -280,7 +280,7 @@ SELECT trial_id, CAST(f8 AS INTEGER) AS frame, CAST(det_id AS INTEGER) AS det_id
 @query("limb_assignment", f"WITH {LIMB_SQL}")
 def _(spark, sf_dir):
     s = v.samples(spark, sf_dir).withColumn("f8", F.floor(F.col("frame") / 8).cast("int"))
-    det = s.where("k >= 40").select("trial_id", F.col("f8").alias("frame"), F.col("frame").alias("det_id"), (F.col("x") / 128.0).alias("cx"), F.col("k").cast("double").alias("cy"))
+    det = s.select("trial_id", F.col("f8").alias("frame"), F.col("frame").alias("det_id"), (F.col("x") / 128.0).alias("cx"), F.col("k").cast("double").alias("cy"))
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("limb"), F.lit(i).alias("limb_ord")) for i, n in enumerate(("LF", "RF", "LH", "RH"))]))
     limbs = s.select("trial_id", F.col("f8").alias("frame")).distinct().withColumn("l", rows).select(
         "trial_id", "frame", "l.limb", "l.limb_ord", (F.lit(20.0) + 10 * F.col("l.limb_ord") + F.col("frame")).alias("x"), (F.lit(10.0) + 25 * F.col("l.limb_ord")).alias("y"))
@@ -299,7 +299,7 @@ def _(spark, sf_dir):
 ROLES = """
 rl AS (SELECT event_id // 5 AS frame_number, event_type AS role, epoch_us(ts) * 1000 AS t FROM events),
 one AS (SELECT frame_number, role, max(t) AS t FROM rl GROUP BY ALL),
-md AS (SELECT frame_number, median(t) AS m, count(*) AS n FROM one GROUP BY frame_number)"""
+md AS (SELECT frame_number, l[(n - 1) // 2 + 1] + l[n // 2 + 1] AS m2, n FROM (SELECT frame_number, list(t ORDER BY t) AS l, count(*) AS n FROM one GROUP BY frame_number))"""
 
 
 def roles(spark, sf_dir):
@@ -308,15 +308,14 @@ def roles(spark, sf_dir):
 
 
 @query("camera_sets", f"""WITH {ROLES}
-SELECT frame_number, CAST(n AS BIGINT) AS n_roles, round(max(abs(t - m)) / 1000000.0::DOUBLE, 6) AS worst_ms FROM one JOIN md USING (frame_number) WHERE n >= 3 GROUP BY frame_number, n""")
+SELECT frame_number, CAST(n AS BIGINT) AS n_roles, round(max(abs(2 * t - m2)) / 2000000.0::DOUBLE, 6) AS worst_ms FROM one JOIN md USING (frame_number) WHERE n >= 3 GROUP BY frame_number, n""")
 def _(spark, sf_dir):
     d = sync.role_sets(roles(spark, sf_dir), n_roles=3)
     return d.select("frame_number", "n_roles", F.round("worst_ms", 6).alias("worst_ms"))
 
 
-@query("camera_sync_report", f"""WITH {ROLES}, s AS (SELECT frame_number, max(abs(t - m)) / 1000000.0::DOUBLE AS worst_ms FROM one JOIN md USING (frame_number) WHERE n >= 3 GROUP BY frame_number),
-l AS (SELECT * FROM s ORDER BY frame_number DESC LIMIT 1024)
-SELECT count(*) AS n_sets, round(max(worst_ms), 6) AS worst_ms, arg_max(frame_number, worst_ms) AS worst_frame, coalesce(max(worst_ms) <= 1.0, false) AS in_sync FROM l""")
+@query("camera_sync_report", f"""WITH {ROLES}, s AS (SELECT frame_number, max(abs(2 * t - m2)) / 2000000.0::DOUBLE AS worst_ms FROM one JOIN md USING (frame_number) WHERE n >= 3 GROUP BY frame_number)
+SELECT count(*) AS n_sets, round(max(worst_ms), 6) AS worst_ms, arg_max(frame_number, worst_ms) AS worst_frame, coalesce(max(worst_ms) <= 1.0, false) AS in_sync FROM s""")
 def _(spark, sf_dir):
     d = sync.sync_report(sync.role_sets(roles(spark, sf_dir), n_roles=3))
     return d.withColumn("worst_ms", F.round("worst_ms", 6))

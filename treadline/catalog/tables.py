@@ -9,6 +9,7 @@ from treadline.catalog import views as v
 from treadline.catalog.contacts import STEPS, bouts
 from treadline.catalog.cycles import CYC, DET, det
 from treadline.catalog.registry import query
+from treadline.catalog.series import ROLES
 from treadline.operators import contact, cycles, pixels, steps
 from treadline.session import shared_folder
 from treadline.sources import readers, sinks, store
@@ -161,16 +162,19 @@ def _drain(df):
 @query("stream_traversals", """WITH s AS (SELECT DISTINCT user_id AS trial_id, CAST(floor(epoch_us(ts) / 900000000.0) AS BIGINT) AS frame FROM events WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) < 90),
 a AS (SELECT *, frame - lag(frame) OVER (PARTITION BY trial_id ORDER BY frame) AS gap FROM s), m AS (SELECT *, sum(CASE WHEN gap <= 40 THEN 0 ELSE 1 END) OVER (PARTITION BY trial_id ORDER BY frame) AS isl FROM a),
 i AS (SELECT trial_id, min(frame) AS a, max(frame) AS b FROM m GROUP BY trial_id, isl)
-SELECT trial_id, a + 1 AS start, b + 1 AS "end" FROM i WHERE b - a >= 20 AND b + 40 <= (SELECT max(CAST(floor(epoch_us(ts) / 900000000.0) AS BIGINT)) FROM events) - 2""")
+SELECT trial_id, a + 1 AS start, b + 1 AS "end" FROM i WHERE b - a >= 20""")
 def _(spark, sf_dir):
-    e = _event_stream(spark, sf_dir)
-    frames = e.select(C("user_id").alias("trial_id"), F.floor(F.unix_micros(C("ts").cast("timestamp")) / 900000000.0).alias("frame"),
-                      F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
-    return _drain(live.stream_traversals(frames, C("k") < 90, empty_frames=40))
+    frames = lambda e: e.select(C("user_id").alias("trial_id"), F.floor(F.unix_micros(C("ts").cast("timestamp")) / 900000000.0).alias("frame"),
+                                F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
+    closed = _drain(live.stream_traversals(frames(_event_stream(spark, sf_dir)), C("k") < 90, empty_frames=40))
+    return closed.unionByName(live.open_traversals(frames(v.table(spark, sf_dir, "events")), closed, C("k") < 90, empty_frames=40))
 
 
-@query("stream_camera_sets")
+@query("stream_camera_sets", f"""WITH {ROLES}
+SELECT frame_number, CAST(n AS INTEGER) AS n_roles, round(max(abs(2 * t - m2)) / 2000000.0::DOUBLE, 6) AS worst_ms FROM one JOIN md USING (frame_number) WHERE n >= 3 GROUP BY frame_number, n""")
 def _(spark, sf_dir):
-    e = _event_stream(spark, sf_dir).select(C("event_type").alias("role"), F.floor(C("event_id") / 5).alias("frame_number"), C("ts").cast("timestamp").alias("ts"),
-                                            (F.unix_micros(C("ts").cast("timestamp")) * 1000).alias("timestamp_ns"))
-    return _drain(live.stream_camera_sets(e, "1 hour", n_roles=3))
+    frames = lambda e: e.select(C("event_type").alias("role"), F.floor(C("event_id") / 5).alias("frame_number"), C("ts").cast("timestamp").alias("ts"),
+                                (F.unix_micros(C("ts").cast("timestamp")) * 1000).alias("timestamp_ns"))
+    closed = _drain(live.stream_camera_sets(frames(_event_stream(spark, sf_dir)), "1 day", n_roles=3))
+    d = closed.unionByName(live.open_camera_sets(frames(v.table(spark, sf_dir, "events")), closed, n_roles=3))
+    return d.withColumn("worst_ms", F.round("worst_ms", 6))

@@ -14,18 +14,18 @@ from treadline.operators.pixels import _components, batched_groups
 from treadline.session import cut_lineage
 
 
-def assign_limbs(det: DataFrame, limbs: DataFrame, keys: Sequence[str] = ("trial_id", "frame"), n_limbs: int = 4) -> DataFrame:
+def assign_limbs(det: DataFrame, limbs: DataFrame, keys: Sequence[str] = ("trial_id", "frame")) -> DataFrame:
     """One-to-one greedy assignment of detections to limb positions by distance cut to whole pixels, nearest pair first,
     then detection, then limb order.
 
-    ``det`` has ``det_id, cx, cy``; ``limbs`` has ``limb, limb_ord, x, y`` with at most ``n_limbs`` rows per frame. The
-    other limbs can take at most ``n_limbs - 1`` detections, so a limb's match is always among its ``n_limbs`` nearest:
-    keeping only those is exact and bounds the list that is resolved per frame.
+    ``det`` has ``det_id, cx, cy``; ``limbs`` has ``limb, limb_ord, x, y``. In a frame with n limbs the others can
+    take at most n - 1 detections, so a limb's match is always among its n nearest: keeping only those is exact and
+    bounds the list that is resolved per frame.
     """
-    p = det.join(limbs, list(keys))
+    p = det.join(limbs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))), list(keys))
     p = p.withColumn("_d", F.floor(distance(F.col("cx"), F.col("cy"), F.col("x"), F.col("y"))).cast("int"))
     near = F.row_number().over(Window.partitionBy(*keys, "limb").orderBy("_d", "det_id"))
-    p = p.withColumn("_r", near).where(F.col("_r") <= n_limbs)
+    p = p.withColumn("_r", near).where(F.col("_r") <= F.col("_n"))
     pairs = F.array_sort(F.collect_list(F.struct("_d", "det_id", "limb_ord", "limb")))
     g = p.groupBy(*keys).agg(pairs.alias("_pairs"))
     empty = F.slice(F.col("_pairs"), 1, 0)
@@ -79,7 +79,8 @@ def nearest_track(truth: DataFrame, blobs: DataFrame, trial: Sequence[str], tole
     """The track with the blob nearest in time to each truth print (first track on ties), and its blob at that frame, or
     else its largest blob."""
     t = around_frames(truth.select(*trial, "print_id", "frame_idx"), tolerance)
-    c = t.join(blobs.select(*trial, "track_id", "frame").distinct(), [*trial, "frame"])
+    # Of the tracks of a frame only the first can win, so one row per frame meets the prints.
+    c = t.join(blobs.groupBy(*trial, "frame").agg(F.min("track_id").alias("track_id")), [*trial, "frame"])
     best = c.groupBy(*trial, "print_id", "frame_idx").agg(
         F.min(F.struct(F.abs(F.col("frame") - F.col("frame_idx")).alias("gap"), "track_id")).alias("b"))
     best = best.select(*trial, "print_id", "frame_idx", F.col("b.gap").alias("frame_gap"), F.col("b.track_id").alias("track_id"))
@@ -111,6 +112,7 @@ def match_predictions(pred: DataFrame, truth: DataFrame, trial: Sequence[str], d
     Equal to a stable matching in which every print prefers earlier predictions, so it is computed by deferred
     acceptance: all predictions propose to their best candidate at once, every print keeps the earliest, and candidates
     that a print can no longer accept are dropped; repeated until nothing drops. Each round is two aggregations.
+    Without ``spatial`` the nearest in time is taken, and there is no error in pixels: ``error_px`` is null.
     """
     t = around_frames(truth.select(*trial, "print_id", F.col("frame_idx").alias("_gf"), "cx_px", "cy_px",
                                    *([F.col("paw_id").alias("_paw")] if same_limb else [])), frame_tolerance, "_gf", "frame_idx")
@@ -131,18 +133,20 @@ def match_predictions(pred: DataFrame, truth: DataFrame, trial: Sequence[str], d
                            .where(F.col("_held").isNull() | (F.col("pred_id") <= F.col("_held"))).drop("_held"))
         m = left.count()
         if m == n:
-            return best
+            return best if spatial else best.withColumn("error_px", F.lit(None).cast("double"))
         c, n = left, m
 
 
 def evaluate(matches: DataFrame, pred: DataFrame, truth: DataFrame, trial: Sequence[str]) -> DataFrame:
-    """Precision, recall, F1, mean error and upper-median error per trial (add a configuration to ``trial`` to sweep)."""
+    """Precision, recall, F1, mean error and upper-median error per trial (add a configuration to ``trial`` to sweep).
+    Both errors are 0 where no match has an error in pixels."""
     keys = list(trial)
     np_, ng = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for d, n in ((pred, "n_pred"), (truth, "n_gt")))
-    tp = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tp"), F.avg("error_px").alias("mean_error_px"))
+    tp = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tp"), F.avg("error_px").alias("mean_error_px"),
+                                   F.count("error_px").alias("_ne"))
     # Upper median by rank: errors are numbered within one-pixel slots, so no trial is sorted in one task.
-    ranked = ordered.number_rows(matches, keys, ["error_px", "pred_id"], F.floor("error_px"), name="_i")
-    med = (ranked.join(tp.select(*keys, "n_tp"), keys).where(F.col("_i") == F.floor(F.col("n_tp") / 2))
+    ranked = ordered.number_rows(matches.where("error_px is not null"), keys, ["error_px", "pred_id"], F.floor("error_px"), name="_i")
+    med = (ranked.join(tp.select(*keys, "_ne"), keys).where(F.col("_i") == F.floor(F.col("_ne") / 2))
            .select(*keys, F.col("error_px").alias("median_error_px")))
     d = np_.join(ng, keys, "full").join(tp, keys, "left").join(med, keys, "left")
     d = d.na.fill(0, ["n_pred", "n_gt", "n_tp"]).na.fill(0.0, ["mean_error_px", "median_error_px"])

@@ -27,26 +27,31 @@ def rig_from_pose(cameras: DataFrame) -> DataFrame:
 
 
 def camera_columns(rig: DataFrame, limit: int = 256) -> Column:
-    """The rig as a literal map from camera to its 12 numbers. A rig is a handful of rows; more than ``limit`` is an
-    error, so what is put into the plan has a proven bound."""
+    """The rig as a literal map from camera to its 12 numbers, for projecting every point into every camera. More than
+    ``limit`` cameras are an error, so what is put into the plan has a proven bound; all else joins on the camera."""
     rows = rig.select("camera", "p").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"a rig of more than {limit} cameras")
     return F.create_map(*[c for r in rows for c in (F.lit(r["camera"]), F.array(*[F.lit(float(x)) for x in r["p"]]))])
 
 
-def gather_views(obs: DataFrame, rig: DataFrame, keys: Sequence[str], complete: bool = True) -> DataFrame:
+def gather_views(obs: DataFrame, rig: DataFrame, keys: Sequence[str], complete: bool = True,
+                 recording: Sequence[str] | None = None) -> DataFrame:
     """One row per point with its views in camera order; unknown cameras drop out.
 
-    ``complete`` keeps only points every camera of the observations saw (a missing or infinite coordinate drops the
-    point); points with fewer than two views are dropped.
+    ``complete`` keeps only points that every camera of their recording saw: a missing row drops the point as a missing
+    or infinite coordinate does. ``recording`` is the first of ``keys`` unless named. Points with fewer than two views are
+    dropped. The cameras of a recording are counted map-side first, so a hot recording is no hot task.
     """
     bad = F.col("u").isNull() | F.col("v").isNull() | F.isnan("u") | F.isnan("v") | (F.abs("u") == float("inf")) | (F.abs("v") == float("inf"))
-    d = obs.withColumn("p", F.try_element_at(camera_columns(rig), F.col("camera"))).where("p is not null")
+    d = obs.join(rig.select("camera", "p"), "camera")
     view = F.struct("camera", "p", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
-    g = d.groupBy(*keys).agg(F.count_if(bad).alias("_bad"), F.array_sort(F.collect_list(F.when(~bad, view))).alias("views"))
-    g = g.where(F.size("views") >= 2)
-    return (g.where("_bad = 0") if complete else g).drop("_bad")
+    g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(~bad, view))).alias("views")).where(F.size("views") >= 2)
+    if not complete:
+        return g
+    whole = list(recording or keys[:1])
+    n = d.select(*whole, "camera").distinct().groupBy(*whole).agg(F.count(F.lit(1)).alias("_n"))
+    return g.join(n, whole).where(F.size("views") == F.col("_n")).select(*keys, "views")
 
 
 def _solve(p: np.ndarray, uv: np.ndarray) -> np.ndarray:
@@ -127,7 +132,7 @@ def project_points(points: DataFrame, rig: DataFrame) -> DataFrame:
 def view_errors(points: DataFrame, obs: DataFrame, rig: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Reprojection error per point and camera."""
     d = obs.join(points.select(*keys, "x", "y", "z"), list(keys))
-    d = d.withColumn("p", F.try_element_at(camera_columns(rig), F.col("camera"))).where("p is not null")
+    d = d.join(rig.select("camera", "p"), "camera")
     e = geo.reprojection_error([F.col("p")[i] for i in range(12)], *[F.col(c) for c in ("x", "y", "z", "u", "v")])
     return d.select(*keys, "camera", e.alias("error_px"))
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treadline.operators import ordered
@@ -13,23 +13,30 @@ from treadline.operators.ordered import CHUNK
 SYNC_TOLERANCE_MS = 1.0
 
 
+def twice_median(t: Column) -> Column:
+    """Twice the median of a sorted array of whole numbers: exact, where nanoseconds since the epoch exceed a double."""
+    n = F.size(t)
+    return F.get(t, F.floor((n - 1) / 2).cast("int")) + F.get(t, F.floor(n / 2).cast("int"))
+
+
 def role_sets(frames: DataFrame, keys: Sequence[str] = ("frame_number",), n_roles: int = 4) -> DataFrame:
     """Frames of all roles with one number: per-role deviation from the median timestamp, and the worst one, in ms.
 
     A role contributes its latest timestamp. Sets with fewer than ``n_roles`` roles are incomplete and dropped.
     """
     one = frames.groupBy(*keys, "role").agg(F.max("timestamp_ns").alias("t"))
-    g = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_roles"), F.median("t").alias("_m"),
+    g = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_roles"), twice_median(F.array_sort(F.collect_list("t"))).alias("_m"),
                                F.collect_list(F.struct("role", "t")).alias("_r")).where(F.col("n_roles") >= n_roles)
-    delta = F.map_from_entries(F.transform("_r", lambda r: F.struct(r["role"], (r["t"] - F.col("_m")) / 1e6)))
-    worst = F.array_max(F.transform("_r", lambda r: F.abs(r["t"] - F.col("_m")) / 1e6))
+    delta = F.map_from_entries(F.transform("_r", lambda r: F.struct(r["role"], (2 * r["t"] - F.col("_m")) / 2e6)))
+    worst = F.array_max(F.transform("_r", lambda r: F.abs(2 * r["t"] - F.col("_m")) / 2e6))
     return g.select(*keys, "n_roles", delta.alias("delta_ms"), worst.alias("worst_ms"))
 
 
-def sync_report(sets: DataFrame, tolerance_ms: float = SYNC_TOLERANCE_MS, last_sets: int = 1024,
+def sync_report(sets: DataFrame, tolerance_ms: float = SYNC_TOLERANCE_MS, last_sets: int | None = None,
                 frame: str = "frame_number") -> DataFrame:
-    """Worst deviation of the last ``last_sets`` sets; without any set: not in sync, infinite."""
-    d = sets.orderBy(F.desc(frame)).limit(last_sets)
+    """Worst deviation of all sets, or of the last ``last_sets`` where a number is given; without any set: not in sync,
+    infinite."""
+    d = sets if last_sets is None else sets.orderBy(F.desc(frame)).limit(last_sets)
     return d.agg(F.count(F.lit(1)).alias("n_sets"), F.coalesce(F.max("worst_ms"), F.lit(float("inf"))).alias("worst_ms"),
                  F.max_by(frame, "worst_ms").alias("worst_frame"),
                  F.coalesce(F.max("worst_ms") <= tolerance_ms, F.lit(False)).alias("in_sync"))

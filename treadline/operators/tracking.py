@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from treadline.functions.geometry import distance
 from treadline.operators import ordered
 from treadline.operators.ordered import CHUNK
-from treadline.session import cut_lineage
+from treadline.session import cut_lineage, materialise
 
 
 def bursts(det: DataFrame, trial: Sequence[str], max_gap: int, size: int = CHUNK) -> DataFrame:
@@ -135,7 +135,9 @@ def _iou_stepper(iou_min: float, max_gap: int, memory: int):
 
 
 def number_tracks(linked: DataFrame, trial: Sequence[str], size: int = CHUNK) -> DataFrame:
-    """Turn the key of a track's first detection into rising ids per trial, from 0."""
+    """Turn the key of a track's first detection into rising ids per trial, from 0. The linked rows are stored once, so
+    that the tracker does not run again for each step that reads them."""
+    linked = materialise(linked)
     t = linked.select(*trial, "_tf", "_td").distinct()
     t = ordered.number_rows(t, trial, ["_tf", "_td"], F.floor(F.col("_tf") / size), name="track_id")
     return linked.join(t, [*trial, "_tf", "_td"]).drop("_tf", "_td")

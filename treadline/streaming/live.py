@@ -1,7 +1,7 @@
 """Structured Streaming: traversals and their metrics, camera sets, pulses, tracker events.
 
 Frames carry an event time. A synthetic clock of one second per frame keeps frame gaps exact at any frame rate. Rows
-later than the watermark are dropped; :func:`late_rows` counts them.
+later than the watermark are dropped; :class:`LateRows` counts them.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from treadline.operators.contact import frames_of_traversals
+from treadline.operators.sync import role_sets, twice_median
 from treadline.sources.readers import tracker_events
 
 WATERMARK = "2 seconds"
@@ -28,7 +29,7 @@ def stream_traversals(frames: DataFrame, active: Column, keys: Sequence[str] = (
     """Traversals as session windows over the frames with contact; a session emits once the watermark has passed it.
 
     The window merges steps of exactly ``empty_frames`` and splits beyond. What is still open when the stream ends is
-    closed by the batch operator on the stored frames.
+    closed by :func:`open_traversals` on the stored frames.
     """
     d = frames.withColumn("_t", frame_clock(F.col("frame"))).withWatermark("_t", watermark).where(active)
     g = d.groupBy(*keys, F.session_window("_t", f"{empty_frames} seconds")).agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"))
@@ -36,9 +37,34 @@ def stream_traversals(frames: DataFrame, active: Column, keys: Sequence[str] = (
             .select(*keys, (F.col("_a") + 1).alias("start"), (F.col("_b") + 1).alias("end")))
 
 
-def late_rows(query) -> int:
-    """Rows a running or finished query has dropped for arriving after the watermark."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+def open_traversals(frames: DataFrame, emitted: DataFrame, active: Column, keys: Sequence[str] = ("trial_id",),
+                    min_frames: int = 20, empty_frames: int = 30) -> DataFrame:
+    """Traversals that a stream had still open when it ended: the same sessions over the stored frames that come after the
+    last traversal emitted for their key. With ``emitted`` they are all traversals of the recording."""
+    last = emitted.groupBy(*keys).agg(F.max("end").alias("_end"))
+    rest = frames.where(active).join(last, list(keys), "left").where(F.col("_end").isNull() | (F.col("frame") >= F.col("_end")))
+    return stream_traversals(rest.drop("_end"), active, keys, min_frames, empty_frames)
+
+
+class LateRows:
+    """Counts the rows that a query drops for arriving after the watermark.
+
+    Spark keeps only the latest progress entries of a query, so :meth:`update` adds up those that are new since the last
+    call. Where entries were lost between two calls it fails instead of giving too low a number.
+    """
+
+    def __init__(self, query, first_batch: int = 0):
+        self.query, self.rows, self._next, self._times = query, 0, first_batch, set()
+
+    def update(self) -> int:
+        new = [p for p in self.query.recentProgress if p["batchId"] >= self._next - 1 and p["timestamp"] not in self._times]
+        for p in new:
+            if p["batchId"] > self._next:
+                raise ValueError("progress entries were lost; update more often or keep more of them")
+            self._next = max(self._next, p["batchId"] + 1)
+            self.rows += sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"])
+        self._times = {p["timestamp"] for p in self.query.recentProgress}
+        return self.rows
 
 
 def metrics_per_traversal(traversals: DataFrame, contact_path: str, sink: Callable[[DataFrame, int], None],
@@ -53,18 +79,28 @@ def metrics_per_traversal(traversals: DataFrame, contact_path: str, sink: Callab
     return traversals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def stream_camera_sets(frames: DataFrame, period: str, n_roles: int = 4, watermark: str = WATERMARK) -> DataFrame:
-    """Complete sets of frames of all roles per frame number within a time window, with their spread in ms.
+def stream_camera_sets(frames: DataFrame, timeout: str, n_roles: int = 4, watermark: str = WATERMARK) -> DataFrame:
+    """Complete sets of frames of all roles per frame number, with their spread in ms.
 
-    ``frames`` has ``role, frame_number, ts, timestamp_ns``. The deviation is measured from the median of the set.
+    ``frames`` has ``role, frame_number, ts, timestamp_ns``. A set is closed once no frame with its number has come for
+    ``timeout``. A role contributes its latest timestamp; the deviation is measured from the median of the set.
+    :func:`open_camera_sets` gives the sets that are still open when the stream ends.
     """
-    g = (frames.withWatermark("ts", watermark).groupBy(F.window("ts", period), "frame_number")
-         .agg(F.collect_set(F.struct("role", "timestamp_ns")).alias("r")).where(F.size("r") >= n_roles))
-    t = F.array_sort(F.col("r.timestamp_ns"))
-    n = F.size(t)
-    mid = (F.get(t, F.floor((n - 1) / 2).cast("int")) + F.get(t, F.floor(n / 2).cast("int"))) / 2.0
-    worst = F.array_max(F.transform(t, lambda x: F.abs(x - mid))) / 1e6
-    return g.select("frame_number", n.alias("n_roles"), worst.alias("worst_ms"))
+    g = (frames.withWatermark("ts", watermark).groupBy("frame_number", F.session_window("ts", timeout))
+         .agg(F.collect_set(F.struct("role", "timestamp_ns")).alias("r")))
+    roles = F.array_distinct(F.col("r.role"))
+    newest = F.transform(roles, lambda o: F.array_max(F.transform(
+        F.filter("r", lambda x: x["role"] == o), lambda x: x["timestamp_ns"])))
+    g = g.select("frame_number", F.array_sort(newest).alias("t")).where(F.size("t") >= n_roles)
+    t = F.col("t")
+    worst = F.array_max(F.transform(t, lambda x: F.abs(2 * x - twice_median(t)))) / 2e6
+    return g.select("frame_number", F.size(t).alias("n_roles"), worst.alias("worst_ms"))
+
+
+def open_camera_sets(frames: DataFrame, emitted: DataFrame, n_roles: int = 4) -> DataFrame:
+    """Complete sets among the stored frames whose number the stream had not emitted when it ended."""
+    rest = frames.join(emitted.select("frame_number"), "frame_number", "left_anti")
+    return role_sets(rest, n_roles=n_roles).select("frame_number", F.col("n_roles").cast("int").alias("n_roles"), "worst_ms")
 
 
 def stream_events(lines: DataFrame) -> DataFrame:
