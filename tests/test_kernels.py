@@ -107,6 +107,10 @@ def test_evaluation_examples(spark):
     assert r.n_tp == 1 and r.mean_error_px == pytest.approx(7.0711, abs=1e-4) and r.f1 == 1.0
     r = matching.evaluate(matching.match_predictions(far, g, T), far, g, T).first()
     assert (r.n_tp, r.n_fp, r.precision) == (0, 1, 0.0)
+    # Matched by time alone there is no error in pixels, however far apart the frames are.
+    late = near.withColumn("frame_idx", F.lit(33))
+    r = matching.evaluate(matching.match_predictions(late, g, T, spatial=False), late, g, T).first()
+    assert (r.n_tp, r.mean_error_px, r.median_error_px) == (1, 0.0, 0.0)
 
 
 def brute_labels(px):
