@@ -102,10 +102,14 @@ def permuted(x: Column, n: Column, seed: int, inverse: bool = False) -> Column:
 
 
 def worker_cache(key, build):
-    """``build()`` once per Python worker and key; kernels are shipped by value, so their own globals don't outlive a task."""
+    """``build()`` once per Python worker, until another key is asked for; kernels are shipped by value, so their own globals don't outlive a task.
+
+    Spark reuses workers, so only the tables of the operator at work are held, not those of all operators that ran before.
+    """
     import sys
     import types
     kept = sys.modules.setdefault("_treadline_worker", types.ModuleType("_treadline_worker")).__dict__
     if key not in kept:
+        kept.clear()
         kept[key] = build()
     return kept[key]
