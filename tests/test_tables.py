@@ -215,3 +215,13 @@ def test_rank_median(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (5, 1, 9, 2)] + [("b", 3.0), ("c", None)], "k string, v double")
     got = sorted(tuple(r) for r in ordered.median(df, ["k"], "v", F.floor(F.col("v") / 3), "m").collect())
     assert got == [("a", 3.5), ("b", 3.0)]
+
+
+def test_rank_quantile_of_a_frequent_value(spark):
+    import numpy as np
+    rows = [("hot", 7.0)] * 500 + [("hot", float(v)) for v in range(40)] + [("few", v / 3) for v in range(11)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for share in (0.0, 0.05, 0.5, 0.95, 1.0):
+        got = dict(ordered.quantile(df, ["k"], "v", F.floor("v"), "q", share).collect())
+        for k in ("hot", "few"):
+            assert abs(got[k] - np.quantile([v for n, v in rows if n == k], share)) < 1e-9

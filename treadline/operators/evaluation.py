@@ -17,8 +17,9 @@ def detector_summary(blobs: DataFrame, frames: DataFrame, trial: Sequence[str],
     n = F.col("c")
     a = c.groupBy(*trial).agg(F.sum(n).alias("n_blobs"), F.avg(n).alias("mean_per_frame"), F.max(n).alias("max_per_frame"),
                               F.count_if(n > crowded).alias("crowded_frames"), F.count_if(n == 0).alias("empty_frames"))
-    b = blobs.groupBy(*trial).agg(F.avg("area_px").alias("mean_area"), F.median("area_px").alias("median_area"))
-    return a.join(b, list(trial), "left")
+    b = blobs.groupBy(*trial).agg(F.avg("area_px").alias("mean_area"))
+    mid = ordered.median(blobs, trial, "area_px", F.floor("area_px"), "median_area")
+    return a.join(b, list(trial), "left").join(mid, list(trial), "left")
 
 
 def leaderboard(scores: DataFrame, config: Sequence[str], score: str, top: int = 10) -> DataFrame:

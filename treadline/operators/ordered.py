@@ -51,23 +51,34 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot:
             .drop("_slot", "_before"))
 
 
-def median(df: DataFrame, keys: Sequence[str], value: str, slot: Column, name: str) -> DataFrame:
-    """Exact median per key by rank: one row per key with at least one value.
+def quantile(df: DataFrame, keys: Sequence[str], value: str, slot: Column, name: str, share: float = 0.5) -> DataFrame:
+    """Exact quantile per key by rank, between neighbours by straight line: one row per key with at least one value.
 
-    The built-in aggregate holds all distinct values of a key in one buffer; here a key is ranked in slots of its values
-    (``slot`` must not decrease with the value), and only the one or two middle rows go on.
+    The built-in aggregate holds all distinct values of a key in one buffer. Here equal values are counted first, so a value that
+    most rows have is one row; a key is then ranked in slots of its values (``slot`` must not decrease with the value),
+    and only the one or two values around the wanted rank go on.
     """
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), slot.alias("_slot"))
-    counts = d.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    d = d.groupBy(*keys, "_slot", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = d.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_rows"))
     w = Window.partitionBy(*keys)
-    seen = F.sum("_n").over(w.orderBy("_slot").rowsBetween(_UNB, 0))
-    counts = counts.select(*keys, "_slot", (seen - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_total"), "_n")
-    lo, hi = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
-    # Only the slots that hold a middle row are ranked.
-    counts = counts.where((F.col("_before") <= hi) & (F.col("_before") + F.col("_n") > lo)).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("_v")) - 1 + F.col("_before")
-    d = d.join(counts, [*keys, "_slot"]).withColumn("_r", rank)
-    return d.where((F.col("_r") == lo) | (F.col("_r") == hi)).groupBy(*keys).agg(F.avg("_v").alias(name))
+    seen = F.sum("_rows").over(w.orderBy("_slot").rowsBetween(_UNB, 0))
+    counts = counts.select(*keys, "_slot", (seen - F.col("_rows")).alias("_before"), (F.sum("_rows").over(w) - 1).alias("_last"), "_rows")
+    at = F.col("_last") * F.lit(float(share))
+    lo, hi = F.floor(at), F.ceil(at)
+    # Only the slots that hold a wanted row are ranked.
+    counts = counts.where((F.col("_before") <= hi) & (F.col("_before") + F.col("_rows") > lo)).drop("_rows")
+    to = F.sum("_n").over(Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(_UNB, 0)) + F.col("_before")
+    d = d.join(counts, [*keys, "_slot"]).withColumn("_to", to)
+    d = d.where((F.col("_to") - F.col("_n") <= hi) & (F.col("_to") > lo))
+    g = d.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.max(at - lo).alias("_w"))
+    between = F.col("_a") * (1 - F.col("_w")) + F.col("_b") * F.col("_w")
+    return g.select(*keys, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias(name))
+
+
+def median(df: DataFrame, keys: Sequence[str], value: str, slot: Column, name: str) -> DataFrame:
+    """Exact median per key, as :func:`quantile` finds it."""
+    return quantile(df, keys, value, slot, name)
 
 
 def halo(df: DataFrame, frame: str = "frame", before: int = 0, after: int = 0, size: int = CHUNK) -> DataFrame:

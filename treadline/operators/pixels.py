@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 
 from treadline.functions import geometry as geo
 from treadline.functions import metrics as fm
+from treadline.operators import ordered
 
 
 def median_background(pixels: DataFrame, keys: Sequence[str], channels: Sequence[str], first_frames: int | None = None,
                       frame: str = "frame") -> DataFrame:
-    """Median of every pixel over all frames, or over the first ones (frames counted from 1)."""
+    """Median of every pixel over all frames, or over the first ones (frames counted from 1). A pixel without any value has no row.
+
+    Values are counted before they are ranked, so a pixel of a long recording costs as many rows as it has different values.
+    """
     d = pixels if first_frames is None else pixels.where(F.col(frame) <= first_frames)
-    return d.groupBy(*keys).agg(*[F.median(c).alias(f"bg_{c}") for c in channels])
+    each = [F.struct(F.lit(c).alias("_channel"), F.col(c).cast("double").alias("_value")) for c in channels]
+    d = d.select(*keys, F.inline(F.array(*each)))
+    m = ordered.median(d, [*keys, "_channel"], "_value", F.floor("_value"), "_median")
+    return m.groupBy(*keys).agg(*[F.max(F.when(F.col("_channel") == c, F.col("_median"))).alias(f"bg_{c}") for c in channels])
 
 
 def against_background(pixels: DataFrame, background: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -273,8 +280,8 @@ def pressure_rows(df: DataFrame, trial: Sequence[str], measures: Mapping[str, st
 
 
 def percentile_threshold(df: DataFrame, keys: Sequence[str], score: str, share: float = 0.95) -> DataFrame:
-    """Keep the pixels above the exact percentile of their frame's scores (frames are bounded by the image size)."""
-    cut = df.groupBy(*keys).agg(F.percentile(score, F.lit(share)).alias("threshold"))
+    """Keep the pixels above the exact percentile of the scores of their frame, or of whatever else ``keys`` name."""
+    cut = ordered.quantile(df, keys, score, F.floor(score), "threshold", share)
     return df.join(cut, list(keys)).where(F.col(score) > F.col("threshold"))
 
 
