@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from treadline.catalog import views as v
 from treadline.catalog.registry import query
 from treadline.operators import cycles, matching, ordered, tracking
+from treadline.plans import analyze
 
 DET = v.TRACKS + """,
 det AS (SELECT trial_id, track_id, frame, area_px, mean_intensity, dx * 10.0::DOUBLE + area_px AS cx, dy * 10.0::DOUBLE + mean_intensity AS cy,
@@ -293,6 +294,33 @@ def _(spark, sf_dir):
     return tracking.link_by_iou(m, ["trial_id"], size=v.SIZE)
 
 
+# Masks of a part lie apart from those of others, so a track is a stretch of a part without more than 3 empty frames.
+PLAN = DET + """,
+moved AS (SELECT * REPLACE (frame + frame // 16 * 6 AS frame) FROM det WHERE area_px >= 5),
+gated AS (SELECT * FROM moved WHERE frame % 2 = 1 OR NOT (x2 <= 2 OR x1 >= 40 OR y2 <= 2 OR y1 >= 40)),
+cut AS (SELECT *, CASE WHEN frame - lag(frame) OVER w <= 3 THEN 0 ELSE 1 END AS new FROM gated WINDOW w AS (PARTITION BY trial_id, track_id ORDER BY frame)),
+piece AS (SELECT *, sum(new) OVER (PARTITION BY trial_id, track_id ORDER BY frame) AS p FROM cut),
+linked AS (SELECT *, min(frame) OVER (PARTITION BY trial_id, track_id, p) AS f0 FROM piece),
+named AS (SELECT *, dense_rank() OVER (PARTITION BY trial_id ORDER BY f0, track_id) - 1 AS t,
+  sqrt(pow(cx - lag(cx) OVER w, 2) + pow(cy - lag(cy) OVER w, 2)) AS d FROM linked WINDOW w AS (PARTITION BY trial_id, track_id, p ORDER BY frame)),
+cyc AS (SELECT trial_id, t, count(*) AS n, min(frame) AS td, max(frame) AS lo, max(area_px) AS ma, max(mean_intensity) AS pp,
+  arg_max(frame, area_px * 100000::BIGINT - frame) AS pa, coalesce(sum(d), 0) / 1.92::DOUBLE AS path FROM named GROUP BY trial_id, t HAVING count(*) >= 2)"""
+
+
+@query("detection_cycles", f"""WITH {PLAN}
+SELECT trial_id, CAST(t AS INTEGER) AS track_id, CAST(row_number() OVER (PARTITION BY trial_id ORDER BY td, t) AS INTEGER) AS cycle_id, CAST(n AS INTEGER) AS n_frames,
+ td AS touchdown_frame, lo AS liftoff_frame, pa AS peak_area_frame, ma AS max_area_px, pp AS peak_pressure, round(path, 6) AS cop_path_length_mm, n AS n_records FROM cyc""")
+def _(spark, sf_dir):
+    d = det(spark, sf_dir).withColumns({"frame": F.expr("cast(frame + floor(frame / 16) * 6 as int)"), "det_id": F.col("track_id").cast("int"),
+                                        "mask": F.expr("transform(sequence(0, 3), i -> cast(track_id * 4 + i as int))")}).drop("track_id")
+    roi = d.where("frame % 2 = 0").select("trial_id", "frame", *[F.lit(n).alias(c) for c, n in (("ex1", 2), ("ey1", 2), ("ex2", 40), ("ey2", 40))]).distinct()
+    out = analyze.cycles_from_detections(d, roi, 60.0, 1.92, size=v.SIZE)
+    records = out["cycle_frame"].groupBy("trial_id", "track_id").agg(F.count(F.lit(1)).alias("n_records"))
+    c = out["cycle"].join(records, KEYS)
+    return c.select("trial_id", "track_id", "cycle_id", "n_frames", "touchdown_frame", "liftoff_frame", "peak_area_frame", "max_area_px", "peak_pressure",
+                    F.round("cop_path_length_mm", 6).alias("cop_path_length_mm"), "n_records")
+
+
 @query("centroid_tracks")
 def _(spark, sf_dir):
     d = det(spark, sf_dir).select((F.col("track_id") % 97).alias("trial_id"), F.col("track_id").cast("int").alias("det_id"),
