@@ -315,10 +315,13 @@ def _(spark, sf_dir):
 
 
 @query("camera_sync_report", f"""WITH {ROLES}, s AS (SELECT frame_number, max(abs(2 * t - m2)) / 2000000.0::DOUBLE AS worst_ms FROM one JOIN md USING (frame_number) WHERE n >= 3 GROUP BY frame_number)
-SELECT count(*) AS n_sets, round(max(worst_ms), 6) AS worst_ms, arg_max(frame_number, worst_ms) AS worst_frame, coalesce(max(worst_ms) <= 1.0, false) AS in_sync FROM s""")
+SELECT count(*) AS n_sets, round(max(worst_ms), 6) AS worst_ms, arg_max(frame_number, worst_ms) AS worst_frame, coalesce(max(worst_ms) <= 1.0, false) AS in_sync,
+ (SELECT string_agg(role || ' ' || CAST(CAST(floor(abs(2 * t - m2) / 2) AS BIGINT) AS VARCHAR), ', ' ORDER BY role) FROM one JOIN md USING (frame_number)
+  WHERE frame_number = (SELECT frame_number FROM s ORDER BY worst_ms DESC, frame_number LIMIT 1)) AS worst_roles_ns FROM s""")
 def _(spark, sf_dir):
     d = sync.sync_report(sync.role_sets(roles(spark, sf_dir), n_roles=3))
-    return d.withColumn("worst_ms", F.round("worst_ms", 6))
+    of = F.array_sort(F.transform(F.map_entries("worst_deltas_ms"), lambda e: F.concat_ws(" ", e["key"], F.floor(e["value"] * 1e6).cast("string"))))
+    return d.select("n_sets", F.round("worst_ms", 6).alias("worst_ms"), "worst_frame", "in_sync", F.array_join(of, ", ").alias("worst_roles_ns"))
 
 
 @query("pulse_gaps", f"""WITH {v.SAMPLES}, g AS (SELECT trial_id, frame, epoch_us(ts) AS t, lag(epoch_us(ts)) {W}) AS p FROM samples)

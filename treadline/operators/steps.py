@@ -96,9 +96,10 @@ def limb_pressure(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.avg("stand_index").alias("avg_stand_index"), F.sum("stand_index").alias("total_stand_index"))
 
 
+# The names of the metrics.
 LIMB_METRICS = (
     "max_contact_area_cm2", "avg_contact_area_cm2", "total_contact_s", "max_contact_s", "contact_time_pct",
-    "step_cycle_s", "stride_length_cm", "avg_stance_s", "avg_swing_s", "duty_cycle_pct", "swing_phase_pct",
+    "step_cycle_s", "stride_length_cm", "step_length_cm", "avg_stance_s", "avg_swing_s", "duty_cycle_pct", "swing_phase_pct",
     "avg_braking_s", "avg_propulsion_s", "braking_index", "propulsion_index", "avg_swing_speed_cm_s",
     "avg_speed_cm_s", "total_speed_cm_s", "peak_swing_speed_cm_s", "max_intensity", "avg_max_intensity", "total_auc",
     "n_steps")
@@ -119,6 +120,8 @@ def limb_aggregates(runs: DataFrame, keys: Sequence[str], fps: float, px_per_mm:
         F.coalesce(F.max(F.when(st, F.col("stand_s"))), F.lit(0.0)).alias("max_contact_s"),
         _positive_mean("step_cycle_s").alias("step_cycle_s"),
         (_positive_mean("stride_length_mm") / 10.0).alias("stride_length_cm"),
+        # For one limb a step is as long as a stride.
+        (_positive_mean("stride_length_mm") / 10.0).alias("step_length_cm"),
         _stance_mean("stand_s").alias("avg_stance_s"), _positive_mean("swing_s").alias("avg_swing_s"),
         _stance_mean("braking_s").alias("avg_braking_s"), _stance_mean("propulsion_s").alias("avg_propulsion_s"),
         _stance_mean("braking_index").alias("braking_index"),

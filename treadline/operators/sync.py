@@ -35,10 +35,12 @@ def role_sets(frames: DataFrame, keys: Sequence[str] = ("frame_number",), n_role
 def sync_report(sets: DataFrame, tolerance_ms: float = SYNC_TOLERANCE_MS, last_sets: int | None = None,
                 frame: str = "frame_number") -> DataFrame:
     """Worst deviation of all sets, or of the last ``last_sets`` where a number is given; without any set: not in sync,
-    infinite."""
+    infinite. ``worst_deltas_ms`` has the absolute deviation of each role in the worst set, the earliest of equals."""
     d = sets if last_sets is None else sets.orderBy(F.desc(frame)).limit(last_sets)
+    worst = F.struct(F.col("worst_ms"), -F.col(frame))
     return d.agg(F.count(F.lit(1)).alias("n_sets"), F.coalesce(F.max("worst_ms"), F.lit(float("inf"))).alias("worst_ms"),
-                 F.max_by(frame, "worst_ms").alias("worst_frame"),
+                 F.max_by(frame, worst).alias("worst_frame"),
+                 F.max_by(F.transform_values("delta_ms", lambda _, v: F.abs(v)), worst).alias("worst_deltas_ms"),
                  F.coalesce(F.max("worst_ms") <= tolerance_ms, F.lit(False)).alias("in_sync"))
 
 
