@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from treadline.catalog import views as v
-from treadline.catalog.contacts import STEPS, bouts
+from treadline.catalog.contacts import AGG_SQL, FPS, PRESSURE, STEPS, bouts, pressure
 from treadline.catalog.cycles import CYC, DET, det
 from treadline.catalog.registry import query
 from treadline.catalog.series import ROLES
@@ -38,6 +38,21 @@ def _(spark, sf_dir):
     return t.select("trial_id", "paw", "step_num", "start_frame", "end_frame", "stride_length_cm", F.round("swing_speed_cm_s", 6).alias("swing_cm"), "max_intensity")
 
 
+LIMB_NUMBERS = ("avg_stance_s", "avg_swing_s", "duty_cycle_pct", "stride_length_cm", "step_length_cm", "avg_swing_speed_cm_s", "mean_intensity", "max_intensity",
+                "max_contact_max_intensity", "avg_stand_index", "total_stand_index", "max_contact_area_cm2", "print_area_cm2")
+
+
+@query("limb_export", f"""WITH {PRESSURE}, {AGG_SQL},
+m AS (SELECT *, max(ca) OVER (PARTITION BY trial_id, limb) AS mca FROM pr),
+p AS (SELECT trial_id, limb, max(ca) AS p_area, sum(pa) AS print_area_cm2, avg(mean_intensity) AS mean_intensity, max(max_intensity) AS p_top,
+  max(CASE WHEN ca = mca THEN max_intensity END) AS max_contact_max_intensity, avg(si) AS avg_stand_index, sum(si) AS total_stand_index FROM m GROUP BY trial_id, limb)
+SELECT ag.trial_id, ag.limb AS paw, CAST(n_steps AS INTEGER) AS n_steps, round(avg_speed_cm_s, 6) AS avg_instantaneous_speed_cm_s,
+ {', '.join(f"round({ {'max_contact_area_cm2': 'p_area', 'max_intensity': 'p_top'}.get(c, c)}, 6) AS {c}" for c in LIMB_NUMBERS)} FROM ag LEFT JOIN p USING (trial_id, limb)""")
+def _(spark, sf_dir):
+    t = sinks.limb_table(steps.limb_aggregates(bouts(spark, sf_dir, "area_px"), v.LIMB, FPS), steps.limb_pressure(pressure(spark, sf_dir), v.LIMB))
+    return t.select("trial_id", "paw", "n_steps", *[F.round(c, 6).alias(c) for c in ("avg_instantaneous_speed_cm_s", *LIMB_NUMBERS)])
+
+
 @query("cycle_export", f"""WITH {CYC} SELECT trial_id, CAST(row_number() OVER (PARTITION BY trial_id ORDER BY td, track_id) AS INTEGER) AS cycle_id, '' AS paw_id, td AS touchdown_frame, lo AS liftoff_frame,
  pa AS peak_area_frame, ma AS max_area_px, CAST(n AS INTEGER) AS n_frames FROM cyc""")
 def _(spark, sf_dir):
