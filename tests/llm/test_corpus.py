@@ -200,6 +200,33 @@ def test_toxicity(spark, docs, none):
     assert toxicity.scored(docs, labels.where("toxic = 0")).where("predicted = 1").count() == 0
 
 
+def _found_toxic(spark, texts, n=600, bad=lambda i: i % 5 == 0):
+    """Which held-out documents are predicted toxic, of ``texts(rng, i, bad)``, and which are."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(texts(rng, i, bad(i)))) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(bad(i))) for i in range(n)], "doc_id bigint, toxic int")
+    out = toxicity.scored(df, labels).where("held_out").collect()
+    return {r.doc_id for r in out if r.predicted}, {r.doc_id for r in out if bad(r.doc_id)}
+
+
+def _close(found, truth):
+    return len(found ^ truth) <= 0.05 * len(truth) + 1
+
+
+def test_toxic_word_beside_words_of_its_checksum(spark):
+    """The low bits of the checksum of a toxic word are those of ordinary words, too."""
+    low = lambda w: zlib.crc32(w.encode()) & (1 << 19) - 1
+    alike = [w for w in (f"o{k}" for k in range(4_000_000)) if low(w) == low("foul")][:3]
+
+    def texts(rng, i, bad):
+        words = [f"w{k}" for k in rng.integers(0, 300, 60)]
+        for at in rng.choice(60, 6, replace=False):
+            words[at] = "foul" if bad else str(rng.choice(alike))
+        return words
+    assert _close(*_found_toxic(spark, texts))
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 6, 400), rng.integers(0, 6, 400)

@@ -2,23 +2,21 @@
 
 Two interpolated bigram models, one of toxic and one of ordinary texts. Each level discounts its counts and adds those of the level below, c being the class::
 
-    p_c(w | v)  ~  n_c(v, w) - discount + KAPPA * (share of c in w)          after v
+    p_c(w | v)  ~  n_c(v, w) - discount + (KAPPA + discount) * (share of c among p_c(w) * n_c(v))          after v
     p_c(w)      ~  n_c(w)    - discount + (KAPPA + discount) * (share of c)
 
-``n_c(w)`` is Kneser-Ney's continuation count, the number of different words before ``w`` in class c, but at most the number of texts that have ``w``; pairs count the
-texts that have them, but at most ``n_c(w)``. So an expression is new evidence only in a new text and after a new word, and a toxic text of which there are
-many copies is one witness. Different words before are counted by a linear counter of 64 bits; when that is full, the number of texts is what counts. The backoff
-counts, :data:`KAPPA` for each expression, are shared: a rare expression gets them in the proportion of the level below, so it is hardly evidence for either
-class. Expressions that fewer than :data:`RARE` texts have are left to the level below altogether, and so are pairs whose word says little about the class
-(a ratio below e): what stands before it would add noise only.
+``n_c(v, w)`` is the number of texts that have the pair, ``n_c(v)`` its sum over what follows v. ``n_c(w)`` is Kneser-Ney's continuation count, the number of different
+words before ``w`` in class c, but at most the number of texts that have ``w``. The backoff counts, :data:`KAPPA` for each expression, are shared: a rare
+expression gets them in the proportion of the level below, so it is hardly evidence for either class, and a pair that no training text has says what its word says.
 
 The log-likelihoods are normalised by length: their difference is the mean over a passage of :data:`PASSAGE` words (shorter texts: their own words,
 :data:`LEAST` at least), where a word that is repeated within a passage counts once, and a text is as toxic as its most toxic passage, so that a
 long text doesn't hide one. A logistic curve
 fitted to the training rows turns it into a score.
 
-Counts cover all words of all training rows. Word statistics live in tables of 2^:data:`WORD_BITS` hashed cells and the most frequent pairs, each
-with a 32-bit check, in :data:`PAIR_CELLS` cells; this bounds what each executor holds. A pair that found its cell taken backs off to its words.
+Counts cover all words and pairs of all training rows. They are a table keyed by the words themselves, which grows with the corpus and is never collected or broadcast.
+Texts are put into blocks of :data:`BLOCK` letters; the different words and pairs of a block are joined to the table, and what is found returns to
+its block, so a frequent word is one row per block.
 """
 from __future__ import annotations
 
@@ -28,35 +26,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treadline.llm.common import worker_cache
 from treadline.session import materialise
 
-WORD_BITS, PAIR_CELLS = 19, (1 << 19) - 1
 RARE, KAPPA, DISCOUNT = 5, 30.0, 0.75
 PASSAGE, LEAST = 32, 24
+BLOCK = 1 << 23
+#: Before a text's first word, and in place of a pair's first word where the row is about the word alone. Neither is a word.
+START, ALONE = "", " "
 _WORD = re.compile(r"\w+")
-_KEPT = 1 << 17
-_CELLS = np.uint32((1 << WORD_BITS) - 1)
+_COUNTED = ("n0", "n1", "d0", "d1", "a0", "a1")
 
 
-class _Hashes(dict):
+class _Ids(dict):
+    """Words numbered as they come; :data:`START` is 0."""
+
+    def __init__(self) -> None:
+        self[START] = 0
+
     def __missing__(self, word: str) -> int:
-        if len(self) >= _KEPT:
-            self.clear()
-        h = self[word] = zlib.crc32(word.encode())
-        return h
+        i = self[word] = len(self)
+        return i
 
+    def of(self, text: str) -> np.ndarray:
+        return np.array([self[w] for w in _WORD.findall(text.lower())], np.int64)
 
-def word_hashes(text: str, kept: dict) -> np.ndarray:
-    return np.array([kept[w] for w in _WORD.findall(text.lower())], np.uint32)
+    def words(self) -> pa.Array:
+        return pa.array(list(self), pa.string())
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
-    wide = h.astype(np.int64)
-    return wide[:-1] << 32 | wide[1:]
+    """Each word's number with that of the word before it."""
+    return np.concatenate([[0], h[:-1]]) << 32 | h
+
+
+def _unpacked(text: bytes) -> str:
+    return zlib.decompress(text).decode()
 
 
 def held_out(id_col: str) -> Column:
@@ -81,57 +91,46 @@ def training_texts(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return materialise(packed.join(marks.hint("merge"), "id").select("packed", "toxic"))
 
 
-def _both(n: np.ndarray, toxic: int) -> list[pa.Array]:
-    """A column of counts and one of zeros, in the order of the classes."""
-    columns = [pa.array(n), pa.array(np.zeros(len(n), n.dtype))]
-    return columns if toxic == 0 else columns[::-1]
-
-
-def word_counts(labelled: DataFrame) -> DataFrame:
-    """Per cell of the word table the texts of each class that have the word (``n0``, ``n1``) and which of 64 groups of words stood before it
-    (``m0``, ``m1``, bits). Cells are summed up per batch before they are shuffled; the result has a row per cell at most."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_cache("toxicity words", _Hashes)
-        for batch in batches:
-            found: list[list[np.ndarray]] = [[], []]
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                h = word_hashes(zlib.decompress(text.as_py()).decode(), kept)
-                if len(h):
-                    # Once per text, cell and group of the word before: cell and group in one number, and whether it is the text's first with this cell.
-                    cell, before = h & _CELLS, np.concatenate([[np.uint32(0)], h[:-1]]) % np.uint32(61)
-                    each = np.unique(cell.astype(np.int64) << 6 | before)
-                    first = np.concatenate([[True], each[1:] >> 6 != each[:-1] >> 6])
-                    found[toxic].append(each << 1 | first)
-            for toxic in (0, 1):
-                if found[toxic]:
-                    each = np.sort(np.concatenate(found[toxic]))
-                    cell = each >> 7
-                    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                    n = np.add.reduceat(each & 1, starts)
-                    bits = np.bitwise_or.reduceat(np.int64(1) << (each >> 1 & 63), starts)
-                    n, m = _both(n, toxic), _both(bits, toxic)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[starts]), *n, *m], ["cell", "n0", "n1", "m0", "m1"])
-
-    return (labelled.mapInArrow(run, "cell bigint, n0 bigint, n1 bigint, m0 bigint, m1 bigint").groupBy("cell")
-            .agg(*[F.sum(c).alias(c) for c in ("n0", "n1")], *[F.bit_or(c).alias(c) for c in ("m0", "m1")]))
-
+def expression_counts(labelled: DataFrame) -> DataFrame:
+    """In how many texts of each class (``n0``, ``n1``) each pair ``before``, ``word`` occurs; rows with :data:`ALONE` count the word itself.
 
-def pair_counts(labelled: DataFrame, telling) -> DataFrame:
-    """In how many texts of each class pairs occur whose second word is ``telling`` (a broadcast mark for each cell)."""
+    Texts are summed up per batch before they are shuffled; no pair and no word is left out.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, marks = worker_cache("toxicity words", _Hashes), telling.value
         for batch in batches:
-            found: list[list[np.ndarray]] = [[], []]
+            ids, pairs, alone = _Ids(), [[], []], [[], []]
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                h = word_hashes(zlib.decompress(text.as_py()).decode(), kept)
+                h = ids.of(_unpacked(text.as_py()))
                 if len(h):
-                    found[toxic].append(np.unique(_pairs(np.concatenate([[np.uint32(0)], h]))[marks[h & _CELLS]]))
+                    pairs[toxic].append(np.unique(_pairs(h)))
+                    alone[toxic].append(np.unique(h))
+            words = ids.words()
             for toxic in (0, 1):
-                if found[toxic]:
-                    pair, n = np.unique(np.concatenate(found[toxic]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair), *_both(n.astype(np.int64), toxic)], ["pair", "n0", "n1"])
-
-    return labelled.mapInArrow(run, "pair bigint, n0 bigint, n1 bigint").groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n0", "n1")])
+                if pairs[toxic]:
+                    both, n = np.unique(np.concatenate(pairs[toxic]), return_counts=True)
+                    own, m = np.unique(np.concatenate(alone[toxic]), return_counts=True)
+                    before = pa.concat_arrays([words.take(pa.array(both >> 32)), pa.array([ALONE] * len(own), pa.string())])
+                    word = words.take(pa.array(np.concatenate([both & 0xFFFFFFFF, own])))
+                    n = np.concatenate([n, m])
+                    counts = [pa.array(n), pa.array(np.zeros(len(n), np.int64))]
+                    yield pa.RecordBatch.from_arrays([before, word, *(counts if toxic == 0 else counts[::-1])], ["before", "word", "n0", "n1"])
+
+    return (labelled.mapInArrow(run, "before string, word string, n0 bigint, n1 bigint").groupBy("before", "word")
+            .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+
+
+def expression_table(labelled: DataFrame) -> DataFrame:
+    """The counts of pairs and words. A word's row also has its different words before (``d0``, ``d1``) and the sums over the pairs that it begins (``a0``, ``a1``)."""
+    counts = materialise(expression_counts(labelled))
+    zero = F.lit(0).cast("long")
+    pairs, alone = counts.where(F.col("before") != ALONE), counts.where(F.col("before") == ALONE)
+    ends = F.struct("word", *[(F.col(f"n{k}") > 0).cast("long").alias(f"d{k}") for k in (0, 1)], zero.alias("a0"), zero.alias("a1"))
+    begins = F.struct(F.col("before").alias("word"), zero.alias("d0"), zero.alias("d1"), *[F.col(f"n{k}").alias(f"a{k}") for k in (0, 1)])
+    sides = pairs.select(F.explode(F.array(ends, begins)).alias("s")).select("s.*", zero.alias("n0"), zero.alias("n1"))
+    words = sides.unionByName(alone.select("word", "n0", "n1", *[zero.alias(c) for c in ("d0", "d1", "a0", "a1")]))
+    words = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTED])
+    none = [F.lit(None).cast("long").alias(c) for c in ("d0", "d1", "a0", "a1")]
+    return materialise(pairs.select("before", "word", "n0", "n1", *none).unionByName(words.withColumn("before", F.lit(ALONE))))
 
 
 def _said_before(h: np.ndarray) -> np.ndarray:
@@ -143,106 +142,85 @@ def _said_before(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts less the discount, in proportion to the classes, and what was freed; nothing is left of rare expressions."""
+    total = n.sum(0)
+    freed = np.where(total >= RARE, np.minimum(DISCOUNT, total), 0)
+    return np.where(total >= RARE, n * (1 - freed / np.maximum(total, 1)), 0), freed
+
+
 class Model:
-    """The tables, as arrays of fixed length: counts of words, and of frequent pairs, in both classes."""
-
-    def __init__(self, words) -> None:
-        cells = 1 << WORD_BITS
-        self.n = np.zeros((2, cells))
-        for k in (0, 1):
-            bits = np.bitwise_count(words[f"m{k}"])
-            # Linear counting over the 61 groups; a full counter sets no limit.
-            before = np.where(bits < 61, -61 * np.log(np.maximum(61.0 - bits, 0.5) / 61), np.inf)
-            self.n[k, words["cell"]] = np.minimum(words[f"n{k}"], np.ceil(before))
-        self.total = np.maximum(self.n.sum(1), 1)[:, None]
-        self.share = self.total / self.total.sum()
-        own, freed = self._discounted(self.n)
-        self.counts = (own + self.share * (KAPPA + freed)).astype(np.float32)
-        self.check = np.zeros(PAIR_CELLS, np.int64)
-        self.pair_counts, self.after = np.ones((2, PAIR_CELLS), np.float32), np.ones((2, PAIR_CELLS), np.float32)
+    """The table of counts, with what is known of it as a whole: the sums of continuation counts, and the curve."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
+        sums = table.where(F.col("before") == ALONE).agg(*[F.sum(F.least(f"n{k}", f"d{k}")) for k in (0, 1)]).first()
+        self.total = np.maximum(np.array([x or 0 for x in sums], float), 1)[:, None]
         self.slope, self.middle = 1.0, 0.0
 
-    def telling(self) -> np.ndarray:
-        """The cells whose word is e times as likely in one class as in the other, or more."""
-        ll = np.log(self.counts / self.total)
-        return np.abs(ll[1] - ll[0]) >= 1
-
-    def add_pairs(self, pairs) -> None:
-        slot, pair = pairs["slot"], pairs["pair"]
-        before, word = (pair >> 32) & int(_CELLS), pair & int(_CELLS)
-        own, freed = self._discounted(np.minimum(np.stack([pairs["n0"], pairs["n1"]]), self.n[:, word]))
-        lower = self.counts[:, word] / self.counts[:, word].sum(0)
-        self.check[slot] = pair
-        self.pair_counts[:, slot] = own + lower * (KAPPA + freed)
-        # A text's first word follows nothing; as many texts as there are begin.
-        self.after[:, slot] = np.where(pair >> 32 == 0, self.n.max(1)[:, None], self.n[:, before]) + self.share * KAPPA
-
-    @staticmethod
-    def _discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts less the discount, in proportion to the classes, and what was freed; nothing is left of rare expressions."""
-        total = n.sum(0)
-        freed = np.where(total >= RARE, np.minimum(DISCOUNT, total), 0)
-        return np.where(total >= RARE, n * (1 - freed / np.maximum(total, 1)), 0), freed
-
-    def evidence(self, h: np.ndarray, label: int | None = None) -> float:
-        """The largest difference of the mean log-likelihoods over a passage; 0 for a text without words.
-
-        With a ``label``, the text is one of the training texts of that class, and is itself left out of the counts.
-        """
-        if not len(h):
-            return 0.0
-        pair = _pairs(np.concatenate([[np.uint32(0)], h]))
-        word, slot = h & _CELLS, pair_slots(pair)
-        hit = self.check[slot] == pair
-        ll = []
-        for k in (0, 1):
-            n, m = self.counts[k][word], self.pair_counts[k][slot]
-            if k == label:
-                # At least the backoff counts stay; a text alone with its words has no more than those.
-                n, m = np.maximum(n - 1, self.counts[k].min()), np.maximum(m - 1, 0.1 * m)
-            ll.append(np.log(np.where(hit, m / self.after[k][slot], n / self.total[k])))
-        sums = np.concatenate([[0.0], np.cumsum(np.where(_said_before(h), 0, ll[1] - ll[0]), dtype=float)])
-        if len(h) <= PASSAGE:
-            return float(sums[-1] / max(len(h), LEAST))
-        return float((sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE)
-
-    def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (evidence - self.middle), -30, 30)))
-
-
-def pair_slots(pair: np.ndarray) -> np.ndarray:
-    return np.mod(pair, PAIR_CELLS)
-
-
-def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
-    """The columns of a table of bounded length on the driver, as 64-bit integers."""
-    found = df.toArrow()
-    return {c: found[c].to_numpy().astype(np.int64, copy=False) for c in found.column_names}
+
+def _ratios(total: np.ndarray, texts: np.ndarray, before: np.ndarray, begun: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """log p_1(w | v) - log p_0(w | v) for each place in a text; a row per class and a column per place.
+
+    Of the word at the place ``texts`` and different words ``before``, of the word before it the pairs ``begun``, and the texts with the ``pair``.
+    """
+    share = total / total.sum()
+    own, freed = _discounted(np.minimum(texts, before))
+    lower = (own + share * (KAPPA + freed)) / total
+    after = begun + share * KAPPA
+    own, freed = _discounted(pair)
+    expected = after * lower
+    p = (own + expected / expected.sum(0) * (KAPPA + freed)) / after
+    telling = np.abs(np.log(lower[1] / lower[0])) >= 1
+    return np.where(telling, np.log(p[1] / p[0]), np.log(lower[1] / lower[0]))
+
+
+def evidence(h: np.ndarray, ratios: np.ndarray) -> float:
+    """The largest mean of the ``ratios`` over a passage; 0 for a text without words."""
+    if not len(h):
+        return 0.0
+    sums = np.concatenate([[0.0], np.cumsum(np.where(_said_before(h), 0, ratios), dtype=float)])
+    if len(h) <= PASSAGE:
+        return float(sums[-1] / max(len(h), LEAST))
+    return float((sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE)
+
+
+def _text_evidence(h: np.ndarray, total: np.ndarray, words: np.ndarray, codes: np.ndarray, pairs: np.ndarray, label: int | None) -> float:
+    """``words`` has texts, words before and pairs begun by the number of the word, ``pairs`` the texts with each of the sorted ``codes``.
+
+    With a ``label``, the text is one of the training texts of that class, and is itself left out of the counts.
+    """
+    if not len(h):
+        return 0.0
+    code = _pairs(h)
+    v, at = code >> 32, np.searchsorted(codes, code)
+    texts, before, begun, pair = words[0:2, h], words[2:4, h], words[4:6, v], pairs[:, at]
+    if label is not None:
+        own, place = np.unique(code, return_index=True)
+        names, number = np.unique(np.concatenate([h, v]), return_inverse=True)
+        # A word loses a word before it where no other text of the class has the pair; pairs that begin with a word are one fewer each.
+        alone = pair[label, place] == 1
+        lost = np.bincount(number[:len(h)][place], alone, len(names))
+        gone = np.bincount(number[len(h):][place], minlength=len(names))
+        for counts, less in ((texts, 1), (before, lost[number[:len(h)]]), (begun, gone[number[len(h):]]), (pair, 1)):
+            counts[label] = np.maximum(counts[label] - less, 0)
+    return evidence(h, _ratios(total, texts, before, begun, pair))
 
 
 def train(labelled: DataFrame) -> Model:
     """Fit the models to :func:`training_texts`. Without texts of one of the classes, every text scores alike."""
-    spark = labelled.sparkSession
-    model = Model(_arrays(word_counts(labelled)))  # bounded by the number of cells
-    counts = pair_counts(labelled, spark.sparkContext.broadcast(model.telling()))
-    # Of two pairs in a cell the more frequent one stays.
-    best = (counts.where(F.col("n0") + F.col("n1") >= RARE).groupBy(F.pmod("pair", F.lit(PAIR_CELLS)).alias("slot"))
-            .agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "pair", "n0", "n1")).alias("top")).select("slot", "top.*"))
-    model.add_pairs(_arrays(best))
-    return _fit_curve(spark, model, labelled)
+    return _fit_curve(Model(expression_table(labelled)), labelled)
 
 
-def _fit_curve(spark, model: Model, labelled: DataFrame) -> Model:
+def _fit_curve(model: Model, labelled: DataFrame) -> Model:
     """A logistic curve of the label over the evidence, from a histogram of all training rows in cells of 1/1024, each text left out of its own counts.
 
     Its middle is where the fewest training rows lie on the wrong side, which wrong labels don't move; its slope is the most likely one.
     """
-    seen = spark.sparkContext.broadcast(model)
     cell = F.floor(F.least(F.greatest(F.col("evidence"), F.lit(-16.0)), F.lit(16.0)) * 1024)
     n = [F.sum((F.col("toxic") == k).cast("long")).alias(f"n{k}") for k in (0, 1)]
-    cells = _evidence(labelled, seen, "toxic", text="packed", leave_out=True).groupBy(cell.alias("cell")).agg(*n)
-    cells = _arrays(cells.where("cell is not null"))
-    seen.unpersist()
+    found = _evidence(labelled, model, "toxic", text="packed", leave_out=True).groupBy(cell.alias("cell")).agg(*n).where("cell is not null").toArrow()
+    cells = {c: found[c].to_numpy().astype(np.int64, copy=False) for c in found.column_names}
     order = np.argsort(cells["cell"])
     x, n0, n1 = (cells["cell"][order] + 0.5) / 1024, cells["n0"][order].astype(float), cells["n1"][order].astype(float)
     model.slope = 0.0
@@ -260,19 +238,77 @@ def _fit_curve(spark, model: Model, labelled: DataFrame) -> Model:
     return model
 
 
-def _evidence(df: DataFrame, model, *carried: str, text: str = "content", leave_out: bool = False) -> DataFrame:
-    """``evidence`` beside the ``carried`` columns; with ``leave_out``, the first of these is the label of a training text."""
+def _in_blocks(df: DataFrame) -> DataFrame:
+    """Rows in blocks of about :data:`BLOCK` letters: the number of the ``block`` and its ``rows``, compressed. A longer text is a block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 32
+
+        def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in parts:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+        held, size = [], 0
+        for batch in batches:
+            start = 0
+            for i, letters in enumerate(pa.compute.binary_length(batch.column(0)).to_pylist()):
+                size += letters * (1 if pa.types.is_string(batch.schema.field(0).type) else 3)
+                if size >= BLOCK:
+                    yield block([*held, batch.slice(start, i + 1 - start)])
+                    held, size, start, made = [], 0, i + 1, made + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield block(held)
+    return materialise(df.mapInArrow(run, "block bigint, rows binary"))
+
+
+def _read_block(rows: bytes) -> tuple[pa.Table, _Ids, list[np.ndarray], np.ndarray]:
+    """The rows of a block, its words, each text in their numbers, and the sorted pairs."""
+    table, ids = pa.ipc.open_stream(rows).read_all(), _Ids()
+    texts = [ids.of(t if isinstance(t, str) else _unpacked(t)) for t in table.column(0).to_pylist()]
+    codes = [np.unique(_pairs(h)) for h in texts if len(h)]
+    return table, ids, texts, np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+
+
+def _asked(blocks: DataFrame) -> DataFrame:
+    """The different words and pairs of each block: ``place`` is the number of the word, and pairs follow after all words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, tables = worker_cache("toxicity words", _Hashes), model.value
         for batch in batches:
-            own = batch.column(carried[0]).to_pylist() if leave_out else [None] * batch.num_rows
-            e = []
-            for t, k in zip(batch.column(text), own):
-                t = t.as_py()
-                e.append(tables.evidence(word_hashes(zlib.decompress(t).decode() if text == "packed" else t, kept), k))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(e, pa.float64())], [*carried, "evidence"])
+            for number, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _, ids, _, codes = _read_block(rows.as_py())
+                words, n = ids.words(), len(ids) + len(codes)
+                before = pa.concat_arrays([pa.array([ALONE] * len(ids), pa.string()), words.take(pa.array(codes >> 32))])
+                word = pa.concat_arrays([words, words.take(pa.array(codes & 0xFFFFFFFF))])
+                columns = [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), before, word]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "place", "before", "word"])
+    return blocks.mapInArrow(run, "block bigint, place int, before string, word string")
+
+
+def _evidence(df: DataFrame, model: Model, *carried: str, text: str = "content", leave_out: bool = False) -> DataFrame:
+    """``evidence`` beside the ``carried`` columns; with ``leave_out``, the first of these is the label of a training text."""
+    total = model.total
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        table, ids, texts, codes = _read_block(block["rows"][0].as_py())
+        words, pairs = np.zeros((6, len(ids))), np.zeros((2, len(codes)))
+        place = found["place"].to_numpy()
+        alone = place < len(ids)
+        for i, c in enumerate(_COUNTED):
+            n = found[c].to_numpy()
+            words[i, place[alone]] = n[alone]
+            if i < 2:
+                pairs[i, place[~alone] - len(ids)] = n[~alone]
+        own = table[carried[0]].to_pylist() if leave_out else [None] * len(texts)
+        e = pa.array([_text_evidence(h, total, words, codes, pairs, k) for h, k in zip(texts, own)], pa.float64())
+        return pa.table([*(table[c] for c in carried), e], names=[*carried, "evidence"])
+
     kinds = dict(df.dtypes)
-    return df.select(text, *carried).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", evidence double")
+    blocks = _in_blocks(df.select(text, *carried))
+    found = _asked(blocks).join(model.table, ["before", "word"]).select("block", "place", *_COUNTED)
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", evidence double")
 
 
 def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -282,11 +318,9 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     text enters the score. Null and empty texts and texts without words have no evidence and get the score of none; null ids are scored, never
     trained on. Very long texts are read whole. If the labels lack a class, all rows score 0.5 less a little, and none is predicted toxic.
     """
-    spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     model = train(training_texts(df, labels, id_col, text_col, label_col))
-    seen = spark.sparkContext.broadcast(model)
-    out = _evidence(texts, seen, "id")
+    out = _evidence(texts, model, "id")
     slope, middle = float(model.slope), float(model.middle)
     score = 1 / (1 + F.exp(-F.least(F.greatest((F.col("evidence") - middle) * slope, F.lit(-30.0)), F.lit(30.0))))
     score = F.lit(0.49) if slope == 0 else score
@@ -299,8 +333,7 @@ def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     model = train(training_texts(df, labels, id_col, text_col, "toxic"))
     if model.slope == 0:
         return df
-    seen, limit = df.sparkSession.sparkContext.broadcast(model), float(model.middle)
     own = [f"c{i}" for i in range(len(df.columns))]
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("content"), *[F.col(c).alias(o) for c, o in zip(df.columns, own)])
-    judged = _evidence(rows, seen, *own).where(F.col("evidence") < limit)
+    judged = _evidence(rows, model, *own).where(F.col("evidence") < float(model.middle))
     return judged.select(*[F.col(o).alias(c) for c, o in zip(df.columns, own)])
