@@ -227,6 +227,17 @@ def test_toxic_word_beside_words_of_its_checksum(spark):
     assert _close(*_found_toxic(spark, texts))
 
 
+def test_toxic_expression_of_ordinary_words(spark):
+    def texts(rng, i, bad):
+        words = [f"w{k}" for k in rng.integers(0, 100, 60)]
+        for at in rng.choice(20, 5, replace=False) * 3:
+            words[at:at + 2] = ("go", "die") if bad else ("go", words[at + 1])
+        for at in rng.choice(20, 5, replace=False) * 3 if not bad else ():
+            words[at:at + 2] = ("let", "die")
+        return words
+    assert _close(*_found_toxic(spark, texts))
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 6, 400), rng.integers(0, 6, 400)

@@ -171,8 +171,7 @@ def _ratios(total: np.ndarray, texts: np.ndarray, before: np.ndarray, begun: np.
     own, freed = _discounted(pair)
     expected = after * lower
     p = (own + expected / expected.sum(0) * (KAPPA + freed)) / after
-    telling = np.abs(np.log(lower[1] / lower[0])) >= 1
-    return np.where(telling, np.log(p[1] / p[0]), np.log(lower[1] / lower[0]))
+    return np.log(p[1] / p[0])
 
 
 def evidence(h: np.ndarray, ratios: np.ndarray) -> float:
