@@ -238,6 +238,26 @@ def test_toxic_expression_of_ordinary_words(spark):
     assert _close(*_found_toxic(spark, texts))
 
 
+def test_expressions_are_counted_exactly(spark):
+    """Texts with each pair and word, and different words before: beyond any fixed counter, and keyed by the words."""
+    rng = np.random.default_rng(8)
+    rows = [(zlib.compress(" ".join(["x" if k % 2 else f"p{k}" for k in rng.integers(0, 900, 80)]).encode()), int(i % 3 == 0)) for i in range(90)]
+    got = {(r.before, r.word): r for r in toxicity.expression_table(spark.createDataFrame(rows, "packed binary, toxic int")).collect()}
+    n, begun = collections.Counter(), collections.Counter()
+    for packed, k in rows:
+        w = zlib.decompress(packed).decode().split()
+        n.update({(k, *p) for p in zip(["", *w], w)} | {(k, toxicity.ALONE, x) for x in w})
+    before = collections.Counter((k, w) for k, v, w in n if v != toxicity.ALONE)
+    for (k, v, _), c in n.items():
+        begun[k, v] += c
+    assert before[0, "x"] > 251
+    assert {(v, w) for _, v, w in n} | {(toxicity.ALONE, "")} == set(got)
+    for (v, w), r in got.items():
+        assert (r.n0, r.n1) == (n[0, v, w], n[1, v, w])
+        if v == toxicity.ALONE:
+            assert (r.d0, r.d1, r.a0, r.a1) == (before[0, w], before[1, w], begun[0, w], begun[1, w])
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 6, 400), rng.integers(0, 6, 400)
