@@ -258,6 +258,23 @@ def test_expressions_are_counted_exactly(spark):
             assert (r.d0, r.d1, r.a0, r.a1) == (before[0, w], before[1, w], begun[0, w], begun[1, w])
 
 
+def test_rare_words_and_words_after_one_word(spark):
+    def texts(rng, i, bad):
+        words = [f"w{k}" for k in rng.integers(0, 100, 60)]
+        for at in rng.choice(20, 4, replace=False) * 3:
+            words[at:at + 2] = ("you", "slur") if bad else ("you", words[at + 1])
+        return words
+    assert _close(*_found_toxic(spark, texts))
+    total = np.array([[9000.0], [1000.0]])
+
+    def ratio(texts, before, pair):
+        counts = [np.array([[0.0], [float(x)]]) for x in (texts, before, pair)]
+        return float(toxicity._ratios(total, counts[0], counts[1], np.array([[90.0], [10.0]]), counts[2])[0])
+    steps = [ratio(k, k, 0) for k in range(7)]
+    assert steps[0] == pytest.approx(0, abs=1e-9) and all(0 < b - a < 0.5 for a, b in zip(steps, steps[1:]))
+    assert ratio(1, 1, 1) > ratio(1, 1, 0) and ratio(1000, 1, 1000) > 2
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 6, 400), rng.integers(0, 6, 400)

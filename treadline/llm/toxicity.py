@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from treadline.session import materialise
 
-RARE, KAPPA, DISCOUNT = 5, 30.0, 0.75
+KAPPA, DISCOUNT = 30.0, 0.75
 PASSAGE, LEAST = 32, 24
 BLOCK = 1 << 23
 #: Before a text's first word, and in place of a pair's first word where the row is about the word alone. Neither is a word.
@@ -143,10 +143,10 @@ def _said_before(h: np.ndarray) -> np.ndarray:
 
 
 def _discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts less the discount, in proportion to the classes, and what was freed; nothing is left of rare expressions."""
+    """Counts less the discount, in proportion to the classes, and what was freed."""
     total = n.sum(0)
-    freed = np.where(total >= RARE, np.minimum(DISCOUNT, total), 0)
-    return np.where(total >= RARE, n * (1 - freed / np.maximum(total, 1)), 0), freed
+    freed = np.minimum(DISCOUNT, total)
+    return n * (1 - freed / np.maximum(total, 1)), freed
 
 
 class Model:
