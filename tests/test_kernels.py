@@ -1,6 +1,7 @@
 """Trackers, matchers, labelling and geometry against plain brute force on small random inputs."""
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -40,6 +41,34 @@ def brute_iou(dets, iou_min, gap, memory):
     return owner
 
 
+def test_candidates_of_a_busy_frame_are_sparse():
+    """20,000 tracks and detections of which each meets one or none: a dense table would be 3 GB."""
+    n = 20_000
+    masks = [np.arange(3 * i, 3 * i + 2) for i in range(n)]
+    rng = np.random.default_rng(1)
+    ref = np.column_stack([np.arange(n) * 10.0 - 99_000, rng.integers(0, 2, n) * 1000.0])
+    tracemalloc.start()
+    ti, di, both = tracking._overlaps(masks, masks[::-1])
+    t, d, far = tracking._within(ref, ref[::-1] + 3, 5.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (ti + di == n - 1).all() and len(ti) == n and set(both) == {2}
+    assert (t + d == n - 1).all() and len(t) == n and np.allclose(far, math.hypot(3, 3))
+    assert peak < 100e6
+
+
+def test_near_points_match_all_pairs():
+    rng = np.random.default_rng(2)
+    for radius in (0.0, 1.0, 2.5, 50.0):
+        ref, xy = (rng.integers(-9, 9, (k, 2)).astype(float) for k in (70, 90))
+        ref[3], xy[5, 1] = np.nan, np.nan
+        d = np.hypot(ref[:, :1] - xy[:, 0], ref[:, 1:] - xy[:, 1])
+        want = np.nonzero(d <= radius)
+        t, at, far = tracking._within(ref, xy, radius)
+        assert t.tolist() == want[0].tolist() and at.tolist() == want[1].tolist() and far.tolist() == d[want].tolist()
+        assert not len(tracking._within(ref, xy[:0], radius)[0])
+
+
 @pytest.mark.parametrize("size", [4, ordered.CHUNK])
 def test_iou_tracks_match_brute_force(spark, size):
     rng = random.Random(5)

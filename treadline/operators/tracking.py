@@ -90,7 +90,7 @@ TRACK_KEY = (("_tf", "int"), ("_td", "int"))
 
 
 def _overlaps(refs: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shared pixels of every overlapping (reference, mask) pair, by a sort-merge on pixel numbers."""
+    """Shared pixels of every overlapping (reference, mask) pair, by a sort-merge on pixel numbers. Pairs without a shared pixel take no memory."""
     rp, mp = np.concatenate(refs), np.concatenate(masks)
     ro, mo = (np.repeat(np.arange(len(x)), [len(a) for a in x]) for x in (refs, masks))
     o = np.argsort(mp, kind="stable")
@@ -98,9 +98,8 @@ def _overlaps(refs: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarr
     lo = np.searchsorted(mp, rp, side="left")
     n = np.searchsorted(mp, rp, side="right") - lo
     at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-    both = np.bincount(np.repeat(ro, n) * len(masks) + mo[at], minlength=len(refs) * len(masks))
-    hit = np.flatnonzero(both)
-    return hit // len(masks), hit % len(masks), both[hit]
+    hit, both = np.unique(np.repeat(ro, n) * len(masks) + mo[at], return_counts=True)
+    return hit // len(masks), hit % len(masks), both
 
 
 def _iou_stepper(iou_min: float, max_gap: int, memory: int):
@@ -157,6 +156,40 @@ def link_by_iou(det: DataFrame, trial: Sequence[str], iou_min: float = 0.3, max_
     return number_tracks(linked.drop("_burst"), trial, size)
 
 
+def _within(ref: np.ndarray, xy: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every (reference, point) pair within ``radius`` and its distance, in the order of the pairs; only points of the nine cells around a reference are compared."""
+    # Cells are a little wider than the radius, so that rounding puts no pair two cells apart.
+    ref_ok, xy_ok = np.flatnonzero(np.isfinite(ref).all(1)), np.flatnonzero(np.isfinite(xy).all(1))
+    side = radius * 1.001 or 1.0
+    cells = np.floor(np.concatenate([ref[ref_ok], xy[xy_ok]]) / side)
+    names = [np.unique(cells[:, k], return_inverse=True) for k in (0, 1)]
+    own = [inverse[len(ref_ok):] for _, inverse in names]
+    width = len(names[1][0]) + 1
+    cell = own[0] * width + own[1]
+    o = np.argsort(cell, kind="stable")
+    cell, pairs = cell[o], []
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            want, there = [], np.ones(len(ref_ok), bool)
+            for (values, _), k, by in zip(names, (0, 1), (i, j)):
+                to = cells[:len(ref_ok), k] + by
+                at = np.minimum(np.searchsorted(values, to), max(len(values) - 1, 0))
+                there &= values[at] == to if len(values) else False
+                want.append(at)
+            r = np.flatnonzero(there)
+            code = want[0][r] * width + want[1][r]
+            lo = np.searchsorted(cell, code, side="left")
+            n = np.searchsorted(cell, code, side="right") - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            t, d = ref_ok[np.repeat(r, n)], xy_ok[o[at]]
+            far = np.hypot(ref[t, 0] - xy[d, 0], ref[t, 1] - xy[d, 1])
+            keep = far <= radius
+            pairs.append((t[keep], d[keep], far[keep]))
+    t, d, far = (np.concatenate(x) for x in zip(*pairs))
+    o = np.lexsort((d, t))
+    return t[o], d[o], far[o]
+
+
 def _centroid_stepper(radius: float, max_gap: int):
     def start():
         live: list[dict] = []
@@ -166,10 +199,9 @@ def _centroid_stepper(radius: float, max_gap: int):
             pairs = []
             if live:
                 ref = np.array([t["xy"] for t in live])
-                d = np.hypot(ref[:, :1] - cx, ref[:, 1:] - cy)
-                ti, di = np.nonzero(d <= radius)
-                o = np.lexsort((di, ti, d[ti, di]))
-                pairs = zip(d[ti, di][o].tolist(), ti[o].tolist(), di[o].tolist())
+                ti, di, d = _within(ref, np.column_stack([cx, cy]).astype(float), radius)
+                o = np.lexsort((di, ti, d))
+                pairs = zip(d[o].tolist(), ti[o].tolist(), di[o].tolist())
             owner = _greedy(pairs, live, len(ids))
             for di in range(len(ids)):
                 t = owner[di]
