@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructType
 
 from treadline.session import materialise, shared_folder
 
@@ -29,6 +30,20 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, *folders: str) -> tuple[DataFrame, str]:
+    """``df`` written once to the shared folder, in ``folders`` by those columns, and read back; and the path, for :func:`delete`."""
+    path = new_folder(df.sparkSession)
+    df.write.partitionBy(*folders).parquet(path)
+    kinds = [f for f in df.schema.fields if f.name not in folders] + [df.schema[c] for c in folders]
+    return df.sparkSession.read.schema(StructType(kinds)).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete what :func:`written` wrote, once no later step reads it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def number_rows_globally(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add ``name``: the row's number from 0 in the order of ``order``, over the whole table.
 
