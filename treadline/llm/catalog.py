@@ -77,7 +77,8 @@ def op10_shards(spark, sf_dir):
 
 @query
 def op11_lm_scores(spark, sf_dir):
-    return ngrams.lm_scores(table(spark, sf_dir, "documents"))
+    # Sums of logarithms depend on their order in the last digits.
+    return ngrams.lm_scores(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 @query
@@ -206,5 +207,5 @@ n AS MATERIALIZED (SELECT (SELECT sum(c) FROM c)::BIGINT AS n, (SELECT count(*)
              ELSE count(*) FILTER (c = 1) / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2))::DOUBLE END FROM q), 0.5) AS d),
 p AS (SELECT r, c.c IS NOT NULL AS known, (coalesce(c.c, 0) + 1) / (n.n + n.kinds + 1)::DOUBLE AS base, coalesce(greatest(q.c - d, 0) / s.c, 0) AS own, coalesce(d * s.f / s.c, 1) AS rest
       FROM k CROSS JOIN n LEFT JOIN c USING (w) LEFT JOIN s USING (v) LEFT JOIN q ON q.v = k.v AND q.w = k.w)
-SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, n.n AS train_tokens, sum(log10(base)) AS base_score, sum(log10(own + rest * base)) AS score
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, n.n AS train_tokens, round(sum(log10(base)), 6) AS base_score, round(sum(log10(own + rest * base)), 6) AS score
 FROM p JOIN x USING (r) CROSS JOIN n GROUP BY r, doc_id, held_out, n.n"""

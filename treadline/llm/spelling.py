@@ -25,6 +25,8 @@ from treadline.session import materialise
 
 SHORTEST, LONGEST, SHARE = 2, 3, 4096
 LEAST_LETTERS, LEAST_N, OFTEN = 7, 2, 10
+#: Places up to here have lists of their own; later ones share them in doubling ranges, which changes the number of candidates and no result.
+PLACES = 48
 #: The letters that a run consists of; fixed by the contract.
 LETTERS = "A-Za-zÀ-ÿ"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,18 +85,27 @@ def decompose(word: str, frequent: frozenset[str], shortest: int = SHORTEST, lon
     return out
 
 
+def place_ranges(top: int) -> Iterator[tuple[int, int]]:
+    """The places 1 to ``top``, first and last: one by one up to :data:`PLACES`, then in ranges that double, so that a very long word has few keys. They don't depend on ``top``, but for the end."""
+    first = 1
+    while first <= top:
+        last = min(first if first <= PLACES else 2 * first - 1, top)
+        yield first, last
+        first = last + 1
+
+
 def unaffected(grams: list[tuple[int, int]], letters: int, longest: int = LONGEST) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
-    """How many grams on the left, and from which on to the right, an edit leaves alone: one pair for each letter that goes, one for each gap that a letter fills.
+    """How many grams on the left, and from which on to the right, an edit in a range of places leaves alone: one pair for each range of letters that can go, one for each of gaps that a letter can fill.
 
     Letters of the marked word are 1 to ``letters``, and gap ``g`` is before letter ``g``.
     """
     def kept(gap: int) -> set[tuple[int, int]]:
-        out, left, right, last = set(), 0, 0, len(grams)
-        for place in range(1, letters + 1 + gap):
+        out, left, right, end = set(), 0, 0, len(grams)
+        for first, last in place_ranges(letters + gap):
             # Both sides move right with the place, since starts and ends of grams rise.
-            while left < last and grams[left][1] <= place:
+            while left < end and grams[left][1] <= first:
                 left += 1
-            while right < last and (grams[right][1] <= place + longest - gap or grams[right][0] <= place - gap):
+            while right < end and (grams[right][1] <= last + longest - gap or grams[right][0] <= last - gap):
                 right += 1
             out.add((left, right))
         return out
