@@ -1,14 +1,19 @@
 """Linking detections over frames.
 
 The trackers are sequential by definition: a frame depends on the one before. A recording is cut exactly where nothing
-can carry over, and each piece is streamed in frame order through a task that holds only the live tracks.
+can carry over, and what is left is run in chunks of frames that start from a guessed state (:func:`in_chunks`): a chunk is run again only where
+its guess turns out to differ from the state in which the chunk before it ended. So a task holds a chunk, however long a recording goes on.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+import pickle
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,55 +29,128 @@ def bursts(det: DataFrame, trial: Sequence[str], max_gap: int, size: int = CHUNK
     return ordered.stretch_starts(det, trial, max_gap, name="_burst", size=size)
 
 
-def in_frame_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str],
-                   outputs: Sequence[tuple[str, str]], start: Callable, drop: Sequence[str] = ()) -> DataFrame:
-    """Stream the frames of each group in order through a stateful step.
+#: Frames of a chunk, and frames before it from which its entry state is guessed.
+FRAMES, WARM = 1024, 64
 
-    ``start()`` returns a fresh step for a new group; the step takes the frame number and the frame's slice of each
-    ``inputs`` array and returns one list per output column. ``order[0]`` is the frame. A task holds one Arrow batch and
-    the state of one group. The number of partitions is the session's, not coalesced: the work is Python, not bytes.
+_SUMMARY = ("_entry array<struct<name:string,digest:string>>, _exit array<struct<slot:int,own:string,digest:string>>, "
+            "_bound boolean, _state binary")
+_PLAN = "_redo boolean, _from bigint, _order array<int>, _names array<string>"
+
+
+def _walk(chunks: list[dict], named: bool) -> list[tuple]:
+    """Follow the states through the chunks of a recording, in order.
+
+    A chunk's result holds if the tracks with which it began are those that the chunk before it left: the same ones in any order, or, where
+    an order or a name decided something (``_bound``), in the same order and under the same names. Returns for each chunk whether it must be run again,
+    from which chunk's end, in which order of its tracks, and the names of the tracks at its start.
     """
-    cols, frame = list(keys), order[0]
-    names = [n for n, _ in outputs]
+    out, before, left = [], None, []  # left: (place in the exit list of ``before``, name, digest), oldest first
+    for chunk in chunks:
+        began = [(t["name"], t["digest"]) for t in chunk["_entry"]]
+        free: dict[str, list[int]] = {}
+        for slot in range(len(began) - 1, -1, -1):
+            free.setdefault(began[slot][1], []).append(slot)
+        slots = [free[d].pop() if free.get(d) else None for _, _, d in left]
+        holds = len(left) == len(began) and None not in slots
+        if holds and chunk["_bound"]:
+            holds = slots == list(range(len(slots))) and (not named or [n for n, _ in began] == [n for _, n, _ in left])
+        names: list[str | None] = [None] * len(began)
+        if holds:
+            for slot, (_, name, _) in zip(slots, left):
+                names[slot] = name
+            out.append((False, before, None, names))
+            rank = {slot: i for i, slot in enumerate(slots)}
+        else:
+            out.append((True, before, [i for i, _, _ in left], [n for _, n, _ in left]))
+            # The walk goes on with what the chunk says now, so that later chunks are compared in the same round.
+            names = [n or f"?{chunk['_chunk']}:{i}" for i, (n, _) in enumerate(began)]
+            rank = {slot: slot for slot in range(len(began))}
+        exits = [(rank.get(t["slot"], len(began) + i), i, names[t["slot"]] if t["slot"] >= 0 else t["own"], t["digest"]) for i, t in enumerate(chunk["_exit"])]
+        left = [t[1:] for t in sorted(exits)]
+        before = chunk["_chunk"]
+    return out
+
+
+def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], tracker: Callable[[], object],
+              frames: int = FRAMES, warm: int = WARM, drop: Sequence[str] = ()) -> DataFrame:
+    """Run a sequential ``tracker`` over the frames of each key, exactly, in chunks of ``frames``: adds ``_who``, the name of each row's track.
+
+    Every chunk first runs from a state guessed by the ``warm`` frames before it. Its tracks at the start are known by their place only. Then one summary row per chunk is
+    followed along the recording (:func:`_walk`): where the guess had the tracks that really were there, names are passed on; other chunks are run again from the real state, until none
+    is left. Each round settles at least the first open chunk, so the result is that of one pass over the recording. A task holds a chunk and one chunk's live tracks.
+    """
+    frame, named = order[0], tracker().named
     kept = [f for f in df.schema if f.name not in drop]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {t}" for n, t in outputs])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, step, held = None, None, None
-        for pdf in _with_end(batches):
-            rows = pdf if held is None else held if pdf is None else pd.concat([held, pdf], ignore_index=True)
-            if rows is None or rows.empty:
-                continue
-            new_group = np.ones(len(rows), dtype=bool)
-            ids = rows[cols]
-            new_group[1:] = (ids.iloc[1:].to_numpy() != ids.iloc[:-1].to_numpy()).any(axis=1)
-            frames = rows[frame].to_numpy()
-            cut = np.flatnonzero(new_group | np.r_[True, frames[1:] != frames[:-1]])
-            stops = np.r_[cut[1:], len(rows)]
-            done = len(rows)
-            if pdf is not None:  # the last frame may go on in the next batch
-                done = int(cut[-1])
-                cut, stops, held = cut[:-1], stops[:-1], rows.iloc[done:].reset_index(drop=True)
-            arrays = [rows[c].to_numpy() for c in inputs]
-            results: list[list] = [[] for _ in names]
-            for a, b in zip(cut, stops):
-                if new_group[a]:
-                    key = tuple(ids.iloc[a])
-                    if key != group:
-                        group, step = key, start()
-                for acc, vals in zip(results, step(int(frames[a]), *[x[a:b] for x in arrays])):
-                    acc.extend(vals)
-            if done:
-                out = rows.iloc[:done].drop(columns=list(drop))
-                yield out.assign(**dict(zip(names, results)))
-
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *cols).sortWithinPartitions(*cols, *order).mapInPandas(run, schema)
-
-
-def _with_end(batches):
-    yield from (b for b in batches if len(b))
-    yield None
+    names = [f.name for f in kept]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _chunk bigint, _slot int, _own string, " + _SUMMARY
+    own = F.floor(F.col(frame) / frames).cast("long")
+    late = F.pmod(F.col(frame), F.lit(frames)) >= frames - warm
+    here, there = F.struct(own.alias("c"), F.lit(False).alias("w")), F.struct((own + 1).alias("c"), F.lit(True).alias("w"))
+    d = df.withColumn("_p", F.explode(F.when(late, F.array(here, there)).otherwise(F.array(here))))
+    d = materialise(d.withColumns({"_chunk": F.col("_p.c"), "_warm": F.col("_p.w")}).drop("_p"))
+    group = [*keys, "_chunk"]
+
+    def run(rows: pa.Table, state: tuple | None) -> pa.Table:
+        rows = rows.sort_by([("_warm", "descending"), *[(c, "ascending") for c in order]])
+        ahead = int(pa.compute.sum(rows["_warm"]).as_py() or 0)
+        if ahead == len(rows):
+            return empty
+        chunk = rows["_chunk"][0].as_py()
+        steps, number = [rows[c].to_pandas().to_numpy() for c in inputs], rows[frame].to_numpy()
+        cut = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        t, slots, owns = tracker(), [], []
+        if state is not None:
+            t.load(*state)
+        for a, b in zip(cut, np.r_[cut[1:], len(rows)]):
+            if a == ahead and state is None:
+                # What the frames ahead left is the guess.
+                t.load(*t.dump(chunk * frames)[1:])
+            if a >= ahead or state is None:
+                got = t.step(int(number[a]), *[x[a:b] for x in steps])
+                if a >= ahead:
+                    slots += [s for s, _ in got]
+                    owns += [o for _, o in got]
+        left, content, _ = t.dump((chunk + 1) * frames)
+        real = rows.slice(ahead).select([*names, "_chunk"])
+        none = [pa.nulls(len(real), f.type) for f in empty.schema][-4:]
+        linked = pa.table([*real.columns, pa.array(slots, pa.int32()), pa.array(owns, pa.string()), *none], schema=empty.schema)
+        summary = [rows[c][-1:] if c in group else pa.nulls(1, empty.schema.field(c).type) for c in [*names, "_chunk"]] + [
+            pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([t.entry], empty.schema.field("_entry").type), pa.array([left], empty.schema.field("_exit").type),
+            pa.array([t.bound]), pa.array([pickle.dumps(content)], pa.binary())]
+        return pa.concat_tables([linked, pa.table(summary, schema=empty.schema)])
+
+    def first(rows: pa.Table) -> pa.Table:
+        return run(rows, None)
+
+    def again(rows: pa.Table, states: pa.Table) -> pa.Table:
+        content = pickle.loads(states["_state"][0].as_py() or pickle.dumps([]))
+        return run(rows, ([content[i] for i in states["_order"][0].as_py()], states["_names"][0].as_py()))
+
+    def walk(chunks: pa.Table) -> pa.Table:
+        chunks = chunks.sort_by("_chunk")
+        plan = _walk(chunks.select(["_chunk", "_entry", "_exit", "_bound"]).to_pylist(), named)
+        new = [pa.array(x, kind) for x, kind in zip(zip(*plan), (pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())))]
+        return pa.table([*[chunks[c] for c in [*group, "_v"]], *new], names=[*group, "_v", "_redo", "_from", "_order", "_names"])
+
+    empty = df.sparkSession.createDataFrame([], schema).toArrow()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in group)
+    parts = [materialise(d.groupBy(*group).applyInArrow(first, schema)).withColumn("_v", F.lit(0))]
+    while True:
+        done = reduce(DataFrame.unionByName, parts)
+        latest = (done.where("_bound IS NOT NULL").groupBy(*group)
+                  .agg(F.max_by(F.struct("_v", "_entry", "_exit", "_bound"), "_v").alias("s")).select(*group, "s.*"))
+        plan = materialise(latest.groupBy(*keys).applyInArrow(walk, f"{kinds}, _v int, {_PLAN}"))
+        redo = plan.where("_redo")
+        if redo.isEmpty():
+            break
+        states = done.where("_bound IS NOT NULL").groupBy(*group).agg(F.max_by("_state", "_v").alias("_state"))
+        states = redo.join(states.withColumnRenamed("_chunk", "_from"), [*keys, "_from"], "left").select(*group, "_order", "_names", "_state")
+        rows = d.where(~F.col("_warm")).join(redo.select(*group), group, "left_semi")
+        more = rows.groupBy(*group).cogroup(states.groupBy(*group)).applyInArrow(again, schema)
+        parts.append(materialise(more).withColumn("_v", F.lit(len(parts))))
+    rows = done.where("_bound IS NULL").join(plan.select(*group, "_v", "_names"), [*group, "_v"])
+    who = F.coalesce("_own", F.get("_names", F.col("_slot")))
+    return rows.select(*names, who.alias("_who"))
 
 
 def _greedy(pairs, live: list[dict], n: int) -> list[dict | None]:
@@ -86,7 +164,46 @@ def _greedy(pairs, live: list[dict], n: int) -> list[dict | None]:
     return owner
 
 
-TRACK_KEY = (("_tf", "int"), ("_td", "int"))
+class _Tracker:
+    """Live tracks, oldest first. A track at the start of a chunk has a ``slot``, its place there; one that begins in the chunk has an ``own`` name."""
+
+    #: Whether decisions can depend on the names of tracks.
+    named = False
+
+    def __init__(self) -> None:
+        self.live: list[dict] = []
+        self.entry: list[dict] = []
+        #: Whether the order or the names of the tracks at the start decided anything.
+        self.bound = False
+
+    def load(self, contents: list[tuple], names: list[str]) -> None:
+        self.live = [{"slot": i, "own": None, **self.unpack(c)} for i, c in enumerate(contents)]
+        self.entry = [{"name": n, "digest": _digest(c)} for c, n in zip(contents, names)]
+        self.bound = False
+
+    def dump(self, frame: int) -> tuple[list[dict], list[tuple], list[str]]:
+        """What is left for ``frame``: each track's summary, content and name."""
+        live = self.alive(frame)
+        contents = [self.pack(t) for t in live]
+        return ([{"slot": t["slot"], "own": t["own"], "digest": _digest(c)} for t, c in zip(live, contents)], contents,
+                [t["own"] or self.entry[t["slot"]]["name"] for t in live])
+
+    def alive(self, frame: int) -> list[dict]:
+        return [t for t in self.live if frame - t["last"] <= self.max_gap]
+
+    def start(self, own: str) -> dict:
+        self.live.append({"slot": -1, "own": own})
+        return self.live[-1]
+
+    def tie(self, score: np.ndarray, ti: np.ndarray, di: np.ndarray) -> None:
+        """Note whether two tracks of the start have the same score for a detection, so that their order decides."""
+        old = np.array([t["slot"] >= 0 for t in self.live], bool)[ti]
+        pairs = np.column_stack([di[old], score[old]])
+        self.bound |= len(np.unique(pairs, axis=0)) < len(pairs)
+
+
+def _digest(content: tuple) -> str:
+    return hashlib.sha256(pickle.dumps(content, protocol=5)).hexdigest()
 
 
 def _overlaps(refs: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,35 +219,51 @@ def _overlaps(refs: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarr
     return hit // len(masks), hit % len(masks), both
 
 
-def _iou_stepper(iou_min: float, max_gap: int, memory: int):
-    def start():
-        live: list[dict] = []  # in order of creation
-
-        def step(frame: int, ids: np.ndarray, raw: np.ndarray):
-            live[:] = [t for t in live if frame - t["last"] <= max_gap]
-            masks = [np.unique(m) for m in raw]
-            pairs = []
-            if live:
-                refs = [t["ref"] for t in live]
-                ti, di, both = _overlaps(refs, masks)
-                total = np.array([len(r) for r in refs])[ti] + np.array([len(m) for m in masks])[di] - both
-                iou = (both / total).astype(np.float32).astype(float)
-                keep = iou >= iou_min
-                ti, di, iou = ti[keep], di[keep], iou[keep]
-                o = np.lexsort((di, ti, iou))[::-1]
-                pairs = zip(iou[o].tolist(), ti[o].tolist(), di[o].tolist())
-            owner = _greedy(pairs, live, len(masks))
-            for di, m in enumerate(masks):
-                t = owner[di]
-                if t is None:
-                    t = owner[di] = {"key": (frame, int(ids[di])), "recent": []}
-                    live.append(t)
-                t["recent"] = [*t["recent"], m][-memory:]
-                t["ref"] = np.unique(np.concatenate(t["recent"])) if len(t["recent"]) > 1 else m
-                t["last"] = frame
-            return [t["key"][0] for t in owner], [t["key"][1] for t in owner]
-        return step
-    return start
+class _IouTracker(_Tracker):
+    def __init__(self, iou_min: float, max_gap: int, memory: int) -> None:
+        super().__init__()
+        self.iou_min, self.max_gap, self.memory = iou_min, max_gap, memory
+
+    @staticmethod
+    def pack(t: dict) -> tuple:
+        return t["last"], [m.astype("<i8").tobytes() for m in t["recent"]]
+
+    def unpack(self, content: tuple) -> dict:
+        return self.seen({}, [np.frombuffer(m, "<i8") for m in content[1]], content[0])
+
+    def seen(self, t: dict, recent: list[np.ndarray], frame: int) -> dict:
+        t["recent"] = recent[-self.memory:]
+        t["ref"] = np.unique(np.concatenate(t["recent"])) if len(t["recent"]) > 1 else t["recent"][0]
+        t["last"] = frame
+        return t
+
+    def step(self, frame: int, ids: np.ndarray, raw: np.ndarray) -> list[tuple]:
+        self.live = self.alive(frame)
+        masks = [np.unique(m) for m in raw]
+        pairs = []
+        if self.live:
+            refs = [t["ref"] for t in self.live]
+            ti, di, both = _overlaps(refs, masks)
+            total = np.array([len(r) for r in refs])[ti] + np.array([len(m) for m in masks])[di] - both
+            iou = (both / total).astype(np.float32).astype(float)
+            keep = iou >= self.iou_min
+            ti, di, iou = ti[keep], di[keep], iou[keep]
+            self.tie(iou, ti, di)
+            o = np.lexsort((di, ti, iou))[::-1]
+            pairs = zip(iou[o].tolist(), ti[o].tolist(), di[o].tolist())
+        owner = _greedy(pairs, self.live, len(masks))
+        for di, m in enumerate(masks):
+            t = owner[di]
+            if t is None:
+                t = owner[di] = self.start(f"{frame}:{ids[di]}")
+            self.seen(t, [*t.get("recent", []), m], frame)
+        return [(t["slot"], t["own"]) for t in owner]
+
+
+def _by_first_detection(linked: DataFrame) -> DataFrame:
+    """A track is named by the frame and number of its first detection."""
+    key = F.split("_who", ":")
+    return linked.withColumns({"_tf": key[0].cast("int"), "_td": key[1].cast("int")}).drop("_who")
 
 
 def number_tracks(linked: DataFrame, trial: Sequence[str], size: int = CHUNK) -> DataFrame:
@@ -143,7 +276,7 @@ def number_tracks(linked: DataFrame, trial: Sequence[str], size: int = CHUNK) ->
 
 
 def link_by_iou(det: DataFrame, trial: Sequence[str], iou_min: float = 0.3, max_gap: int = 3, memory: int = 5,
-                size: int = CHUNK) -> DataFrame:
+                size: int = CHUNK, frames: int = FRAMES, warm: int = WARM) -> DataFrame:
     """Link detections to tracks by mask overlap.
 
     ``det`` has ``frame, det_id`` and ``mask`` (pixel numbers). In each frame, pairs of a live track (union of its last
@@ -151,9 +284,8 @@ def link_by_iou(det: DataFrame, trial: Sequence[str], iou_min: float = 0.3, max_
     ``iou_min``. Other detections open tracks. A track closes once idle for more than ``max_gap`` frames.
     """
     d = bursts(det.select(*trial, "frame", "det_id", "mask"), trial, max_gap, size)
-    linked = in_frame_order(d, [*trial, "_burst"], ("frame", "det_id"), ("det_id", "mask"), TRACK_KEY,
-                            _iou_stepper(iou_min, max_gap, memory), drop=("mask",))
-    return number_tracks(linked.drop("_burst"), trial, size)
+    linked = in_chunks(d, [*trial, "_burst"], ("frame", "det_id"), ("det_id", "mask"), lambda: _IouTracker(iou_min, max_gap, memory), frames, warm, drop=("mask",))
+    return number_tracks(_by_first_detection(linked).drop("_burst"), trial, size)
 
 
 def _within(ref: np.ndarray, xy: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,37 +322,43 @@ def _within(ref: np.ndarray, xy: np.ndarray, radius: float) -> tuple[np.ndarray,
     return t[o], d[o], far[o]
 
 
-def _centroid_stepper(radius: float, max_gap: int):
-    def start():
-        live: list[dict] = []
-
-        def step(frame: int, ids: np.ndarray, cx: np.ndarray, cy: np.ndarray):
-            live[:] = [t for t in live if frame - t["last"] <= max_gap]
-            pairs = []
-            if live:
-                ref = np.array([t["xy"] for t in live])
-                ti, di, d = _within(ref, np.column_stack([cx, cy]).astype(float), radius)
-                o = np.lexsort((di, ti, d))
-                pairs = zip(d[o].tolist(), ti[o].tolist(), di[o].tolist())
-            owner = _greedy(pairs, live, len(ids))
-            for di in range(len(ids)):
-                t = owner[di]
-                if t is None:
-                    t = owner[di] = {"key": (frame, int(ids[di]))}
-                    live.append(t)
-                t["xy"], t["last"] = (float(cx[di]), float(cy[di])), frame
-            return [t["key"][0] for t in owner], [t["key"][1] for t in owner]
-        return step
-    return start
+class _CentroidTracker(_Tracker):
+    def __init__(self, radius: float, max_gap: int) -> None:
+        super().__init__()
+        self.radius, self.max_gap = radius, max_gap
+
+    @staticmethod
+    def pack(t: dict) -> tuple:
+        return t["last"], t["xy"]
+
+    @staticmethod
+    def unpack(content: tuple) -> dict:
+        return {"last": content[0], "xy": content[1]}
+
+    def step(self, frame: int, ids: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> list[tuple]:
+        self.live = self.alive(frame)
+        pairs = []
+        if self.live:
+            ref = np.array([t["xy"] for t in self.live])
+            ti, di, d = _within(ref, np.column_stack([cx, cy]).astype(float), self.radius)
+            self.tie(d, ti, di)
+            o = np.lexsort((di, ti, d))
+            pairs = zip(d[o].tolist(), ti[o].tolist(), di[o].tolist())
+        owner = _greedy(pairs, self.live, len(ids))
+        for di in range(len(ids)):
+            t = owner[di]
+            if t is None:
+                t = owner[di] = self.start(f"{frame}:{ids[di]}")
+            t["xy"], t["last"] = (float(cx[di]), float(cy[di])), frame
+        return [(t["slot"], t["own"]) for t in owner]
 
 
 def link_by_centroid(strong: DataFrame, trial: Sequence[str], radius: float = 50.0, max_gap: int = 3,
-                     size: int = CHUNK) -> DataFrame:
+                     size: int = CHUNK, frames: int = FRAMES, warm: int = WARM) -> DataFrame:
     """Link strong blobs (``frame, det_id, cx, cy``) to the nearest live track within ``radius``, nearest pair first."""
     d = bursts(strong, trial, max_gap, size)
-    linked = in_frame_order(d, [*trial, "_burst"], ("frame", "det_id"), ("det_id", "cx", "cy"), TRACK_KEY,
-                            _centroid_stepper(radius, max_gap))
-    return number_tracks(linked.drop("_burst"), trial, size)
+    linked = in_chunks(d, [*trial, "_burst"], ("frame", "det_id"), ("det_id", "cx", "cy"), lambda: _CentroidTracker(radius, max_gap), frames, warm)
+    return number_tracks(_by_first_detection(linked).drop("_burst"), trial, size)
 
 
 def attach_weak(tracked: DataFrame, weak: DataFrame, trial: Sequence[str], reach: float = 24.0) -> DataFrame:
@@ -302,39 +440,62 @@ def merge_tracks(blobs: DataFrame, trial: Sequence[str], max_gap: int = 5, max_d
             return head
 
 
-def _identity_stepper(max_distance: float):
-    def start():
-        last: dict[str, tuple[float, float]] = {}  # in the order in which identities appeared
-
-        def step(_frame: int, limbs: np.ndarray, cx: np.ndarray, cy: np.ndarray):
-            known, out = list(last), list(limbs)
-            costs = sorted((float(np.hypot(cx[i] - last[k][0], cy[i] - last[k][1])), i, j)
-                           for i in range(len(out)) for j, k in enumerate(known))
-            rows, taken, matched = set(), set(), set()
-            for cost, i, j in costs:
-                if i in rows or j in taken:
-                    continue
-                rows.add(i)
-                taken.add(j)
-                if cost <= max_distance:
-                    matched.add(i)
-                    out[i] = known[j]
-            for i, name in enumerate(out):
-                if i in matched:
-                    last[name] = (float(cx[i]), float(cy[i]))
-            for i, name in enumerate(limbs):
-                if i not in matched:
-                    last[name] = (float(cx[i]), float(cy[i]))
-            return (out,)
-        return step
-    return start
-
-
-def carry_identity(feet: DataFrame, trial: Sequence[str], max_distance: float = 50.0) -> DataFrame:
+class _IdentityTracker(_Tracker):
+    """Names and their last positions, in the order in which the names appeared. Positions never expire."""
+
+    named = True
+
+    def __init__(self, max_distance: float) -> None:
+        super().__init__()
+        self.max_distance = max_distance
+
+    @staticmethod
+    def pack(t: dict) -> tuple:
+        return t["xy"]
+
+    @staticmethod
+    def unpack(content: tuple) -> dict:
+        return {"xy": content}
+
+    def alive(self, frame: int) -> list[dict]:
+        return self.live
+
+    def _named(self, name: str) -> dict:
+        """The track of that name, a new one if there is none."""
+        for t in self.live:
+            if (t["own"] or self.entry[t["slot"]]["name"]) == name:
+                return t
+        return self.start(name)
+
+    def step(self, _frame: int, limbs: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> list[tuple]:
+        known, out = list(self.live), [(-1, str(name)) for name in limbs]
+        costs = sorted((float(np.hypot(cx[i] - t["xy"][0], cy[i] - t["xy"][1])), i, j) for i in range(len(out)) for j, t in enumerate(known))
+        rows, taken, matched = set(), set(), {}
+        self.bound |= len({(cost, i) for cost, i, _ in costs}) < len(costs)
+        for cost, i, j in costs:
+            if i in rows or j in taken:
+                continue
+            rows.add(i)
+            taken.add(j)
+            if cost <= self.max_distance:
+                matched[i] = known[j]
+                out[i] = (known[j]["slot"], known[j]["own"])
+        for i, t in matched.items():
+            t["xy"] = (float(cx[i]), float(cy[i]))
+        # A foot without a match takes over its tentative name, so names decide.
+        for i, name in enumerate(limbs):
+            if i not in matched:
+                self.bound = True
+                t = self._named(str(name))
+                t["xy"] = (float(cx[i]), float(cy[i]))
+        return out
+
+
+def carry_identity(feet: DataFrame, trial: Sequence[str], max_distance: float = 50.0, frames: int = FRAMES, warm: int = WARM) -> DataFrame:
     """``identity``: limb names carried from frame to frame by nearest centroid, cheapest pair first, within a distance.
 
     A foot that matches nothing keeps its tentative ``limb`` name and becomes the latest position of that name. Positions
-    never expire, so a recording is one ordered stream with at most one position per limb name as state.
+    never expire, so a recording is one sequence with at most one position per limb name as state.
     """
-    return in_frame_order(feet, trial, ("frame", "limb_ord"), ("limb", "cx", "cy"), (("identity", "string"),),
-                          _identity_stepper(max_distance))
+    linked = in_chunks(feet, trial, ("frame", "limb_ord"), ("limb", "cx", "cy"), lambda: _IdentityTracker(max_distance), frames, warm)
+    return linked.withColumnRenamed("_who", "identity")
