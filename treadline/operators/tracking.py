@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -87,11 +87,10 @@ def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs:
     late = F.pmod(F.col(frame), F.lit(frames)) >= frames - warm
     here, there = F.struct(own.alias("c"), F.lit(False).alias("w")), F.struct((own + 1).alias("c"), F.lit(True).alias("w"))
     d = df.withColumn("_p", F.explode(F.when(late, F.array(here, there)).otherwise(F.array(here))))
-    d = materialise(d.withColumns({"_chunk": F.col("_p.c"), "_warm": F.col("_p.w")}).drop("_p"))
+    d = d.withColumns({"_chunk": F.col("_p.c"), "_warm": F.col("_p.w")}).drop("_p")
     group = [*keys, "_chunk"]
 
     def run(rows: pa.Table, state: tuple | None) -> pa.Table:
-        rows = rows.sort_by([("_warm", "descending"), *[(c, "ascending") for c in order]])
         ahead = int(pa.compute.sum(rows["_warm"]).as_py() or 0)
         if ahead == len(rows):
             return empty
@@ -119,11 +118,29 @@ def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs:
             pa.array([t.bound]), pa.array([pickle.dumps(content)], pa.binary())]
         return pa.concat_tables([linked, pa.table(summary, schema=empty.schema)])
 
-    def first(rows: pa.Table) -> pa.Table:
-        return run(rows, None)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not len(rows):
+                continue
+            own = pa.concat_tables([held[-1].slice(len(held[-1]) - 1), rows] if held else [rows]).select(group).to_pandas().to_numpy()
+            cut = np.flatnonzero((own[1:] != own[:-1]).any(1)) + (0 if held else 1)
+            done = []
+            for a, b in zip([0, *cut], [*cut, len(rows)]):
+                if a or (held and len(cut) and cut[0] == 0):
+                    done.append(run(pa.concat_tables(held), None))
+                    held = []
+                if b > a:
+                    held.append(rows.slice(a, b - a))
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+        if held:
+            yield from run(pa.concat_tables(held), None).combine_chunks().to_batches()
 
     def again(rows: pa.Table, states: pa.Table) -> pa.Table:
         content = pickle.loads(states["_state"][0].as_py() or pickle.dumps([]))
+        rows = rows.sort_by([(c, "ascending") for c in order])
         return run(rows, ([content[i] for i in states["_order"][0].as_py()], states["_names"][0].as_py()))
 
     def walk(chunks: pa.Table) -> pa.Table:
@@ -134,7 +151,11 @@ def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs:
 
     empty = df.sparkSession.createDataFrame([], schema).toArrow()
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in group)
-    parts = [materialise(d.groupBy(*group).applyInArrow(first, schema)).withColumn("_v", F.lit(0))]
+    # The number of partitions is the session's, not coalesced: the work is Python, not bytes.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ahead = d.repartition(n, *group).sortWithinPartitions(*group, F.desc("_warm"), *order)
+    parts = [materialise(ahead.mapInArrow(first, schema)).withColumn("_v", F.lit(0))]
+    stored = None
     while True:
         done = reduce(DataFrame.unionByName, parts)
         latest = (done.where("_bound IS NOT NULL").groupBy(*group)
@@ -145,7 +166,8 @@ def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs:
             break
         states = done.where("_bound IS NOT NULL").groupBy(*group).agg(F.max_by("_state", "_v").alias("_state"))
         states = redo.join(states.withColumnRenamed("_chunk", "_from"), [*keys, "_from"], "left").select(*group, "_order", "_names", "_state")
-        rows = d.where(~F.col("_warm")).join(redo.select(*group), group, "left_semi")
+        stored = stored or materialise(d.where(~F.col("_warm")))
+        rows = stored.join(redo.select(*group), group, "left_semi")
         more = rows.groupBy(*group).cogroup(states.groupBy(*group)).applyInArrow(again, schema)
         parts.append(materialise(more).withColumn("_v", F.lit(len(parts))))
     rows = done.where("_bound IS NULL").join(plan.select(*group, "_v", "_names"), [*group, "_v"])
@@ -197,9 +219,12 @@ class _Tracker:
 
     def tie(self, score: np.ndarray, ti: np.ndarray, di: np.ndarray) -> None:
         """Note whether two tracks of the start have the same score for a detection, so that their order decides."""
+        if self.bound or not self.entry:
+            return
         old = np.array([t["slot"] >= 0 for t in self.live], bool)[ti]
-        pairs = np.column_stack([di[old], score[old]])
-        self.bound |= len(np.unique(pairs, axis=0)) < len(pairs)
+        score, di = score[old], di[old]
+        o = np.lexsort((score, di))
+        self.bound = bool(((di[o][1:] == di[o][:-1]) & (score[o][1:] == score[o][:-1])).any())
 
 
 def _digest(content: tuple) -> str:
