@@ -51,6 +51,17 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot:
             .drop("_slot", "_before"))
 
 
+def middle(values: Column) -> Column:
+    """Median of an array without nulls; null for an empty one.
+
+    For moving medians: gathering a short window is cheap on every row, and its sort is only paid on rows that use the result. The aggregate function would count and sort each window anew.
+    """
+    s = F.sort_array(values)
+    n = F.size(values)
+    low, high = (F.get(s, F.floor(k / 2).cast("int")).cast("double") for k in (n - 1, n))
+    return F.when(n > 0, low * 0.5 + high * 0.5)
+
+
 def quantile(df: DataFrame, keys: Sequence[str], value: str, slot: Column, name: str, share: float = 0.5) -> DataFrame:
     """Exact quantile per key by rank, between neighbours by straight line: one row per key with at least one value.
 

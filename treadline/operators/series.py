@@ -14,9 +14,9 @@ def median_filter(df: DataFrame, keys: Sequence[str], columns: Sequence[str], wi
                   size: int = CHUNK) -> DataFrame:
     """Moving median of an odd window, cut off at the ends of the channel."""
     h = window // 2
-    cols = {f"_m_{c}": (lambda w, c=c: F.percentile(c, F.lit(0.5)).over(w.rowsBetween(-h, h))) for c in columns}
+    cols = {f"_m_{c}": (lambda w, c=c: F.collect_list(c).over(w.rowsBetween(-h, h))) for c in columns}
     d = ordered.over_halo(df, keys, cols, frame, before=h, after=h, size=size)
-    return d.withColumns({c: F.col(f"_m_{c}") for c in columns}).drop(*cols)
+    return d.withColumns({c: ordered.middle(F.col(f"_m_{c}")) for c in columns}).drop(*cols)
 
 
 def reject_jumps(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max_jump: float, frame: str = "frame",
@@ -56,12 +56,10 @@ def rolling_background(df: DataFrame, keys: Sequence[str], value: str, window: i
     seen = F.col(frame) + 1
     due = ((seen <= warmup) | (seen % every == 0)) & (seen >= 2)
 
-    def background(w):
-        return F.when(due, F.percentile(value, F.lit(0.5)).over(w.rowsBetween(-(window - 1), 0)))
-
     d = ordered.halo(df, frame, before=window - 1 + every, size=size)
     w = ordered.chunk_window(keys, frame)
-    d = d.withColumn("_bg", background(w))
+    d = d.withColumn("_bg", F.collect_list(value).over(w.rowsBetween(-(window - 1), 0)))
+    d = d.withColumn("_bg", F.when(due, ordered.middle(F.col("_bg"))))
     d = d.withColumn("background", F.last("_bg", ignorenulls=True).over(w.rowsBetween(-(every - 1), 0)))
     return d.where(~F.col("_halo")).drop("_halo", "_chunk", "_bg")
 
@@ -70,9 +68,9 @@ def channel_background(df: DataFrame, keys: Sequence[str], channels: Sequence[st
                        offset: int = 15, frame: str = "frame", size: int = CHUNK) -> DataFrame:
     """Whole-number moving median per colour channel; ``foreground`` where some channel deviates by more than
     ``offset``. Both are missing until ``warmup`` frames were seen."""
-    bg = {f"bg_{c}": (lambda w, c=c: F.when(F.col(frame) + 1 >= warmup,
-          F.floor(F.percentile(c, F.lit(0.5)).over(w.rowsBetween(-(window - 1), 0))).cast("int"))) for c in channels}
+    bg = {f"bg_{c}": (lambda w, c=c: F.collect_list(c).over(w.rowsBetween(-(window - 1), 0))) for c in channels}
     d = ordered.over_halo(df, keys, bg, frame, before=window - 1, size=size)
+    d = d.withColumns({c: F.when(F.col(frame) + 1 >= warmup, F.floor(ordered.middle(F.col(c))).cast("int")) for c in bg})
     dev = [F.abs(F.col(c) - F.col(f"bg_{c}")) for c in channels]
     top = F.greatest(*dev) if len(dev) > 1 else dev[0]
     ready = F.col(f"bg_{channels[0]}").isNotNull()
