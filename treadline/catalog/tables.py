@@ -9,8 +9,9 @@ from treadline.catalog import views as v
 from treadline.catalog.contacts import AGG_SQL, FPS, PRESSURE, STEPS, bouts, pressure
 from treadline.catalog.cycles import CYC, DET, det
 from treadline.catalog.registry import query
-from treadline.catalog.series import ROLES
+from treadline.catalog.series import PIXEL, PX, ROLES, W, pixel_series
 from treadline.operators import contact, cycles, pixels, steps
+from treadline.plans import trials
 from treadline.session import shared_folder
 from treadline.sources import readers, sinks, store
 from treadline.streaming import live
@@ -165,6 +166,15 @@ def _event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+def _replay(df):
+    """A table as a stream of two overlapping micro-batches or more: the rows are written as files to the shared folder, the later frames first, some of them twice."""
+    folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    late = F.pmod(F.floor(C("frame") / 7), F.lit(2)) == 1
+    df.where(late | (C("frame") % 5 == 0)).repartition(2).write.parquet(f"{folder}/a")
+    df.where(~late | (C("frame") % 3 == 0)).repartition(2).write.parquet(f"{folder}/b")
+    return (df.sparkSession.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(folder))
+
+
 def _drain(df):
     """Run a stream over all that is there, into a table of the shared folder, and read it."""
     root = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
@@ -193,3 +203,49 @@ def _(spark, sf_dir):
     closed = _drain(live.stream_camera_sets(frames(_event_stream(spark, sf_dir)), "1 day", n_roles=3))
     d = closed.unionByName(live.open_camera_sets(frames(v.table(spark, sf_dir, "events")), closed, n_roles=3))
     return d.withColumn("worst_ms", F.round("worst_ms", 6))
+
+
+@query("stream_background", f"""WITH {PIXEL},
+m AS (SELECT x, y, frame, CASE WHEN frame >= 1 AND (frame < 30 OR (frame + 1) % 5 = 0) THEN median(g) {PX} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END AS m FROM px)
+SELECT x, y, frame, last_value(m IGNORE NULLS) {PX} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS background FROM m""")
+def _(spark, sf_dir):
+    px = pixel_series(spark, sf_dir).select("x", "y", "frame", "g")
+    return _drain(live.stream_background(_replay(px), ["x", "y"], "g"))
+
+
+@query("stream_frame_rate", f"""WITH {v.SAMPLES}, s AS (SELECT trial_id, frame, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM samples),
+w AS (SELECT trial_id, frame, t, first_value(t) {W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS f, count(*) {W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS n FROM s)
+SELECT trial_id, frame, round(CASE WHEN n >= 2 AND t > f THEN (n - 1) / (t - f) END, 9) AS fps FROM w""")
+def _(spark, sf_dir):
+    s = v.samples(spark, sf_dir, "ts").select("trial_id", "frame", (F.unix_micros(C("ts").cast("timestamp")) / 1000000.0).alias("seconds"))
+    return _drain(live.stream_frame_rate(_replay(s), v.TRIAL, "seconds")).withColumn("fps", F.round("fps", 9))
+
+
+@query("contact_append", f"WITH {v.SAMPLES} SELECT trial_id, frame, k < 30 AS in_stance FROM samples")
+def _(spark, sf_dir):
+    s = v.samples(spark, sf_dir).select("trial_id", "frame", (C("k") < 30).alias("in_stance"))
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    live.append_contact(_replay(s), f"{root}/contact", f"{root}/log", {"availableNow": True}, v.TRIAL, watermark="365 days").awaitTermination()
+    return spark.read.parquet(f"{root}/contact").select("trial_id", "frame", "in_stance")
+
+
+# Trials with a frame of 99 have a line that can't be read: its place is lost.
+FAULTY = f"""{v.SAMPLES}, f AS (SELECT *, k <> 99 OR trial_id % 3 <> 0 AS readable FROM samples),
+s AS (SELECT trial_id, count(*) AS n_rows, count(*) FILTER (NOT readable) AS lost, count(*) FILTER (readable AND x > 40000) AS far FROM f GROUP BY trial_id),
+z AS (SELECT trial_id, n_rows, nullif(concat_ws('; ', CASE WHEN lost > 0 THEN 'a place in every frame: ' || lost END, CASE WHEN lost + far > 0 THEN 'inside the arena: ' || (lost + far) END), '') AS message FROM s)"""
+
+
+def _run_trials(spark, sf_dir):
+    s = v.samples(spark, sf_dir).withColumn("x", F.when((C("k") != 99) | (C("trial_id") % 3 != 0), C("x")))
+    rules = {"a place in every frame": C("x").isNotNull(), "inside the arena": C("x") <= 40000}
+    return trials.each_trial(s, v.TRIAL, rules, lambda d: d.groupBy("trial_id").agg(F.max("x").alias("reach"), F.count(F.lit(1)).alias("n_frames")))
+
+
+@query("trial_status", f"WITH {FAULTY} SELECT trial_id, CASE WHEN message IS NULL THEN 'ok' ELSE 'error' END AS status, message, n_rows FROM z")
+def _(spark, sf_dir):
+    return _run_trials(spark, sf_dir)[1]
+
+
+@query("trial_results", f"WITH {FAULTY} SELECT trial_id, max(x) AS reach, count(*) AS n_frames FROM f JOIN z USING (trial_id) WHERE message IS NULL GROUP BY trial_id")
+def _(spark, sf_dir):
+    return _run_trials(spark, sf_dir)[0]

@@ -1,10 +1,13 @@
-"""Structured Streaming: traversals and their metrics, camera sets, pulses, tracker events.
+"""Structured Streaming: traversals and their metrics, appended contact, moving statistics, camera sets, pulses, tracker events.
 
 Frames carry an event time. A synthetic clock of one second per frame keeps frame gaps exact at any frame rate. Rows
 later than the watermark are dropped; :class:`LateRows` counts them.
 """
 from __future__ import annotations
 
+import bisect
+import pickle
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -130,3 +133,124 @@ def stream_liveness(pulses: DataFrame, hz: float, key: str = "source") -> DataFr
     kind = dict(pulses.dtypes)[key]
     return pulses.groupBy(key).applyInPandasWithState(
         step, f"{key} {kind}, count long, last_pulse timestamp, alive boolean", "count long, last long", "update", "ProcessingTimeTimeout")
+
+
+def append_contact(frames: DataFrame, path: str, checkpoint: str, trigger: dict, keys: Sequence[str] = ("trial_id", "limb"), watermark: str = "1 hour"):
+    """Append the frames of a stream to a table of contact, each frame of a channel once.
+
+    Frames that are sent again within the ``watermark`` of the frame clock are dropped. Each micro-batch is a folder of the table named by its number and ordered by channel and frame; one
+    that is run again after a failure replaces its folder, so nothing is lost or doubled. The table is read back with ``spark.read.parquet(path)``; its column ``batch`` tells the folder.
+    """
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.sortWithinPartitions(*keys, "frame").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    # The first watermark is the epoch, and a row at it would be late.
+    once = (frames.withColumn("_t", frame_clock(F.col("frame") + 1)).withWatermark("_t", watermark)
+            .dropDuplicatesWithinWatermark([*keys, "frame"]).drop("_t"))
+    return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+class SlidingRanks:
+    """The last ``window`` values in the order of their ranks: a value that comes or goes shifts the middle by one place at most, and nothing is sorted again. Missing values take a place in the window and no rank."""
+
+    def __init__(self, window: int) -> None:
+        self.window, self.values, self.ranked = window, deque(), []
+
+    def push(self, value: float | None) -> None:
+        self.values.append(value)
+        if value is not None:
+            bisect.insort(self.ranked, value)
+        if len(self.values) > self.window:
+            gone = self.values.popleft()
+            if gone is not None:
+                del self.ranked[bisect.bisect_left(self.ranked, gone)]
+
+    def median(self) -> float | None:
+        n = len(self.ranked)
+        return (self.ranked[(n - 1) // 2] * 0.5 + self.ranked[n // 2] * 0.5) if n else None
+
+    def save(self) -> list:
+        return list(self.values)
+
+    def load(self, values: list) -> None:
+        self.values, self.ranked = deque(values), sorted(x for x in values if x is not None)
+
+
+class BackgroundState:
+    """Moving-median background of one channel, refreshed and held as in ``series.rolling_background``."""
+
+    def __init__(self, window: int, warmup: int, every: int) -> None:
+        self.ranks, self.warmup, self.every, self.seen, self.latest = SlidingRanks(window), warmup, every, 0, deque(maxlen=every)
+
+    def step(self, value: float | None) -> float | None:
+        self.ranks.push(value)
+        self.seen += 1
+        due = self.seen >= 2 and (self.seen <= self.warmup or self.seen % self.every == 0)
+        self.latest.append(self.ranks.median() if due else None)
+        return next((x for x in reversed(self.latest) if x is not None), None)
+
+    def save(self) -> tuple:
+        return self.ranks.save(), self.seen, list(self.latest)
+
+    def load(self, saved: tuple) -> None:
+        self.ranks.load(saved[0])
+        self.seen = saved[1]
+        self.latest.extend(saved[2])
+
+
+class RateState:
+    """Frames per second over the last ``window`` timestamps, as in ``series.frame_rate``."""
+
+    def __init__(self, window: int) -> None:
+        self.times: deque = deque(maxlen=window)
+
+    def step(self, seconds: float) -> float | None:
+        self.times.append(seconds)
+        passed = seconds - self.times[0]
+        return (len(self.times) - 1) / passed if len(self.times) >= 2 and passed > 0 else None
+
+    def save(self) -> list:
+        return list(self.times)
+
+    def load(self, saved: list) -> None:
+        self.times.extend(saved)
+
+
+def _stream_in_order(frames: DataFrame, keys: Sequence[str], value: str, name: str, start: Callable[[], BackgroundState | RateState]) -> DataFrame:
+    """Feed the values of each channel to a stateful step in the order of their frames, which count from 0 without gaps: a row per frame, once.
+
+    A frame that comes early waits in the state for those before it, and one that came already is dropped, so the result doesn't depend on how rows fall into
+    micro-batches. The state of a channel is its step and the frames that wait; it is kept in the state store, so a restart goes on from there.
+    """
+    cols, kinds = list(keys), dict(frames.dtypes)
+
+    def run(ids: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        due, waiting, step = 0, {}, start()
+        if state.exists:
+            due, waiting, saved = pickle.loads(state.get[0])
+            step.load(saved)
+        for pdf in batches:
+            values = pdf[value].astype(object).where(pdf[value].notna(), None)
+            for frame, x in zip(pdf["frame"].tolist(), values.tolist()):
+                if frame >= due:
+                    waiting.setdefault(frame, x)
+        first, results = due, []
+        while due in waiting:
+            results.append(step.step(waiting.pop(due)))
+            due += 1
+        state.update((pickle.dumps((due, waiting, step.save())),))
+        out = pd.DataFrame({c: [i] * len(results) for c, i in zip(cols, ids)})
+        yield out.assign(frame=range(first, due), **{name: pd.Series(results, dtype="float64")})
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", frame {kinds['frame']}, `{name}` double"
+    return frames.select(*cols, "frame", value).groupBy(*cols).applyInPandasWithState(run, schema, "state binary", "append", "NoTimeout")
+
+
+def stream_background(frames: DataFrame, keys: Sequence[str], value: str, window: int = 50, warmup: int = 30, every: int = 5) -> DataFrame:
+    """``series.rolling_background`` over a stream, with one keyed state per pixel: the ranks of its last ``window`` values."""
+    return _stream_in_order(frames, keys, value, "background", lambda: BackgroundState(window, warmup, every))
+
+
+def stream_frame_rate(frames: DataFrame, keys: Sequence[str], seconds: str, window: int = 30) -> DataFrame:
+    """``series.frame_rate`` over a stream; ``seconds`` is a column of timestamps in seconds."""
+    return _stream_in_order(frames, keys, seconds, "fps", lambda: RateState(window))
