@@ -56,6 +56,12 @@ def test_exact_groups(docs, none):
     assert exact.exact_groups(none).count() == 0
 
 
+def test_kept_rows_keep_their_own_columns(spark):
+    df = spark.createDataFrame([(1, "a", "mine", 7), (2, "a", "yours", None), (3, None, None, 9)], "doc_id bigint, text string, kept string, group_size int")
+    got = exact.drop_copies(df)
+    assert got.dtypes == df.dtypes and {tuple(r) for r in got.collect()} == {(2, "a", "yours", None), (3, None, None, 9)}
+
+
 def test_exact_hot_group(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     out = exact.exact_groups(df)

@@ -61,5 +61,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that :func:`exact_groups` keeps, with the columns of ``df``."""
-    return exact_groups(df, id_col, text_col).where("kept").select(*df.columns)
+    """The rows of ``df`` that :func:`exact_groups` keeps, with the columns of ``df`` and their own values, whatever they are called. Nulls, empty texts, ties and repeated rows are as there; an empty table gives none."""
+    # Under names of their own, columns can't meet those of the result.
+    own = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    kept = exact_groups(df.toDF(*own.values()), own[id_col], own[text_col]).where("kept")
+    return kept.select(*[F.col(o).alias(c) for c, o in own.items()])
