@@ -14,29 +14,30 @@ The log-likelihoods are normalised by length: their difference is the mean over
 long text doesn't hide one. A logistic curve
 fitted to the training rows turns it into a score.
 
-Counts cover all words and pairs of all training rows. They are a table keyed by the words themselves, which grows with the corpus and is never collected or broadcast.
-Texts are put into blocks of :data:`BLOCK` letters; the different words and pairs of a block are joined to the table, and what is found returns to
-its block, so a frequent word is one row per block.
+The classifier is fitted on a bounded sample of the labelled rows: of each class, the :data:`FIT_ROWS` rows with the smallest hash of their id, as far as their whole texts
+have :data:`FIT_LETTERS` / 2 letters (``fit_rows`` and ``fit_letters`` of :func:`scored` change both). Counts cover all words and pairs of these rows, exactly, keyed by the words themselves. That bounds
+the model: no more words and no more pairs than half the letters, 16 bytes a pair. So it is broadcast, and all texts are scored where they are read, whole and without a shuffle.
 """
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import pyarrow.ipc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treadline.llm.common import worker_cache
 from treadline.session import materialise
 
 KAPPA, DISCOUNT = 30.0, 0.75
 PASSAGE, LEAST = 32, 24
-BLOCK = 1 << 23
+#: The bound of the fit: labelled rows of each class, and letters of both classes together. A text of over a sixteenth of these letters is scored, but not learnt from.
+FIT_ROWS, FIT_LETTERS = 8192, 1 << 26
 #: Before a text's first word, and in place of a pair's first word where the row is about the word alone. Neither is a word.
 START, ALONE = "", " "
 _WORD = re.compile(r"\w+")
@@ -60,6 +61,24 @@ class _Ids(dict):
         return pa.array(list(self), pa.string())
 
 
+class _Known(dict):
+    """The numbers of the model's words; any other word has the next number."""
+
+    def __missing__(self, word: str) -> int:
+        return len(self)
+
+    def of(self, text: str) -> np.ndarray:
+        found = _WORD.findall(text.lower())
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+
+
+def _stored(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def _pairs(h: np.ndarray) -> np.ndarray:
     """Each word's number with that of the word before it."""
     return np.concatenate([[0], h[:-1]]) << 32 | h
@@ -74,21 +93,51 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def training_texts(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``packed`` text and ``toxic`` of the rows whose id has a label of 0 or 1 and isn't held out; of several labels of an id the highest.
+def training_ids(df: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int) -> tuple[DataFrame, np.ndarray]:
+    """``id``, ``toxic`` and ``hash`` of the rows to learn from, at most ``fit_rows`` of each class, and how many labelled rows each class has.
 
-    Texts are compressed before they are shuffled to their labels, and stored for the passes over them. The join is the same at all sizes.
+    Labelled are ids of ``df`` with a label of 0 or 1 that aren't held out; of several labels of an id the highest counts. Only ids and labels are shuffled. Where the cut
+    lies is found from counts in 65536 cells of the hash, so that few more rows than are taken are ever sorted.
     """
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = pa.array([zlib.compress(t.as_py().encode(), 1) for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["id", "packed"])
-
-    texts = df.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     marks = (labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("id"))
              .agg(F.max(F.col(label_col).cast("int")).alias("toxic")))
-    packed = texts.mapInArrow(pack, f"id {dict(texts.dtypes)['id']}, packed binary")
-    return materialise(packed.join(marks.hint("merge"), "id").select("packed", "toxic"))
+    marks = materialise(marks.join(df.select(F.col(id_col).alias("id")), "id", "left_semi").withColumn("hash", F.xxhash64(F.lit("fit"), "id")))
+    cell = F.shiftright("hash", 48)
+    found = marks.groupBy("toxic", cell.alias("cell")).count().orderBy("toxic", "cell").toArrow()
+    labelled, chosen = np.zeros(2, np.int64), None
+    for k in (0, 1):
+        cells, n = (found[c].to_numpy()[found["toxic"].to_numpy() == k] for c in ("cell", "count"))
+        labelled[k] = n.sum()
+        last = int(cells[min(np.searchsorted(np.cumsum(n), fit_rows), len(n) - 1)]) if len(n) else 0
+        own = marks.where((F.col("toxic") == k) & (cell <= last)).orderBy("hash", "id").limit(fit_rows)
+        chosen = own if chosen is None else chosen.unionByName(own)
+    return materialise(chosen), labelled
+
+
+def training_texts(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int = FIT_ROWS,
+                   fit_letters: int = FIT_LETTERS) -> tuple[DataFrame, np.ndarray]:
+    """Compressed text (``packed``) and ``toxic`` of the rows to learn from, and for each class how many labelled rows one of them stands for.
+
+    The ids are broadcast, at most ``2 * fit_rows`` of them, so texts stay where they are. Of each class, ids are taken in the order of their hash until
+    their texts have ``fit_letters / 2`` letters.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            packed = pa.array([zlib.compress(t.encode(), 1) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array([len(t) for t in texts], pa.int64())], ["id", "packed", "letters"])
+
+    chosen, labelled = training_ids(df, labels, id_col, label_col, fit_rows)
+    ids = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content")).join(F.broadcast(chosen.select("id")), "id", "left_semi")
+    texts = materialise(ids.mapInArrow(pack, f"id {dict(ids.dtypes)['id']}, packed binary, letters bigint"))
+    sizes = texts.groupBy("id").agg(F.sum("letters").alias("letters")).where(F.col("letters") <= fit_letters // 16)
+    # At most fit_rows ids a class.
+    so_far = Window.partitionBy("toxic").orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, 0)
+    kept = chosen.join(sizes, "id").withColumn("letters", F.sum("letters").over(so_far)).where(F.col("letters") <= fit_letters // 2)
+    kept = materialise(kept.select("id", "toxic"))
+    taken = {r.toxic: r["count"] for r in kept.groupBy("toxic").count().collect()}
+    weights = labelled / np.maximum([taken.get(k, 0) for k in (0, 1)], 1)
+    return texts.join(F.broadcast(kept), "id").select("packed", "toxic"), weights
 
 
 def expression_counts(labelled: DataFrame) -> DataFrame:
@@ -121,7 +170,7 @@ def expression_counts(labelled: DataFrame) -> DataFrame:
 
 def expression_table(labelled: DataFrame) -> DataFrame:
     """The counts of pairs and words. A word's row also has its different words before (``d0``, ``d1``) and the sums over the pairs that it begins (``a0``, ``a1``)."""
-    counts = materialise(expression_counts(labelled))
+    counts = materialise(expression_counts(labelled))  # read as pairs, and for each word's sums
     zero = F.lit(0).cast("long")
     pairs, alone = counts.where(F.col("before") != ALONE), counts.where(F.col("before") == ALONE)
     ends = F.struct("word", *[(F.col(f"n{k}") > 0).cast("long").alias(f"d{k}") for k in (0, 1)], zero.alias("a0"), zero.alias("a1"))
@@ -130,7 +179,7 @@ def expression_table(labelled: DataFrame) -> DataFrame:
     words = sides.unionByName(alone.select("word", "n0", "n1", *[zero.alias(c) for c in ("d0", "d1", "a0", "a1")]))
     words = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTED])
     none = [F.lit(None).cast("long").alias(c) for c in ("d0", "d1", "a0", "a1")]
-    return materialise(pairs.select("before", "word", "n0", "n1", *none).unionByName(words.withColumn("before", F.lit(ALONE))))
+    return pairs.select("before", "word", "n0", "n1", *none).unionByName(words.withColumn("before", F.lit(ALONE)))
 
 
 def _said_before(h: np.ndarray) -> np.ndarray:
@@ -150,15 +199,55 @@ def _discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """The table of counts, with what is known of it as a whole: the sums of continuation counts, and the curve."""
-
-    def __init__(self, table: DataFrame) -> None:
-        self.table = table
-        sums = table.where(F.col("before") == ALONE).agg(*[F.sum(F.least(f"n{k}", f"d{k}")) for k in (0, 1)]).first()
-        self.total = np.maximum(np.array([x or 0 for x in sums], float), 1)[:, None]
+    """The counts, numbered and broadcast, with the sums of continuation counts and the curve. Tasks get the two broadcasts, never the model."""
+
+    def __init__(self, table: DataFrame, weights: np.ndarray) -> None:
+        context, self.key, self.weights = table.sparkSession.sparkContext, uuid.uuid4().hex, weights
+        alone = F.col("before") == ALONE
+        words = table.where(alone).select("word", *[F.col(c).cast("int") for c in _COUNTED]).toArrow().sort_by("word")
+        if not words.num_rows:
+            words = pa.table([[START], *[pa.array([0], pa.int32())] * 6], names=words.column_names)
+        n = [words[f"n{k}"].to_numpy() for k in (0, 1)]
+        self.total = np.array([[max(1.0, float(np.minimum(n[k], words[f"d{k}"].to_numpy()).sum()))] for k in (0, 1)])
+        self.words = context.broadcast(_stored(words))
+        names, key = self.words, self.key
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = worker_cache(f"toxic words {key}", lambda: _numbered(names.value)[0])
+            codes, counts = [], []
+            for batch in batches:
+                v, w = (np.fromiter(map(ids.__getitem__, batch.column(i).to_pylist()), np.int64, batch.num_rows) for i in (0, 1))
+                codes.append(v << 32 | w)
+                counts.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)]))
+            if codes:
+                yield pa.RecordBatch.from_arrays([pa.array([_pair_table(np.concatenate(codes), np.concatenate(counts, 1))], pa.binary())], ["part"])
+
+        pairs = table.where(~alone).select("before", "word", F.col("n0").cast("int"), F.col("n1").cast("int"))
+        parts = [_pair_counts(p) for p in pairs.mapInArrow(number, "part binary").toArrow()["part"].to_pylist()]
+        # A code that no pair has, for models without pairs.
+        parts.append((np.array([-1]), np.zeros((2, 1), np.int32)))
+        self.pairs = context.broadcast(_pair_table(np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts], 1)))
         self.slope, self.middle = 1.0, 0.0
 
 
+def _pair_table(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Pairs sorted by code, as steps from one code to the next, which compress well."""
+    order = np.argsort(codes)
+    return _stored(pa.table([np.diff(codes[order], prepend=0), *counts[:, order]], names=["step", "n0", "n1"]))
+
+
+def _pair_counts(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
+    table = pa.ipc.open_stream(stored).read_all()
+    return np.cumsum(table["step"].to_numpy()), np.stack([table["n0"].to_numpy(), table["n1"].to_numpy()])
+
+
+def _numbered(stored: bytes) -> tuple[_Known, np.ndarray]:
+    """The words' numbers, :data:`START` being 0, and their counts with a last column of zeros for other words."""
+    table = pa.ipc.open_stream(stored).read_all()
+    counts = np.stack([table[c].to_numpy() for c in _COUNTED])
+    return _Known(zip(table["word"].to_pylist(), range(table.num_rows))), np.pad(counts, ((0, 0), (0, 1))).astype(float)
+
+
 def _ratios(total: np.ndarray, texts: np.ndarray, before: np.ndarray, begun: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """log p_1(w | v) - log p_0(w | v) for each place in a text; a row per class and a column per place.
 
@@ -185,15 +274,15 @@ def evidence(h: np.ndarray, ratios: np.ndarray) -> float:
 
 
 def _text_evidence(h: np.ndarray, total: np.ndarray, words: np.ndarray, codes: np.ndarray, pairs: np.ndarray, label: int | None) -> float:
-    """``words`` has texts, words before and pairs begun by the number of the word, ``pairs`` the texts with each of the sorted ``codes``.
+    """``words`` has texts, words before and pairs begun by the number of the word, ``pairs`` the texts with each of the sorted ``codes``; other pairs are in none.
 
     With a ``label``, the text is one of the training texts of that class, and is itself left out of the counts.
     """
     if not len(h):
         return 0.0
     code = _pairs(h)
-    v, at = code >> 32, np.searchsorted(codes, code)
-    texts, before, begun, pair = words[0:2, h], words[2:4, h], words[4:6, v], pairs[:, at]
+    v, at = code >> 32, np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    texts, before, begun, pair = words[0:2, h], words[2:4, h], words[4:6, v], pairs[:, at] * (codes[at] == code).astype(float)
     if label is not None:
         own, place = np.unique(code, return_index=True)
         names, number = np.unique(np.concatenate([h, v]), return_inverse=True)
@@ -206,22 +295,22 @@ def _text_evidence(h: np.ndarray, total: np.ndarray, words: np.ndarray, codes: n
     return evidence(h, _ratios(total, texts, before, begun, pair))
 
 
-def train(labelled: DataFrame) -> Model:
+def train(labelled: DataFrame, weights: np.ndarray) -> Model:
     """Fit the models to :func:`training_texts`. Without texts of one of the classes, every text scores alike."""
-    return _fit_curve(Model(expression_table(labelled)), labelled)
+    return _fit_curve(Model(expression_table(labelled), weights), labelled)
 
 
 def _fit_curve(model: Model, labelled: DataFrame) -> Model:
     """A logistic curve of the label over the evidence, from a histogram of all training rows in cells of 1/1024, each text left out of its own counts.
 
-    Its middle is where the fewest training rows lie on the wrong side, which wrong labels don't move; its slope is the most likely one.
+    Each row counts for as many labelled rows as it stands for. The middle is where the fewest lie on the wrong side, which wrong labels don't move; the slope is the most likely one.
     """
     cell = F.floor(F.least(F.greatest(F.col("evidence"), F.lit(-16.0)), F.lit(16.0)) * 1024)
     n = [F.sum((F.col("toxic") == k).cast("long")).alias(f"n{k}") for k in (0, 1)]
     found = _evidence(labelled, model, "toxic", text="packed", leave_out=True).groupBy(cell.alias("cell")).agg(*n).where("cell is not null").toArrow()
     cells = {c: found[c].to_numpy().astype(np.int64, copy=False) for c in found.column_names}
     order = np.argsort(cells["cell"])
-    x, n0, n1 = (cells["cell"][order] + 0.5) / 1024, cells["n0"][order].astype(float), cells["n1"][order].astype(float)
+    x, n0, n1 = (cells["cell"][order] + 0.5) / 1024, *(cells[f"n{k}"][order] * model.weights[k] for k in (0, 1))
     model.slope = 0.0
     if not n1.sum() or not n0.sum():
         return model
@@ -237,88 +326,32 @@ def _fit_curve(model: Model, labelled: DataFrame) -> Model:
     return model
 
 
-def _in_blocks(df: DataFrame) -> DataFrame:
-    """Rows in blocks of about :data:`BLOCK` letters: the number of the ``block`` and its ``rows``, compressed. A longer text is a block."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId() << 32
-
-        def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for part in parts:
-                    out.write_batch(part)
-            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+def _evidence(df: DataFrame, model: Model, *carried: str, text: str = "content", leave_out: bool = False) -> DataFrame:
+    """``evidence`` beside the ``carried`` columns; with ``leave_out``, the first of these is the label of a training text."""
+    key, names, expressions, total = model.key, model.words, model.pairs, model.total
 
-        held, size = [], 0
-        for batch in batches:
-            start = 0
-            for i, letters in enumerate(pa.compute.binary_length(batch.column(0)).to_pylist()):
-                size += letters * (1 if pa.types.is_string(batch.schema.field(0).type) else 3)
-                if size >= BLOCK:
-                    yield block([*held, batch.slice(start, i + 1 - start)])
-                    held, size, start, made = [], 0, i + 1, made + 1
-            if start < batch.num_rows:
-                held.append(batch.slice(start))
-        if held:
-            yield block(held)
-    return materialise(df.mapInArrow(run, "block bigint, rows binary"))
-
-
-def _read_block(rows: bytes) -> tuple[pa.Table, _Ids, list[np.ndarray], np.ndarray]:
-    """The rows of a block, its words, each text in their numbers, and the sorted pairs."""
-    table, ids = pa.ipc.open_stream(rows).read_all(), _Ids()
-    texts = [ids.of(t if isinstance(t, str) else _unpacked(t)) for t in table.column(0).to_pylist()]
-    codes = [np.unique(_pairs(h)) for h in texts if len(h)]
-    return table, ids, texts, np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-
-
-def _asked(blocks: DataFrame) -> DataFrame:
-    """The different words and pairs of each block: ``place`` is the number of the word, and pairs follow after all words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ids, words), (codes, pairs) = worker_cache(f"toxic {key}", lambda: (_numbered(names.value), _pair_counts(expressions.value)))
         for batch in batches:
-            for number, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, ids, _, codes = _read_block(rows.as_py())
-                words, n = ids.words(), len(ids) + len(codes)
-                before = pa.concat_arrays([pa.array([ALONE] * len(ids), pa.string()), words.take(pa.array(codes >> 32))])
-                word = pa.concat_arrays([words, words.take(pa.array(codes & 0xFFFFFFFF))])
-                columns = [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), before, word]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "place", "before", "word"])
-    return blocks.mapInArrow(run, "block bigint, place int, before string, word string")
-
-
-def _evidence(df: DataFrame, model: Model, *carried: str, text: str = "content", leave_out: bool = False) -> DataFrame:
-    """``evidence`` beside the ``carried`` columns; with ``leave_out``, the first of these is the label of a training text."""
-    total = model.total
-
-    def run(block: pa.Table, found: pa.Table) -> pa.Table:
-        table, ids, texts, codes = _read_block(block["rows"][0].as_py())
-        words, pairs = np.zeros((6, len(ids))), np.zeros((2, len(codes)))
-        place = found["place"].to_numpy()
-        alone = place < len(ids)
-        for i, c in enumerate(_COUNTED):
-            n = found[c].to_numpy()
-            words[i, place[alone]] = n[alone]
-            if i < 2:
-                pairs[i, place[~alone] - len(ids)] = n[~alone]
-        own = table[carried[0]].to_pylist() if leave_out else [None] * len(texts)
-        e = pa.array([_text_evidence(h, total, words, codes, pairs, k) for h, k in zip(texts, own)], pa.float64())
-        return pa.table([*(table[c] for c in carried), e], names=[*carried, "evidence"])
+            own = batch.column(1).to_pylist() if leave_out else [None] * batch.num_rows
+            found = (t.as_py() for t in batch.column(0))
+            e = [_text_evidence(ids.of(t if isinstance(t, str) else _unpacked(t)), total, words, codes, pairs, k) for t, k in zip(found, own)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(e, pa.float64())], [*carried, "evidence"])
 
     kinds = dict(df.dtypes)
-    blocks = _in_blocks(df.select(text, *carried))
-    found = _asked(blocks).join(model.table, ["before", "word"]).select("block", "place", *_COUNTED)
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", evidence double")
+    return df.select(text, *carried).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", evidence double")
 
 
-def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS,
+           fit_letters: int = FIT_LETTERS) -> DataFrame:
     """One row per row of ``df``: id, ``held_out``, ``score`` from 0 to 1, ``predicted``.
 
-    Models are fitted on the rows whose id has a label of 0 or 1 and isn't held out; of an id with several labels the highest counts. Only the
-    text enters the score. Null and empty texts and texts without words have no evidence and get the score of none; null ids are scored, never
+    Models are fitted on rows whose id has a label of 0 or 1 and isn't held out, ``fit_rows`` of each class and ``fit_letters`` letters at most; of an id with several labels the
+    highest counts. Only the text enters the score. Null and empty texts and texts without words have no evidence and get the score of none; null ids are scored, never
     trained on. Very long texts are read whole. If the labels lack a class, all rows score 0.5 less a little, and none is predicted toxic.
     """
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    model = train(training_texts(df, labels, id_col, text_col, label_col))
+    model = train(*training_texts(df, labels, id_col, text_col, label_col, fit_rows, fit_letters))
     out = _evidence(texts, model, "id")
     slope, middle = float(model.slope), float(model.middle)
     score = 1 / (1 + F.exp(-F.least(F.greatest((F.col("evidence") - middle) * slope, F.lit(-30.0)), F.lit(30.0))))
@@ -329,7 +362,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
 def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are not predicted toxic. Each row is judged by its own text."""
-    model = train(training_texts(df, labels, id_col, text_col, "toxic"))
+    model = train(*training_texts(df, labels, id_col, text_col, "toxic"))
     if model.slope == 0:
         return df
     own = [f"c{i}" for i in range(len(df.columns))]
