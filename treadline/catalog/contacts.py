@@ -66,7 +66,7 @@ AGG_SQL = f"""
 g AS (SELECT trial_id, limb, count(*) AS n_steps, max(amax) / 100.0::DOUBLE AS max_contact_area_cm2, sum(asum) / sum(n) / 100.0::DOUBLE AS avg_contact_area_cm2,
    sum(n) / 128.0::DOUBLE AS total_contact_s, max(stand_s) AS max_contact_s, {_pm('cyc')} AS step_cycle_s, {_pm('stride')} / 10 AS stride_length_cm, {_pm('stride')} / 10 AS step_length_cm,
    avg(stand_s) AS avg_stance_s, {_pm('swing_s')} AS avg_swing_s, avg(br) AS avg_braking_s, avg(pr) AS avg_propulsion_s, avg(bi) AS braking_index,
-   avg(pi) AS propulsion_index, {_pm('ssp')} / 10 AS avg_swing_speed_cm_s, {_pm('spd')} / 10 AS avg_speed_cm_s, sum(stride) / 10 AS tot,
+   avg(pi) AS propulsion_index, {_pm('ssp')} / 10 AS avg_swing_speed_cm_s, {_pm('spd')} / 10 AS avg_instantaneous_speed_cm_s, sum(stride) / 10 AS tot,
    max(ssp) / 10 AS peak_swing_speed_cm_s, max(max_intensity) AS max_intensity, {_pm('max_intensity')} AS avg_max_intensity, sum(auc) AS total_auc
   FROM steps GROUP BY trial_id, limb),
 ag AS (SELECT t.trial_id, t.limb, coalesce(n_steps, 0) AS n_steps,

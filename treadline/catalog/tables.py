@@ -47,7 +47,7 @@ LIMB_NUMBERS = ("avg_stance_s", "avg_swing_s", "duty_cycle_pct", "stride_length_
 m AS (SELECT *, max(ca) OVER (PARTITION BY trial_id, limb) AS mca FROM pr),
 p AS (SELECT trial_id, limb, max(ca) AS p_area, sum(pa) AS print_area_cm2, avg(mean_intensity) AS mean_intensity, max(max_intensity) AS p_top,
   max(CASE WHEN ca = mca THEN max_intensity END) AS max_contact_max_intensity, avg(si) AS avg_stand_index, sum(si) AS total_stand_index FROM m GROUP BY trial_id, limb)
-SELECT ag.trial_id, ag.limb AS paw, CAST(n_steps AS INTEGER) AS n_steps, round(avg_speed_cm_s, 6) AS avg_instantaneous_speed_cm_s,
+SELECT ag.trial_id, ag.limb AS paw, CAST(n_steps AS INTEGER) AS n_steps, round(avg_instantaneous_speed_cm_s, 6) AS avg_instantaneous_speed_cm_s,
  {', '.join(f"round({ {'max_contact_area_cm2': 'p_area', 'max_intensity': 'p_top'}.get(c, c)}, 6) AS {c}" for c in LIMB_NUMBERS)} FROM ag LEFT JOIN p USING (trial_id, limb)""")
 def _(spark, sf_dir):
     t = sinks.limb_table(steps.limb_aggregates(bouts(spark, sf_dir, "area_px"), v.LIMB, FPS), steps.limb_pressure(pressure(spark, sf_dir), v.LIMB))

@@ -101,7 +101,7 @@ LIMB_METRICS = (
     "max_contact_area_cm2", "avg_contact_area_cm2", "total_contact_s", "max_contact_s", "contact_time_pct",
     "step_cycle_s", "stride_length_cm", "step_length_cm", "avg_stance_s", "avg_swing_s", "duty_cycle_pct", "swing_phase_pct",
     "avg_braking_s", "avg_propulsion_s", "braking_index", "propulsion_index", "avg_swing_speed_cm_s",
-    "avg_speed_cm_s", "total_speed_cm_s", "peak_swing_speed_cm_s", "max_intensity", "avg_max_intensity", "total_auc",
+    "avg_instantaneous_speed_cm_s", "total_speed_cm_s", "peak_swing_speed_cm_s", "max_intensity", "avg_max_intensity", "total_auc",
     "n_steps")
 
 
@@ -127,7 +127,7 @@ def limb_aggregates(runs: DataFrame, keys: Sequence[str], fps: float, px_per_mm:
         _stance_mean("braking_index").alias("braking_index"),
         _stance_mean("propulsion_index").alias("propulsion_index"),
         (_positive_mean("swing_speed_mm_s") / 10.0).alias("avg_swing_speed_cm_s"),
-        (_positive_mean("speed_mm_s") / 10.0).alias("avg_speed_cm_s"),
+        (_positive_mean("speed_mm_s") / 10.0).alias("avg_instantaneous_speed_cm_s"),
         (F.coalesce(F.sum(F.when(st, F.col("stride_length_mm"))), F.lit(0.0)) / 10.0).alias("_stride_cm"),
         (F.coalesce(F.max(F.when(st, F.col("swing_speed_mm_s"))), F.lit(0.0)) / 10.0).alias("peak_swing_speed_cm_s"),
         F.coalesce(F.max(F.when(st, F.col("max_intensity"))), F.lit(0.0)).alias("max_intensity"),

@@ -54,7 +54,7 @@ def limb_table(contact: DataFrame, pressure: DataFrame) -> DataFrame:
     """Per-limb summary from contact and pressure aggregates (the pressure side wins where both have a column)."""
     own = [c for c in contact.columns if c in ("trial_id", "limb") or c not in pressure.columns]
     d = contact.select(*own).join(pressure, ["trial_id", "limb"], "left")
-    return layout(d, ["trial_id"], LIMB_COLUMNS, {"paw": F.col("limb"), "avg_instantaneous_speed_cm_s": F.col("avg_speed_cm_s")})
+    return layout(d, ["trial_id"], LIMB_COLUMNS, {"paw": F.col("limb")})
 
 
 def step_table(step_rows: DataFrame, size: int = CHUNK) -> DataFrame:
