@@ -96,18 +96,44 @@ def _(spark, sf_dir):
         pixels.dark_pixels().alias("dark"), pixels.strict_contact_pixels().alias("strict"))
 
 
-@query("blob_statistics")
+def blob_sql(keys: str, extra: str = "") -> str:
+    """``blobs`` of the pixels ``c``: every pixel takes the first pixel, in scan order, that it is connected to; labels count those."""
+    same = " AND ".join(f"c.{k} = r.{k}" for k in keys.split(", "))
+    own = ", ".join(f"c.{k}" for k in keys.split(", "))
+    return f"""r AS (SELECT {keys}, x, y, y * 1000 + x AS root FROM c
+  UNION SELECT {own}, c.x, c.y, r.root FROM r JOIN c ON {same} AND abs(c.x - r.x) <= 1 AND abs(c.y - r.y) <= 1 AND r.root < c.y * 1000 + c.x),
+first AS (SELECT {keys}, x, y, min(root) AS root FROM r GROUP BY ALL),
+blobs AS (SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY root) AS INTEGER) AS label, CAST(count(*) AS INTEGER) AS area_px,
+  min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, avg(x) AS cx, avg(y) AS cy{extra} FROM first JOIN c USING ({keys}, x, y) GROUP BY {keys}, root)"""
+
+
+@query("blob_statistics", f"""WITH RECURSIVE {BG},
+c AS (SELECT trial_id, CAST(frame // 4 AS INTEGER) AS frame, x, y, max(g) AS g FROM fg WHERE g - bg_g > 12 GROUP BY ALL),
+{blob_sql("trial_id, frame", ", max(g) AS max_g")}
+SELECT * FROM blobs""")
 def _(spark, sf_dir):
     p = with_background(spark, sf_dir).where(pixels.contact_pixels()).withColumn("frame", F.floor(F.col("frame") / 4).cast("int"))
-    lab = pixels.label_blobs(p.select("trial_id", "frame", "x", "y", "g"))
-    return pixels.blob_statistics(lab, measures={"max_g": F.max("g")})
-
-
-@query("grouped_feet")
-def _(spark, sf_dir):
-    p = with_background(spark, sf_dir).where(pixels.contact_pixels()).withColumn("frame", F.floor(F.col("frame") / 50).cast("int"))
+    # Four frames are put on each other, so a pixel has several values.
+    p = p.groupBy("trial_id", "frame", "x", "y").agg(F.max("g").alias("g"))
+    return pixels.blob_statistics(pixels.label_blobs(p), measures={"max_g": F.max("g")})
+
+
+@query("grouped_feet", f"""WITH RECURSIVE {BG},
+c AS (SELECT frame, x, y FROM fg WHERE g - bg_g > 80),
+{blob_sql("frame")},
+f AS (SELECT frame, label, label AS foot FROM blobs UNION SELECT b.frame, b.label, f.foot FROM f JOIN blobs a ON a.frame = f.frame AND a.label = f.label
+  JOIN blobs b ON b.frame = a.frame AND f.foot < b.label AND sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) <= 2.5),
+m AS (SELECT frame, min(foot) AS foot_id, label FROM f GROUP BY ALL), g AS (SELECT * FROM m JOIN blobs USING (frame, label)),
+i AS (SELECT frame, foot_id, avg(v) AS intensity_mean, max(v) AS intensity_max, min(v) AS intensity_min, CAST(sum(v) AS DOUBLE) AS intensity_total FROM
+  (SELECT DISTINCT g.frame, foot_id, px.x, px.y, px.g AS v FROM g JOIN px ON px.frame = g.frame AND px.x >= x1 AND px.x < x2 AND px.y >= y1 AND px.y < y2) GROUP BY ALL)
+SELECT frame, foot_id, CAST(sum(area_px) AS INTEGER) AS area_px, CAST(sum(area_px) AS DOUBLE) AS area_mm2, sum(cx * area_px) / sum(area_px) AS cx, sum(cy * area_px) / sum(area_px) AS cy,
+  min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_blobs, sum(area_px) >= 3 AS is_in_stance,
+  any_value(intensity_mean) AS intensity_mean, any_value(intensity_max) AS intensity_max, any_value(intensity_min) AS intensity_min, any_value(intensity_total) AS intensity_total
+FROM g JOIN i USING (frame, foot_id) GROUP BY frame, foot_id""")
+def _(spark, sf_dir):
+    p = with_background(spark, sf_dir).where(pixels.contact_pixels(80.0))
     blobs = pixels.blob_statistics(pixels.label_blobs(p.select("frame", "x", "y", "g"), ("frame",)), ("frame",))
-    return matching.merge_blobs(matching.group_blobs(blobs, 2.0, ("frame",)), ("frame",), stance_area=3)
+    return matching.merge_blobs(matching.group_blobs(blobs, 2.5, ("frame",)), ("frame",), stance_area=3, pixels=pixel_series(spark, sf_dir))
 
 
 @query("near_body_pixels", f"""WITH {PIXEL}, f AS (SELECT DISTINCT frame, x, y, trial_id, g, r FROM px),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treadline.functions.geometry import distance
 from treadline.operators import ordered
-from treadline.operators.pixels import _components, batched_groups
+from treadline.operators.pixels import _components, batched_groups, pixels_in_boxes
 from treadline.session import cut_lineage
 
 
@@ -186,16 +186,35 @@ def group_blobs(blobs: DataFrame, radius: float = 25.0, keys: Sequence[str] = ("
     return batched_groups(blobs, keys, ("label",), lambda pdf: _group_near(pdf, names, radius), schema)
 
 
+def foot_intensity(blobs: DataFrame, pixels: DataFrame, keys: Sequence[str] = ("trial_id", "frame"), value: str = "g") -> DataFrame:
+    """Mean, maximum, minimum and sum of a channel over the boxes of each foot's blobs, per ``foot_id``.
+
+    A pixel in the boxes of several blobs of a foot counts once. Pixels are those of ``pixels``, one row each; feet whose boxes hold none have no row.
+    """
+    cols = [*keys, "foot_id"]
+    inside = pixels_in_boxes(pixels.select(*keys, "x", "y", F.col(value).alias("_v")), blobs.select(*cols, "x1", "y1", "x2", "y2"), keys)
+    once = inside.groupBy(*cols, "x", "y").agg(F.max("_v").alias("_v"))
+    return once.groupBy(*cols).agg(F.avg("_v").alias("intensity_mean"), F.max("_v").alias("intensity_max"), F.min("_v").alias("intensity_min"),
+                                   F.sum("_v").cast("double").alias("intensity_total"))
+
+
 def merge_blobs(blobs: DataFrame, keys: Sequence[str] = ("trial_id", "frame"), px_per_mm: float | None = None,
-                stance_area: int = 30) -> DataFrame:
-    """One row per grouped foot: union box, area-weighted centroid, area and stance flag."""
+                stance_area: int = 30, pixels: DataFrame | None = None, value: str = "g") -> DataFrame:
+    """One row per grouped foot: union box, area-weighted centroid, area and stance flag.
+
+    With the ``pixels`` of the frames also :func:`foot_intensity`, 0 where a foot's boxes hold no pixel.
+    """
     a = F.sum("area_px")
     w = lambda c: F.sum(F.col(c) * F.col("area_px")) / a
     mm2 = (px_per_mm or 1.0) ** 2
-    return blobs.groupBy(*keys, "foot_id").agg(
+    feet = blobs.groupBy(*keys, "foot_id").agg(
         a.cast("int").alias("area_px"), (a / float(mm2)).alias("area_mm2"), w("cx").alias("cx"), w("cy").alias("cy"),
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
         F.count(F.lit(1)).alias("n_blobs"), (a >= stance_area).alias("is_in_stance"))
+    if pixels is None:
+        return feet
+    names = [f"intensity_{n}" for n in ("mean", "max", "min", "total")]
+    return feet.join(foot_intensity(blobs, pixels, keys, value), [*keys, "foot_id"], "left").fillna(0, names)
 
 
 def quadrant_pick(feet: DataFrame, axis: DataFrame, keys: Sequence[str], frame_keys: Sequence[str], foot: str = "det_id",
