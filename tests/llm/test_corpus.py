@@ -281,6 +281,73 @@ def test_rare_words_and_words_after_one_word(spark):
     assert ratio(1, 1, 1) > ratio(1, 1, 0) and ratio(1000, 1, 1000) > 2
 
 
+def _plain_evidence(text, training):
+    """The evidence of a text by the formulas of the module, from dictionaries of all training texts."""
+    n, before, begun = collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for other, k in training:
+        w = other.split()
+        for pair in set(zip(["", *w], w)):
+            n[k, pair] += 1
+            before[k, pair[1]].add(pair[0])
+            begun[k, pair[0]] += 1
+        n.update((k, x) for x in set(w))
+    least = lambda k, w: min(n[k, w], len(before[k, w]))
+    total = [sum(least(k, w) for w in {x for t, _ in training for x in t.split()}) for k in (0, 1)]
+    share = [t / sum(total) for t in total]
+
+    def level(counts):
+        freed = min(toxicity.DISCOUNT, sum(counts))
+        return [c * (1 - freed / max(sum(counts), 1)) for c in counts], toxicity.KAPPA + freed
+    words, out = text.split(), []
+    for i, (v, w) in enumerate(zip(["", *words], words)):
+        own, mass = level([least(k, w) for k in (0, 1)])
+        after = [begun[k, v] + share[k] * toxicity.KAPPA for k in (0, 1)]
+        expected = [after[k] * (own[k] + share[k] * mass) / total[k] for k in (0, 1)]
+        own, mass = level([n[k, (v, w)] for k in (0, 1)])
+        p = [(own[k] + expected[k] / sum(expected) * mass) / after[k] for k in (0, 1)]
+        out.append(0 if w in words[max(0, i - toxicity.PASSAGE):i] else np.log(p[1] / p[0]))
+    if len(out) <= toxicity.PASSAGE:
+        return sum(out) / max(len(out), toxicity.LEAST) if out else 0
+    return max(sum(out[i:i + toxicity.PASSAGE]) for i in range(len(out) - toxicity.PASSAGE + 1)) / toxicity.PASSAGE
+
+
+def test_evidence_is_that_of_plain_counts(spark):
+    """Known and unknown words and pairs, repeated words, texts shorter and longer than a passage; and each training text left out of its own counts."""
+    rng = np.random.default_rng(9)
+    text = lambda size, top: " ".join(f"w{k}" for k in rng.integers(0, top, size))
+    training = [(text(int(rng.integers(1, 70)), 40), int(i % 4 == 0)) for i in range(60)]
+    rows = [(zlib.compress(t.encode()), k) for t, k in training]
+    labelled = spark.createDataFrame(rows, "packed binary, toxic int")
+    model = toxicity.Model(toxicity.expression_table(labelled), np.ones(2))
+    asked = [text(int(size), 60) for size in rng.integers(0, 90, 30)] + ["", "none of these"]
+    got = toxicity._evidence(spark.createDataFrame(list(enumerate(asked)), "id int, content string"), model, "id").collect()
+    assert len(got) == len(asked)
+    for r in got:
+        assert r.evidence == pytest.approx(_plain_evidence(asked[r.id], training), abs=1e-9)
+
+
+def test_fit_is_bounded_and_weighted(spark):
+    df, labels, truth = _docs_with_toxic(spark)
+    df = df.union(spark.createDataFrame([(1001, "foul " * 5000)], df.schema))
+    labels = labels.union(spark.createDataFrame([(1001, 1), (2000, 0)], labels.schema))
+    train = {k: {i for i, t in truth.items() if t == k and zlib.crc32(str(i).encode()) % 5} for k in (0, 1)}
+    own = {0: len(train[0]), 1: len(train[1]) + 1}
+    texts, weights = toxicity.training_texts(df, labels, "doc_id", "text", "toxic", fit_rows=40)
+    n = collections.Counter(r.toxic for r in texts.collect())
+    assert n[0] == 40 and n[1] == 40 and weights.tolist() == [own[0] / 40, own[1] / 40]
+    # 16,000 letters: 8,000 of each class, and a text of 25,000 isn't learnt from.
+    texts, weights = toxicity.training_texts(df, labels, "doc_id", "text", "toxic", fit_letters=16000)
+    sizes = collections.defaultdict(list)
+    for r in texts.collect():
+        sizes[r.toxic].append(len(zlib.decompress(r.packed)))
+    assert all(7500 < sum(sizes[k]) <= 8000 and max(sizes[k]) <= 1000 for k in (0, 1))
+    assert weights.tolist() == [own[k] / len(sizes[k]) for k in (0, 1)]
+    out = toxicity.scored(df, labels, fit_rows=60).where("doc_id < 1000 and held_out").collect()
+    assert sum(r.predicted == truth[r.doc_id] for r in out) >= 0.95 * len(out)
+    again = toxicity.scored(df.repartition(3), labels.repartition(2), fit_rows=60).where("doc_id < 1000 and held_out").collect()
+    assert {r.doc_id: round(r.score, 9) for r in again} == {r.doc_id: round(r.score, 9) for r in out}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 6, 400), rng.integers(0, 6, 400)
