@@ -282,3 +282,19 @@ def test_triangulation_and_refinement(spark):
     out = multiview.refine(start.where("frame = 0"), clean.where("frame = 0"), bones).collect()
     for r in out:
         assert np.allclose((r.x, r.y, r.z), pts[0, int(r.joint[1])], atol=1e-5)
+
+
+def test_foot_intensity_counts_shared_pixels_once(spark):
+    """Boxes of a foot that overlap, boxes at the edge of the image, and a foot outside of it."""
+    rng = np.random.default_rng(3)
+    image = {(f, x, y): int(rng.integers(0, 256)) for f in range(3) for x in range(12) for y in range(9)}
+    boxes = [(0, 1, 1, 0, 0, 4, 4, 9), (0, 2, 1, 2, 2, 6, 5, 5), (0, 3, 3, 8, 6, 14, 11, 7), (1, 1, 1, 1, 1, 2, 2, 1), (2, 1, 1, 30, 30, 33, 33, 9)]
+    blobs = spark.createDataFrame([(*b, (b[3] + b[5]) / 2, (b[4] + b[6]) / 2) for b in boxes],
+                                  "frame int, label int, foot_id int, x1 int, y1 int, x2 int, y2 int, area_px int, cx double, cy double")
+    px = spark.createDataFrame([(*k, v) for k, v in image.items()], "frame int, x int, y int, g int")
+    got = {(r.frame, r.foot_id): r for r in matching.merge_blobs(blobs, ("frame",), pixels=px).collect()}
+    assert set(got) == {(0, 1), (0, 3), (1, 1), (2, 1)}
+    for (frame, foot), r in got.items():
+        own = [b for b in boxes if (b[0], b[2]) == (frame, foot)]
+        v = [g for (f, x, y), g in image.items() if f == frame and any(b[3] <= x < b[5] and b[4] <= y < b[6] for b in own)] or [0]
+        assert (r.intensity_max, r.intensity_min, r.intensity_total) == (max(v), min(v), sum(v)) and r.intensity_mean == pytest.approx(np.mean(v))
