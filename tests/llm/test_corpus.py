@@ -154,6 +154,21 @@ def test_transducer_equals_the_definition():
             assert np.frombuffer(machine.word(word.encode()), "<u4").tolist() == merges.merge(word[:-1] + chr(256 + ord(word[-1])))
 
 
+def test_pieces_of_texts_and_forgotten_states(library, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 7)
+    monkeypatch.setattr(bpe, "STATES", 40)
+    encoder = bpe.Encoder(PATH)
+    rng = np.random.default_rng(5)
+    alphabet = list("aabcdeeinorst") + list(" \t\u00a0\u0085\x1c'.,!7") + ["\u00e9", "e\u0301", "\u03a3", "\u0130", "\u6f22", "\U0001f600", "<|endoftext|>", "'ll", "\ud55c", "\u1112\u1161"]
+    for n in [0, 1, 2, 5, *rng.integers(5, 400, 300).tolist()]:
+        text = "".join(rng.choice(alphabet, n))
+        parts = list(encoder.pieces(text))
+        assert np.frombuffer(b"".join(parts), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for run in ("ab" * 3000, "\u00e9lan" * 900, "x" * 5000 + " y " + "'s" * 2000):
+        assert np.frombuffer(encoder.encode(run), "<u4").tolist() == library.encode(run, add_special_tokens=False).ids
+    assert len(encoder.transducer.states) <= 40 and 0 < encoder.transducer.most_kept <= 2 * encoder.transducer.window + 1
+
+
 def test_token_shards(docs, none, library):
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.round_trip(docs, PATH).collect())
     want, at = [], 0

@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from treadline.llm.common import worker_cache
 
 #: Entries of the tables that spare work; they bound memory and never change a result.
-PAIRS, WORDS, LONGEST_KEPT = 1 << 17, 1 << 17, 48
+PAIRS, WORDS, LONGEST_KEPT, STATES = 1 << 17, 1 << 17, 48, 1 << 17
+#: Texts are read in pieces of about this many letters, cut at white space.
+SLICE = 1 << 16
 #: The key of a token in the tree of spellings; symbols are 0 to 511.
 TOKEN = -1
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -104,73 +106,117 @@ class Merges:
         return max(reach.values(), default=0)
 
 
+class _State(dict):
+    """What the symbols read so far leave open: the live boundaries. As a table, symbol -> (next state, token that ends here, its length).
+
+    A live boundary is (how many symbols back it lies, the place in the tree of spellings that is reached from it, the token that ends at it).
+    None of these depends on where in a word they occur, so a move is found once and then looked up.
+    """
+
+    __slots__ = ("live", "transducer")
+
+    def __init__(self, live: tuple, transducer: Transducer) -> None:
+        self.live, self.transducer = live, transducer
+
+    def __missing__(self, symbol: int) -> tuple[_State | None, int, int]:
+        fit, found, length, on = self.transducer.merges.fit, -1, 0, []
+        for back, node, before in self.live:
+            node = node.get(symbol)
+            if node is not None:
+                token = node.get(TOKEN)
+                if token is None or len(node) > 1:
+                    on.append((back + 1, node, before))
+                if found < 0 and token is not None and (before < 0 or fit[before << 32 | token]):
+                    found, length = token, back + 1
+        if found < 0:
+            raise ValueError("no token ends here: the vocabulary lacks a byte")
+        on.append((0, self.transducer.merges.tree, found))
+        # Nothing is read after the last symbol of a word.
+        move = self[symbol] = (self.transducer.state(tuple(on)) if symbol < 256 else None, found, length)
+        return move
+
+
 class Transducer:
-    """Encodes the bytes of one word; ``feed`` takes them in pieces and yields ids, as little-endian 32-bit integers, once they are stable."""
+    """Encodes the bytes of one word; ``feed`` takes them in pieces and yields ids, as little-endian 32-bit integers, once they are stable.
+
+    States and their moves are made as words need them and forgotten when there are ``STATES``.
+    """
 
     def __init__(self, merges: Merges) -> None:
         self.merges = merges
         self.window = merges.lookahead + max(map(len, merges.token))
         self.most_kept = 0
+        self.states: dict[tuple, _State] = {}
+        self.first = _State(((0, merges.tree, -1),), self)
+
+    def state(self, live: tuple) -> _State:
+        key = tuple([(back, id(node), before) for back, node, before in live])
+        state = self.states.get(key)
+        if state is None:
+            if len(self.states) >= STATES:
+                for old in self.states.values():
+                    old.clear()
+                self.states.clear()
+                self.first.clear()
+            state = self.states[key] = _State(live, self)
+        return state
 
     def word(self, word: bytes) -> bytes:
-        return b"".join(self.feed((word,)))
+        if len(word) > 2 * self.window:
+            return b"".join(self.feed((word,)))
+        if not word:
+            return b""
+        state, tokens, lengths = self.first, [-1], [0]
+        for symbol in word[:-1]:
+            state, token, length = state[symbol]
+            tokens.append(token)
+            lengths.append(length)
+        _, token, length = state[256 + word[-1]]
+        tokens.append(token)
+        lengths.append(length)
+        return self._ids(tokens, lengths, len(word))
 
     def feed(self, pieces: Iterable[bytes]) -> Iterator[bytes]:
-        # Position 0 is the last stable boundary; starts[p] and tokens[p] describe the token that ends at p.
-        starts, tokens, live = [0], [-1], [(0, self.merges.tree)]
+        # Position 0 is the last stable boundary; tokens[p] ends at p and lengths[p] is its length.
+        state, tokens, lengths = self.first, [-1], [0]
         held = -1
         for piece in pieces:
             for byte in piece:
                 if held >= 0:
-                    live = self._read(held, starts, tokens, live)
-                    if len(starts) > 2 * self.window:
-                        self.most_kept = max(self.most_kept, len(starts))
-                        ready, starts, tokens, live = self._settle(starts, tokens, live)
+                    state, token, length = state[held]
+                    tokens.append(token)
+                    lengths.append(length)
+                    if len(tokens) > 2 * self.window:
+                        self.most_kept = max(self.most_kept, len(tokens))
+                        ready, tokens, lengths = self._settle(state, tokens, lengths)
                         yield ready
                 held = byte
         if held >= 0:
-            self._read(256 + held, starts, tokens, live)
-            yield self._ids(starts, tokens, len(starts) - 1)
-
-    def _read(self, symbol: int, starts: list[int], tokens: list[int], live: list[tuple[int, dict]]) -> list[tuple[int, dict]]:
-        """Find the one token that can end with ``symbol``; returns the boundaries from which a token may still go on."""
-        fit, found, start, on = self.merges.fit, -1, 0, []
-        for q, node in live:
-            node = node.get(symbol)
-            if node is not None:
-                on.append((q, node))
-                token = node.get(TOKEN)
-                if found < 0 and token is not None:
-                    before = tokens[q]
-                    if before < 0 or fit[before << 32 | token]:
-                        found, start = token, q
-        if found < 0:
-            raise ValueError("no token ends here: the vocabulary lacks a byte")
-        on.append((len(starts), self.merges.tree))
-        starts.append(start)
-        tokens.append(found)
-        return on
+            _, token, length = state[256 + held]
+            tokens.append(token)
+            lengths.append(length)
+            yield self._ids(tokens, lengths, len(tokens) - 1)
 
     @staticmethod
-    def _ids(starts: list[int], tokens: list[int], at: int) -> bytes:
+    def _ids(tokens: list[int], lengths: list[int], at: int) -> bytes:
         ids = []
         while at:
             ids.append(tokens[at])
-            at = starts[at]
+            at -= lengths[at]
         ids.reverse()
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _settle(self, starts: list[int], tokens: list[int], live: list[tuple[int, dict]]):
+    def _settle(self, state: _State, tokens: list[int], lengths: list[int]) -> tuple[bytes, list[int], list[int]]:
         """Emit what lies before the last boundary that all live ones share. If there is none yet, nothing is emitted and all is kept."""
-        heads = {q for q, _ in live}
+        last = len(tokens) - 1
+        heads = {last - back for back, _, _ in state.live}
         while len(heads) > 1:
             top = max(heads)
             heads.remove(top)
-            heads.add(starts[top])
+            heads.add(top - lengths[top])
         at = heads.pop()
-        ready = self._ids(starts, tokens, at)
-        starts = [0] + [max(q - at, 0) for q in starts[at + 1:]]
-        return ready, starts, tokens[at:], [(q - at, node) for q, node in live]
+        # Lengths that reach back past the new position 0 belong to boundaries that no live one goes through.
+        return self._ids(tokens, lengths, at), tokens[at:], lengths[at:]
 
 
 class _Pairs(dict):
@@ -235,24 +281,46 @@ class Encoder:
             return name.encode() if i in whole else b"".join(byte.get(c, c.encode()) for c in stem) + tail
         self.plain = [plain(i) for i in range(len(self.names))]
 
+    def _words(self, chunk: str) -> str:
+        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
+        # Case is folded letter by letter: no final sigma.
+        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+
     def chunk(self, chunk: str) -> bytes:
         """Ids of a run of text without white space."""
-        text = unicodedata.normalize("NFC", chunk)
-        # Case is folded letter by letter: no final sigma.
-        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         known = self.known
-        return b"".join([known[w] for w in self.words.findall(text)])
+        return b"".join([known[w] for w in self.words.findall(self._words(chunk))])
 
-    def _ordinary(self, text: str) -> bytes:
-        chunks = text.split() if not _ODD_SPACE.search(text) else [c for c in _SPACE.split(text) if c]
+    def _ordinary(self, text: str, at: int, end: int) -> Iterator[bytes]:
         kept = self.chunks
-        return b"".join([kept[c] for c in chunks])
+        while at < end:
+            space = _SPACE.search(text, at + SLICE, end) if end - at > SLICE else None
+            to = space.start() if space else end
+            part = text[at:to]
+            chunks = part.split() if not _ODD_SPACE.search(part) else [c for c in _SPACE.split(part) if c]
+            if len(part) <= 2 * SLICE:
+                yield b"".join([kept[c] for c in chunks])
+            else:
+                for c in chunks:
+                    if len(c) <= SLICE:
+                        yield kept[c]
+                    else:
+                        for m in self.words.finditer(self._words(c)):
+                            yield from self.transducer.feed(m[0][i:i + SLICE].encode() for i in range(0, len(m[0]), SLICE))
+            at = to
+
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, piece by piece. Special tokens in the text are read as such."""
+        at = 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            yield from self._ordinary(text, at, m.start())
+            yield struct.pack("<I", self.special[m[0]])
+            at = m.end()
+        yield from self._ordinary(text, at, len(text))
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. Special tokens in the text are read as such."""
-        if self.cut is None or not self.cut.search(text):
-            return self._ordinary(text)
-        return b"".join(struct.pack("<I", self.special[x]) if x in self.special else self._ordinary(x) for x in self.cut.split(text))
+        """All ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(self.pieces(text))
 
 
 class Decoder:
@@ -263,41 +331,50 @@ class Decoder:
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
         self.first = True
 
-    def feed(self, ids: np.ndarray, final: bool = False) -> str:
+    def feed(self, ids: np.ndarray) -> str:
         table = self.table
         data = self.between.join([table[i] for i in ids.tolist()])
         if len(ids):
             data = data if self.first else self.between + data
             self.first = False
-        return self.machine.decode(data, final)
+        return self.machine.decode(data)
+
+    def end(self) -> str:
+        """What bytes without an end become."""
+        return self.machine.decode(b"", True)
 
 
 def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, piece: int = 1 << 16) -> DataFrame:
     """One row per input row: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and with ``keep_ids`` the ``ids`` and their text ``decoded``.
 
     A row-wise step without a shuffle. ``path`` names the vocabulary file on the executors. Null and empty texts give no ids. Texts of any length
-    are encoded chunk by chunk and decoded ``piece`` ids at a time; repeated rows give equal results. Only id and text are read.
+    are encoded in pieces, hashed and decoded as their tokens become stable, at most ``piece`` ids at a time; beside the text itself and, in a run without white
+    space, its lower-case form, nothing is held that grows with its length. Repeated rows give equal results. Only id and text are read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(("bpe", path), lambda: Encoder(path))
         for batch in batches:
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if keep_ids else {})
             for text in batch.column(1):
-                ids = encoder.encode(text.as_py() or "")
-                array = np.frombuffer(ids, "<u4")
-                decoder, digest, plain = Decoder(encoder, names=True), hashlib.sha256(), Decoder(encoder)
-                texts = []
-                for at in range(0, max(len(array), 1), piece):
-                    last = at + piece >= len(array)
-                    digest.update(decoder.feed(array[at:at + piece], last).encode())
+                count, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                decoder, plain, whole, texts = Decoder(encoder, names=True), Decoder(encoder), [], []
+                for ids in encoder.pieces(text.as_py() or ""):
+                    of_ids.update(ids)
+                    array = np.frombuffer(ids, "<u4")
+                    count += len(array)
+                    for at in range(0, len(array), piece):
+                        of_text.update(decoder.feed(array[at:at + piece]).encode())
+                        if keep_ids:
+                            texts.append(plain.feed(array[at:at + piece]))
                     if keep_ids:
-                        texts.append(plain.feed(array[at:at + piece], last))
-                out["n_tokens"].append(len(array))
-                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                out["decoded_sha256"].append(digest.hexdigest())
+                        whole.append(array)
+                of_text.update(decoder.end().encode())
+                out["n_tokens"].append(count)
+                out["ids_sha256"].append(of_ids.hexdigest())
+                out["decoded_sha256"].append(of_text.hexdigest())
                 if keep_ids:
-                    out["ids"].append(array.astype(np.int32))
-                    out["decoded"].append("".join(texts))
+                    out["ids"].append(np.concatenate([np.empty(0, "<u4"), *whole]).astype(np.int32))
+                    out["decoded"].append("".join([*texts, plain.end()]))
             columns = [batch.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()),
                        pa.array(out["decoded_sha256"], pa.string())]
             if keep_ids:
