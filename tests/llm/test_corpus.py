@@ -434,6 +434,24 @@ def test_revisits(spark):
     assert got == {(2, "resolved", 1, "body1", (("content-length", "9"), ("etag", "t1"), ("server", "new"))): 1, (4, "mismatch", 3, None, ()): 1, (5, "missing", None, None, ()): 1,
                    (6, "missing", None, None, ()): 1, (9, "resolved", 8, "b", (("date", "d"),)): 2}
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+    extra = df.withColumns({"answer": F.lit(1), "place": F.lit("p"), "part": F.lit(None), "url_key": F.lit("k"), "carried": F.lit(0), "_bid": F.lit(7)})
+    assert warc.resolve_revisits(extra).where("status = 'resolved'").count() == 3
+
+
+def test_revisits_of_one_url_over_many_partitions(spark):
+    """A hot URL, visited after every tenth response, with payloads of 100,000 letters."""
+    df = spark.range(4000).select(F.col("id").alias("record_id"), F.lit("http://hot.org/").alias("url"), F.col("id").alias("at"), F.when(F.col("id") % 10 == 9, "revisit").otherwise("response").alias("kind"),
+                                  (F.floor(F.col("id") / 10)).cast("string").alias("etag"), F.lit(None).cast("bigint").alias("last_modified"), F.expr("cast(null as map<string,string>)").alias("headers"),
+                                  F.when(F.col("id") % 10 == 8, F.repeat(F.lit("x"), 100000)).alias("payload"))
+    got = warc.resolve_revisits(df.repartition(16)).select("record_id", "refers_to", "status", F.length("payload").alias("n")).collect()
+    assert {tuple(r) for r in got} == {(k, k - 1, "resolved", 100000) for k in range(9, 4000, 10)} and len(got) == 400
+
+
+def test_sections_keep_query_and_fragment(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/en/1/2?page=2&utm_source=feed#top", None), (2, "http://a.org/en", "<li>"), (3, None, "")], "page_id bigint, url string, html string")
+    assert {r.record_id: r.url for r in warc.captures(pages).collect()} == {1: "http://a.org/en?page=2&utm_source=feed#top", 2: "http://a.org/en", 3: None}
+    key = warc.captures(pages).select(warc.canonical_url(F.col("url")).alias("k")).where("k is not null").collect()
+    assert {r.k for r in key} == {"a.org/en?page=2", "a.org/en"}
 
 
 def test_top_k(spark):

@@ -115,8 +115,9 @@ WITH c AS (
          nullif(regexp_extract(coalesce(html, ''), '<html lang="([^"]*)"', 1), '') AS etag,
          ((length(coalesce(html, '')) - length(replace(coalesce(html, ''), '<li>', ''))) // 4)::VARCHAR AS modified, strlen(coalesce(html, ''))::VARCHAR AS octets, html,
          regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', '') AS host,
-         regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^/?#]*)', 1) AS path FROM pages),
-k AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END AS url_key FROM c),
+         regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^/?#]*)', 1) AS path,
+         array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_')), '&') AS given FROM pages),
+k AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN given = '' THEN '' ELSE '?' || given END AS url_key FROM c),
 m AS (SELECT v.record_id, max(r.at) AS before FROM k v JOIN k r ON r.url_key = v.url_key AND r.at < v.at AND NOT r.feed WHERE v.feed GROUP BY 1),
 f AS (SELECT v.*, r.record_id AS origin, r.etag AS r_etag, r.modified AS r_modified, r.octets AS r_octets, r.html AS r_html FROM k v LEFT JOIN m USING (record_id)
       LEFT JOIN k r ON r.record_id = m.before WHERE v.feed),

@@ -72,8 +72,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def captures(pages: DataFrame) -> DataFrame:
     """Records made of crawled pages: a section of a site is captured again and again, a feed reader's visit finds it unchanged.
 
-    The last part of a page's path is cut off, so that pages of a section are captures of one URL, at the time ``page_id``. The language of the markup is the entity
-    tag, where there is one; the number of list entries is the time of modification.
+    A page's path is cut after its first part, so that pages of a section are captures of one URL, at the time ``page_id``; query string and fragment stay. The language
+    of the markup is the entity tag, where there is one; the number of list entries is the time of modification. Null markup counts as empty.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     etag = F.nullif(F.regexp_extract(html, '<html lang="([^"]*)"', 1), F.lit(""))
@@ -81,6 +81,6 @@ def captures(pages: DataFrame) -> DataFrame:
     modified = F.regexp_count(html, F.lit("<li>")).cast("long")
     fields = {"etag": etag, "date": F.col("page_id").cast("string"), "content-length": F.octet_length(html).cast("string"), "x-items": modified.cast("string")}
     headers = F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
-    return pages.select(F.col("page_id").alias("record_id"), F.regexp_replace("url", r"(://[^/?#]*/[^/?#]*).*$", "$1").alias("url"), F.col("page_id").alias("at"),
+    return pages.select(F.col("page_id").alias("record_id"), F.regexp_replace("url", r"(://[^/?#]*/[^/?#]*)[^?#]*(.*)$", "$1$2").alias("url"), F.col("page_id").alias("at"),
                         F.when(feed, "revisit").otherwise("response").alias("kind"), etag.alias("etag"), modified.alias("last_modified"), headers.alias("headers"),
                         F.col("html").alias("payload"))
