@@ -221,7 +221,7 @@ class Shard:
 def read_documents(spark: SparkSession, folder: str, manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Look up every row of ``keys`` (an id column, repeats allowed): id, ``start`` in the whole corpus, ``n_tokens``, ``ids_crc32``, with ``keep_ids`` the ids.
 
-    The n-th row of an id reads the n-th document of that id. Keys without a document have null results. The manifest has a row per
+    Keys are dealt over all shuffle partitions: they are small, but what they fetch is not. The n-th row of an id reads the n-th document of that id. Keys without a document have null results. The manifest has a row per
     shard, so as many as there were shuffle partitions; only it reaches the driver.
     """
     shards = sorted((r.shard, r.first_id, r.last_id, r.tokens) for r in manifest.collect())
@@ -258,7 +258,7 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame, keys:
     names = [id_col, "start", "n_tokens", "ids_crc32"] + (["ids"] if keep_ids else [])
     per_id = keys.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
     each = per_id.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
-    sorted_keys = each.repartitionByRange("id").sortWithinPartitions("id", "nth")
+    sorted_keys = each.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "nth")
     return sorted_keys.mapInArrow(read, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if keep_ids else ""))
 
 
