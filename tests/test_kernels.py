@@ -284,6 +284,45 @@ def test_triangulation_and_refinement(spark):
         assert np.allclose((r.x, r.y, r.z), pts[0, int(r.joint[1])], atol=1e-5)
 
 
+def test_frames_refined_together_equal_frames_refined_alone(spark):
+    """Frames that lack joints, joints that a camera missed, and a joint without a position, in one batch."""
+    rng = np.random.default_rng(8)
+    keys = ["trial_id", "frame", "joint"]
+    pts = rng.uniform(-0.5, 0.5, (12, 3, 3))
+    rows = [("a" if f % 2 else None, f, f"j{j}", *map(float, pts[f, j])) for f in range(12) for j in range(3) if (f, j) != (5, 1)]
+    df = spark.createDataFrame(rows, "trial_id string, frame int, joint string, x double, y double, z double").fillna("b")
+    obs = multiview.project_points(df, rig(spark)).select(*keys, "camera", (F.col("u") + F.col("frame") % 3).alias("u"), "v")
+    views = multiview.gather_views(obs.where("NOT (frame = 2 AND joint = 'j2' AND camera = 'cam0')"), rig(spark), keys, complete=False)
+    start = df.withColumns({c: F.when(F.expr("frame <> 7 OR joint <> 'j0'"), F.col(c) + 0.02) for c in "xyz"})
+    bones = [("j0", "j1", 0.4), ("j1", "j2", 0.3)]
+    place = lambda rows: {(r.frame, r.joint): (r.x, r.y, r.z) for r in rows}
+    got = place(multiview.refine(start, views, bones).collect())
+    assert len(got) == len(rows) and got[7, "j0"] == (None, None, None)
+    for f in (2, 4, 5, 7):
+        alone = place(multiview.refine(start.where(F.col("frame") == f), views.where(F.col("frame") == f), bones).collect())
+        for k, xyz in alone.items():
+            assert xyz == got[k] or np.allclose(xyz, got[k], atol=1e-9)
+    # A stationary point of the cost: a small step in any direction doesn't lower it.
+    cams = {r.camera: np.reshape(r.p, (3, 4)) for r in rig(spark).collect()}
+    seen = {(r.joint, r.camera): (r.u, r.v) for r in obs.where("frame = 4").collect()}
+
+    def cost(x):
+        off = sum(((q := cams[c] @ [*x[int(j[1])], 1.0])[0] / q[2] - u) ** 2 + (q[1] / q[2] - v) ** 2 for (j, c), (u, v) in seen.items())
+        return off + sum((100 * (np.linalg.norm(x[m] - x[m + 1]) - t)) ** 2 for m, t in ((0, 0.4), (1, 0.3)))
+    best = np.array([got[4, f"j{j}"] for j in range(3)])
+    for step in 1e-4 * rng.normal(size=(30, 3, 3)):
+        assert cost(best + step) > cost(best)
+
+
+def test_fewer_than_two_cameras_is_an_error(spark):
+    keys = ["trial_id", "frame", "joint"]
+    df = spark.createDataFrame([("a", 0, "j0", 0.1, 0.1, 0.1), ("b", 0, "j0", 0.2, 0.2, 0.2)], "trial_id string, frame int, joint string, x double, y double, z double")
+    obs = multiview.project_points(df, rig(spark)).select(*keys, "camera", "u", "v").where("trial_id = 'a' OR camera = 'cam0'")
+    with pytest.raises(Exception, match="fewer than two cameras"):
+        multiview.gather_views(obs, rig(spark), keys).collect()
+    assert [r.trial_id for r in multiview.gather_views(obs, rig(spark), keys, complete=False).collect()] == ["a"]
+
+
 def test_foot_intensity_counts_shared_pixels_once(spark):
     """Boxes of a foot that overlap, boxes at the edge of the image, and a foot outside of it."""
     rng = np.random.default_rng(3)

@@ -41,17 +41,20 @@ def gather_views(obs: DataFrame, rig: DataFrame, keys: Sequence[str], complete:
 
     ``complete`` keeps only points that every camera of their recording saw: a missing row drops the point as a missing
     or infinite coordinate does. ``recording`` is the first of ``keys`` unless named. Points with fewer than two views are
-    dropped. The cameras of a recording are counted map-side first, so a hot recording is no hot task.
+    dropped; a recording with fewer than two cameras of the rig has no points at all, and is an error while the plan runs if
+    ``complete``. The cameras of a recording are counted map-side first, so a hot recording is no hot task.
     """
     bad = F.col("u").isNull() | F.col("v").isNull() | F.isnan("u") | F.isnan("v") | (F.abs("u") == float("inf")) | (F.abs("v") == float("inf"))
     d = obs.join(rig.select("camera", "p"), "camera")
     view = F.struct("camera", "p", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
-    g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(~bad, view))).alias("views")).where(F.size("views") >= 2)
+    g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(~bad, view))).alias("views"))
     if not complete:
-        return g
+        return g.where(F.size("views") >= 2)
     whole = list(recording or keys[:1])
     n = d.select(*whole, "camera").distinct().groupBy(*whole).agg(F.count(F.lit(1)).alias("_n"))
-    return g.join(n, whole).where(F.size("views") == F.col("_n")).select(*keys, "views")
+    few = F.concat(F.lit("fewer than two cameras in recording "), F.to_json(F.struct(*whole)))
+    cameras = F.when(F.col("_n") < 2, F.raise_error(few).cast("long")).otherwise(F.col("_n"))
+    return g.join(n, whole).where(F.size("views") == cameras).select(*keys, "views")
 
 
 def _solve(p: np.ndarray, uv: np.ndarray) -> np.ndarray:
@@ -169,51 +172,57 @@ def joint_angles(points: DataFrame, skeleton: Sequence[tuple[str, str]], keys: S
     return g.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
 
 
-def _refine_frame(x0: np.ndarray, p: np.ndarray, uv: np.ndarray, seen: np.ndarray, bones, bone_weight: float,
-                  rounds: int) -> np.ndarray:
-    """Damped Gauss-Newton on reprojection and bone-length residuals of one frame; ``x0`` (joints, 3)."""
-    x, lam = x0.copy(), 1e-3
-    j = len(x)
-
-    def system(x):
-        h = np.concatenate([x, np.ones((j, 1))], axis=1)
-        q = np.einsum("cij,nj->cni", p, h)
-        z = np.where(np.abs(q[..., 2]) < MIN_DEPTH, MIN_DEPTH, q[..., 2])
-        pr = q[..., :2] / z[..., None]
-        res = np.where(seen[..., None], pr - uv, 0.0)
-        jac = (p[:, None, :2, :3] - pr[..., None] * p[:, None, 2:3, :3]) / z[..., None, None]
-        jac = np.where(seen[..., None, None], jac, 0.0)
-        a = np.zeros((3 * j, 3 * j))
-        g = np.zeros(3 * j)
-        for n in range(j):
-            s = slice(3 * n, 3 * n + 3)
-            a[s, s] += np.einsum("cri,crk->ik", jac[:, n], jac[:, n])
-            g[s] += np.einsum("cri,cr->i", jac[:, n], res[:, n])
-        cost = float((res ** 2).sum())
-        for m, n, target in bones:
-            d = x[m] - x[n]
-            length = max(float(np.linalg.norm(d)), 1e-12)
-            r, u = bone_weight * (length - target), bone_weight * d / length
-            row = np.zeros(3 * j)
-            row[3 * m:3 * m + 3], row[3 * n:3 * n + 3] = u, -u
-            a += np.outer(row, row)
-            g += r * row
-            cost += r * r
-        return a, g, cost
-
-    a, g, cost = system(x)
+def _normal_equations(x: np.ndarray, p: np.ndarray, uv: np.ndarray, seen: np.ndarray, ends: np.ndarray, lengths: np.ndarray,
+                      bone_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matrix, gradient and cost of every frame: ``x`` (frames, joints, 3), ``uv`` (frames, cameras, joints, 2), ``ends`` (bones, 2)."""
+    f, j = x.shape[:2]
+    q = np.einsum("cij,fnj->fcni", p[:, :, :3], x) + p[None, :, None, :, 3]
+    z = np.where(np.abs(q[..., 2]) < MIN_DEPTH, MIN_DEPTH, q[..., 2])
+    pr = q[..., :2] / z[..., None]
+    res = np.where(seen[..., None], pr - uv, 0.0)
+    jac = (p[None, :, None, :2, :3] - pr[..., None] * p[None, :, None, 2:3, :3]) / z[..., None, None]
+    jac = np.where(seen[..., None, None], jac, 0.0)
+    a, each = np.zeros((f, j, 3, j, 3)), np.arange(j)
+    a[:, each, :, each, :] = np.einsum("fcnri,fcnrk->nfik", jac, jac)
+    a = a.reshape(f, 3 * j, 3 * j)
+    g = np.einsum("fcnri,fcnr->fni", jac, res).reshape(f, 3 * j)
+    cost = (res ** 2).sum(axis=(1, 2, 3))
+    if len(ends):
+        d = x[:, ends[:, 0]] - x[:, ends[:, 1]]
+        long = np.maximum(np.linalg.norm(d, axis=2), 1e-12)
+        r, u = bone_weight * (long - lengths), bone_weight * d / long[..., None]
+        row, bone = np.zeros((f, len(ends), j, 3)), np.arange(len(ends))
+        row[:, bone, ends[:, 0]] = u
+        row[:, bone, ends[:, 1]] = -u
+        row = row.reshape(f, len(ends), 3 * j)
+        a += row.transpose(0, 2, 1) @ row
+        g += np.einsum("fb,fbi->fi", r, row)
+        cost += (r ** 2).sum(axis=1)
+    return a, g, cost
+
+
+def _refine_frames(x0: np.ndarray, p: np.ndarray, uv: np.ndarray, seen: np.ndarray, bones, bone_weight: float, rounds: int) -> np.ndarray:
+    """Damped Gauss-Newton on reprojection and bone-length residuals, for all frames with the same joints and cameras at once.
+
+    Each frame has its own damping and stops by itself; those that have stopped are not worked on any more.
+    """
+    ends = np.array([b[:2] for b in bones], dtype=int).reshape(-1, 2)
+    lengths = np.array([b[2] for b in bones], dtype=float)
+    x, lam, j = x0.copy(), np.full(len(x0), 1e-3), x0.shape[1]
+    a, g, cost = _normal_equations(x, p, uv, seen, ends, lengths, bone_weight)
+    on, eye = np.arange(len(x)), np.eye(3 * j)
     for _ in range(rounds):
-        step = np.linalg.solve(a + lam * (np.diag(np.diag(a)) + 1e-12 * np.eye(3 * j)), -g).reshape(j, 3)
-        na, ng, ncost = system(x + step)
-        if ncost < cost:
-            done = cost - ncost <= 1e-12 * cost
-            x, a, g, cost, lam = x + step, na, ng, ncost, lam / 10
-            if done:
-                break
-        else:
-            lam *= 10
-            if lam > 1e8:
-                break
+        damped = a[on] + lam[on, None, None] * (a[on] * eye + 1e-12 * eye)
+        tried = x[on] + np.linalg.solve(damped, -g[on, :, None]).reshape(-1, j, 3)
+        na, ng, ncost = _normal_equations(tried, p, uv[on], seen[on], ends, lengths, bone_weight)
+        better = ncost < cost[on]
+        done = np.where(better, cost[on] - ncost <= 1e-12 * cost[on], lam[on] * 10 > 1e8)
+        hit = on[better]
+        x[hit], a[hit], g[hit], cost[hit] = tried[better], na[better], ng[better], ncost[better]
+        lam[on] = np.where(better, lam[on] / 10, lam[on] * 10)
+        on = on[~done]
+        if not len(on):
+            break
     return x
 
 
@@ -230,25 +239,28 @@ def refine(points: DataFrame, views: DataFrame, bones: Sequence[tuple[str, str,
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in (*keys, joint))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, f in pdf.groupby(keys, sort=False):
-            f = f.copy()
-            ok = f["x"].notna() & f["views"].notna()
-            g = f[ok]
-            if len(g):
-                cams = sorted({v["camera"] for vs in g["views"] for v in vs})
-                at = {c: i for i, c in enumerate(cams)}
-                p = np.zeros((len(cams), 3, 4))
-                uv, seen = np.zeros((len(cams), len(g), 2)), np.zeros((len(cams), len(g)), dtype=bool)
-                for n, vs in enumerate(g["views"]):
-                    for v in vs:
-                        c = at[v["camera"]]
-                        p[c], uv[c, n], seen[c, n] = np.asarray(v["p"], float).reshape(3, 4), (v["u"], v["v"]), True
-                idx = {name: n for n, name in enumerate(g[joint])}
-                here = [(idx[a], idx[b], t) for a, b, t in links if a in idx and b in idx]
-                f.loc[ok, ["x", "y", "z"]] = _refine_frame(g[["x", "y", "z"]].to_numpy(float), p, uv, seen, here, bone_weight, rounds)
-            out.append(f.drop(columns=["views"]))
-        return pd.concat(out, ignore_index=True)
+        pdf = pdf.reset_index(drop=True)
+        good = pdf[pdf["x"].notna() & pdf["views"].notna()]
+        xyz = pdf[["x", "y", "z"]].to_numpy(float, na_value=np.nan)
+        alike: dict[tuple, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for at in good.groupby(keys, sort=False, dropna=False).indices.values():
+            rows = good.index.to_numpy()[at]
+            seen_by = [{v["camera"]: v for v in views} for views in good["views"].iloc[at]]
+            rig = {c: np.asarray(v["p"], float).reshape(3, 4) for views in seen_by for c, v in views.items()}
+            cams = sorted(rig)
+            uv = np.array([[(views[c]["u"], views[c]["v"]) if c in views else (0.0, 0.0) for views in seen_by] for c in cams], dtype=float)
+            seen = np.array([[c in views for views in seen_by] for c in cams])
+            group = (tuple(good[joint].iloc[at]), tuple(cams), b"".join(rig[c].tobytes() for c in cams))
+            alike.setdefault(group, []).append((rows, uv, seen))
+        for (names, cams, p), frames in alike.items():
+            idx = {name: n for n, name in enumerate(names)}
+            here = [(idx[m], idx[n], t) for m, n, t in links if m in idx and n in idx]
+            rows, uv, seen = (np.stack(part) for part in zip(*frames))
+            xyz[rows] = _refine_frames(xyz[rows], np.frombuffer(p).reshape(len(cams), 3, 4), uv, seen, here, bone_weight, rounds)
+        out = pdf[[*keys, joint]].copy()
+        for i, c in enumerate("xyz"):
+            out[c] = pd.Series(xyz[:, i], index=out.index).astype(object).where(~np.isnan(xyz[:, i]), None)
+        return out
 
     return batched_groups(d, keys, (joint,), solve, f"{head}, x double, y double, z double")
 
