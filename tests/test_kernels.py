@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,48 @@ def test_predictions_match_brute_force(spark):
     assert e.median_error_px == pytest.approx(err[len(err) // 2]) and e.mean_error_px == pytest.approx(sum(err) / len(err))
 
 
+@pytest.mark.parametrize("spatial", [True, False])
+def test_crowded_predictions_match_brute_force_in_blocks(spark, spatial):
+    """Predictions that compete over the edges of blocks of frames and tiles; equal distances go to the smaller id."""
+    rng = random.Random(8)
+    pred = [(i, rng.randint(0, 40), float(rng.randint(0, 60)), float(rng.randint(0, 60))) for i in range(300)]
+    gt = [(i, rng.randint(0, 40), float(rng.randint(0, 60)), float(rng.randint(0, 60))) for i in range(100)]
+    p = spark.createDataFrame([("a", *r) for r in pred], "trial_id string, pred_id int, frame_idx int, cx double, cy double")
+    g = spark.createDataFrame([("a", *r) for r in gt], "trial_id string, print_id int, frame_idx int, cx_px double, cy_px double")
+    near, taken = brute_match(pred, gt, 9.0, 2) if spatial else {}, set()
+    for i, f, *_ in pred if not spatial else ():
+        free = sorted((abs(f - h), k) for k, h, *_ in gt if abs(f - h) <= 2 and k not in taken)
+        if free:
+            taken.add(free[0][1])
+            near[i] = free[0][1]
+    m = matching.match_predictions(p, g, T, 9.0, 2, spatial=spatial, frames=16, block_rows=20)
+    assert {r.pred_id: r.print_id for r in m.collect()} == near
+
+
+def test_closest_area_takes_no_pairs_and_ties_by_label(spark):
+    """16 and 25 are equally far from 20, on a log scale; the logarithms differ in the last place."""
+    t = spark.createDataFrame([("a", 1, i, 20) for i in range(3)] + [("a", 1, 3, 200), ("a", 1, 4, 7), ("a", 1, 5, 0)], "trial_id string, frame int, print_id int, gt_area int")
+    b = spark.createDataFrame([("a", 1, 9, 16), ("a", 1, 8, 16), ("a", 1, 5, 25), ("a", 1, 7, 26), ("a", 1, 1, 4), ("a", 2, 0, 20)], "trial_id string, frame int, label int, area_px int")
+    for blobs, label in ((b, 5), (b.withColumn("label", 10 - F.col("label")), 1)):
+        got = {r.print_id: (r.label, round(r.log_ratio, 9)) for r in matching.closest_area(t, blobs, ["trial_id", "frame"]).collect()}
+        small = 8 if label == 5 else 1
+        assert got == {**{i: (label, round(math.log(1.25), 9)) for i in range(3)}, 4: (small, round(math.log(16 / 7), 9))}
+    plan = matching.closest_area(t, b, ["trial_id", "frame"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_crowded_predictions_take_no_pairs():
+    """2,000 predictions at 2,000 prints: all pairs would take 100 MB."""
+    ids = np.arange(2000)
+    p, t = (pd.DataFrame({"_f": 0, "_x": 0.0, "_y": 0.0, n: ids}) for n in ("_rank", "_limit"))
+    for solve in (lambda: matching._nearest_free(p, t, 5.0, 2, pairs=50_000), lambda: matching._soonest_free(p, t, 2)):
+        tracemalloc.start()
+        to, far = solve()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert to.tolist() == ids.tolist() and not far.any() and peak < 30e6
+
+
 def test_evaluation_examples(spark):
     g = spark.createDataFrame([("a", 0, 31, 100.0, 100.0)], "trial_id string, print_id int, frame_idx int, cx_px double, cy_px double")
     near = spark.createDataFrame([("a", 0, 31, 105.0, 105.0)], "trial_id string, pred_id int, frame_idx int, cx double, cy double")

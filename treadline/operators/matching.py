@@ -5,13 +5,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treadline.functions.geometry import distance
 from treadline.operators import ordered
 from treadline.operators.pixels import _components, batched_groups, pixels_in_boxes
-from treadline.session import cut_lineage
+from treadline.session import materialise
 
 
 def assign_limbs(det: DataFrame, limbs: DataFrame, keys: Sequence[str] = ("trial_id", "frame")) -> DataFrame:
@@ -105,36 +106,168 @@ def largest_near(truth: DataFrame, blobs: DataFrame, trial: Sequence[str], reach
                     (-F.col("m.f")).alias("match_frame"), F.col("m._area").alias("area_px"))
 
 
-def match_predictions(pred: DataFrame, truth: DataFrame, trial: Sequence[str], distance_px: float = 25.0,
-                      frame_tolerance: int = 5, same_limb: bool = False, spatial: bool = True) -> DataFrame:
+def _nearest_free(p: pd.DataFrame, t: pd.DataFrame, radius: float, tolerance: int, batch: int = 4096, pairs: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Truth row (-1 for none) and distance per prediction; both in the order of their ids, each truth open to ids up to ``_limit``.
+
+    A batch of predictions meets only truth that is still free, by cells and frames; it ends after ``pairs`` pairs, or one prediction's."""
+    side = radius * 1.001 or 1.0
+    place = lambda d: [np.floor(d[c].to_numpy(float) / side).astype(np.int64) for c in ("_x", "_y")]
+    (pa, pb), (ta, tb), pf, tf = place(p), place(t), p["_f"].to_numpy(np.int64), t["_f"].to_numpy(np.int64)
+    a0, b0, f0 = (min(u.min(), w.min()) for u, w in ((pa, ta), (pb, tb), (pf, tf)))
+    high, span = max(pb.max(), tb.max()) - b0 + 3, max(pf.max(), tf.max()) - f0 + 2 * tolerance + 1
+    code = lambda a, b, f: ((a - a0 + 1) * high + b - b0 + 1) * span + f - f0 + tolerance
+    tcode, limit, rank = code(ta, tb, tf), t["_limit"].to_numpy(), p["_rank"].to_numpy()
+    px, py, tx, ty = (d[c].to_numpy(float) for d in (p, t) for c in ("_x", "_y"))
+    free, to, far = np.ones(len(t), bool), np.full(len(p), -1), np.full(len(p), np.nan)
+    start, size = 0, batch
+    while start < len(p):
+        part = slice(start, start + size)
+        left = np.flatnonzero(free & (limit >= rank[start]))
+        left = left[np.argsort(tcode[left], kind="stable")]
+        at = tcode[left]
+        ends = [[np.searchsorted(at, code(pa[part] + i, pb[part] + j, pf[part] + k), side="left") for k in (-tolerance, tolerance + 1)]
+                for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        lo, hi = (np.stack(x, 1) for x in zip(*ends))
+        n = max(int(np.searchsorted(np.cumsum((hi - lo).sum(1)), pairs, side="right")), 1)
+        lo, count = lo[:n].ravel(), (hi - lo)[:n].ravel()
+        who = np.repeat(start + np.arange(len(count)) // 9, count)
+        near = left[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        dx, dy = px[who] - tx[near], py[who] - ty[near]
+        d = np.sqrt(dx * dx + dy * dy)
+        keep = (d <= radius) & (limit[near] >= rank[who])
+        who, near, d = who[keep], near[keep], d[keep]
+        o = np.lexsort((near, d, who))
+        last, taken = -1, set()
+        for i, j, e in zip(who[o].tolist(), near[o].tolist(), d[o].tolist()):
+            if i != last and j not in taken:
+                last, to[i], far[i] = i, j, e
+                taken.add(j)
+        free[list(taken)] = False
+        n = min(n, size)
+        start, size = start + n, min(batch, 2 * n)
+    return to, far
+
+
+def _soonest_free(p: pd.DataFrame, t: pd.DataFrame, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by time alone: the free truth of a frame is a queue in the order of ids."""
+    frames, limit = t["_f"].to_numpy(), t["_limit"].tolist()
+    o = np.argsort(frames, kind="stable")
+    order = o.tolist()
+    cut = np.flatnonzero(np.r_[True, frames[o][1:] != frames[o][:-1]])
+    queue = {int(f): [a, b] for f, a, b in zip(frames[o][cut], cut.tolist(), [*cut[1:].tolist(), len(o)])}
+    to, far = np.full(len(p), -1), np.full(len(p), np.nan)
+    for i, (f, rank) in enumerate(zip(p["_f"].tolist(), p["_rank"].tolist())):
+        for gap in range(tolerance + 1):
+            best = None
+            for g in {f - gap, f + gap}:
+                q = queue.get(g)
+                if q is None:
+                    continue
+                # Truth that refuses this prediction refuses all later ones.
+                while q[0] < q[1] and limit[order[q[0]]] < rank:
+                    q[0] += 1
+                if q[0] == q[1]:
+                    del queue[g]
+                elif best is None or order[q[0]] < order[best[0]]:
+                    best = q
+            if best is not None:
+                to[i], far[i] = order[best[0]], gap
+                best[0] += 1
+                break
+    return to, far
+
+
+def match_predictions(pred: DataFrame, truth: DataFrame, trial: Sequence[str], distance_px: float = 25.0, frame_tolerance: int = 5,
+                      same_limb: bool = False, spatial: bool = True, frames: int = 64, block_rows: int = 50_000) -> DataFrame:
     """Each prediction, in ``pred_id`` order, takes the nearest truth print that is still free.
 
-    Equal to a stable matching in which every print prefers earlier predictions, so it is computed by deferred
-    acceptance: all predictions propose to their best candidate at once, every print keeps the earliest, and candidates
-    that a print can no longer accept are dropped; repeated until nothing drops. Each round is two aggregations.
+    Equal to a stable matching in which every print prefers earlier predictions, so it is computed by deferred acceptance over blocks of
+    ``frames`` frames (one limb, and tiles of the image where a stretch has more than ``block_rows`` prints): a block lets its predictions choose in order
+    among the prints in its reach. Then every print keeps the earliest of the predictions that chose it, and blocks with a refused one choose
+    again, knowing the holders, until none is refused. Rounds alternate between two divisions into blocks, so that what met at an edge is inside next time.
+    A refusal is final, so predictions without a print drop out in the first round. No pair is ever a row: a round holds predictions and prints only.
     Without ``spatial`` the nearest in time is taken, and there is no error in pixels: ``error_px`` is null.
     """
-    t = around_frames(truth.select(*trial, "print_id", F.col("frame_idx").alias("_gf"), "cx_px", "cy_px",
-                                   *([F.col("paw_id").alias("_paw")] if same_limb else [])), frame_tolerance, "_gf", "frame_idx")
-    c = pred.join(t, [*trial, "frame_idx"])
-    if same_limb:
-        c = c.where(F.col("paw_id").eqNullSafe(F.col("_paw")))
+    r = float(distance_px)
+    cell = r * 1.001 or 1.0
+    limbs = ["_limb"] if same_limb else []
+    block = [*trial, "_bt", *(["_bx", "_by"] if spatial else []), *limbs]
+    floor = lambda c, by: F.floor(F.col(c) / F.lit(by))
+
+    def rows(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
+        d = df.dropna(subset=[*trial, "frame_idx", name, *([x, y] if spatial else [])])
+        xy = [F.col(c).cast("double").alias(n) for c, n in ((x, "_x"), (y, "_y"))] if spatial else []
+        limb = [F.coalesce(F.concat(F.lit("="), F.col("paw_id").cast("string")), F.lit("")).alias("_limb")] if same_limb else []
+        return d.select(*trial, F.col("frame_idx").cast("long").alias("_f"), *xy, *limb, name)
+
+    p, t = rows(pred, "cx", "cy", "pred_id"), materialise(rows(truth, "cx_px", "cy_px", "print_id"))
+    tile = None
     if spatial:
-        c = c.withColumn("_d", distance(F.col("cx"), F.col("cy"), F.col("cx_px"), F.col("cy_px"))).where(F.col("_d") <= distance_px)
-    else:
-        c = c.withColumn("_d", F.abs(F.col("frame_idx") - F.col("_gf")).cast("double"))
-    c = cut_lineage(c.select(*trial, "pred_id", "print_id", "_d"))
-    n = c.count()
+        size = t.groupBy(*trial, floor("_f", frames), *limbs).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}{c}") for c in ("_x", "_y") for f in (F.min, F.max)])
+        most = size.agg(F.max("n"), *[f(f"{f.__name__}{c}") for c in ("_x", "_y") for f in (F.min, F.max)]).first()
+        if most[0] and most[0] > block_rows:
+            tile = max(4 * cell, max(most[2] - most[1], most[4] - most[3]) / (most[0] / block_rows) ** 0.5)
+        # Predictions meet the prints' cells first: most have no print near them.
+        near = t.select(*trial, floor("_f", frames).alias("_bt"), *limbs, floor("_x", cell).alias("_a"), floor("_y", cell).alias("_b")).distinct()
+        for c, by in (("_bt", -(-frame_tolerance // frames)), ("_a", 1), ("_b", 1)):
+            near = near.withColumn(c, F.explode(F.sequence(F.col(c) - by, F.col(c) + by)))
+        p = p.withColumns({"_bt": floor("_f", frames), "_a": floor("_x", cell), "_b": floor("_y", cell)})
+        p = p.join(near.distinct(), [*trial, "_bt", *limbs, "_a", "_b"], "left_semi").drop("_bt", "_a", "_b")
+
+    def blocks(df: DataFrame, half: bool, reach: bool) -> DataFrame:
+        """Rows with their block; prints with every block that reaches them."""
+        around = frame_tolerance if reach else 0
+        cut = [("_bt", "_f", frames, frames // 2 * half, around)]
+        if spatial:
+            cut += [(b, c, tile, (tile or 0) / 2 * half, cell if reach else 0) for b, c in (("_bx", "_x"), ("_by", "_y"))]
+        for b, c, by, shift, far in cut:
+            if by is None:
+                df = df.withColumn(b, F.lit(0).cast("long"))
+            elif far:
+                df = df.withColumn(b, F.explode(F.sequence(F.floor((F.col(c) + shift - far) / by), F.floor((F.col(c) + shift + far) / by))))
+            else:
+                df = df.withColumn(b, F.floor((F.col(c) + shift) / by))
+        return df
+
+    out = [*p.schema, *[f for f in t.schema if f.name == "print_id"]]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", _d double"
+    names = [f.name for f in out]
+    held_type = p.schema["pred_id"].dataType
+
+    def choose(group: pa.Table) -> pa.Table:
+        d = group.select([c for c in ("_f", "_x", "_y") if c in group.column_names]).to_pandas()
+        mine = group["pred_id"].is_valid().to_numpy()
+        prints, held = group["print_id"].filter(pa.array(~mine)).to_numpy(), group["_held"].filter(pa.array(~mine))
+        known = held.is_valid().to_numpy()
+        ranks = np.unique(np.concatenate([group["pred_id"].drop_null().to_numpy(), held.drop_null().to_numpy()]), return_inverse=True)[1]
+        limit = np.full(len(known), np.iinfo(np.int64).max)
+        limit[known] = ranks[mine.sum():]
+        first, order = np.argsort(ranks[:mine.sum()], kind="stable"), np.argsort(prints, kind="stable")
+        ps, ts = d[mine].assign(_rank=ranks[:mine.sum()]).iloc[first], d[~mine].assign(_limit=limit).iloc[order]
+        to = far = np.full(len(ps), -1)
+        if len(ps) and len(ts):
+            to, far = _nearest_free(ps, ts, r, frame_tolerance) if spatial else _soonest_free(ps, ts, frame_tolerance)
+        got = np.flatnonzero(to >= 0)
+        chosen = group.take(pa.array(np.flatnonzero(mine)[first[got]])).drop_columns(["print_id"])
+        chosen = chosen.append_column("print_id", pa.array(prints[order[to[got]]], group.schema.field("print_id").type))
+        return chosen.append_column("_d", pa.array(far[got], pa.float64())).select([*names, "_d"])
+
+    def solve(p: DataFrame, t: DataFrame) -> DataFrame:
+        return p.unionByName(t, allowMissingColumns=True).groupBy(*block).applyInArrow(choose, schema)
+
+    half = False
+    best = materialise(solve(blocks(p, half, False), blocks(t.withColumn("_held", F.lit(None).cast(held_type)), half, True)))
     while True:
-        best = c.groupBy(*trial, "pred_id").agg(F.min(F.struct("_d", "print_id")).alias("b"))
-        best = best.select(*trial, "pred_id", F.col("b.print_id").alias("print_id"), F.col("b._d").alias("error_px"))
         held = best.groupBy(*trial, "print_id").agg(F.min("pred_id").alias("_held"))
-        left = cut_lineage(c.join(held, [*trial, "print_id"], "left")
-                           .where(F.col("_held").isNull() | (F.col("pred_id") <= F.col("_held"))).drop("_held"))
-        m = left.count()
-        if m == n:
-            return best if spatial else best.withColumn("error_px", F.lit(None).cast("double"))
-        c, n = left, m
+        refused = materialise(best.join(held, [*trial, "print_id"]).where(F.col("pred_id") > F.col("_held")).select(*best.columns))
+        if refused.isEmpty():
+            return best.select(*trial, "pred_id", "print_id", (F.col("_d") if spatial else F.lit(None).cast("double")).alias("error_px"))
+        half = not half
+        again = blocks(refused, half, False).select(*block).distinct()
+        placed = blocks(best, half, False)
+        known = blocks(t, half, True).join(again, block, "left_semi").join(held, [*trial, "print_id"], "left")
+        more = solve(placed.join(again, block, "left_semi").drop("print_id", "_d"), known)
+        best = materialise(placed.join(again, block, "left_anti").select(*best.columns).unionByName(more))
 
 
 def evaluate(matches: DataFrame, pred: DataFrame, truth: DataFrame, trial: Sequence[str]) -> DataFrame:
@@ -235,9 +368,28 @@ def quadrant_pick(feet: DataFrame, axis: DataFrame, keys: Sequence[str], frame_k
 
 
 def closest_area(truth: DataFrame, blobs: DataFrame, keys: Sequence[str], low: float = 0.3, high: float = 4.0) -> DataFrame:
-    """Per truth print the blob of its frame whose area ratio is nearest to 1 on a log scale, within (low, high)."""
-    d = truth.join(blobs, list(keys))
-    ratio = F.col("area_px") / F.greatest(F.col("gt_area"), F.lit(1))
-    d = d.withColumn("_r", ratio).where((F.col("_r") > low) & (F.col("_r") < high) & (F.col("area_px") >= 5))
-    g = d.groupBy(*keys, "print_id").agg(F.min(F.struct(F.abs(F.log("_r")).alias("d"), "label")).alias("b"))
-    return g.select(*keys, "print_id", F.col("b.label").alias("label"), F.col("b.d").alias("log_ratio"))
+    """Per truth print the blob of its frame whose area ratio is nearest to 1 on a log scale, within (low, high); the smallest label on ties.
+
+    Only the nearest area from below and from above can win, so prints and the areas of a frame meet in one order instead of in pairs. Ratios whose
+    logarithms agree to 12 places tie: those of an area and its inverse differ by rounding only.
+    """
+    b = blobs.where(F.col("area_px") >= 5).groupBy(*keys, F.col("area_px").alias("_a")).agg(F.min("label").alias("_label"))
+    b = b.select(*keys, F.col("_a").cast("double").alias("_at"), F.struct("_a", "_label").alias("_blob"))
+    t = truth.withColumn("_at", F.greatest(F.col("gt_area"), F.lit(1)).cast("double"))
+    # Prints of one area share the answer, so a frame's order holds distinct areas.
+    sizes = t.select(*keys, "_at").distinct().withColumn("_print", F.lit(True))
+    both = b.unionByName(sizes, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_at")
+    # A range frame takes blobs of the same area along.
+    under = F.last("_blob", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    over = F.last("_blob", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.withColumns({"_under": under, "_over": over}).where("_print")
+
+    def offer(blob: str) -> Column:
+        r = F.col(f"{blob}._a") / F.col("_at")
+        d = F.abs(F.log(r))
+        return F.when((r > low) & (r < high), F.struct(F.round(d, 12).alias("r"), F.col(f"{blob}._label").alias("label"), d.alias("d")))
+
+    best = F.least(offer("_under"), offer("_over")).alias("_best")
+    best = both.select(*keys, "_at", best).where("_best IS NOT NULL")
+    return t.join(best, [*keys, "_at"]).select(*keys, "print_id", F.col("_best.label").alias("label"), F.col("_best.d").alias("log_ratio"))
