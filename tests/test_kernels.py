@@ -70,6 +70,32 @@ def test_near_points_match_all_pairs():
         assert not len(tracking._within(ref, xy[:0], radius)[0])
 
 
+@pytest.mark.parametrize("pairs", [1, 20, 1 << 19])
+def test_busy_frames_are_linked_without_all_pairs(pairs, monkeypatch):
+    """Tracks and detections that crowd in one place, many of them equal: any number of pairs held at a time gives the greedy order of all."""
+    monkeypatch.setattr(tracking, "PAIRS", pairs)
+    rng = np.random.default_rng(6)
+    for n, m, wide in ((40, 30, 6), (25, 60, 15), (30, 30, 2)):
+        refs, masks = ([np.unique(rng.integers(0, wide, 4)) for _ in range(k)] for k in (n, m))
+        cand = sorted(((float(np.float32(len(np.intersect1d(r, d)) / len(np.union1d(r, d)))), t, i) for t, r in enumerate(refs) for i, d in enumerate(masks)), reverse=True)
+        want, used = [None] * m, set()
+        for score, t, i in cand:
+            if score >= 0.3 and t not in used and want[i] is None:
+                used.add(t)
+                want[i] = t
+        assert tracking._by_overlap(refs, masks, [False] * n, 0.3)[0] == want
+        ref, xy = (rng.integers(0, wide, (k, 2)).astype(float) for k in (n, m))
+        tracker = tracking._CentroidTracker(3.0, 3)
+        tracker.step(0, np.arange(n), ref[:, 0], ref[:, 1])
+        got = tracker.step(1, np.arange(m), xy[:, 0], xy[:, 1])
+        want, used = [f"1:{i}" for i in range(m)], set()
+        for d, t, i in sorted((math.hypot(*(r - p)), t, i) for t, r in enumerate(ref) for i, p in enumerate(xy)):
+            if d <= 3.0 and t not in used and want[i] == f"1:{i}":
+                used.add(t)
+                want[i] = f"0:{t}"
+        assert [own for _, own in got] == want
+
+
 @pytest.mark.parametrize("size", [4, ordered.CHUNK])
 def test_iou_tracks_match_brute_force(spark, size):
     rng = random.Random(5)
@@ -160,15 +186,15 @@ def test_closest_area_takes_no_pairs_and_ties_by_label(spark):
 
 
 def test_crowded_predictions_take_no_pairs():
-    """2,000 predictions at 2,000 prints: all pairs would take 100 MB."""
-    ids = np.arange(2000)
+    """1,000 predictions at 1,000 prints: all pairs would take 30 MB."""
+    ids = np.arange(1000)
     p, t = (pd.DataFrame({"_f": 0, "_x": 0.0, "_y": 0.0, n: ids}) for n in ("_rank", "_limit"))
-    for solve in (lambda: matching._nearest_free(p, t, 5.0, 2, pairs=50_000), lambda: matching._soonest_free(p, t, 2)):
+    for solve in (lambda: matching._nearest_free(p, t, 5.0, 2, pairs=20_000), lambda: matching._soonest_free(p, t, 2)):
         tracemalloc.start()
         to, far = solve()
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
-        assert to.tolist() == ids.tolist() and not far.any() and peak < 30e6
+        assert to.tolist() == ids.tolist() and not far.any() and peak < 8e6
 
 
 def test_evaluation_examples(spark):

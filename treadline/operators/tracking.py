@@ -175,17 +175,6 @@ def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs:
     return rows.select(*names, who.alias("_who"))
 
 
-def _greedy(pairs, live: list[dict], n: int) -> list[dict | None]:
-    """Give detections to tracks along sorted (score, track, detection) pairs, each once."""
-    owner: list[dict | None] = [None] * n
-    used = set()
-    for _, ti, di in pairs:
-        if ti not in used and owner[di] is None:
-            used.add(ti)
-            owner[di] = live[ti]
-    return owner
-
-
 class _Tracker:
     """Live tracks, oldest first. A track at the start of a chunk has a ``slot``, its place there; one that begins in the chunk has an ``own`` name."""
 
@@ -244,6 +233,102 @@ def _overlaps(refs: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarr
     return hit // len(masks), hit % len(masks), both
 
 
+#: Candidate pairs that a tracker holds at a time. Better ones are settled first, the others only between what is still free.
+PAIRS = 1 << 19
+
+
+def _same(sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[list[int]]]:
+    """The distinct ones, and which of the given ones are equal to each."""
+    found: dict[bytes, int] = {}
+    first, members = [], []
+    for i, s in enumerate(sets):
+        c = found.setdefault(s.tobytes(), len(first))
+        if c == len(first):
+            first.append(s)
+            members.append([])
+        members[c].append(i)
+    return first, members
+
+
+def _best_pairs(refs: list[np.ndarray], masks: list[np.ndarray], low: float, high: float, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(reference, mask, IoU) with IoU below ``high``, from the best one down to the returned floor; ``low`` where all fit into some ``pairs``."""
+    size_r, size_m = (np.array([len(x) for x in s]) for s in (refs, masks))
+    pixel, at = np.unique(np.concatenate(masks), return_inverse=True)
+    # Masks that mostly overlap are multiplied as a table of their pixels, others met pixel by pixel.
+    seen = np.bincount(at)
+    dense = len(pixel) * len(masks) <= 16 * pairs and float((seen * seen).sum()) > len(masks) * len(masks) / 8
+    if dense:
+        table = np.zeros((len(pixel), len(masks)), np.float32)
+        table[at, np.repeat(np.arange(len(masks)), size_m)] = 1
+    step = max(pairs // (len(masks) if dense else max(int(seen.max()) * int(size_r.max()), 1)), 1)
+    got, held = [], 0
+    for start in range(0, len(refs), step):
+        part = refs[start:start + step]
+        if dense:
+            r = np.concatenate(part)
+            to = np.minimum(np.searchsorted(pixel, r), len(pixel) - 1)
+            hit = pixel[to] == r
+            own = np.zeros((len(part), len(pixel)), np.float32)
+            own[np.repeat(np.arange(len(part)), size_r[start:start + step])[hit], to[hit]] = 1
+            both = own @ table
+            ti, di = np.nonzero(both)
+            both = both[ti, di].astype(np.int64)
+        else:
+            ti, di, both = _overlaps(part, masks)
+        ti = ti + start
+        iou = (both / (size_r[ti] + size_m[di] - both)).astype(np.float32).astype(float)
+        keep = (iou >= low) & (iou < high)
+        got.append((ti[keep], di[keep], iou[keep]))
+        held += int(keep.sum())
+        if held > 2 * pairs:
+            ti, di, iou = (np.concatenate(x) for x in zip(*got))
+            low = float(np.partition(iou, len(iou) - pairs)[len(iou) - pairs])
+            keep = iou >= low
+            got, held = [(ti[keep], di[keep], iou[keep])], int(keep.sum())
+    return *(np.concatenate(x) for x in zip(*got)), low
+
+
+def _by_overlap(refs: list[np.ndarray], masks: list[np.ndarray], old: list[bool], iou_min: float, pairs: int = 0) -> tuple[list[int | None], bool]:
+    """The reference of each mask: pairs are taken greedily by IoU, then later reference, then later mask. Also whether two old references tied for a mask.
+
+    Equal sets are one candidate."""
+    (ref, tracks), (mask, dets) = _same(refs), _same(masks)
+    owner: list[int | None] = [None] * len(masks)
+    bound, high = False, np.inf
+    while True:
+        us, vs = ([i for i, m in enumerate(x) if m] for x in (tracks, dets))
+        if not us or not vs:
+            return owner, bound
+        u, v, iou, low = _best_pairs([ref[i] for i in us], [mask[i] for i in vs], iou_min, high, pairs or PAIRS)
+        u, v = np.array(us)[u], np.array(vs)[v]
+        # Old tracks with the same score for a detection: their order decides.
+        if not bound and any(old):
+            count = np.array([sum(old[t] for t in m) for m in tracks])[u]
+            o = np.lexsort((iou, v))
+            new = np.r_[True, (v[o][1:] != v[o][:-1]) | (iou[o][1:] != iou[o][:-1])][:len(o)]
+            bound = bool(len(o)) and bool((np.add.reduceat(count[o], np.flatnonzero(new)) > 1).any())
+        o = np.argsort(-iou, kind="stable")
+        u, v, iou = u[o], v[o], iou[o]
+        a = 0
+        while a < len(iou):
+            b = int(np.searchsorted(-iou, -iou[min(a + 16384, len(iou)) - 1], side="right"))
+            open_ = np.array([bool(m) for m in tracks])[u[a:b]] & np.array([bool(m) for m in dets])[v[a:b]]
+            i, j, score = u[a:b][open_], v[a:b][open_], iou[a:b][open_]
+            for x, y in zip(*(np.r_[e].astype(int).tolist() for e in ((0, np.flatnonzero(np.diff(score)) + 1), (np.flatnonzero(np.diff(score)) + 1, len(score))))) if len(score) else ():
+                to: dict[int, list[int]] = {}
+                for m, n in zip(i[x:y].tolist(), j[x:y].tolist()):
+                    to.setdefault(m, []).append(n)
+                for t, m in sorted(((t, m) for m in to for t in tracks[m]), reverse=True):
+                    n = max((n for n in to[m] if dets[n]), key=lambda n: dets[n][-1], default=None)
+                    if n is not None:
+                        owner[dets[n].pop()] = t
+                        tracks[m].remove(t)
+            a = b
+        if low <= iou_min:
+            return owner, bound
+        high = low
+
+
 class _IouTracker(_Tracker):
     def __init__(self, iou_min: float, max_gap: int, memory: int) -> None:
         super().__init__()
@@ -265,18 +350,11 @@ class _IouTracker(_Tracker):
     def step(self, frame: int, ids: np.ndarray, raw: np.ndarray) -> list[tuple]:
         self.live = self.alive(frame)
         masks = [np.unique(m) for m in raw]
-        pairs = []
+        owner: list[dict | None] = [None] * len(masks)
         if self.live:
-            refs = [t["ref"] for t in self.live]
-            ti, di, both = _overlaps(refs, masks)
-            total = np.array([len(r) for r in refs])[ti] + np.array([len(m) for m in masks])[di] - both
-            iou = (both / total).astype(np.float32).astype(float)
-            keep = iou >= self.iou_min
-            ti, di, iou = ti[keep], di[keep], iou[keep]
-            self.tie(iou, ti, di)
-            o = np.lexsort((di, ti, iou))[::-1]
-            pairs = zip(iou[o].tolist(), ti[o].tolist(), di[o].tolist())
-        owner = _greedy(pairs, self.live, len(masks))
+            to, bound = _by_overlap([t["ref"] for t in self.live], masks, [t["slot"] >= 0 for t in self.live], self.iou_min)
+            owner = [None if i is None else self.live[i] for i in to]
+            self.bound |= bound and bool(self.entry)
         for di, m in enumerate(masks):
             t = owner[di]
             if t is None:
@@ -347,6 +425,14 @@ def _within(ref: np.ndarray, xy: np.ndarray, radius: float) -> tuple[np.ndarray,
     return t[o], d[o], far[o]
 
 
+def _reached(ref: np.ndarray, xy: np.ndarray, radius: float) -> int:
+    """At least the number of pairs within ``radius``: those of neighbouring cells."""
+    side = radius * 1.001 or 1.0
+    (a, n), (b, m) = (np.unique(np.floor(p[np.isfinite(p).all(1)] / side).astype(np.int64), axis=0, return_counts=True) for p in (ref, xy))
+    known = {tuple(c): k for c, k in zip(b.tolist(), m.tolist())}
+    return sum(k * known.get((x + i, y + j), 0) for (x, y), k in zip(a.tolist(), n.tolist()) for i in (-1, 0, 1) for j in (-1, 0, 1))
+
+
 class _CentroidTracker(_Tracker):
     def __init__(self, radius: float, max_gap: int) -> None:
         super().__init__()
@@ -360,16 +446,49 @@ class _CentroidTracker(_Tracker):
     def unpack(content: tuple) -> dict:
         return {"last": content[0], "xy": content[1]}
 
+    def coincident(self, ref: np.ndarray, xy: np.ndarray, owner: list[dict | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Give detections to tracks at the same place, in the order of both, however many there are; returns the tracks and detections left."""
+        places = np.unique(np.concatenate([ref, xy]), axis=0, return_inverse=True)[1].ravel()
+        finite = np.isfinite(np.concatenate([ref, xy])).all(1)
+        at: dict[int, list[int]] = {}
+        for i in np.flatnonzero(finite[:len(ref)])[::-1].tolist():
+            at.setdefault(int(places[i]), []).append(i)
+        n_old = np.bincount(places[:len(ref)][[t["slot"] >= 0 for t in self.live] & finite[:len(ref)]], minlength=places.max() + 1)
+        there = places[len(ref):][finite[len(ref):]]
+        self.bound |= bool(self.entry) and bool((n_old[there] > 1).any())
+        free = np.ones(len(ref), bool)
+        for j in np.flatnonzero(finite[len(ref):]).tolist():
+            tracks = at.get(int(places[len(ref) + j]))
+            if tracks:
+                i = tracks.pop()
+                owner[j], free[i] = self.live[i], False
+        return np.flatnonzero(free), np.array([j for j, t in enumerate(owner) if t is None], int)
+
     def step(self, frame: int, ids: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> list[tuple]:
         self.live = self.alive(frame)
-        pairs = []
+        owner: list[dict | None] = [None] * len(ids)
+        xy = np.column_stack([cx, cy]).astype(float)
         if self.live:
             ref = np.array([t["xy"] for t in self.live])
-            ti, di, d = _within(ref, np.column_stack([cx, cy]).astype(float), self.radius)
-            self.tie(d, ti, di)
-            o = np.lexsort((di, ti, d))
-            pairs = zip(d[o].tolist(), ti[o].tolist(), di[o].tolist())
-        owner = _greedy(pairs, self.live, len(ids))
+            free, left = self.coincident(ref, xy, owner)
+            far, reached = self.radius, 0.0
+            while len(free) and len(left):
+                # Nearer pairs first; what they leave free is thinner, so the next step can reach further.
+                while far > reached and _reached(ref[free], xy[left], far) > PAIRS and far - reached > self.radius * 1e-3:
+                    far = (far + reached) / 2
+                ti, di, d = _within(ref[free], xy[left], far)
+                ti, di = free[ti], left[di]
+                self.tie(d, ti, di)
+                o = np.lexsort((di, ti, d))
+                used = set()
+                for i, j in zip(ti[o].tolist(), di[o].tolist()):
+                    if i not in used and owner[j] is None:
+                        used.add(i)
+                        owner[j] = self.live[i]
+                free, left = free[~np.isin(free, list(used))], left[[owner[j] is None for j in left.tolist()]]
+                if far >= self.radius:
+                    break
+                reached, far = far, min(self.radius, 2 * far)
         for di in range(len(ids)):
             t = owner[di]
             if t is None:
