@@ -70,6 +70,24 @@ def test_near_points_match_all_pairs():
         assert not len(tracking._within(ref, xy[:0], radius)[0])
 
 
+@pytest.mark.parametrize("pairs", [1, 30, 1 << 20])
+def test_nearest_rows_of_a_crowd(pairs):
+    """Crowded and sparse places, equal distances, sizes that don't fit: the nearest in gap, distance and order of all pairs."""
+    rng = np.random.default_rng(4)
+    for n, m, wide, gaps in ((50, 80, 6, [1, 2]), (60, 40, 90, [-1, -2]), (30, 300, 40, [0])):
+        ratio = (0.5, 2.0) if gaps != [0] else None
+        q, c = ({"f": rng.integers(0, 6, k), "x": rng.integers(-wide, wide, k).astype(float), "y": rng.integers(0, wide, k).astype(float), "w": rng.integers(1, 20, k).astype(float)} for k in (n, m))
+        to, gap, far = tracking._nearest(q, c, 12.0, gaps, ratio, pairs)
+        for i in range(n):
+            cand = []
+            for j in range(m):
+                d, g = math.hypot(q["x"][i] - c["x"][j], q["y"][i] - c["y"][j]), c["f"][j] - q["f"][i]
+                late, early = (c["w"][j], q["w"][i]) if gaps[0] > 0 else (q["w"][i], c["w"][j])
+                if g in gaps and d <= 12.0 and (ratio is None or 0.5 <= late / early <= 2.0):
+                    cand.append((abs(g), d, j))
+            assert to[i] == (min(cand)[2] if cand else -1), (i, cand)
+
+
 @pytest.mark.parametrize("pairs", [1, 20, 1 << 19])
 def test_busy_frames_are_linked_without_all_pairs(pairs, monkeypatch):
     """Tracks and detections that crowd in one place, many of them equal: any number of pairs held at a time gives the greedy order of all."""

@@ -505,18 +505,106 @@ def link_by_centroid(strong: DataFrame, trial: Sequence[str], radius: float = 50
     return number_tracks(_by_first_detection(linked).drop("_burst"), trial, size)
 
 
+def _nearest(q: dict[str, np.ndarray], c: dict[str, np.ndarray], radius: float, gaps: Sequence[int], ratio: tuple[float, float] | None, pairs: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """For each query the candidate (-1 for none), its gap and distance: first gap, then distance, then place in ``c``, within ``radius`` and ``ratio``.
+
+    Cells start small and double until no nearer candidate can be outside, so a crowd costs a query a few candidates; ``pairs`` are held at a time."""
+    n = len(q["f"])
+    to, gap, far = np.full(n, -1), np.zeros(n, np.int64), np.full(n, np.inf)
+    low, high = ratio or (0.0, np.inf)
+    side = radius * 1.001 or 1.0
+    extent = max(np.ptp(c["x"]), np.ptp(c["y"]), side)
+    levels = int(np.clip(np.ceil(np.log2(side / (extent / np.sqrt(len(c["x"]) / len(np.unique(c["f"])) / 4)))), 0, 12))
+    # Bins of the weight: of three or four neighbouring ones only about half can fail the ratio.
+    wide = np.log(high / low) / 2 if ratio else 1.0
+    own, first = (np.log(c["w"]) / wide, np.log(q["w"] * low) / wide - 1e-9) if ratio else (np.zeros(len(c["x"])), np.zeros(n))
+    f0 = min(q["f"].min() + min(gaps), c["f"].min())
+    for step in gaps:
+        todo = np.flatnonzero(to < 0)
+        for level in range(levels, -1, -1):
+            s = side / 2 ** level
+            place = lambda d: [np.floor(d[k] / s + 0.37).astype(np.int64) for k in ("x", "y")]  # noqa: E731,B023
+            (ca, cb), (qa, qb), cw, qw = place(c), place({k: q[k][todo] for k in ("x", "y")}), np.floor(own).astype(np.int64), np.floor(first[todo]).astype(np.int64)
+            base = [min(u.min(), v.min() if len(v) else u.min()) - 1 for u, v in ((ca, qa), (cb, qb), (cw, qw))]
+            span = [max(u.max(), v.max() if len(v) else u.max()) - m + 6 for (u, v), m in zip(((ca, qa), (cb, qb), (cw, qw)), base)]
+            code = lambda f, a, b, w: (((f - f0) * span[0] + a - base[0]) * span[1] + b - base[1]) * span[2] + w - base[2]  # noqa: E731,B023
+            key = code(c["f"], ca, cb, cw)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            for i in (-1, 0, 1):
+                for j in (-1, 0, 1):
+                    # The bins of the weight lie next to each other.
+                    want = code(q["f"][todo] + step, qa + i, qb + j, qw)
+                    lo, hi = np.searchsorted(key, want, side="left"), np.searchsorted(key, want + (3 if ratio else 0), side="right")
+                    count = hi - lo
+                    a = 0
+                    total = np.cumsum(count)
+                    while a < len(todo):
+                        b = max(int(np.searchsorted(total, (total[a - 1] if a else 0) + pairs, side="right")), a + 1)
+                        k = count[a:b]
+                        who = np.repeat(todo[a:b], k)
+                        near = order[np.repeat(lo[a:b] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                        dx, dy = q["x"][who] - c["x"][near], q["y"][who] - c["y"][near]
+                        d = np.sqrt(dx * dx + dy * dy)
+                        keep = (d <= radius) & (d <= far[who])
+                        if ratio:
+                            share = c["w"][near] / q["w"][who] if step > 0 else q["w"][who] / c["w"][near]
+                            keep &= (share >= low) & (share <= high)
+                        who, near, d = who[keep], near[keep], d[keep]
+                        o = np.lexsort((near, d, who))
+                        who, near, d = who[o], near[o], d[o]
+                        top = np.flatnonzero(np.r_[True, who[1:] != who[:-1]][:len(who)])
+                        who, near, d = who[top], near[top], d[top]
+                        better = (d < far[who]) | (to[who] < 0) | (near < to[who])
+                        to[who[better]], far[who[better]], gap[who[better]] = near[better], d[better], step
+                        a = b
+            if level:
+                rest = [q[k][todo] / s + 0.37 - v for k, v in (("x", qa), ("y", qb))]
+                edge = s * (1 + np.minimum.reduce([rest[0], 1 - rest[0], rest[1], 1 - rest[1]]) - 1e-6)
+                todo = todo[far[todo] >= edge]
+    return to, gap, far
+
+
+def nearest_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], radius: float, gaps: Sequence[int] = (0,),
+                 ratio: tuple[float, float] | None = None, frames: int = 16) -> DataFrame:
+    """``keys, id, to, gap, d``: for each row of ``left`` (``id, f, x, y, w``) the nearest row of ``right`` (``to, f, x, y, w``) ``gaps`` frames later.
+
+    The first gap with a row within ``radius`` counts, then the distance, then the smaller ``to``; ``ratio`` bounds the later row's ``w`` over the earlier
+    one's. Blocks of ``frames`` frames are searched by cells, so no pair is a row.
+    """
+    group = [*keys, "_b"]
+    used = [*keys, "f", "x", "y", *(["w"] if ratio else [])]
+    cast = [F.col("f").cast("long").alias("f"), *[F.col(c).cast("double").alias(c) for c in used if c in ("x", "y", "w")]]
+    q = left.dropna(subset=used).select(*keys, "id", *cast).withColumn("_b", F.floor(F.col("f") / frames))
+    c = right.dropna(subset=used).select(*keys, "to", *cast)
+    c = c.withColumn("_b", F.explode(F.sequence(F.floor((F.col("f") - max(gaps)) / frames), F.floor((F.col("f") - min(gaps)) / frames))))
+    kinds = {f.name: f.dataType.simpleString() for d in (q, c) for f in d.schema}
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in [*keys, "id", "to"]) + ", gap bigint, d double"
+
+    def search(rows: pa.Table) -> pa.Table:
+        asks = rows["id"].is_valid()
+        a, b = rows.filter(asks), rows.filter(pa.compute.invert(asks)).sort_by("to")
+        to = np.full(len(a), -1)
+        if len(a) and len(b):
+            to, gap, far = _nearest(*({n: t[n].to_numpy() for n in ("f", "x", "y", *(["w"] if ratio else []))} for t in (a, b)), radius, gaps, ratio)
+        got = np.flatnonzero(to >= 0)
+        if not len(got):
+            gap = far = np.zeros(0)
+        out = a.take(pa.array(got)).select([*keys, "id"])
+        for name, col in (("to", b["to"].take(pa.array(to[got]))), ("gap", pa.array(gap[got], pa.int64())), ("d", pa.array(far[got], pa.float64()))):
+            out = out.append_column(name, col)
+        return out
+
+    return q.unionByName(c, allowMissingColumns=True).groupBy(*group).applyInArrow(search, schema)
+
+
 def attach_weak(tracked: DataFrame, weak: DataFrame, trial: Sequence[str], reach: float = 24.0) -> DataFrame:
     """Weak blobs within ``reach`` of a strong blob of their frame belong to the nearest one's track; others are noise."""
     keys = [*trial, "frame"]
-    s = tracked.select(*keys, "track_id", F.col("cx").alias("_sx"), F.col("cy").alias("_sy"))
-    # Nine-cell offer of the strong side: an equi-join per frame and cell instead of all pairs of a frame.
-    ux, uy = F.floor(F.col("_sx") / reach), F.floor(F.col("_sy") / reach)
-    near = F.explode(F.array(*[F.struct((ux + i).alias("a"), (uy + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    s = s.withColumn("_n", near).withColumns({"_a": F.col("_n.a"), "_b": F.col("_n.b")}).drop("_n")
-    w = weak.withColumns({"_a": F.floor(F.col("cx") / reach), "_b": F.floor(F.col("cy") / reach)})
-    d = w.join(s, [*keys, "_a", "_b"]).withColumn("_d", distance(F.col("cx"), F.col("cy"), F.col("_sx"), F.col("_sy")))
-    best = d.where(F.col("_d") <= reach).groupBy(*keys, "det_id").agg(F.min(F.struct("_d", "track_id")).alias("m"))
-    best = best.select(*keys, "det_id", F.col("m.track_id").alias("track_id"), F.col("m._d").alias("distance_px"))
+    place = [F.col("frame").alias("f"), F.col("cx").alias("x"), F.col("cy").alias("y")]
+    best = nearest_rows(weak.select(*trial, F.struct("frame", "det_id").alias("id"), *place), tracked.select(*trial, F.col("track_id").alias("to"), *place), trial, float(reach))
+    best = best.groupBy(*trial, "id").agg(F.min(F.struct("d", "to")).alias("m"))
+    best = best.select(*trial, "id.frame", "id.det_id", F.col("m.to").alias("track_id"), F.col("m.d").alias("distance_px"))
     return weak.join(best, [*keys, "det_id"], "left").withColumn("is_noise", F.col("track_id").isNull())
 
 
@@ -551,24 +639,17 @@ def merge_tracks(blobs: DataFrame, trial: Sequence[str], max_gap: int = 5, max_d
     ends = blobs.where("is_strong").groupBy(*keys, "track_id").agg(
         F.min("frame").alias("s"), F.max("frame").alias("e"), F.min_by(F.struct("cx", "cy"), "frame").alias("a"),
         F.max_by(F.struct("cx", "cy"), "frame").alias("z"), F.avg("area_px").alias("area"))
-    left = ends.select(*keys, F.col("track_id").alias("l"), F.col("e"), F.col("z"), F.col("area").alias("la"))
-    left = left.withColumn("s", F.explode(F.sequence(F.col("e") + 1, F.col("e") + max_gap)))
-    right = ends.select(*keys, F.col("track_id").alias("r"), "s", "a", F.col("area").alias("ra"))
-    # The start side is met by frame and by cell, so a busy frame does not form all pairs.
-    r0 = float(max_distance)
-    zx, zy = F.floor(F.col("z.cx") / r0), F.floor(F.col("z.cy") / r0)
-    left = left.withColumn("_n", F.explode(F.array(*[
-        F.struct((zx + i).alias("a"), (zy + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
-    left = left.withColumns({"_a": F.col("_n.a"), "_b": F.col("_n.b")}).drop("_n")
-    right = right.withColumns({"_a": F.floor(F.col("a.cx") / r0), "_b": F.floor(F.col("a.cy") / r0)})
-    c = left.join(right, [*keys, "s", "_a", "_b"])
-    c = c.withColumns({"gap": F.col("s") - F.col("e"),
-                       "d": distance(F.col("z.cx"), F.col("z.cy"), F.col("a.cx"), F.col("a.cy")),
-                       "q": F.try_divide("ra", "la")})
-    c = c.where((F.col("d") <= r0) & F.col("q").between(*ratio) & (F.col("l") != F.col("r")))
-    c = cut_lineage(c.select(*keys, "l", "r", "gap", "d"))
-    out = c.groupBy(*keys, "l").agg(F.min(F.struct("gap", "d", "r")).alias("m")).select(*keys, "l", F.col("m.r").alias("r"))
-    back = c.groupBy(*keys, "r").agg(F.min(F.struct("gap", "d", "l")).alias("m")).select(*keys, "r", F.col("m.l").alias("l"))
+    ends = materialise(ends)
+    start = [F.col("s").alias("f"), F.col("a.cx").alias("x"), F.col("a.cy").alias("y"), F.col("area").alias("w")]
+    end = [F.col("e").alias("f"), F.col("z.cx").alias("x"), F.col("z.cy").alias("y"), F.col("area").alias("w")]
+    # No mean area, no ratio.
+    sized = ends.where("area > 0")
+    rows = lambda name, place: sized.select(*keys, F.col("track_id").alias(name), *place)
+    gaps = range(1, max_gap + 1)
+    out = nearest_rows(rows("id", end), rows("to", start), keys, float(max_distance), list(gaps), ratio)
+    out = out.select(*keys, F.col("id").alias("l"), F.col("to").alias("r"))
+    back = nearest_rows(rows("id", start), rows("to", end), keys, float(max_distance), [-g for g in gaps], ratio)
+    back = back.select(*keys, F.col("id").alias("r"), F.col("to").alias("l"))
     link = out.join(back, [*keys, "l", "r"])
     head = ends.select(*keys, "track_id").join(
         link.select(*keys, F.col("r").alias("track_id"), F.col("l").alias("merged_id")), [*keys, "track_id"], "left")
