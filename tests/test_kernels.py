@@ -424,3 +424,11 @@ def test_foot_intensity_counts_shared_pixels_once(spark):
         own = [b for b in boxes if (b[0], b[2]) == (frame, foot)]
         v = [g for (f, x, y), g in image.items() if f == frame and any(b[3] <= x < b[5] and b[4] <= y < b[6] for b in own)] or [0]
         assert (r.intensity_max, r.intensity_min, r.intensity_total) == (max(v), min(v), sum(v)) and r.intensity_mean == pytest.approx(np.mean(v))
+
+
+def test_unions_of_pixels_shuffle_detections_only(spark):
+    from treadline.catalog import load
+    for name in ("track_pixels", "union_projection"):
+        plan = load().QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert dealt and not any("track_id" in line and " y#" in line for line in dealt)

@@ -104,7 +104,8 @@ mask AS (SELECT trial_id, track_id, frame, x1 + i % (x2 - x1) AS x, y1 + i // (x
 
 
 def mask(spark, sf_dir):
-    d = det(spark, sf_dir).withColumn("i", F.expr("explode(sequence(0, (x2 - x1) * (y2 - y1) - 1))"))
+    # Dealt by track before the boxes become pixels, so that unions per track need no shuffle of pixel rows.
+    d = det(spark, sf_dir).repartition(*KEYS).withColumn("i", F.expr("explode(sequence(0, (x2 - x1) * (y2 - y1) - 1))"))
     return d.select("trial_id", "track_id", "frame", F.expr("x1 + i % (x2 - x1)").alias("x"),
                     F.expr("y1 + cast(floor(i / (x2 - x1)) as int)").alias("y"), (F.col("mean_intensity") - F.col("i")).alias("delta"))
 
