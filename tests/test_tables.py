@@ -225,3 +225,18 @@ def test_rank_quantile_of_a_frequent_value(spark):
         got = dict(ordered.quantile(df, ["k"], "v", F.floor("v"), "q", share).collect())
         for k in ("hot", "few"):
             assert abs(got[k] - np.quantile([v for n, v in rows if n == k], share)) < 1e-9
+
+
+def test_paths_over_chunks_equal_one_pass(spark):
+    from treadline.operators import cycles
+    rows = [("t", k, f, float((f * 7 + k) % 11), None if f == 9 and k else float((f * f) % 5)) for k in range(2) for f in (0, 3, 4, 9, 17, 18, 40)]
+    df = spark.createDataFrame(rows, "trial_id string, track_id int, frame int, cx double, cy double")
+    d = cycles.pressure_centre_path(df, ["trial_id"], size=4)
+    got = {r.track_id: (r.cop_path_length_mm, r.cop_displacement_mm) for r in d.collect()}
+    for k in range(2):
+        at = [r[3:] for r in rows if r[1] == k]
+        steps = [((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a, b in zip(at, at[1:]) if None not in (*a, *b)]
+        ends = ((at[-1][0] - at[0][0]) ** 2 + (at[-1][1] - at[0][1]) ** 2) ** 0.5
+        assert got[k] == pytest.approx((sum(steps) / 1.92, ends / 1.92))
+    # The rows meet once, by chunk, and no list of neighbours is made.
+    assert "collect_list" not in d._jdf.queryExecution().optimizedPlan().toString()

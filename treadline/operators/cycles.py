@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treadline.functions import metrics as fm
@@ -79,14 +79,19 @@ def pressure_centre_path(det: DataFrame, trial: Sequence[str], track: str = "tra
                          px_per_mm: float = DEFAULT_PX_PER_MM, size: int = CHUNK) -> DataFrame:
     """Length of the centroid path of a track and the distance between its ends, in mm."""
     keys = [*trial, track]
-    d = ordered.neighbours(det.select(*keys, "frame", "cx", "cy"), keys, "frame",
-                           {"_px": ("cx", -1), "_py": ("cy", -1)}, size)
-    mm = float(px_per_mm)
-    step = F.hypot(F.col("cx") - F.col("_px"), F.col("cy") - F.col("_py")) / mm
-    a, b = F.min_by(F.struct("cx", "cy"), "frame"), F.max_by(F.struct("cx", "cy"), "frame")
-    return d.groupBy(*keys).agg(
-        F.coalesce(F.sum(step), F.lit(0.0)).alias("cop_path_length_mm"),
-        (F.hypot(b["cx"] - a["cx"], b["cy"] - a["cy"]) / mm).alias("cop_displacement_mm"))
+    w = ordered.chunk_window(keys)
+    xy = F.struct("cx", "cy")
+    step = lambda x, y, px, py: F.hypot(F.col(x) - px, F.col(y) - py) / float(px_per_mm)
+    d = ordered.with_chunk(det.select(*keys, "frame", "cx", "cy"), size=size)
+    d = d.withColumn("_step", step("cx", "cy", F.lag("cx").over(w), F.lag("cy").over(w)))
+    # One row per chunk of a track; only the step into a chunk and the ends of the track need more than that chunk.
+    part = d.groupBy(*keys, "_chunk").agg(F.sum("_step").alias("_in"), F.min_by(xy, "frame").alias("_a"), F.max_by(xy, "frame").alias("_z"))
+    before = F.lag("_z").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    part = part.withColumn("_into", step("_a.cx", "_a.cy", before["cx"], before["cy"]))
+    a, z = F.min_by("_a", "_chunk"), F.max_by("_z", "_chunk")
+    return part.groupBy(*keys).agg(
+        (F.coalesce(F.sum("_in"), F.lit(0.0)) + F.coalesce(F.sum("_into"), F.lit(0.0))).alias("cop_path_length_mm"),
+        (F.hypot(z["cx"] - a["cx"], z["cy"] - a["cy"]) / float(px_per_mm)).alias("cop_displacement_mm"))
 
 
 def number_cycles(cycles: DataFrame, trial: Sequence[str], track: str = "track_id", size: int = CHUNK) -> DataFrame:

@@ -46,9 +46,10 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot:
         F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slot").rowsBetween(_UNB, -1)), F.lit(0))
     offsets = counts.select(*keys, "_slot", before.alias("_before"))
     in_slot = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order))
-    return (base.join(offsets, [*keys, "_slot"])
-            .withColumn(name, (F.col("_before") + in_slot - 1 + start).cast("int"))
-            .drop("_slot", "_before"))
+    # The window comes first: its order serves the join, so rows are sorted once.
+    return (base.withColumn("_in_slot", in_slot).join(offsets, [*keys, "_slot"])
+            .withColumn(name, (F.col("_before") + F.col("_in_slot") - 1 + start).cast("int"))
+            .drop("_slot", "_in_slot", "_before"))
 
 
 def middle(values: Column) -> Column:
