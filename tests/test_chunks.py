@@ -53,6 +53,21 @@ def test_iou_chunks(spark, seed, warm):
     assert got == want
 
 
+def test_parts_of_an_image_are_tracked_apart(spark):
+    rows = detections(6, 40, 4)
+    far = [(t, f, 100 + k, [c + 10_000_000 for c in cells], x, y) for t, f, k, cells, x, y in detections(7, 40, 4)]
+    both = sorted(rows + far + [("t", 5, 900, [], 0.0, 0.0)], key=lambda r: r[1:3])
+    df = spark.createDataFrame([(*r[:4], r[4]) for r in both], "trial_id string, frame int, det_id int, mask array<int>, x double")
+    want = rising(plain([r for r in both if r[3]], lambda: tracking._IouTracker(0.3, 3, 5), lambda r: (r[2], np.array(r[3]))))
+    # The crowd's masks connect its strips of 256 pixels, but not the two crowds; the strips of an empty image are no parts.
+    parts = tracking.mask_parts(df.where("det_id < 900"), T, strip=256).groupBy("_part").agg({"det_id": "max"}).collect()
+    assert len(parts) >= 2 and any(r[1] < 100 for r in parts) and any(r[1] >= 100 for r in parts)
+    got = tracking.link_by_iou(df.where("det_id < 900"), T, frames=10, warm=8, strip=256, keep=["x"])
+    assert got.columns[-2:] == ["x", "track_id"]
+    assert {(r.frame, r.det_id): r.track_id for r in got.collect()} == want
+    assert tracking.link_by_iou(df, T, frames=10, warm=8, strip=256).where("det_id = 900").count() == 1
+
+
 @pytest.mark.parametrize("seed, warm", [(4, 6), (5, 0)])
 def test_centroid_chunks(spark, seed, warm):
     rows = detections(seed, 70, 5)

@@ -25,8 +25,9 @@ from treadline.session import cut_lineage, materialise
 
 def bursts(det: DataFrame, trial: Sequence[str], max_gap: int, size: int = CHUNK) -> DataFrame:
     """Add ``_burst``: the first frame of the stretch of activity. More than ``max_gap`` frames without any detection
-    close every track, so bursts are independent."""
-    return ordered.stretch_starts(det, trial, max_gap, name="_burst", size=size)
+    close every track, so bursts are independent. They are found on the distinct frames, however many detections a frame has."""
+    frames = det.select(*trial, "frame").distinct()
+    return det.join(ordered.stretch_starts(frames, trial, max_gap, name="_burst", size=size).select(*trial, "frame", "_burst"), [*trial, "frame"])
 
 
 #: Frames of a chunk, and frames before it from which its entry state is guessed.
@@ -370,25 +371,48 @@ def _by_first_detection(linked: DataFrame) -> DataFrame:
 
 
 def number_tracks(linked: DataFrame, trial: Sequence[str], size: int = CHUNK) -> DataFrame:
-    """Turn the key of a track's first detection into rising ids per trial, from 0. The linked rows are stored once, so
-    that the tracker does not run again for each step that reads them."""
-    linked = materialise(linked)
+    """Turn the key of a track's first detection into rising ids per trial, from 0. The tracker has stored its rows, so it
+    does not run again for each step that reads them."""
     t = linked.select(*trial, "_tf", "_td").distinct()
     t = ordered.number_rows(t, trial, ["_tf", "_td"], F.floor(F.col("_tf") / size), name="track_id")
     return linked.join(t, [*trial, "_tf", "_td"]).drop("_tf", "_td")
 
 
+#: Pixel numbers of a strip.
+STRIP = 1 << 15
+
+
+def mask_parts(det: DataFrame, keys: Sequence[str], strip: int = STRIP, size: int = CHUNK) -> DataFrame:
+    """Add ``_part``: detections of different parts share no pixel.
+
+    Pixel numbers are cut into strips of ``strip``. Strips with a mask that reaches from one into the next are one part, named by its first strip; masks that
+    fill the image leave one part.
+    """
+    at = lambda end: F.floor(end / F.lit(strip))
+    d = det.withColumns({"_lo": at(F.array_min("mask")), "_hi": at(F.array_max("mask"))})
+    # A crossed border is named by the strip before it.
+    crossed = d.where("_hi > _lo").select(*keys, F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("frame")).distinct()
+    runs = ordered.stretch_starts(crossed, keys, 1, name="_run", size=size)
+    strips = runs.select(*keys, F.explode(F.array(F.col("frame"), F.col("frame") + 1)).alias("_lo"), "_run").distinct()
+    # A mask without pixels overlaps nothing, so it can be in any part.
+    part = F.coalesce("_run", "_lo", F.lit(0)).cast("long")
+    return d.join(strips, [*keys, "_lo"], "left").withColumn("_part", part).drop("_lo", "_hi", "_run")
+
+
 def link_by_iou(det: DataFrame, trial: Sequence[str], iou_min: float = 0.3, max_gap: int = 3, memory: int = 5,
-                size: int = CHUNK, frames: int = FRAMES, warm: int = WARM) -> DataFrame:
+                size: int = CHUNK, frames: int = FRAMES, warm: int = WARM, strip: int = STRIP,
+                keep: Sequence[str] = ()) -> DataFrame:
     """Link detections to tracks by mask overlap.
 
     ``det`` has ``frame, det_id`` and ``mask`` (pixel numbers). In each frame, pairs of a live track (union of its last
     ``memory`` masks) and a detection are taken greedily by IoU, then by younger track, then by later detection, down to
     ``iou_min``. Other detections open tracks. A track closes once idle for more than ``max_gap`` frames.
+    Only masks that share a pixel can be linked, so the parts of an image that no mask connects (:func:`mask_parts`) are tracked apart.
+    Columns named in ``keep`` go along.
     """
-    d = bursts(det.select(*trial, "frame", "det_id", "mask"), trial, max_gap, size)
-    linked = in_chunks(d, [*trial, "_burst"], ("frame", "det_id"), ("det_id", "mask"), lambda: _IouTracker(iou_min, max_gap, memory), frames, warm, drop=("mask",))
-    return number_tracks(_by_first_detection(linked).drop("_burst"), trial, size)
+    d = mask_parts(bursts(det.select(*trial, "frame", "det_id", *keep, "mask"), trial, max_gap, size), [*trial, "_burst"], strip, size)
+    linked = in_chunks(d, [*trial, "_burst", "_part"], ("frame", "det_id"), ("det_id", "mask"), lambda: _IouTracker(iou_min, max_gap, memory), frames, warm, drop=("mask",))
+    return number_tracks(_by_first_detection(linked).drop("_burst", "_part"), trial, size)
 
 
 def _within(ref: np.ndarray, xy: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -168,10 +168,11 @@ def cycles_from_detections(det: DataFrame, roi: DataFrame | None, fps: float, px
     d = det.where(F.col("area_px") >= min_area)
     if roi is not None:
         d = pixels.gate_by_body(d, roi)
-    linked = tracking.link_by_iou(d, TRIAL, iou_min, max_gap, size=size)
-    tracked = materialise(d.drop("mask").join(linked, [*TRIAL, "frame", "det_id"]))
+    d = materialise(d)
+    keep = [c for c in d.columns if c not in (*TRIAL, "frame", "det_id", "mask")]
+    tracked = materialise(tracking.link_by_iou(d, TRIAL, iou_min, max_gap, size=size, keep=keep))
     cyc = cycles.build_cycles(tracked, TRIAL, fps=fps, px_per_mm=px_per_mm, size=size)
     cop = cycles.pressure_centre_path(tracked, TRIAL, px_per_mm=px_per_mm, size=size)
-    cyc = cycles.number_cycles(cyc.join(cop, [*TRIAL, "track_id"]), TRIAL, size=size)
+    cyc = materialise(cycles.number_cycles(cyc.join(cop, [*TRIAL, "track_id"]), TRIAL, size=size))
     frames = cycles.frame_records(tracked, fps, px_per_mm).join(cyc.select(*TRIAL, "track_id", "cycle_id"), [*TRIAL, "track_id"])
     return {"cycle": cyc, "cycle_frame": frames, "trim": cycles.trim_range(tracked, det.select(*TRIAL).distinct(), TRIAL)}
