@@ -240,3 +240,24 @@ def test_paths_over_chunks_equal_one_pass(spark):
         assert got[k] == pytest.approx((sum(steps) / 1.92, ends / 1.92))
     # The rows meet once, by chunk, and no list of neighbours is made.
     assert "collect_list" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prints_meet_the_nearest_track_once(spark):
+    from treadline.operators import matching
+    truth = [("t", i, i * 3 % 40) for i in range(30)]
+    blobs = [("t", i % 9, (i * 7 + i * i) % 60, i * 5 % 13) for i in range(40)]
+    t = spark.createDataFrame(truth, "trial_id string, print_id long, frame_idx int")
+    b = spark.createDataFrame(blobs, "trial_id string, track_id long, frame int, area_px int")
+    want = set()
+    for _, i, f in truth:
+        near = [(abs(g - f), k) for _, k, g, _ in blobs if abs(g - f) <= 2]
+        if near:
+            gap, k = min(near)
+            own = [(a, -g) for _, j, g, a in blobs if j == k]
+            here = [a for a, g in own if -g == f]
+            want.add((i, k, gap, f if here else -max(own)[1], max(here) if here else max(own)[0]))
+    d = matching.nearest_track(t, b, ["trial_id"], tolerance=2)
+    assert {(r.print_id, r.track_id, r.frame_gap, r.blob_frame, r.area_px) for r in d.collect()} == want
+    # No row per print and frame in reach: prints are not aggregated over offers.
+    lines = [x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert not any("print_id" in x and "min(" in x for x in lines)

@@ -79,20 +79,22 @@ def around_frames(df: DataFrame, tolerance: int, frame: str = "frame_idx", name:
 def nearest_track(truth: DataFrame, blobs: DataFrame, trial: Sequence[str], tolerance: int = 5) -> DataFrame:
     """The track with the blob nearest in time to each truth print (first track on ties), and its blob at that frame, or
     else its largest blob."""
-    t = around_frames(truth.select(*trial, "print_id", "frame_idx"), tolerance)
-    # Of the tracks of a frame only the first can win, so one row per frame meets the prints.
-    c = t.join(blobs.groupBy(*trial, "frame").agg(F.min("track_id").alias("track_id")), [*trial, "frame"])
-    best = c.groupBy(*trial, "print_id", "frame_idx").agg(
-        F.min(F.struct(F.abs(F.col("frame") - F.col("frame_idx")).alias("gap"), "track_id")).alias("b"))
-    best = best.select(*trial, "print_id", "frame_idx", F.col("b.gap").alias("frame_gap"), F.col("b.track_id").alias("track_id"))
-    top = blobs.groupBy(*trial, "track_id").agg(
+    # Only the first track of a frame can win, and the prints of a frame share their answer: it is found per frame, and prints meet it once.
+    first = blobs.groupBy(*trial, "frame").agg(F.min("track_id").alias("track_id"))
+    offered = around_frames(first.withColumnRenamed("frame", "_at"), tolerance, "_at", "frame_idx")
+    near = offered.groupBy(*trial, "frame_idx").agg(F.min(F.struct(F.abs(F.col("_at") - F.col("frame_idx")).alias("gap"), "track_id")).alias("b"))
+    near = near.select(*trial, "frame_idx", F.col("b.gap").alias("frame_gap"), F.col("b.track_id").alias("track_id"))
+    own = blobs.join(first.select(*trial, "track_id").distinct(), [*trial, "track_id"], "left_semi")
+    top = own.groupBy(*trial, "track_id").agg(
         F.max_by(F.struct("frame", "area_px"), F.struct("area_px", -F.col("frame"))).alias("_top"))
-    here = blobs.groupBy(*trial, "track_id", "frame").agg(F.max("area_px").alias("_area"))
+    here = own.groupBy(*trial, "track_id", "frame").agg(F.max("area_px").alias("_area"))
     here = here.withColumnRenamed("frame", "frame_idx")
-    d = best.join(top, [*trial, "track_id"]).join(here, [*trial, "track_id", "frame_idx"], "left")
-    return d.select(*trial, "print_id", "frame_idx", "track_id", "frame_gap",
-                    F.when(F.col("_area").isNotNull(), F.col("frame_idx")).otherwise(F.col("_top.frame")).alias("blob_frame"),
-                    F.coalesce("_area", "_top.area_px").alias("area_px"))
+    near = near.join(top, [*trial, "track_id"]).join(here, [*trial, "track_id", "frame_idx"], "left")
+    near = near.select(*trial, "frame_idx", "track_id", "frame_gap",
+                       F.when(F.col("_area").isNotNull(), F.col("frame_idx")).otherwise(F.col("_top.frame")).alias("blob_frame"),
+                       F.coalesce("_area", "_top.area_px").alias("area_px"))
+    d = truth.select(*trial, "print_id", "frame_idx").distinct().join(near, [*trial, "frame_idx"])
+    return d.select(*trial, "print_id", "frame_idx", "track_id", "frame_gap", "blob_frame", "area_px")
 
 
 def largest_near(truth: DataFrame, blobs: DataFrame, trial: Sequence[str], reach: int = 3) -> DataFrame:
