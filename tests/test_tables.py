@@ -261,3 +261,17 @@ def test_prints_meet_the_nearest_track_once(spark):
     # No row per print and frame in reach: prints are not aggregated over offers.
     lines = [x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
     assert not any("print_id" in x and "min(" in x for x in lines)
+
+
+def test_recall_joins_places_once(spark):
+    from treadline.operators import matching
+    truth = [("t", f, float(i * 13 % 97), float(i * 31 % 89)) for f in range(3) for i in range(40)] + [("t", 7, 5.0, 5.0), ("t", 0, None, 1.0)]
+    det = [("t", f, float(i * 29 % 101), float(i * 17 % 53)) for f in range(3) for i in range(12)] + [("t", 0, -10.0, 0.0), ("t", 1, None, 3.0)]
+    a = spark.createDataFrame(truth, "trial_id string, frame int, x double, y double")
+    b = spark.createDataFrame(det, "trial_id string, frame int, cx double, cy double")
+    got = sorted(((r.frame, r.x or -1.0, r.y, r.hit) for r in matching.recalled(a, b, 10.0).collect()))
+    near = lambda t, d: t[1] == d[1] and None not in (t[2], d[2]) and ((t[2] - d[2]) ** 2 + (t[3] - d[3]) ** 2) ** 0.5 <= 10.0
+    assert got == sorted((t[1], t[2] or -1.0, t[3], any(near(t, d) for d in det)) for t in truth) and {r[3] for r in got} == {True, False}
+    # One join by cells, on the distinct places of the truth, and none for the rows that are missed.
+    plan = matching.recalled(a, b, 10.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1 and "LeftAnti" not in plan

@@ -185,13 +185,14 @@ def numbered(li):
                                F.floor(F.col("l_orderkey") / 65536), name="rid")
 
 
-def eval_rows(spark, sf_dir):
+def eval_rows(spark, sf_dir, ids=True):
+    """Truth and predictions; without ``ids`` rows are not numbered, and the ids are null."""
     li = v.table(spark, sf_dir, "lineitem")
     li = li.select((F.col("l_suppkey") % 25).alias("trial_id"), F.datediff("l_shipdate", F.lit("1992-01-01")).alias("frame"),
                    (F.col("l_extendedprice") / 100).alias("cx"), (F.col("l_discount") * 1000).alias("cy"), F.col("l_quantity").alias("q"),
                    F.element_at(F.array(*[F.lit(x) for x in ("LF", "RF", "LH", "RH")]), F.col("l_quantity").cast("int") % 4 + 1).alias("paw"),
                    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    li = numbered(li)
+    li = numbered(li) if ids else li.withColumn("rid", F.lit(None).cast("int"))
     gt = li.where("q <= 10").select("trial_id", F.col("rid").cast("long").alias("print_id"), F.col("frame").alias("frame_idx"),
                                     F.col("cx").alias("cx_px"), F.col("cy").alias("cy_px"), F.col("paw").alias("paw_id"))
     pred = li.where("q > 10").select("trial_id", F.col("rid").cast("long").alias("pred_id"), F.col("frame").alias("frame_idx"),
@@ -205,7 +206,7 @@ h AS (SELECT g.trial_id, g.print_id, bool_or(p.pred_id IS NOT NULL) AS hit FROM
 SELECT t.trial_id, coalesce(count(*) FILTER (hit) / nullif(count(hit), 0)::DOUBLE, 1.0) AS recall FROM (SELECT DISTINCT trial_id FROM pred) t
 LEFT JOIN h USING (trial_id) GROUP BY t.trial_id""")
 def _(spark, sf_dir):
-    gt, pred = eval_rows(spark, sf_dir)
+    gt, pred = eval_rows(spark, sf_dir, ids=False)
     flags = matching.recalled(gt.select("trial_id", F.col("frame_idx").alias("frame"), F.col("cx_px").alias("x"), F.col("cy_px").alias("y")),
                               pred.select("trial_id", F.col("frame_idx").alias("frame"), "cx", "cy"), 30.0)
     return matching.recall(flags, pred, ["trial_id"])

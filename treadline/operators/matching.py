@@ -46,23 +46,23 @@ def _cells(x: Column, y: Column, r: float) -> tuple[Column, Column]:
 def recalled(truth: DataFrame, det: DataFrame, radius: float, keys: Sequence[str] = ("trial_id", "frame")) -> DataFrame:
     """Truth rows (``x, y``) with a flag ``hit``: some detection of the frame lies within ``radius``.
 
-    A detection is offered to the nine cells around it and met by an equi-join; the truth side is reduced to flags, so
-    no pairs are kept.
+    Rows at one place share their answer. Each place of the truth is offered to the nine cells around it, where one equi-join with the distinct
+    detections leaves the places that are hit; no pairs are kept.
     """
     r = float(radius)
-    ux, uy = _cells(F.col("cx"), F.col("cy"), r)
-    near = F.explode(F.array(*[F.struct((ux + i).alias("a"), (uy + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    d = det.select(*keys, "cx", "cy").distinct().withColumn("_n", near)
-    d = d.select(*[F.col(k).alias(f"_{k}") for k in keys], "cx", "cy", F.col("_n.a").alias("_a"), F.col("_n.b").alias("_b"))
+    place = [*keys, "x", "y"]
     tx, ty = _cells(F.col("x"), F.col("y"), r)
-    t = truth.withColumns({"_tx": tx, "_ty": ty})
+    near = F.explode(F.array(*[F.struct((tx + i).alias("a"), (ty + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    t = truth.select(*place).distinct().withColumn("_n", near).select(*place, F.col("_n.a").alias("_tx"), F.col("_n.b").alias("_ty"))
+    ux, uy = _cells(F.col("cx"), F.col("cy"), r)
+    d = det.select(*keys, "cx", "cy").distinct()
+    d = d.select(*[F.col(k).alias(f"_{k}") for k in keys], "cx", "cy", ux.alias("_a"), uy.alias("_b"))
     cond = (F.col("_tx") == F.col("_a")) & (F.col("_ty") == F.col("_b"))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_{k}"))
     cond = cond & (distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")) <= r)
-    hit = t.join(d, cond, "left_semi").withColumn("hit", F.lit(True))
-    miss = t.join(d, cond, "left_anti").withColumn("hit", F.lit(False))
-    return hit.unionByName(miss).drop("_tx", "_ty")
+    hits = t.join(d, cond, "left_semi").select(*place).distinct().withColumn("hit", F.lit(True))
+    return truth.join(hits, place, "left").select(*truth.columns, F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 def recall(flags: DataFrame, trials: DataFrame, trial: Sequence[str]) -> DataFrame:
