@@ -4,6 +4,7 @@ import json
 import os
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +276,15 @@ def test_recall_joins_places_once(spark):
     # One join by cells, on the distinct places of the truth, and none for the rows that are missed.
     plan = matching.recalled(a, b, 10.0)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 1 and "LeftAnti" not in plan
+
+
+def test_medians_of_tracks_read_stored_blobs(spark):
+    from treadline.operators import tracking
+    rows = [("t", i % 3, i, i * 7 % 5, float(i * 3 % 8), float(i * 5 % 7)) for i in range(30)]
+    df = spark.createDataFrame(rows, "trial_id string, track_id int, frame int, area_px int, cx double, cy double")
+    d = tracking.track_predictions(df, ["trial_id"])
+    for r in d.collect():
+        own = [x for x in rows if x[1] == r.track_id]
+        assert (r.cx, r.cy, r.n_strong) == (np.median([x[4] for x in own]), np.median([x[5] for x in own]), len(own))
+        assert r.frame_idx == min(own, key=lambda x: (-x[3], x[2]))[2]
+    assert "LogicalRDD" not in d._jdf.queryExecution().optimizedPlan().toString()

@@ -644,6 +644,8 @@ def two_level_summary(tracked: DataFrame, attached: DataFrame, trial: Sequence[s
 def track_predictions(strong: DataFrame, trial: Sequence[str]) -> DataFrame:
     """One prediction per track: median centroid of its strong blobs, at the frame of the largest."""
     keys = [*trial, "track_id"]
+    # Stored once, so that what led to the blobs does not run again for each median.
+    strong = materialise(strong.select(*keys, "frame", "area_px", "cx", "cy"))
     g = strong.groupBy(*keys).agg(F.max_by("frame", F.struct("area_px", -F.col("frame"))).alias("frame_idx"),
                                   F.count(F.lit(1)).alias("n_strong"))
     for c in ("cx", "cy"):
