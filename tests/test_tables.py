@@ -288,3 +288,10 @@ def test_medians_of_tracks_read_stored_blobs(spark):
         assert (r.cx, r.cy, r.n_strong) == (np.median([x[4] for x in own]), np.median([x[5] for x in own]), len(own))
         assert r.frame_idx == min(own, key=lambda x: (-x[3], x[2]))[2]
     assert "LogicalRDD" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cycle_documents_number_detections_once(spark):
+    import __spark_entry__
+    d = __spark_entry__.queries()["cycle_documents"](spark, "/root/testdata/sf0.001")
+    assert "row_number" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert d.count() > 0

@@ -12,7 +12,7 @@ from treadline.catalog.registry import query
 from treadline.catalog.series import PIXEL, PX, ROLES, W, pixel_series
 from treadline.operators import contact, cycles, pixels, steps
 from treadline.plans import trials
-from treadline.session import shared_folder
+from treadline.session import materialise, shared_folder
 from treadline.sources import readers, sinks, store
 from treadline.streaming import live
 
@@ -102,10 +102,10 @@ def _(spark, sf_dir):
 
 @query("cycle_documents")
 def _(spark, sf_dir):
-    d = det(spark, sf_dir)
+    d = materialise(det(spark, sf_dir))
     c = cycles.number_cycles(cycles.build_cycles(d, ["trial_id"], size=v.SIZE), ["trial_id"], size=v.SIZE)
     cop = cycles.pressure_centre_path(d, ["trial_id"], size=v.SIZE)
-    c = c.join(cop, ["trial_id", "track_id"])
+    c = materialise(c.join(cop, ["trial_id", "track_id"]))
     f = cycles.frame_records(d).join(c.select("trial_id", "track_id", "cycle_id"), ["trial_id", "track_id"])
     return sinks.cycle_documents(c, f)
 
