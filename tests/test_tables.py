@@ -295,3 +295,10 @@ def test_cycle_documents_number_detections_once(spark):
     d = __spark_entry__.queries()["cycle_documents"](spark, "/root/testdata/sf0.001")
     assert "row_number" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert d.count() > 0
+
+
+def test_only_peak_frames_become_pixels(spark):
+    import __spark_entry__
+    d = __spark_entry__.queries()["peak_composite"](spark, "/root/testdata/sf0.001")
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Generate explode"):]

@@ -103,9 +103,9 @@ mask AS (SELECT trial_id, track_id, frame, x1 + i % (x2 - x1) AS x, y1 + i // (x
   FROM det, unnest(range(0, (x2 - x1) * (y2 - y1))) AS u(i))"""
 
 
-def mask(spark, sf_dir):
+def mask(spark, sf_dir, d=None):
     # Dealt by track before the boxes become pixels, so that unions per track need no shuffle of pixel rows.
-    d = det(spark, sf_dir).repartition(*KEYS).withColumn("i", F.expr("explode(sequence(0, (x2 - x1) * (y2 - y1) - 1))"))
+    d = (det(spark, sf_dir) if d is None else d).repartition(*KEYS).withColumn("i", F.expr("explode(sequence(0, (x2 - x1) * (y2 - y1) - 1))"))
     return d.select("trial_id", "track_id", "frame", F.expr("x1 + i % (x2 - x1)").alias("x"),
                     F.expr("y1 + cast(floor(i / (x2 - x1)) as int)").alias("y"), (F.col("mean_intensity") - F.col("i")).alias("delta"))
 
@@ -143,7 +143,9 @@ def _(spark, sf_dir):
     from treadline.operators import pixels
     d = det(spark, sf_dir)
     peaks = d.groupBy(*KEYS).agg(F.max_by("frame", F.struct("area_px", -F.col("frame"))).alias("peak_area_frame"))
-    return pixels.peak_composite(mask(spark, sf_dir), peaks, ["trial_id"], "track_id", "delta")
+    # Only the detections of the peak frames become pixels.
+    top = d.join(peaks.select(*KEYS, F.col("peak_area_frame").alias("frame")), [*KEYS, "frame"], "left_semi")
+    return pixels.peak_composite(mask(spark, sf_dir, top), peaks, ["trial_id"], "track_id", "delta")
 
 
 @query("detection_statistics", f"""WITH {MASK}
