@@ -12,20 +12,12 @@ from pyspark.sql import functions as F
 from treadline.functions.geometry import distance
 from treadline.operators import ordered
 from treadline.operators.ordered import CHUNK
-from treadline.session import materialise
 
 
 def fill_gaps(df: DataFrame, keys: Sequence[str], values: Sequence[str], frame: str = "frame",
               size: int = CHUNK) -> DataFrame:
     """Linear interpolation of missing values; ends hold the nearest value; a channel without any value becomes 0."""
-    d = ordered.with_filled_neighbours(df, keys, values, frame, size)
-    cols = {}
-    for v in values:
-        p, n = F.col(f"_prev_{v}"), F.col(f"_next_{v}")
-        line = p["v"] + (n["v"] - p["v"]) * (F.col(frame) - p["f"]) / (n["f"] - p["f"])
-        cols[v] = (F.when(F.col(v).isNotNull(), F.col(v)).when(p.isNotNull() & n.isNotNull(), line)
-                   .otherwise(F.coalesce(p["v"], n["v"], F.lit(0.0))))
-    return d.withColumns(cols).drop(*[f"{p}_{v}" for v in values for p in ("_prev", "_next")])
+    return ordered.interpolated(df, keys, values, frame, size)
 
 
 def trend_contact(df: DataFrame, keys: Sequence[str], x: str = "x", frame: str = "frame",
@@ -38,14 +30,14 @@ def trend_contact(df: DataFrame, keys: Sequence[str], x: str = "x", frame: str =
 def displacement_contact(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", bias: float = 1.0,
                          frame: str = "frame", size: int = CHUNK) -> DataFrame:
     """Free-run rule: in stance when the step since the previous frame is shorter than the mean step times ``bias``."""
-    d = ordered.over_halo(df, keys, {"_px": lambda w: F.lag(x).over(w), "_py": lambda w: F.lag(y).over(w)},
-                          frame, before=1, size=size)
-    d = d.withColumn("_d", distance(F.col(x), F.col(y), F.col("_px"), F.col("_py")))
-    d = ordered.with_totals(d, keys, {"_sum": ("sum", F.col("_d")), "_n": ("sum", F.col("_d").isNotNull().cast("int"))},
-                            frame, size)
+    w = ordered.chunk_window(keys, frame)
+    # The step is found and summed in the same chunks, so the rows are shuffled once.
+    d = ordered.halo(df, frame, before=1, size=size)
+    d = d.withColumn("_d", distance(F.col(x), F.col(y), F.lag(x).over(w), F.lag(y).over(w))).where(~F.col("_halo")).drop("_halo")
+    total = lambda n: lambda up, _: F.sum(n).over(up.rowsBetween(ordered.Window.unboundedPreceding, ordered.Window.unboundedFollowing))
+    d = ordered.carry(d, keys, {"_s": F.sum("_d"), "_k": F.count("_d")}, {"_sum": total("_s"), "_n": total("_k")})
     short = F.col("_d") < F.try_divide(F.col("_sum"), F.col("_n")) * bias
-    return (d.withColumn("in_stance", F.coalesce(short.cast("int"), F.lit(0)))
-            .drop("_px", "_py", "_d", "_sum", "_n"))
+    return d.withColumn("in_stance", F.coalesce(short.cast("int"), F.lit(0))).drop("_d", "_sum", "_n", "_chunk")
 
 
 def contact_runs(df: DataFrame, keys: Sequence[str], value: str = "in_stance", frame: str = "frame",
@@ -61,7 +53,7 @@ def stored_runs(df: DataFrame, keys: Sequence[str], value: str = "in_stance", fr
     For operators that compare runs with their neighbours, which read the runs twice. A runs table is a small fraction of
     the frames it stands for, so writing it costs far less than shuffling and scanning the frames again.
     """
-    return materialise(contact_runs(df, keys, value, frame, aggs, size).drop("n_rows"))
+    return ordered.islands(df, keys, frame, value=value, aggs=aggs, size=size, stored=True).drop("n_rows")
 
 
 def stance_segments(df: DataFrame, keys: Sequence[str], value: str = "in_stance", frame: str = "frame",
@@ -108,7 +100,11 @@ def correct_runs(runs: DataFrame, keys: Sequence[str], value: str = "in_stance",
 def auto_correct(df: DataFrame, keys: Sequence[str], value: str = "in_stance", frame: str = "frame",
                  size: int = CHUNK) -> DataFrame:
     """Frame-level :func:`correct_runs`: ``keys, frame`` and the corrected value."""
-    runs = correct_runs(stored_runs(df, keys, value, frame, size=size), keys, value, size)
+    return corrected_frames(correct_runs(stored_runs(df, keys, value, frame, size=size), keys, value, size), keys, value, frame, size)
+
+
+def corrected_frames(runs: DataFrame, keys: Sequence[str], value: str = "in_stance", frame: str = "frame", size: int = CHUNK) -> DataFrame:
+    """The frames of corrected runs: ``keys, frame`` and the corrected value."""
     frames = ordered.expand(runs.select(*keys, "start", "end", F.col("corrected").alias(value)), name=frame, size=size)
     return frames.select(*keys, frame, value)
 

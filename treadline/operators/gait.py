@@ -75,8 +75,14 @@ def stride_lengths(df: DataFrame, keys: Sequence[str], fps: float, x: str = "x",
     stance is cut touchdown to touchdown. One that starts in swing gives its first stance run as first stride and then
     lift-off to lift-off. A stride that ends past the recording is skipped, and so is a channel with one stance run.
     """
-    pos = F.struct(F.col(frame).alias("f"), F.col(x).alias("x"), F.col(y).alias("y"))
-    runs = contact.stored_runs(df, keys, value, frame, {"_pos": ("min", pos)}, size)
+    runs = contact.stored_runs(df, keys, value, frame, {"x": ("start", F.col(x)), "y": ("start", F.col(y))}, size)
+    return strides_of_runs(runs, keys, fps, belt_speed, mm_per_px, value, size)
+
+
+def strides_of_runs(runs: DataFrame, keys: Sequence[str], fps: float, belt_speed: float | None = None, mm_per_px: float = 1.0,
+                    value: str = "in_stance", size: int = CHUNK) -> DataFrame:
+    """:func:`stride_lengths` from maximal runs with the position ``x, y`` on their first frame."""
+    runs = runs.withColumn("_pos", F.struct(F.col("start").alias("f"), "x", "y"))
     st = F.col(value) == 1
     d = ordered.neighbours(runs, keys, "start", {
         "_p0": ("_pos", -1), "_p1": ("_pos", 1), "_p2": ("_pos", 2)}, size,

@@ -10,11 +10,18 @@ window over all chunks of one trial stays small whatever the trial's length.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treadline.session import materialise
+
 CHUNK = 1 << 16
 _UNB = Window.unboundedPreceding
 _END = Window.unboundedFollowing
@@ -25,6 +32,10 @@ def _chunk(frame: str, size: int) -> Column:
     return F.floor(F.col(frame) / F.lit(size))
 
 
+def _given(columns: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
+
+
 def with_chunk(df: DataFrame, frame: str = "frame", size: int = CHUNK) -> DataFrame:
     return df.withColumn("_chunk", _chunk(frame, size))
 
@@ -102,13 +113,15 @@ def halo(df: DataFrame, frame: str = "frame", before: int = 0, after: int = 0, s
         raise ValueError("halo wider than a chunk")
     chunk = _chunk(frame, size)
     rest = F.col(frame) - chunk * size
-    targets = [F.struct(chunk.alias("c"), F.lit(False).alias("h"))]
+    target = lambda c, h: F.array(F.struct(c.alias("c"), F.lit(h).alias("h")))
+    # No lambda function here: with one, Spark doesn't see that two branches read the same shuffle.
+    copy = lambda c, near: F.slice(target(c, True), F.lit(1), near.cast("int"))
+    targets = [target(chunk, False)]
     if before:
-        targets.append(F.when(rest >= size - before, F.struct((chunk + 1).alias("c"), F.lit(True).alias("h"))))
+        targets.append(copy(chunk + 1, rest >= size - before))
     if after:
-        targets.append(F.when((rest < after) & (chunk > 0),
-                              F.struct((chunk - 1).alias("c"), F.lit(True).alias("h"))))
-    return (df.withColumn("_t", F.explode(F.array_compact(F.array(*targets))))
+        targets.append(copy(chunk - 1, (rest < after) & (chunk > 0)))
+    return (df.withColumn("_t", F.explode(F.concat(*targets)))
             .withColumn("_chunk", F.col("_t.c")).withColumn("_halo", F.col("_t.h")).drop("_t"))
 
 
@@ -132,8 +145,10 @@ def carry(df: DataFrame, keys: Sequence[str], summaries: Mapping[str, Column], c
     window, because a frame that starts at the current row and is open at the end costs quadratic time.
 
     The summary reads every column of ``df`` (a hash that is never null). Column pruning would otherwise give it a
-    narrower shuffle of its own, and everything upstream would run twice; this way Spark reuses the one shuffle.
+    narrower shuffle of its own, and everything upstream would run twice; this way Spark reuses the one shuffle. For the
+    same reason the join's filter on null keys stands before the branches: Spark would push it below the shuffle in one only.
     """
+    df = df.where(_given([*keys, "_chunk"]))
     per_chunk = (df.groupBy(*keys, "_chunk")
                  .agg(*[c.alias(n) for n, c in summaries.items()], F.max(F.xxhash64(*df.columns)).alias("_all"))
                  .where("_all is not null"))
@@ -165,24 +180,126 @@ def running_sum(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column],
     return d.drop("_chunk", *[f"_v_{n}" for n in sums], *[f"_b_{n}" for n in sums])
 
 
-def with_filled_neighbours(df: DataFrame, keys: Sequence[str], values: Sequence[str], frame: str = "frame",
-                           size: int = CHUNK) -> DataFrame:
-    """Add ``_prev_<value>`` and ``_next_<value>``: the nearest earlier / later ``struct(f, v)`` with a value (self
-    included). All values share one pass."""
-    d = with_chunk(df, frame, size).withColumns({f"_k_{v}": F.when(
-        F.col(v).isNotNull(), F.struct(F.col(frame).alias("f"), F.col(v).alias("v"))) for v in values})
-    fill = lambda c: F.last(c, ignorenulls=True)
-    summaries, carried = {}, {}
-    for v in values:
-        summaries |= {f"_a_{v}": F.min(f"_k_{v}"), f"_z_{v}": F.max(f"_k_{v}")}
-        carried |= {f"_cp_{v}": (lambda up, _, v=v: fill(f"_z_{v}").over(up.rowsBetween(_UNB, -1))),
-                    f"_cn_{v}": (lambda _, down, v=v: fill(f"_a_{v}").over(down.rowsBetween(_UNB, -1)))}
-    d = carry(d, keys, summaries, carried)
-    w = chunk_window(keys, frame).rowsBetween(_UNB, 0)
-    back = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(frame)).rowsBetween(_UNB, 0)
-    d = d.withColumns({f"_prev_{v}": F.coalesce(fill(f"_k_{v}").over(w), F.col(f"_cp_{v}")) for v in values})
-    d = d.withColumns({f"_next_{v}": F.coalesce(fill(f"_k_{v}").over(back), F.col(f"_cn_{v}")) for v in values})
-    return d.drop("_chunk", *[f"{p}_{v}" for v in values for p in ("_k", "_cp", "_cn")])
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from sorted Arrow batches, with the row at which each group begins.
+
+    The group a batch ends in is held back and joined to the next, so a task holds one batch and one group.
+    """
+    held: list[pa.Table] = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+        seen = pa.concat_tables([*before, t]).select(list(keys)).combine_chunks()
+        new = np.zeros(seen.num_rows, dtype=bool)
+        new[0] = not held
+        for k in keys:
+            new[1:] |= pc.not_equal(seen[k].slice(1), seen[k].slice(0, seen.num_rows - 1)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(new[len(before):])
+        if len(at):
+            whole = [*held, t.slice(0, at[-1])]
+            whole = pa.concat_tables(whole).combine_chunks()
+            if whole.num_rows:
+                done = at[:-1] + whole.num_rows - at[-1]
+                yield whole, np.append([0], done) if held else done
+            held = []
+        held.append(t.slice(at[-1] if len(at) else 0))
+    if held:
+        yield pa.concat_tables(held).combine_chunks(), np.array([0])
+
+
+def _known(t: pa.Table, value: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values, which of them are there, and the nearest earlier and later row of the group with one (-1, past the end)."""
+    column, n = t[value], t.num_rows
+    ok = column.is_valid().to_numpy()
+    x = pc.cast(column, pa.float64(), safe=False).fill_null(0.0).to_numpy()
+    row, size = np.arange(n), np.diff(np.append(starts, n))
+    before = np.maximum.accumulate(np.where(ok, row, -1))
+    after = np.minimum.accumulate(np.where(ok, row, n)[::-1])[::-1]
+    before = np.where(before >= np.repeat(starts, size), before, -1)
+    after = np.where(after < np.repeat(starts + size, size), after, n)
+    return x, ok, before, after
+
+
+_SIDES = ("_first_f", "_first_v", "_last_f", "_last_v")
+_CARRIED = ("_pf", "_pv", "_nf", "_nv")
+
+
+def interpolated(df: DataFrame, keys: Sequence[str], values: Sequence[str], frame: str = "frame", size: int = CHUNK) -> DataFrame:
+    """Missing values on the straight line between the nearest earlier and later ones; ends hold the nearest value, and a
+    channel without any value becomes 0.
+
+    Chunks are sorted once and filled as arrays, all columns in one pass. Only chunks of channels with more than one chunk get the
+    nearest values of the other chunks, on their first row.
+    """
+    names, values, group = df.columns, list(values), [*keys, "_chunk"]
+    d = with_chunk(df.where(_given(keys)), frame, size).repartition(*group)
+    fields = {f.name: f.dataType.simpleString() for f in d.schema}
+    head = ", ".join(f"`{k}` {fields[k]}" for k in group)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, group):
+            n, f = t.num_rows, t[frame].to_numpy()
+            stops = np.append(starts[1:], n)
+            parts: list[list] = [[], [], [], []]
+            for v in values:
+                ok = np.flatnonzero(t[v].is_valid().to_numpy())
+                x = pc.cast(t[v], pa.float64(), safe=False).fill_null(0.0).to_numpy()
+                first, past = np.searchsorted(ok, starts), np.searchsorted(ok, stops)
+                none = first == past
+                for i, at in ((0, first), (2, past - 1)):
+                    at = np.zeros(len(starts), int) if not len(ok) else ok[np.where(none, 0, at)]
+                    parts[i].append((f[at], none))
+                    parts[i + 1].append((x[at], none))
+            offsets = pa.array(np.arange(len(starts) + 1) * len(values), pa.int32())
+            lists = []
+            for i, part in enumerate(parts):
+                flat, none = (np.stack(c, axis=1).ravel() for c in zip(*part))
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float64() if i % 2 else pa.int64(), mask=none)))
+            rows = t.select(group).take(pa.array(starts)).combine_chunks()
+            columns = [rows[k].chunk(0) for k in group] + [pa.array(f[starts], pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[*group, "_at", *_SIDES])
+
+    lists = ", ".join(f"{n} array<{'bigint' if n.endswith('_f') else 'double'}>" for n in _SIDES)
+    side = d.sortWithinPartitions(*group, frame).mapInArrow(ends, f"{head}, _at bigint, {lists}")
+    whole = Window.partitionBy(*keys)
+    side = side.withColumn("_chunks", F.count(F.lit(1)).over(whole)).where("_chunks > 1")
+    up, down = (whole.orderBy(o).rowsBetween(_UNB, -1) for o in ("_chunk", F.desc("_chunk")))
+    near = lambda c, w: F.array(*[F.last(F.get(c, F.lit(i)), ignorenulls=True).over(w) for i in range(len(values))])
+    side = side.select(*group, "_at", *[near(c, w).alias(n) for n, c, w in zip(
+        _CARRIED, ("_last_f", "_last_v", "_first_f", "_first_v"), (up, up, down, down))])
+    # Empty arrays on all other rows, not nulls: Spark's Arrow writer takes quadratic time for the null lists of a batch.
+    d = d.join(side, group, "left").withColumns({n: F.coalesce(F.when(F.col(frame) == F.col("_at"), F.col(n)), F.array().cast(
+        f"array<{'bigint' if n.endswith('f') else 'double'}>")) for n in _CARRIED}).drop("_at")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, group):
+            n, f = t.num_rows, t[frame].to_numpy()
+            row, size_of, far = np.arange(n), np.diff(np.append(starts, n)), None
+            if pc.max(pc.list_value_length(t[_CARRIED[0]])).as_py():
+                none = [None] * len(values)
+                far = [np.array([r or none for r in t[c].take(pa.array(starts)).to_pylist()], dtype=float) for c in _CARRIED]
+            for v in values:
+                if not t[v].null_count:
+                    done = pc.cast(t[v], pa.float64(), safe=False)
+                else:
+                    x, ok, before, after = _known(t, v, starts)
+                    back, ahead = before >= 0, after < n
+                    before, after = np.where(back, before, row), np.where(ahead, after, row)
+                    pf, pv, nf, nv = f[before], x[before], f[after], x[after]
+                    if far is not None:
+                        lf, lv, rf, rv = (np.repeat(c[:, values.index(v)], size_of) for c in far)
+                        pf, pv, nf, nv = np.where(back, pf, lf), np.where(back, pv, lv), np.where(ahead, nf, rf), np.where(ahead, nv, rv)
+                        back, ahead = back | ~np.isnan(lf), ahead | ~np.isnan(rf)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        line = pv + (nv - pv) * (f - pf) / (nf - pf)
+                    done = np.where(ok, x, np.where(back & ahead, line, np.where(back, pv, np.where(ahead, nv, 0.0))))
+                t = t.set_column(t.column_names.index(v), v, done if isinstance(done, pa.ChunkedArray) else pa.chunked_array([done]))
+            yield from t.select(names).to_batches()
+
+    schema = ", ".join(f"`{c}` {'double' if c in values else fields[c]}" for c in names)
+    return d.sortWithinPartitions(*group, frame).mapInArrow(fill, schema)
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, shifts: Mapping[str, tuple[Column | str, int]],
@@ -229,15 +346,20 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, shifts: Mapping[s
 
 def islands(df: DataFrame, keys: Sequence[str], frame: str = "frame", last: str | None = None,
             value: str | None = None, gap: int = 1, aggs: Mapping[str, tuple[str, Column]] | None = None,
-            size: int = CHUNK) -> DataFrame:
+            size: int = CHUNK, stored: bool = False) -> DataFrame:
     """Gaps and islands: maximal stretches with steps of at most ``gap`` frames and, if given, one ``value``.
 
     Rows are frames, or intervals ``[frame, last]`` that do not overlap. Every chunk yields its own stretches
     ("fragments"); only the first and last fragment of a chunk can continue in another chunk, so only those are merged
-    over the chunks of a key. ``aggs`` maps a name to ``("sum" | "min" | "max", Column)``, computed per island.
+    over the chunks of a key. ``aggs`` maps a name to ``("sum" | "min" | "max" | "start", Column)``, computed per island;
+    ``start`` is the value on its first row. ``stored`` writes the fragments and the merged ones to the shared folder, so
+    that the rows are read, shuffled and sorted once.
 
     Returns ``keys, start, end`` (exclusive), ``n_rows``, ``value`` if given, and the aggregates.
     """
+    def merge(kind: str, c: str, order: str) -> Column:
+        return F.min_by(c, order) if kind == "start" else _MERGE[kind](c)
+
     aggs = dict(aggs or {})
     stop = last or frame
     d = with_chunk(df, frame, size).withColumns({f"_a_{n}": c for n, (_, c) in aggs.items()})
@@ -253,9 +375,10 @@ def islands(df: DataFrame, keys: Sequence[str], frame: str = "frame", last: str
     vals = [F.first(value).alias(value)] if value else []
     frag = d.groupBy(*keys, "_chunk", "_frag").agg(
         F.min(frame).alias("_s"), F.max(stop).alias("_e"), F.count(F.lit(1)).alias("n_rows"), *vals,
-        *[_MERGE[k](f"_a_{n}").alias(n) for n, (k, _) in aggs.items()])
+        *[merge(k, f"_a_{n}", frame).alias(n) for n, (k, _) in aggs.items()])
     top = F.max("_frag").over(Window.partitionBy(*keys, "_chunk"))
     frag = frag.withColumn("_edge", (F.col("_frag") == 1) | (F.col("_frag") == top))
+    frag = materialise(frag) if stored else frag
     cols = [*keys, "_s", "_e", "n_rows", *([value] if value else []), *aggs]
     inner = frag.where(~F.col("_edge")).select(*cols)
 
@@ -269,7 +392,8 @@ def islands(df: DataFrame, keys: Sequence[str], frame: str = "frame", last: str
     edge = edge.withColumn("_isl", F.sum("_brk").over(we.rowsBetween(_UNB, 0)))
     merged = edge.groupBy(*keys, "_isl").agg(
         F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("n_rows").alias("n_rows"), *vals,
-        *[_MERGE[k](n).alias(n) for n, (k, _) in aggs.items()]).select(*cols)
+        *[merge(k, n, "_s").alias(n) for n, (k, _) in aggs.items()]).select(*cols)
+    merged = materialise(merged) if stored else merged
     return (inner.unionByName(merged)
             .withColumn("start", F.col("_s")).withColumn("end", F.col("_e") + 1)
             .select(*keys, "start", "end", "n_rows", *([value] if value else []), *aggs))

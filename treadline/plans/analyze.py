@@ -48,29 +48,42 @@ def analyze(keypoints: DataFrame, fps: float, mode: str = "free", belt_speed: fl
     limb's midpoint and corrected, then timing, stride lengths, stance angles and stance widths follow. Returns
     ``contact`` (per frame), ``strides``, ``limbs`` (one row per trial and limb) and ``trials`` (symmetry).
     """
-    frames = frame_table(keypoints)
+    frames = frame_table(keypoints).drop(*[f"MidPoint{i}_{c}" for i in (1, 2) for c in "xy"])
     frames = contact.fill_gaps(frames, TRIAL, [c for c in frames.columns if c not in ("trial_id", "frame")], size=size)
     d = limb_frames(frames)
     d = d.withColumns({"x": geo.midpoint(F.col("toe_x"), F.col("heel_x")), "y": geo.midpoint(F.col("toe_y"), F.col("heel_y"))})
+    c = F.col
+    angle = geo.axis_angle(c("toe_x"), c("toe_y"), c("heel_x"), c("heel_y"), c("nose_x"), c("nose_y"), c("butt_x"), c("butt_y"))
+    width = geo.point_line_distance(c("x"), c("y"), c("com_x"), c("com_y"), c("nose_x"), c("nose_y")) * float(mm_per_px)
+    # Written here because two branches read it, and Spark shares no shuffle behind the arrays of the gap filling.
+    d = materialise(d.select(*LIMB, "frame", "x", "y", angle.alias("angle"), width.alias("width")))
     if mode == "treadmill":
         d = contact.trend_contact(d, LIMB, size=size)
     else:
         d = contact.displacement_contact(d, LIMB, size=size)
-    d = materialise(d)
+    # Frames are read once, for their runs; corrections, strides and means need runs only.
+    measures = {f"{n}_{k}": ("sum", v) for n in ("angle", "width") for k, v in (("sum", c(n)), ("n", c(n).isNotNull().cast("int")))}
+    runs = contact.stored_runs(d, LIMB, aggs={"x": ("start", c("x")), "y": ("start", c("y")), **measures}, size=size)
+    frames = d.select(*LIMB, "frame", "in_stance", "x", "y")
     if autocorrect:
-        fixed = contact.auto_correct(d.select(*LIMB, "frame", "in_stance"), LIMB, size=size)
-        d = materialise(d.drop("in_stance").join(fixed, [*LIMB, "frame"]))
-    basics = gait.gait_basics(d, LIMB, fps, size=size)
-    strides = gait.stride_lengths(d, LIMB, fps, belt_speed=belt_speed, mm_per_px=mm_per_px, size=size)
-    c = F.col
-    angle = geo.axis_angle(c("toe_x"), c("toe_y"), c("heel_x"), c("heel_y"), c("nose_x"), c("nose_y"), c("butt_x"), c("butt_y"))
-    width = geo.point_line_distance(c("x"), c("y"), c("com_x"), c("com_y"), c("nose_x"), c("nose_y")) * float(mm_per_px)
-    shape = d.groupBy(*LIMB).agg(
-        F.coalesce(F.avg(F.when(c("in_stance") == 1, angle)), F.lit(0.0)).alias("angle_mean_deg"), F.avg(width).alias("stance_width_mean"))
+        runs = materialise(contact.correct_runs(runs, LIMB, size=size))
+        fixed = contact.corrected_frames(runs, LIMB, size=size)
+        frames = frames.drop("in_stance").join(fixed, [*LIMB, "frame"]).select(*frames.columns)
+        merged = ordered.islands(
+            runs.drop("in_stance").withColumns({"in_stance": c("corrected"), "_last": c("end") - 1}), LIMB, "start", "_last", "in_stance",
+            aggs={"x": ("start", c("x")), "y": ("start", c("y"))}, size=size, stored=True)
+    else:
+        runs = runs.withColumns({"corrected": c("in_stance"), "opens": F.lit(True)})
+        merged = runs
+    basics = gait.gait_basics_of_runs(runs, LIMB, fps)
+    strides = gait.strides_of_runs(merged, LIMB, fps, belt_speed=belt_speed, mm_per_px=mm_per_px, size=size)
+    on = lambda n: F.sum(F.when(c("corrected") == 1, c(n)))
+    shape = runs.groupBy(*LIMB).agg(
+        F.coalesce(F.try_divide(on("angle_sum"), on("angle_n")), F.lit(0.0)).alias("angle_mean_deg"),
+        F.try_divide(F.sum("width_sum"), F.sum("width_n")).alias("stance_width_mean"))
     limbs = (basics.join(gait.stride_summary(strides, LIMB), LIMB, "left").join(shape, LIMB)
              .na.fill(0.0, ["stride_length_mean", "stride_length_variability"]).na.fill(0, ["n_lengths"]))
-    return {"contact": d.select(*LIMB, "frame", "in_stance", "x", "y"), "strides": strides, "limbs": limbs,
-            "trials": gait.trial_symmetry(basics, TRIAL)}
+    return {"contact": frames, "strides": strides, "limbs": limbs, "trials": gait.trial_symmetry(basics, TRIAL)}
 
 
 def contact_suite(df: DataFrame, fps: float, px_per_mm: float = 1.0, size: int = CHUNK, reuse: bool = False) -> DataFrame:
