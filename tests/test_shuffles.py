@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from treadline.operators import contact, gait, ordered
+from treadline.operators import contact, gait, multiview, ordered
 from treadline.plans import analyze
 from treadline.schemas import AXIS_PARTS, LIMB_ROWS
 
@@ -86,3 +86,24 @@ def test_limbs_of_the_analysis_follow_from_its_contact(spark, fix):
         assert all(r.angle_mean_deg > 0 and r.stance_width_mean > 0 for r in limbs.values()) and len(limbs) == 8
         seen.append({k: [pytest.approx(x) if isinstance(x, float) else x for x in r] for k, r in limbs.items()})
     assert limbs.keys() == seen[0].keys() and all(list(r) == seen[0][k] for k, r in limbs.items())
+
+
+def test_views_are_not_spread_by_camera_and_refine_from_their_own_column(spark, tmp_path):
+    rig = spark.createDataFrame([(f"c{i}", [800.0, 0.0, 320.0, 40.0 * i, 0.0, 800.0, 240.0, 5.0 * i * i, 0.0, 0.0, 1.0, 5.0]) for i in range(3)],
+                                "camera string, p array<double>")
+    pts = spark.createDataFrame([("a", f, j, 0.1 * f, 0.2 * k, 0.5) for f in range(4) for k, j in enumerate(("p", "q"))],
+                                "trial_id string, frame int, joint string, x double, y double, z double")
+    keys = ["trial_id", "frame", "joint"]
+    obs = multiview.project_points(pts, rig).select(*keys, "camera", (F.col("u") + F.col("frame")).alias("u"), "v")
+    obs.unionByName(obs.limit(1).withColumn("camera", F.lit("unknown"))).write.parquet(str(tmp_path / "o"))
+    obs = spark.read.parquet(str(tmp_path / "o"))
+    views = multiview.gather_views(obs, rig, keys)
+    assert "hashpartitioning(camera" not in views._jdf.queryExecution().executedPlan().toString()
+    more = rig.unionByName(spark.range(300).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("camera"), F.array(*[F.lit(1.0)] * 12).alias("p")))
+    order = lambda d: sorted(map(tuple, d.collect()), key=lambda r: r[:3])
+    assert order(multiview.gather_views(obs, more, keys)) == order(views) and views.count() == 8
+    start = multiview.triangulate(views, keys, keep=["views"])
+    plain = multiview.triangulate(views, keys)
+    assert order(start.drop("views")) == order(plain)
+    bones = [("p", "q", 0.2)]
+    assert order(multiview.refine(start, None, bones)) == order(multiview.refine(plain, views, bones))

@@ -225,8 +225,8 @@ def _(spark, sf_dir):
     keys = [C("vec_id").alias("trial_id"), F.floor(C("i") / 7).alias("frame"), name.alias("joint")]
     obs = observations(spark, sf_dir).select(*keys, "camera", "u", "v")
     views = multiview.gather_views(obs, rig(spark), ["trial_id", "frame", "joint"])
-    start = multiview.triangulate(views, ["trial_id", "frame", "joint"])
-    return multiview.refine(start, views, [("j0", "j1", 0.2), ("j1", "j2", 0.2)], rounds=10)
+    start = multiview.triangulate(views, ["trial_id", "frame", "joint"], keep=["views"])
+    return multiview.refine(start, None, [("j0", "j1", 0.2), ("j1", "j2", 0.2)], rounds=10)
 
 
 @query("print_linkage", f"""WITH {POSE}, p AS (SELECT vec_id, i // 7 AS f, i % 7 AS j, 800 * x / (x2 + 5) + 320 AS u, 800 * y / (x2 + 5) + 240 AS v FROM pt),

@@ -9,7 +9,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from treadline.functions import geometry as geo
@@ -32,6 +33,10 @@ def camera_columns(rig: DataFrame, limit: int = 256) -> Column:
     rows = rig.select("camera", "p").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"a rig of more than {limit} cameras")
+    return _literal_rig(rows)
+
+
+def _literal_rig(rows: Sequence[Row]) -> Column:
     return F.create_map(*[c for r in rows for c in (F.lit(r["camera"]), F.array(*[F.lit(float(x)) for x in r["p"]]))])
 
 
@@ -45,16 +50,24 @@ def gather_views(obs: DataFrame, rig: DataFrame, keys: Sequence[str], complete:
     ``complete``. The cameras of a recording are counted map-side first, so a hot recording is no hot task.
     """
     bad = F.col("u").isNull() | F.col("v").isNull() | F.isnan("u") | F.isnan("v") | (F.abs("u") == float("inf")) | (F.abs("v") == float("inf"))
-    d = obs.join(rig.select("camera", "p"), "camera")
-    view = F.struct("camera", "p", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    rows = rig.select("camera", "p").limit(257).collect()
+    small = 0 < len({r["camera"] for r in rows}) == len(rows) <= 256 and all(r["camera"] is not None and r["p"] and None not in r["p"] for r in rows)
+    # A rig of bounded size goes into the plan as in :func:`camera_columns`: a join would spread the observations by camera,
+    # and every view would be shuffled with its matrix.
+    d = obs.where(F.col("camera").isin([r["camera"] for r in rows])) if small else obs.join(rig.select("camera", "p"), "camera")
+    view = F.struct("camera", *([] if small else ["p"]), F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
     g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(~bad, view))).alias("views"))
+    views = F.col("views")
+    if small:
+        cameras = _literal_rig(rows)
+        views = F.transform("views", lambda v: F.struct(v["camera"].alias("camera"), cameras[v["camera"]].alias("p"), v["u"].alias("u"), v["v"].alias("v")))
     if not complete:
-        return g.where(F.size("views") >= 2)
+        return g.where(F.size("views") >= 2).select(*keys, views.alias("views"))
     whole = list(recording or keys[:1])
     n = d.select(*whole, "camera").distinct().groupBy(*whole).agg(F.count(F.lit(1)).alias("_n"))
     few = F.concat(F.lit("fewer than two cameras in recording "), F.to_json(F.struct(*whole)))
-    cameras = F.when(F.col("_n") < 2, F.raise_error(few).cast("long")).otherwise(F.col("_n"))
-    return g.join(n, whole).where(F.size("views") == cameras).select(*keys, "views")
+    count = F.when(F.col("_n") < 2, F.raise_error(few).cast("long")).otherwise(F.col("_n"))
+    return g.join(n, whole).where(F.size("views") == count).select(*keys, views.alias("views"))
 
 
 def _solve(p: np.ndarray, uv: np.ndarray) -> np.ndarray:
@@ -98,30 +111,32 @@ def _robust(p: np.ndarray, uv: np.ndarray, threshold: float) -> np.ndarray:
     return best
 
 
-def triangulate(views: DataFrame, keys: Sequence[str], robust: bool = True, threshold: float = 3.0) -> DataFrame:
-    """``x, y, z``, mean reprojection error and confidence ``1 / (1 + error)`` per point."""
-    cols = list(keys)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in views.schema if f.name in cols)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n = pdf["views"].map(len).to_numpy()
-            xyz, err = np.full((len(pdf), 3), np.nan), np.full(len(pdf), np.nan)
+def triangulate(views: DataFrame, keys: Sequence[str], robust: bool = True, threshold: float = 3.0, keep: Sequence[str] = ()) -> DataFrame:
+    """``x, y, z``, mean reprojection error and confidence ``1 / (1 + error)`` per point. ``keep`` are columns taken along."""
+    fields = {f.name: f.dataType.simpleString() for f in views.schema}
+    head, cols = ", ".join(f"`{c}` {fields[c]}" for c in keys), list(keys)
+    tail, kept = "".join(f", `{c}` {fields[c]}" for c in keep), list(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = batch.column("views")
+            n, each = seen.value_lengths().to_numpy(zero_copy_only=False), seen.flatten()
+            first = np.cumsum(n) - n
+            all_p = each.field("p").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 3, 4)
+            all_uv = np.stack([each.field(c).to_numpy(zero_copy_only=False) for c in "uv"], axis=1)
+            out = np.full((len(n), 4), np.nan)
             for k in np.unique(n):
                 at = np.flatnonzero(n == k)
-                vs = [list(v) for v in pdf["views"].iloc[at]]
-                p = np.array([[np.asarray(v["p"], float) for v in row] for row in vs]).reshape(len(at), k, 3, 4)
-                uv = np.array([[(v["u"], v["v"]) for v in row] for row in vs], dtype=float)
+                rows = first[at][:, None] + np.arange(k)
+                p, uv = all_p[rows], all_uv[rows]
                 x = _robust(p, uv, threshold) if robust and k > 2 else _solve(p, uv)
-                xyz[at], err[at] = x, _errors(p, uv, x).mean(axis=1)
-            out = pdf[cols].copy()
-            gone = np.isnan(xyz).any(axis=1)
-            for i, c in enumerate("xyz"):
-                out[c] = pd.Series(xyz[:, i], index=out.index).astype(object).where(~gone, None)
-            out["reproj_err"] = pd.Series(err, index=out.index).astype(object).where(~gone, None)
-            yield out
-
-    d = views.mapInPandas(run, f"{head}, x double, y double, z double, reproj_err double")
+                out[at, :3], out[at, 3] = x, _errors(p, uv, x).mean(axis=1)
+            gone = np.isnan(out[:, :3]).any(axis=1)
+            solved = [pa.array(out[:, i], pa.float64(), mask=gone) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], *solved, *[batch.column(c) for c in kept]],
+                                             names=[*cols, "x", "y", "z", "reproj_err", *kept])
+
+    d = views.mapInArrow(run, f"{head}, x double, y double, z double, reproj_err double{tail}")
     return d.withColumn("confidence", F.coalesce(F.try_divide(F.lit(1.0), 1.0 + F.col("reproj_err")), F.lit(0.0)))
 
 
@@ -226,15 +241,16 @@ def _refine_frames(x0: np.ndarray, p: np.ndarray, uv: np.ndarray, seen: np.ndarr
     return x
 
 
-def refine(points: DataFrame, views: DataFrame, bones: Sequence[tuple[str, str, float]],
+def refine(points: DataFrame, views: DataFrame | None, bones: Sequence[tuple[str, str, float]],
            frame_keys: Sequence[str] = ("trial_id", "frame"), joint: str = "joint", bone_weight: float = 100.0,
            rounds: int = 50) -> DataFrame:
     """Refine the joints of each frame together against the image points and the bone lengths.
 
-    ``bones`` lists (joint, joint, length). Joints without a position stay missing, and their bones are left out.
+    ``views`` is None if ``points`` has them as its own column, which saves a join. ``bones`` lists (joint, joint, length). Joints without a position stay missing, and their bones are left out.
     """
     keys = list(frame_keys)
-    d = points.select(*keys, joint, "x", "y", "z").join(views.select(*keys, joint, "views"), [*keys, joint], "left")
+    d = points.select(*keys, joint, "x", "y", "z", *(["views"] if views is None else []))
+    d = d if views is None else d.join(views.select(*keys, joint, "views"), [*keys, joint], "left")
     links = list(bones)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in (*keys, joint))
 
