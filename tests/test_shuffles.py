@@ -107,3 +107,11 @@ def test_views_are_not_spread_by_camera_and_refine_from_their_own_column(spark,
     assert order(start.drop("views")) == order(plain)
     bones = [("p", "q", 0.2)]
     assert order(multiview.refine(start, None, bones)) == order(multiview.refine(plain, views, bones))
+
+
+def test_gait_suite_numbers_its_frames_once(spark, monkeypatch):
+    from treadline.catalog import load, views
+    calls, samples = [], views.samples
+    monkeypatch.setattr(views, "samples", lambda *a: calls.append(a) or samples(*a))
+    load().QUERIES["gait_suite"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1

@@ -10,6 +10,7 @@ from treadline.functions import geometry as geo
 from treadline.functions import metrics as fm
 from treadline.operators import evaluation, gait, multiview, steps, support
 from treadline.plans import analyze
+from treadline.session import materialise
 
 # The points of a vector as a closed outline: even elements are x, odd ones y, and after the last point comes the first.
 ELEMENTS = ("x", "y", "x2", "y2", "x3", "y3", "x4", "y4")
@@ -297,8 +298,10 @@ def _(spark, sf_dir):
 
 @query("gait_suite")
 def _(spark, sf_dir):
-    d = v.contact_long(spark, sf_dir).select("trial_id", "limb", "frame", "in_stance", C("cx").alias("x"), C("cy").alias("y"), "intensity", "area_px")
-    body = v.contact_wide(spark, sf_dir).select("trial_id", "frame", C("cx").alias("com_x"))
+    # Limbs and body are two views of the same frames, which are numbered and summed once.
+    w = materialise(v.contact_wide(spark, sf_dir))
+    d = v.contact_long(spark, sf_dir, w).select("trial_id", "limb", "frame", "in_stance", C("cx").alias("x"), C("cy").alias("y"), "intensity", "area_px")
+    body = w.select("trial_id", "frame", C("cx").alias("com_x"))
     return analyze.metric_suite(d, 128.0, body=body, size=v.SIZE, reuse=True)
 
 

@@ -51,9 +51,9 @@ wide AS (
   FROM samples)"""
 
 
-def contact_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (trial, limb, frame): in_stance, intensity, area, centroid shifted per limb."""
-    w = contact_wide(spark, sf_dir)
+def contact_long(spark: SparkSession, sf_dir: str, wide: DataFrame | None = None) -> DataFrame:
+    """One row per (trial, limb, frame): in_stance, intensity, area, centroid shifted per limb. ``wide`` is a stored :func:`contact_wide`."""
+    w = contact_wide(spark, sf_dir) if wide is None else wide
     limbs = F.explode(F.array(*[
         F.struct(F.lit(n).alias("limb"), F.col(c).cast("int").alias("in_stance"), F.lit(i).alias("ord"))
         for i, (n, c) in enumerate((("LF", "lf"), ("RF", "rf"), ("LH", "lh"), ("RH", "rh")))]))
